@@ -29,36 +29,28 @@ def with_group_min(rows: DataFrame, keys: list[str], value: str, out: str, count
     key can be hot if that is below ``hot_rows``. An empty input gives an
     empty result.
     """
-    h = "__h"
-    keyed = rows.withColumn(h, F.xxhash64(*keys))
-    lone = None
+    h, own = "__h", "__own"
+    lone = F.lit(False)
     for k in keys:
-        lone = F.col(k).isNull() if lone is None else lone | F.col(k).isNull()
-    whole = Window.partitionBy(h, *keys)
+        lone = lone | F.col(k).isNull()
+    keyed = rows.withColumn(own, F.when(lone, F.col(value))).withColumn(h, F.when(lone, F.xxhash64(F.lit("alone"), value)).otherwise(F.xxhash64(*keys)))
+    whole = Window.partitionBy(h, *keys, own)
 
     def shuffled(df: DataFrame) -> DataFrame:
-        add = {out: F.min(value).over(whole)} | ({count: F.count(F.lit(1)).over(whole)} if count else {})
-        return df.withColumns(add)
+        add = {out: F.when(lone, F.col(value)).otherwise(F.min(value).over(whole))}
+        return df.withColumns(add | ({count: F.when(lone, F.lit(1)).otherwise(F.count(F.lit(1)).over(whole)).cast("bigint")} if count else {}))
 
-    def alone(df: DataFrame) -> DataFrame:
-        return df.withColumns({out: F.col(value)} | ({count: F.lit(1).cast("bigint")} if count else {}))
-
-    single, grouped = keyed.filter(lone), keyed.filter(~lone)
     hot_n = 0
     if total is None or total > hot_rows:
-        hot = cut(grouped.groupBy(h).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(h), "hot")
+        hot = cut(keyed.filter(~lone).groupBy(h).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(h), "hot")
         hot_n = hot.count()
     if not hot_n:
-        parts = [shuffled(grouped)]
-    else:
-        near = F.broadcast if hot_n <= BROADCAST_KEYS else (lambda x: x)
-        rest, many = grouped.join(near(hot), h, "left_anti"), grouped.join(near(hot), h, "left_semi")
-        salted = many.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias("__s")).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("__n"))
-        minima = cut(salted.groupBy(*keys).agg(F.min(out).alias(out), F.sum("__n").alias("__n")), "minima")
-        same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-        add = [F.col(f"b.{out}")] + ([F.col("b.__n").alias(count)] if count else [])
-        parts = [shuffled(rest), many.alias("a").join(near(minima).alias("b"), same, "inner").select("a.*", *add)]
-    whole_df = parts[0]
-    for p in [*parts[1:], alone(single)]:
-        whole_df = whole_df.unionByName(p)
-    return whole_df.drop(h)
+        return shuffled(keyed).drop(h, own)
+    near = F.broadcast if hot_n <= BROADCAST_KEYS else (lambda x: x)
+    rest, many = keyed.join(near(hot), h, "left_anti"), keyed.join(near(hot), h, "left_semi")
+    salted = many.groupBy(*keys, F.pmod(F.xxhash64(value), F.lit(salts)).alias("__s")).agg(F.min(value).alias(out), F.count(F.lit(1)).alias("__n"))
+    minima = cut(salted.groupBy(*keys).agg(F.min(out).alias(out), F.sum("__n").alias("__n")), "minima")
+    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
+    add = [F.col(f"b.{out}")] + ([F.col("b.__n").alias(count)] if count else [])
+    joined = many.alias("a").join(near(minima).alias("b"), same, "inner").select("a.*", *add)
+    return shuffled(rest).unionByName(joined).drop(h, own)

@@ -20,6 +20,7 @@ def local_session(cores: int | str = 8, app: str = "plyforge", **conf: str) -> S
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.driver.memory", "8g")
     )
