@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 # The code points that Python's str.split() and str.strip() take as white space.
 WS_CLASS = r"[\u0009-\u000d\u001c-\u0020\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
+#: The same, as characters to trim.
+WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
 _RANK = "[1-8KQRBNPkqrbnp]{1,8}"
 _BOARD = rf"(?<![A-Za-z0-9/])({_RANK}(?:/{_RANK}){{7}})(?![A-Za-z0-9/])"
 _PLAIN = rf"\A{_RANK}(?:/{_RANK}){{7}} [wb] (?:-|[KQkq]{{1,4}}) (?:-|[a-h][1-8]) [0-9]{{1,9}} [0-9]{{1,9}}\z"
@@ -29,14 +32,20 @@ def fen_key(fen: Column) -> Column:
     return F.when(F.size(parts) >= 4, F.array_join(F.slice(parts, 1, 4), " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(WS_CHARS))
+
+
 def label(text: Column) -> Column:
     """Labels and hashes are compared without regard to case and outer blanks; blank is null."""
-    return F.nullif(F.lower(F.regexp_replace(text, rf"\A{WS_CLASS}+|{WS_CLASS}+\z", "")), F.lit(""))
+    return F.nullif(F.lower(strip(text)), F.lit(""))
 
 
 def sha_label(text: Column) -> Column:
     """A hash label, without the scheme prefix some writers put before it."""
-    return F.nullif(F.regexp_replace(label(text), r"\Asha-?256[:=]\s*", ""), F.lit(""))
+    plain = label(text)
+    return F.when(plain.startswith("sha"), F.nullif(F.regexp_replace(plain, r"\Asha-?256[:=]\s*", ""), F.lit(""))).otherwise(plain)
 
 
 def _expand(board: Column) -> Column:

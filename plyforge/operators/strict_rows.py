@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.functions.boards import WS_CLASS, words
+from plyforge.functions.boards import strip, words
 
 # Columns of a parsed-game line, results and exclusion codes.
 COLUMNS = ("game_index", "white", "black", "result", "termination", "fen", "opening_ref", "candidate_role", "candidate_outcome", "exclusion_reason")
@@ -40,7 +40,7 @@ def raw_columns(line: Column) -> Column:
 def column_value(raw: Column) -> Column:
     """Unquoted, without outer blanks; empty is missing."""
     bare = F.when(raw.startswith('"'), F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit('""'), F.lit('"'))).otherwise(raw)
-    return F.nullif(F.regexp_replace(bare, rf"\A{WS_CLASS}+|{WS_CLASS}+\z", ""), F.lit(""))
+    return F.nullif(strip(bare), F.lit(""))
 
 
 def sound_board(board: Column) -> Column:
