@@ -28,7 +28,7 @@ BINS, MOST_SOURCES = 1024, 20_000
 
 def source_key(source: Column) -> Column:
     """Blank, hyphen and underscore are the same in source names, as are upper and lower case."""
-    return F.nullif(F.regexp_replace(label(source), r"[\s_\- ]+", "_"), F.lit(""))
+    return F.nullif(F.regexp_replace(label(source), r"[\s_\-\u00a0]+", "_"), F.lit(""))
 
 
 @dataclass
