@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plyforge.functions.stats import interval_side
 
@@ -12,13 +11,13 @@ VERDICTS = ("SUPPORTED_PROGRESS", "PROGRESS_NOT_SUPPORTED", "INCONCLUSIVE")
 #: Changes below this don't count as movement.
 TOLERANCE = 1e-12
 #: What the ledger line holds of a result.
-RESULT = T.StructType.fromDDL(
-    "recomputed_wdl struct<wins:bigint,losses:bigint,draws:bigint,decisive_games:bigint,score:double>, "
-    "sprt_result struct<elo0:double,elo1:double,alpha:double,beta:double,max_games:bigint,games_played:bigint,outcome:string>, "
-    "elo_estimate struct<value:double,ci_low:double,ci_high:double>, verdict string, "
-    "regression_subtest struct<tested:boolean,flagged:boolean,ci_low:double,ci_high:double>, analyzed_at string, analyzer_version string, run_id string"
+RESULT = (
+    "struct<recomputed_wdl:struct<wins:bigint,losses:bigint,draws:bigint,decisive_games:bigint,score:double>,"
+    "sprt_result:struct<elo0:double,elo1:double,alpha:double,beta:double,max_games:bigint,games_played:bigint,outcome:string>,"
+    "elo_estimate:struct<value:double,ci_low:double,ci_high:double>,verdict:string,"
+    "regression_subtest:struct<tested:boolean,flagged:boolean,ci_low:double,ci_high:double>,analyzed_at:string,analyzer_version:string,run_id:string>"
 )
-LEDGER = T.StructType.fromDDL("schema_version string, source_state string, recorded_at string, run_id string, config_identity_sha256 string, candidate_sha256 string, opponent_sha256 string, opponent_id string, experiment_id string, arm_id string, record_id string").add("analysis_result", RESULT)
+LEDGER = "schema_version string, source_state string, recorded_at string, run_id string, config_identity_sha256 string, candidate_sha256 string, opponent_sha256 string, opponent_id string, experiment_id string, arm_id string, record_id string, analysis_result " + RESULT
 
 
 def flatten(lines: DataFrame, line: str = "line") -> DataFrame:
