@@ -114,6 +114,6 @@ def position_text(prefix: str = "r_") -> Column:
 
 
 def record_text(prefix: str = "r_") -> Column:
-    """Position and clocks; an unknown clock is ``?``."""
+    """Position and clocks, where an unknown clock is ``?``; null without a sound record."""
     c = lambda k: F.coalesce(F.col(prefix + k).cast("string"), F.lit("?"))
-    return F.concat_ws(" ", position_text(prefix), c("half"), c("full"))
+    return F.when(F.col(prefix + "board").isNotNull(), F.concat_ws(" ", position_text(prefix), c("half"), c("full")))
