@@ -6,8 +6,6 @@ buckets that follows one fixed permutation and is only ever appended to.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 BUCKETS = 4096
 #: Fixed odd factors and the shift of the permutation of bucket numbers.
 FACTORS, SHIFT = (1637, 2741), 5
+#: Standard deviations by which a split may fall short of its share before the list grows.
+SLACK = 3.0
 
 
 def bucket_of(key: Column, seed: str, buckets: int = BUCKETS) -> Column:
@@ -31,14 +31,13 @@ def place_of(bucket: Column, buckets: int = BUCKETS) -> Column:
     return x * FACTORS[1] % buckets
 
 
-def list_lengths(counts: Iterator[pd.DataFrame], share: float, buckets: int) -> pd.DataFrame:
-    """Of one split: for every intake, the shortest list that reaches the share of the keys known by then."""
-    c = pd.concat(list(counts))
+def list_lengths(c: pd.DataFrame, share: float, buckets: int) -> pd.DataFrame:
+    """Of one split: for every intake, the shortest list under which the keys known by then don't fall short of their share."""
     have, total, out = np.zeros(buckets, np.int64), 0, []
     for intake, part in c.groupby("intake", sort=True):
         np.add.at(have, part["place"].to_numpy(), part["n"].to_numpy())
         total += int(part["n"].sum())
-        want = int(np.floor(share * total))
+        want = max(0, int(np.floor(share * total - SLACK * np.sqrt(share * total))))
         out.append((intake, int(np.searchsorted(np.cumsum(have), want)) + 1 if want else 0))
     return pd.DataFrame(out, columns=["intake", "length"])
 
@@ -48,7 +47,7 @@ def nested_sample(df: DataFrame, key: Column, split: Column, intake: Column, sha
 
     The list starts with ``ceil(share * buckets)`` buckets and is appended to
     when, at some intake, a split holds fewer chosen keys than ``share`` of
-    the keys it had by then. Its length at an intake depends only on rows of
+    the keys it had by then, by more than chance explains (``SLACK``). Its length at an intake depends only on rows of
     that and earlier intakes and never shrinks, so whatever was chosen stays
     chosen. All rows of one key are chosen or left together, in whatever split
     they stand; so is every key of a bucket.
@@ -72,7 +71,7 @@ def nested_sample(df: DataFrame, key: Column, split: Column, intake: Column, sha
         .agg(F.min("intake").alias("intake"))
     )
     counts = first.groupBy("split", "intake", "place").agg(F.count(F.lit(1)).alias("n"))
-    lengths = counts.groupBy("split").applyInPandas(lambda pdf: list_lengths(iter([pdf]), share, buckets), "intake bigint, length bigint")
+    lengths = counts.groupBy("split").applyInPandas(lambda pdf: list_lengths(pdf, share, buckets), "intake bigint, length bigint")
     base = int(np.ceil(share * buckets))
     longest = lengths.agg(F.greatest(F.lit(base), F.coalesce(F.max("length"), F.lit(0))).alias("__length"))
     # one row, by construction
