@@ -18,6 +18,7 @@ WS_CHARS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680,
 _RANK = "[1-8KQRBNPkqrbnp]{1,8}"
 _BOARD = rf"(?<![A-Za-z0-9/])({_RANK}(?:/{_RANK}){{7}})(?![A-Za-z0-9/])"
 _PLAIN = rf"\A{_RANK}(?:/{_RANK}){{7}} [wb] (?:-|[KQkq]{{1,4}}) (?:-|[a-h][1-8]) [0-9]{{1,9}} [0-9]{{1,9}}\z"
+_SINGLE_BLANKS = r"\A[!-~]+(?: [!-~]+){3,}+\z"
 _FULL_RANKS = r"\A[.KQRBNPkqrbnp]{8}(?:/[.KQRBNPkqrbnp]{8}){7}\z"
 
 
@@ -29,7 +30,9 @@ def words(text: Column) -> Column:
 def fen_key(fen: Column) -> Column:
     """First four fields joined by one space; null when there are fewer."""
     parts = words(fen)
-    return F.when(F.size(parts) >= 4, F.array_join(F.slice(parts, 1, 4), " "))
+    slow = F.when(F.size(parts) >= 4, F.array_join(F.slice(parts, 1, 4), " "))
+    # nearly all texts separate their fields by single blanks; those need no list of words
+    return F.when(fen.rlike(_SINGLE_BLANKS), F.substring_index(fen, " ", 4)).otherwise(slow)
 
 
 def strip(text: Column) -> Column:

@@ -160,66 +160,73 @@ def schema_violations(docs: DataFrame, key: str, text: str, schema: Mapping) ->
     aren't looked at. Text that is no JSON gives rule ``json``.
     """
     parsed = docs.select(key, F.try_parse_json(text).alias("v"))
-    rules: list[Column] = []
-    hit = lambda when, path, rule: rules.append(F.when(when, F.struct(F.lit(path).alias("path"), F.lit(rule).alias("rule"))))
-
-    def kind_of(v: Column) -> Column:
-        return F.schema_of_variant(v)
-
-    def of_type(kind: Column, names: list[str]) -> Column:
-        tests = {"object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "integer": kind == "BIGINT", "number": kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "null": kind == "VOID"}
-        out = F.lit(False)
-        for n in names:
-            out = out | tests[n]
-        return out
-
-    def node(v: Column, s: Mapping, path: str, here: Column) -> None:
-        kind = kind_of(v)
-        right = here
-        if "type" in s:
-            names = s["type"] if isinstance(s["type"], list) else [s["type"]]
-            right = here & of_type(kind, names)
-            hit(here & ~of_type(kind, names), path, "type")
-        if "enum" in s:
-            shown = v.cast("string")
-            hit(right & ~F.coalesce(shown.isin(*[str(x) for x in s["enum"]]), F.lit(False)), path, "enum")
-        text_of = F.when(kind == "STRING", v.cast("string"))
-        if "minLength" in s:
-            hit(right & (F.length(text_of) < s["minLength"]), path, "minLength")
-        if "pattern" in s:
-            hit(right & ~text_of.rlike(r"\A(?:" + re.sub(r"\A\^|\$\Z", "", s["pattern"]) + r")\z"), path, "pattern")
-        if "format" in s:
-            test = {"sha256-hex": is_sha256, "utc-iso8601": is_utc, "relative-neutral-path": is_neutral_path}.get(s["format"])
-            hit(right & text_of.isNotNull() & (~test(text_of) if test else F.lit(True)), path, "format")
-        if "minimum" in s:
-            number = F.when(of_type(kind, ["number"]), v.cast("double"))
-            hit(right & (number < s["minimum"]), path, "minimum")
-        if "properties" in s:
-            is_object = right & kind.startswith("OBJECT")
-            keys = F.when(is_object, F.json_object_keys(F.to_json(v)))
-            for k in s.get("required", []):
-                hit(is_object & ~F.array_contains(keys, k), f"{path}.{k}", "required")
-            if s.get("additionalProperties", True) is False:
-                hit(is_object & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in s["properties"]]))) > 0), path, "additionalProperties")
-            for k, sub in s["properties"].items():
-                node(F.try_variant_get(v, f"$.{k}", "variant"), sub, f"{path}.{k}", is_object & F.array_contains(keys, k))
-
-    def collect(v: Column, s: Mapping, path: str) -> Column:
-        before = rules[:]
-        rules.clear()
-        node(v, s, path, v.isNotNull())
-        out = F.array_compact(F.array(*rules)) if rules else F.array().cast("array<struct<path:string,rule:string>>")
-        rules[:] = before
-        return out
-
-    found = [parsed.select(key, F.explode(F.when(F.col("v").isNull(), F.array(F.struct(F.lit("$").alias("path"), F.lit("json").alias("rule")))).otherwise(collect(F.col("v"), schema, "$"))).alias("e")).select(key, "e.path", "e.rule")]
+    found = [_broken_rules(parsed, [key], schema, F.lit("$"))]
     # one further scan for each array of objects: its elements are rows of their own
     for name, sub in schema.get("properties", {}).items():
         if "items" in sub:
-            items = parsed.select(key, F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("i", "v"))
-            errors = items.select(key, "i", F.explode(collect(F.col("v"), sub["items"], "")).alias("e"))
-            found.append(errors.select(key, F.concat(F.lit(f"$.{name}["), F.col("i").cast("string"), F.lit("]"), F.col("e.path")).alias("path"), "e.rule"))
+            items = parsed.select(key, F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("__i", "v"))
+            found.append(_broken_rules(items, [key, "__i"], sub["items"], F.concat(F.lit(f"$.{name}["), F.col("__i").cast("string"), F.lit("]"))).drop("__i"))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     return out
+
+
+def _of_type(kind: Column, names: list[str]) -> Column:
+    tests = {"object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "integer": kind == "BIGINT", "number": kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "null": kind == "VOID"}
+    out = F.lit(False)
+    for n in names:
+        out = out | tests[n]
+    return out
+
+
+def _broken_rules(df: DataFrame, keys: list[str], schema: Mapping, root: Column) -> DataFrame:
+    """(keys, path, rule) of every rule that the variant ``v`` breaks; null gives rule ``json``.
+
+    Nodes of one depth become columns of one projection (value, kind, keys), so
+    nothing is looked up twice.
+    """
+    rules: list[Column] = []
+    level = [("v", schema, "")]
+    df = df.withColumn("__ok_v", F.col("v").isNotNull())
+    depth = 0
+    while level:
+        kinds = {f"__kind_{c}": F.schema_of_variant(F.col(c)) for c, *_ in level}
+        df = df.withColumns(kinds)
+        df = df.withColumns({f"__keys_{c}": F.when(F.col(f"__kind_{c}").startswith("OBJECT"), F.json_object_keys(F.to_json(F.col(c)))) for c, s, _ in level if "properties" in s} | {f"__text_{c}": F.when(F.col(f"__kind_{c}") == "STRING", F.col(c).cast("string")) for c, *_ in level})
+        values, present, below = {}, {}, []
+        for c, s, path in level:
+            v, kind, text, here = F.col(c), F.col(f"__kind_{c}"), F.col(f"__text_{c}"), F.col(f"__ok_{c}")
+            hit = lambda when, rule, at=path: rules.append(F.when(when, F.struct(F.concat(root, F.lit(at)).alias("path"), F.lit(rule).alias("rule"))))
+            right = here
+            if "type" in s:
+                fits = _of_type(kind, s["type"] if isinstance(s["type"], list) else [s["type"]])
+                hit(here & ~fits, "type")
+                right = here & fits
+            if "enum" in s:
+                hit(right & ~F.coalesce(v.cast("string").isin(*[str(x) for x in s["enum"]]), F.lit(False)), "enum")
+            if "minLength" in s:
+                hit(right & (F.length(text) < s["minLength"]), "minLength")
+            if "pattern" in s:
+                hit(right & ~text.rlike(r"\A(?:" + re.sub(r"\A\^|\$\Z", "", s["pattern"]) + r")\z"), "pattern")
+            if "format" in s:
+                test = {"sha256-hex": is_sha256, "utc-iso8601": is_utc, "relative-neutral-path": is_neutral_path}.get(s["format"])
+                hit(right & text.isNotNull() & (~test(text) if test else F.lit(True)), "format")
+            if "minimum" in s:
+                hit(right & (F.when(_of_type(kind, ["number"]), v.cast("double")) < s["minimum"]), "minimum")
+            if "properties" in s:
+                held = F.col(f"__keys_{c}")
+                is_object = right & held.isNotNull()
+                for k in s.get("required", []):
+                    hit(is_object & ~F.array_contains(held, k), "required", f"{path}.{k}")
+                if s.get("additionalProperties", True) is False:
+                    hit(is_object & (F.size(F.array_except(held, F.array(*[F.lit(k) for k in s["properties"]]))) > 0), "additionalProperties")
+                for k, sub in s["properties"].items():
+                    name = f"__v{depth}_{len(below)}"
+                    values[name] = F.try_variant_get(v, f"$.{k}", "variant")
+                    present[f"__ok_{name}"] = is_object & F.array_contains(held, k)
+                    below.append((name, sub, f"{path}.{k}"))
+        df = df.withColumns(values | present) if values else df
+        level, depth = below, depth + 1
+    broken = F.array(F.struct(F.concat(root, F.lit("")).alias("path"), F.lit("json").alias("rule")))
+    return df.select(*keys, F.explode(F.when(F.col("v").isNull(), broken).otherwise(F.array_compact(F.array(*rules)))).alias("e")).select(*keys, "e.path", "e.rule")

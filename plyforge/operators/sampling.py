@@ -53,6 +53,10 @@ def dedupe_report(df: DataFrame, key: Column) -> DataFrame:
 def split_of(key: Column, seed: str, weights: Weights = Weights()) -> Column:
     """``validation``, ``holdout`` or ``train`` by the key's bucket; null for a null or empty key."""
     b = bucket(seeded_digest(seed, F.nullif(key, F.lit(""))), weights.total)
+    if weights.total <= 1000:
+        # by place in a constant array: the digest is computed once, not once for each range
+        names = ["validation"] * weights.validation + ["holdout"] * weights.holdout + ["train"] * weights.train
+        return F.get(F.lit(names), b)
     return F.when(b < weights.validation, "validation").when(b < weights.validation + weights.holdout, "holdout").when(b.isNotNull(), "train")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.functions import stats
-from plyforge.operators import history, matches
+from plyforge.operators import history, matches, rules
 from plyforge.plans.positions import sql_key
 from plyforge.plans.queries import query
 from plyforge.session import table
@@ -131,3 +131,11 @@ def wdl_against_pairs(spark: SparkSession, d: str) -> DataFrame:
   count(*) = count(DISTINCT game_index) AND min(game_index) = 1 AND max(game_index) = count(*) AS sequential FROM parsed_games GROUP BY run_id""")
 def game_sequence(spark: SparkSession, d: str) -> DataFrame:
     return history.sequence_gaps(table(spark, d, "parsed_games"), ["run_id"], "game_index")
+
+
+@query(f"""SELECT run_id, games, pairs, CASE {' '.join(f"WHEN {c} THEN '{k}'" for c, k in (('NOT seq', 'indices_not_sequential'), ('games % 2 = 1', 'odd_game_count'), ("first_offence = 'incomplete'", 'incomplete_opening_pair'), ("first_offence = 'malformed'", 'malformed_opening_pair'), ('scored <> 0', 'pair_accounting_mismatch')))} END AS reason
+FROM (SELECT g.run_id, g.games, c.pairs, seq, first_offence, points - (ld + dd * 2 + wd * 3 + ww * 4) AS scored FROM (
+  SELECT run_id, count(*) AS games, count(*) = count(DISTINCT game_index) AND min(game_index) = 1 AND max(game_index) = count(*) AS seq, sum(CASE candidate_outcome WHEN 'win' THEN 2 WHEN 'draw' THEN 1 ELSE 0 END) AS points FROM ({_KEPT}) GROUP BY 1) g
+  JOIN ({_CELLS}) c ON g.run_id = c.run_id)""")
+def run_soundness(spark: SparkSession, d: str) -> DataFrame:
+    return rules.run_soundness(_kept(spark, d), ["run_id"]).drop("findings")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plyforge.operators import mining
 from plyforge.plans.queries import query
-from plyforge.session import table
+from plyforge.session import cut, table
 
 _LINES = """SELECT l_orderkey AS position_id, l_orderkey % 7 AS run_id, 'm' || l_partkey AS move, l_quantity AS q, l_extendedprice AS p, l_discount AS d, l_returnflag AS f, l_linestatus AS s,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_suppkey, l_linenumber, l_shipdate) AS rank,
@@ -33,7 +33,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 def star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(jobs, results, statics) of the view."""
-    x = _lines(spark, d)
+    x = cut(_lines(spark, d), "star")  # read by every part of the view
     job = lambda role, kind, move, best, tag: [F.col("run_id"), F.col("position_id"), F.concat_ws("/", F.lit(tag), F.col("position_id"), *([F.col("move")] if tag == "p" else [])).alias("job_id"), F.lit(role).alias("engine_role"), F.lit(kind).alias("search_kind"), move.alias("restricted_move"), best.alias("bestmove")]
     every, moves = F.lit("ALL"), F.col("move")
     jobs = x.filter("rank = 1").select(*job("candidate", "multipv", every, moves, "c")).unionByName(x.filter("pick = 1").select(*job("teacher", "singlepv", every, F.when(F.col("d") < 0.1, moves), "t"))).unionByName(x.filter("again = 1").select(*job("teacher", "searchmove", moves, moves, "p")))
