@@ -6,8 +6,10 @@ boards. Inverted lists are kept only for what a board's heaviest terms can
 prove: two boards that differ on at most ``d`` squares share at least ``k`` of
 the ``d + k`` heaviest terms of either (all boards order terms alike), so lists
 are keyed by the ``k``-subsets of that prefix. Pairs of a list are pruned by the
-norms of what lies behind the prefix before any board is fetched; those left
-get exact dot products and the exact number of differing squares.
+norms of what lies behind the prefix, and by an 8-byte signature of the ranks
+(boards that differ on ``d`` squares differ on at most ``d`` ranks), before any
+board is fetched; those left get exact dot products and the exact number of
+differing squares.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.boards import label, with_record
@@ -40,6 +42,24 @@ def _matrix(boards: pa.Array) -> np.ndarray:
     return _CODE[flat] + np.arange(64) * len(PIECES)
 
 
+_MIX = np.array([[((f * 64 + c) * 0x9E3779B1 + 0x7F4A7C15) >> 7 & 0xFFFF for c in range(len(PIECES))] for f in range(8)], np.int64)
+
+
+def signatures(terms: np.ndarray) -> np.ndarray:
+    """A byte for each rank, equal for equal ranks, as one 64-bit number."""
+    codes = (terms % len(PIECES)).reshape(-1, 8, 8)
+    mixed = _MIX[np.arange(8), codes].sum(2) * 0x2545F491 >> 16 & 0xFF
+    return (mixed.astype(np.uint64) << np.arange(0, 64, 8, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def ranks_apart(a: Column, b: Column) -> Column:
+    """On how many ranks two signatures differ: the non-zero bytes of their difference."""
+    x = a.bitwiseXOR(b)
+    for k in (4, 2, 1):
+        x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+    return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+
 def term_counts(boards: DataFrame) -> np.ndarray:
     """How many of the boards hold each term; at most 832 sums a task leave the executors."""
 
@@ -75,7 +95,7 @@ class Lists:
         self.subsets = list(combinations(range(differ + share), share))
 
     def entries(self, level: int):
-        """Arrow function: (cid, board, side[, key0]) to (cid, key0?, key, need, norm, rest), one row for each subset.
+        """Arrow function: (cid, board, side[, key0]) to (cid, key, need, norm, rest, sig[, key0]), one row for each subset.
 
         Level 0 takes the heaviest terms; each further level the heaviest of
         those that the key so far doesn't hold.
@@ -87,7 +107,8 @@ class Lists:
                 n = b.num_rows
                 if not n:
                     continue
-                ranks = self.rank[_matrix(b.column(1))]
+                terms = _matrix(b.column(1))
+                ranks = self.rank[terms]
                 v = self.by_rank[ranks]
                 norm = v.sum(1)
                 need = norm - np.partition(v, 64 - self.differ, 1)[:, 64 - self.differ :].sum(1) if self.differ else norm
@@ -105,8 +126,8 @@ class Lists:
                 for j in range(share):
                     flat = flat * TERMS + keys[:, j]
                 flat = flat * 2 + np.repeat(side, len(self.subsets))
-                cols = [rep(b.column(0), np.int64), pa.array(flat), rep(need, np.float32), rep(norm, np.float32), rep(np.maximum(rest, 0), np.float32)]
-                names = ["cid", "key", "need", "norm", "rest"]
+                cols = [rep(b.column(0), np.int64), pa.array(flat), rep(need, np.float32), rep(norm, np.float32), rep(np.maximum(rest, 0), np.float32), rep(signatures(terms), np.int64)]
+                names = ["cid", "key", "need", "norm", "rest", "sig"]
                 if level:
                     outer = np.zeros(n, np.int64)
                     for j in range(held.shape[1]):
@@ -122,13 +143,13 @@ class Lists:
 SLACK = 1e-2
 
 
-def _pruned(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of equal lists whose greatest possible dot product reaches what both need."""
+def _pruned(left: DataFrame, right: DataFrame, on: list[str], differ: int) -> DataFrame:
+    """Pairs of equal lists whose greatest possible dot product reaches what both need and whose ranks are near enough."""
     a, b = left.alias("a"), right.alias("b")
     same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on]
     front = F.least(F.col("a.norm") - F.col("a.rest"), F.col("b.norm") - F.col("b.rest"))
     bound = front + F.sqrt(F.col("a.rest") * F.col("b.rest")) + F.lit(SLACK)
-    return a.join(b, [*same, bound >= F.greatest("a.need", "b.need")]).select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
+    return a.join(b, [*same, bound >= F.greatest("a.need", "b.need"), ranks_apart(F.col("a.sig"), F.col("b.sig")) <= differ]).select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
 
 
 def near_boards(classes: DataFrame, differ: int = 2, share: int = 3, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -142,18 +163,18 @@ def near_boards(classes: DataFrame, differ: int = 2, share: int = 3, hot_pairs:
     """
     weights = squared_weights(term_counts(classes))
     lists = Lists(weights, differ, share)
-    schema = "cid bigint, key bigint, need float, norm float, rest float"
+    schema = "cid bigint, key bigint, need float, norm float, rest float, sig bigint"
     flat = classes.select("cid", "board", "side", "left", "right")
     of = lambda which: flat.filter(which).select("cid", "board", "side").mapInArrow(lists.entries(0), schema)
     left, right = of("left"), of("right")
     sizes = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     hot = cut(sizes.filter(F.col("l") * F.col("r") > hot_pairs).select("key"), "hotlists")
     if not hot.count():
-        found = _pruned(left, right, ["key"])
+        found = _pruned(left, right, ["key"], differ)
     else:
         # hot lists are few: each holds more than 2 * sqrt(hot_pairs) entries
         cold = lambda x: x.join(hot, "key", "left_anti")
-        found = _pruned(cold(left), cold(right), ["key"])
+        found = _pruned(cold(left), cold(right), ["key"], differ)
         found = found.unionByName(_split_lists(flat, left, right, hot, lists, hot_pairs))
     found = cut(found.distinct(), "candidates")
     return _verified(found, classes, weights, differ)
@@ -163,13 +184,13 @@ def _split_lists(flat: DataFrame, left: DataFrame, right: DataFrame, hot: DataFr
     """Candidates of the hot lists, from lists keyed by their key and a subset of the next heaviest terms."""
     share = lists.share
     places = [F.floor(F.col("key") / F.lit(2 * TERMS ** (share - 1 - j))).cast("bigint") % TERMS for j in range(share)]
-    schema = "cid bigint, key bigint, need float, norm float, rest float, key0 bigint"
+    schema = "cid bigint, key bigint, need float, norm float, rest float, sig bigint, key0 bigint"
 
     def again(side: DataFrame) -> DataFrame:
         held = side.join(hot, "key", "left_semi").select("cid", F.array(*places).alias("held"))
         return held.join(flat, "cid").select("cid", "board", "side", "held").mapInArrow(lists.entries(1), schema)
 
-    return _pruned(again(left), again(right), ["key0", "key"])
+    return _pruned(again(left), again(right), ["key0", "key"], lists.differ)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, weights: np.ndarray, differ: int) -> DataFrame:
