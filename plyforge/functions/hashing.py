@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plyforge.session import ship
+
 
 def sha256_text(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
@@ -36,6 +38,9 @@ def canonical_documents(without: tuple[str, ...] = ()):
     that is no JSON object or holds NaN or infinities.
     """
 
+    if spark := SparkSession.getActiveSession():
+        ship(spark)
+
     def refuse(x: str) -> None:
         raise ValueError(x)
 

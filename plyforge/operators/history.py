@@ -140,9 +140,10 @@ def bad_transitions(events: DataFrame, key: list[str], state: str, order: list[s
 
 def sequence_gaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
     """Per group whether the numbers are exactly 1..n, each once, from aggregates alone."""
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct(number).alias("k"), F.min(number).alias("lo"), F.max(number).alias("hi"))
-    sequential = (F.col("n") == F.col("k")) & (F.col("lo") == 1) & (F.col("hi") == F.col("n"))
-    return g.select(*by, "n", (F.col("n") - F.col("k")).alias("repeats"), (F.col("hi") - F.col("k")).alias("missing"), F.coalesce(sequential, F.lit(False)).alias("sequential"))
+    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(number).alias("__k"), F.min(number).alias("__lo"), F.max(number).alias("__hi"))
+    n, k, hi = F.col("__n"), F.col("__k"), F.col("__hi")
+    sequential = (n == k) & (F.col("__lo") == 1) & (hi == n)
+    return g.select(*by, n.alias("rows_seen"), (n - k).alias("repeats"), (hi - k).alias("missing"), F.coalesce(sequential, F.lit(False)).alias("sequential"))
 
 
 def out_of_order(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:

@@ -28,12 +28,12 @@ def run_soundness(games: DataFrame, by: list[str]) -> DataFrame:
     Indices that aren't 1..n; an odd number of games; a broken pair, told by
     the pair met first; counts of results that contradict the pairs.
     """
-    g = games.groupBy(*by).agg(F.count(F.lit(1)).alias("games"), F.countDistinct("game_index").alias("k"), F.min("game_index").alias("lo"), F.max("game_index").alias("hi"))
+    g = games.groupBy(*by).agg(F.count(F.lit(1)).alias("games"), F.countDistinct("game_index").alias("__k"), F.min("game_index").alias("__lo"), F.max("game_index").alias("__hi"))
     pairs = matches.pentanomial(matches.opening_pairs(games, by), by)
     j = g.join(pairs, by).join(matches.tally(games, by).drop("total_games"), by)
     scored = (F.col("wins") * 2 + F.col("draws")) - (F.col("ld") + F.col("dd") * 2 + F.col("wd") * 3 + F.col("ww") * 4)
     rules = [
-        ((F.col("games") != F.col("k")) | (F.col("lo") != 1) | (F.col("hi") != F.col("games")), "indices_not_sequential"),
+        ((F.col("games") != F.col("__k")) | (F.col("__lo") != 1) | (F.col("__hi") != F.col("games")), "indices_not_sequential"),
         (F.col("games") % 2 == 1, "odd_game_count"),
         (F.col("first_offence") == "incomplete", "incomplete_opening_pair"),
         (F.col("first_offence") == "malformed", "malformed_opening_pair"),

@@ -127,7 +127,7 @@ def wdl_against_pairs(spark: SparkSession, d: str) -> DataFrame:
     return both.select("run_id", stats.wdl_problem(F.col("wins"), F.col("draws"), F.col("losses"), [F.col(c) for c in matches.CELLS]).alias("problem"))
 
 
-@query("""SELECT run_id, count(*) AS n, count(*) - count(DISTINCT game_index) AS repeats, max(game_index) - count(DISTINCT game_index) AS missing,
+@query("""SELECT run_id, count(*) AS rows_seen, count(*) - count(DISTINCT game_index) AS repeats, max(game_index) - count(DISTINCT game_index) AS missing,
   count(*) = count(DISTINCT game_index) AND min(game_index) = 1 AND max(game_index) = count(*) AS sequential FROM parsed_games GROUP BY run_id""")
 def game_sequence(spark: SparkSession, d: str) -> DataFrame:
     return history.sequence_gaps(table(spark, d, "parsed_games"), ["run_id"], "game_index")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +38,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers of every executor.
+
+    Workers don't inherit the driver's path. The package's sources go through
+    Spark's own file distribution once for each application.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(root)
+    # the driver serves this file to executors that come later too, so it stays until the program ends
+    made = tempfile.mkdtemp(prefix=f"{name}-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    archive = os.path.join(made, f"{name}.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    full = os.path.join(at, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share for intermediate tables.
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from plyforge.functions.chess import START, IllegalMove, Position
+from plyforge.session import map_arrow, ship
 
 GAME = "game_index bigint, white string, black string, result string, termination string, fen string, headers map<string,string>"
 _TAG = re.compile(r'\[\s*([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+"(.*)"\s*\]\s*\Z')
@@ -130,6 +131,7 @@ class PgnSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(PgnSource)
 
 
@@ -146,7 +148,7 @@ def games_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t or b.schema.field(0).type) for c, t in zip(cols, types, strict=True)], names)
 
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, {GAME}")
+    return map_arrow(docs.select(key, text), run, f"{key} {kind}, {GAME}")
 
 
 def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_plies: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +176,7 @@ def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_pli
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)], [key, "game_index", "ply", "fen", "token"])
 
-    out = docs.select(key, text).mapInArrow(run, f"{key} {kind}, game_index bigint, ply bigint, fen string, token string")
+    out = map_arrow(docs.select(key, text), run, f"{key} {kind}, game_index bigint, ply bigint, fen string, token string")
     return out.filter("token is null").drop("token"), out.filter("token is not null").drop("fen")
 
 
@@ -193,7 +195,7 @@ def leaf_positions(spark: SparkSession, plies: int, start: str = START) -> DataF
 
     frontier = spark.createDataFrame([(start,)], "fen string")
     for k in range(plies):
-        frontier = frontier.mapInArrow(expand, "fen string")
+        frontier = map_arrow(frontier, expand, "fen string")
         if k == 1:
             frontier = frontier.repartition(spark.sparkContext.defaultParallelism)
     return frontier

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plyforge.operators.history import flatten
+from plyforge.session import ship
 
 
 def ledger_stream(spark: SparkSession, folder: str, late: str = "7 days", files: int = 100) -> DataFrame:
@@ -47,4 +48,5 @@ def transition_violations(events: DataFrame, key: str, state: str, order: str, f
         held.update((before,))
         yield pd.DataFrame(bad, columns=["key", "at", "previous", "state"])
 
+    ship(events.sparkSession)
     return events.select(key, state, order).groupBy(key).applyInPandasWithState(check, "key string, at string, previous string, state string", "state string", "append", GroupStateTimeout.NoTimeout)
