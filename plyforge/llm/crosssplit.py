@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.boards import label, with_record
 from plyforge.operators.skew import HOT_ROWS, with_group_min
-from plyforge.session import cut
+from plyforge.session import cut, map_arrow
 
 PIECES = ".PNBRQKpnbrqk"
 TERMS = 64 * len(PIECES)
@@ -72,7 +72,7 @@ def term_counts(boards: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
 
     out = np.zeros(TERMS, np.int64)
-    for r in boards.select("board").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(boards.select("board"), count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         out[r.term] = r.n
     return out
 
@@ -165,7 +165,7 @@ def near_boards(classes: DataFrame, differ: int = 2, share: int = 3, hot_pairs:
     lists = Lists(weights, differ, share)
     schema = "cid bigint, key bigint, need float, norm float, rest float, sig bigint"
     flat = classes.select("cid", "board", "side", "left", "right")
-    of = lambda which: flat.filter(which).select("cid", "board", "side").mapInArrow(lists.entries(0), schema)
+    of = lambda which: map_arrow(flat.filter(which).select("cid", "board", "side"), lists.entries(0), schema)
     left, right = of("left"), of("right")
     sizes = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
     hot = cut(sizes.filter(F.col("l") * F.col("r") > hot_pairs).select("key"), "hotlists")
@@ -188,7 +188,7 @@ def _split_lists(flat: DataFrame, left: DataFrame, right: DataFrame, hot: DataFr
 
     def again(side: DataFrame) -> DataFrame:
         held = side.join(hot, "key", "left_semi").select("cid", F.array(*places).alias("held"))
-        return held.join(flat, "cid").select("cid", "board", "side", "held").mapInArrow(lists.entries(1), schema)
+        return map_arrow(held.join(flat, "cid").select("cid", "board", "side", "held"), lists.entries(1), schema)
 
     return _pruned(again(left), again(right), ["key0", "key"], lists.differ)
 
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, weights: np.ndarray, differ:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(n.astype(np.int32)), pa.array(cosine)], ["cid_a", "cid_b", "differing", "cosine"]).filter(keep)
 
     joined = pairs.join(a, "cid_a").join(b, "cid_b").select("cid_a", "cid_b", "board_a", "board_b")
-    return joined.mapInArrow(exact, "cid_a bigint, cid_b bigint, differing int, cosine double")
+    return map_arrow(joined, exact, "cid_a bigint, cid_b bigint, differing int, cosine double")
 
 
 def memberships(positions: DataFrame, left_splits: tuple[str, ...], right_splits: tuple[str, ...], hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.llm.tokens import VOCABULARY, encoder
+from plyforge.session import map_arrow
 
 LIMIT, OVERLAP = 2048, 128
 #: Names of boundary strengths, the weakest first.
@@ -166,4 +167,4 @@ def cut_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, w
             yield flush()
 
     long = docs.filter(F.octet_length("text") > limit).select("doc_id", "text")
-    return long.mapInArrow(run, schema)
+    return map_arrow(long, run, schema)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions.boards import label
@@ -23,7 +23,7 @@ from plyforge.session import cut
 LANGUAGES = ("en", "de", "es", "ru")
 TOPICS = ("prose", "pgn", "log", "table", "mixed")
 #: Steps in which the calibrating threshold is found, and sources up to which rates are fitted on the driver.
-BINS, MOST_SOURCES = 1024, 20_000
+BINS, MOST_SOURCES = 8192, 20_000
 
 
 def source_key(source: Column) -> Column:
@@ -95,7 +95,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     target sources' texts; where they contradict the sources, the sources
     win. A source whose texts times ``max_repeats`` fall short of its share is
     drawn to the full and reported with ``reachable`` false; nothing else takes
-    its place. Drawing depends on ``doc_id`` and ``seed`` alone.
+    its place, so the others reach their share of the budget and, of what was
+    drawn, a little more: the report has both. Drawing depends on ``doc_id`` and ``seed`` alone.
 
     Texts of null or unknown source are never drawn; a null or unknown language
     or kind counts as ``other``; empty texts have no tokens and are drawn like
@@ -132,20 +133,14 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     u = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
     # empty cells (no tokens) have no rate: their texts, all empty, are not drawn
     rated = sized.join(F.broadcast(plan), ["key", "lang", "topic"]).withColumn("z", F.when(F.col("part") > 1e-6, u / F.col("part")))
-    bins = rated.groupBy("key", F.least(F.floor(F.col("z") * (BINS // 2)), F.lit(BINS)).alias("bin")).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("sure")).alias("sure"))
-    got = {g.key: (np.zeros(BINS + 1), [0.0]) for g in goals}
-    # at most target sources * (BINS + 2) rows
-    for b in bins.collect():
-        got[b.key][1][0] += b.sure
-        if b.bin is not None:
-            got[b.key][0][b.bin] += b.n
-    edges = []
-    for i, g in enumerate(goals):
-        histogram, sure = got[g.key]
-        reach = np.concatenate([[0.0], np.cumsum(histogram[:BINS])])
-        miss = np.abs(reach + sure[0] - want[i])
-        edges.append((g.key, float(np.argmin(miss)) / (BINS // 2)))
-    edge = spark.createDataFrame(edges, "key string, edge double")
+    bins = rated.groupBy("key", F.when(F.col("z") < 2, F.floor(F.col("z") * (BINS // 2))).alias("bin")).agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") * F.col("sure")).alias("sure"))
+    goal_of = spark.createDataFrame([(g.key, float(want[i])) for i, g in enumerate(goals)], "key string, want double")
+    # at most BINS + 2 rows of a source: where to stop so that what was drawn comes nearest to what is wanted
+    whole, upto = Window.partitionBy("key"), Window.partitionBy("key").orderBy("bin")
+    steps = bins.withColumns({"sure": F.sum("sure").over(whole), "reach": F.sum(F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0)).over(upto)}).join(F.broadcast(goal_of), "key")
+    option = lambda stop, reach: F.struct(stop.cast("bigint").alias("stop"), F.abs(reach + F.col("sure") - F.col("want")).alias("miss"))
+    steps = steps.select("key", F.explode(F.array_compact(F.array(option(F.lit(0), F.lit(0)), F.when(F.col("bin").isNotNull(), option(F.col("bin") + 1, F.col("reach")))))).alias("o"))
+    edge = steps.groupBy("key").agg((F.min_by("o.stop", F.struct("o.miss", "o.stop")) / F.lit(BINS // 2)).alias("edge"))
     drawn = rated.join(F.broadcast(edge), "key").withColumn("times", F.col("sure") + F.when(F.col("z") < F.col("edge"), 1).otherwise(0))
     drawn = cut(drawn.filter("times > 0").select("doc_id", "key", "n_tokens", "times"), "drawn")
 
@@ -154,6 +149,6 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     everything = by.agg(F.sum("drawn_tokens").alias("all_tokens"))  # one row
     report = held.join(by, "key", "left").join(F.broadcast(everything), F.lit(True), "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    report = report.select("source", "target_share", "max_repeats", "tokens", "reachable", zero("texts").alias("texts"), zero("drawn_tokens").alias("drawn_tokens"), zero("most_times").alias("most_times"), F.coalesce(F.col("drawn_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share_reached"))
+    report = report.select("source", "target_share", "max_repeats", "tokens", "reachable", zero("texts").alias("texts"), zero("drawn_tokens").alias("drawn_tokens"), zero("most_times").alias("most_times"), F.coalesce(F.col("drawn_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share_reached"), (zero("drawn_tokens") / F.lit(float(budget or max(1.0, total)))).alias("share_of_budget"))
     named = spark.createDataFrame([(g.key, g.source) for g in goals], "key string, source string")
     return Mixture(drawn.join(F.broadcast(named), "key").select("doc_id", "source", "times", "n_tokens"), report, fit.error)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.llm.tokens import VOCABULARY, with_token_counts
-from plyforge.session import cut
+from plyforge.session import cut, map_arrow
 
 #: Open windows of a partition, and partitions whose leftovers one task takes up.
 WINDOWS, FAN_IN = 64, 16
@@ -77,7 +77,7 @@ def _pack(items: DataFrame, capacity: int, windows: int, level: int) -> DataFram
         if got:
             yield batch(got)
 
-    return items.select("item", "size").mapInArrow(run, schema)
+    return map_arrow(items.select("item", "size"), run, schema)
 
 
 def pack(items: DataFrame, capacity: int, windows: int = WINDOWS, per_partition: int = 50_000) -> DataFrame:

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.session import map_arrow
+
 #: Where the vocabulary files are; every function takes another path.
 VOCABULARY = os.environ.get("PLYFORGE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # How this vocabulary's texts are cut before merging.
@@ -42,4 +44,4 @@ def with_token_counts(docs: DataFrame, text: str = "text", out: str = "n_tokens"
             n = [len(encode(t)) if t else 0 for t in b.column(len(others)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(others)], pa.array(n, pa.int64())], [*others, out])
 
-    return docs.select(*others, F.col(text)).mapInArrow(count, schema)
+    return map_arrow(docs.select(*others, F.col(text)), count, schema)
