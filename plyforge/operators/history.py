@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.stats import interval_side
+from plyforge.operators.skew import HOT_ROWS, with_previous
 
 VERDICTS = ("SUPPORTED_PROGRESS", "PROGRESS_NOT_SUPPORTED", "INCONCLUSIVE")
 #: Changes below this don't count as movement.
@@ -76,24 +77,23 @@ def _evidence_state() -> Column:
     )
 
 
-def with_steps(records: DataFrame, by: list[str], value: str = "elo_value", order: tuple[str, ...] = ("recorded_at", "run_id")) -> DataFrame:
+def with_steps(records: DataFrame, by: list[str], value: str = "elo_value", order: tuple[str, ...] = ("recorded_at", "run_id", "record_id"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``step``: the value less that of the record before, in the order of the columns as text."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return records.withColumn("step", F.col(value) - F.lag(value).over(w))
+    return with_previous(records, by, [*order], {value: "__before"}, hot_rows=hot_rows).withColumn("step", F.col(value) - F.col("__before")).drop("__before")
 
 
 def direction(up: Column, down: Column, n: Column) -> Column:
     return F.when(n < 2, "INSUFFICIENT_POINTS").when(up & ~down, "NONDECREASING").when(down & ~up, "NONINCREASING").when(~up & ~down, "FLAT").otherwise("MIXED")
 
 
-def summarize_series(records: DataFrame, by: list[str]) -> DataFrame:
+def summarize_series(records: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per series: verdict counts, evidence state, direction, first and latest record, the change between them.
 
     Time is ordered as text, then by run, as records spell it. Movement needs
-    the record before, hence one window by series; everything else is one
-    aggregation over the same partitioning, without a list of records.
+    the record before (:func:`with_previous`); everything else is one
+    aggregation, without a list of records.
     """
-    r = with_steps(records, by)
+    r = with_steps(records, by, hot_rows=hot_rows)
     at = F.struct("recorded_at", "run_id", "record_id")
     point = F.struct("run_id", "recorded_at", "elo_value", "elo_ci_low", "elo_ci_high", "verdict")
     s = r.groupBy(*by).agg(
@@ -124,18 +124,17 @@ def compare_arms(records: DataFrame) -> DataFrame:
     return arms.join(per, "experiment_id").withColumn("comparison", F.when(F.col("arms") < 2, "INSUFFICIENT_ARMS").otherwise("DESCRIPTIVE_ONLY"))
 
 
-def bad_transitions(events: DataFrame, key: list[str], state: str, order: list[str], first: list[str], allowed: dict[str, list[str]]) -> DataFrame:
+def bad_transitions(events: DataFrame, key: list[str], state: str, order: list[str], first: list[str], allowed: dict[str, list[str]], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Events whose state can't begin a history or can't follow the state before; adds ``previous``.
 
     A null state breaks the rule wherever it stands.
     """
-    w = Window.partitionBy(*key).orderBy(*order)
-    e = events.withColumns({"previous": F.lag(state).over(w), "__n": F.row_number().over(w)})
+    e = with_previous(events, key, order, {state: "previous"}, "__first", hot_rows)
     may = F.lit(False)
     for before, after in allowed.items():
         may = may | ((F.col("previous") == before) & F.col(state).isin(*after))
-    fine = F.when(F.col("__n") == 1, F.col(state).isin(*first)).otherwise(may)
-    return e.filter(~F.coalesce(fine, F.lit(False))).drop("__n")
+    fine = F.when(F.col("__first"), F.col(state).isin(*first)).otherwise(may)
+    return e.filter(~F.coalesce(fine, F.lit(False))).drop("__first")
 
 
 def sequence_gaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
@@ -146,7 +145,6 @@ def sequence_gaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
     return g.select(*by, n.alias("rows_seen"), (n - k).alias("repeats"), (hi - k).alias("missing"), F.coalesce(sequential, F.lit(False)).alias("sequential"))
 
 
-def out_of_order(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+def out_of_order(df: DataFrame, by: list[str], order: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows whose value is less than that of the row before them."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("before", F.lag(value).over(w)).filter(F.col(value) < F.col("before"))
+    return with_previous(df, by, order, {value: "before"}, hot_rows=hot_rows).filter(F.col(value) < F.col("before"))

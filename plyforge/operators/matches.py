@@ -96,3 +96,11 @@ def with_verdict(df: DataFrame, threshold: float | None = None) -> DataFrame:
     """Adds ``flagged`` (interval below the threshold; never without one) and ``verdict``."""
     flagged = F.lit(False) if threshold is None else F.coalesce(F.col("elo_ci_high") < threshold, F.lit(False))
     return df.withColumn("flagged", flagged).withColumn("verdict", stats.verdict(F.col("state"), F.col("flagged")))
+
+
+def result_documents(games: DataFrame, by: list[str]) -> DataFrame:
+    """Per run one JSON text of its paired games in order; a run's games are bounded by its match."""
+    kept, _ = raw_games(games)
+    game = F.struct("game_index", "white_role", "black_role", "result", "opening_ref", "termination")
+    docs = kept.groupBy(*by).agg(F.array_sort(F.collect_list(game)).alias("games"))
+    return docs.select(*by, F.to_json(F.struct(*by, "games")).alias("document"))

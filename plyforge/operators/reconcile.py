@@ -64,8 +64,7 @@ def transport_problems(listed: DataFrame, present: DataFrame, required: DataFram
     needed = tag(required.join(listed, "path", "left_anti"), "required_but_unlisted")
     structure = missing.unionByName(extra).unionByName(needed)
     differs = listed.alias("l").join(present.alias("p"), "path").filter(~F.col("l.sha256").eqNullSafe(F.col("p.sha256"))).select(F.lit("sha256_mismatch").alias("problem"), "path")
-    broken = structure.limit(1).select(F.lit(1).alias("b"))
-    return structure.unionByName(differs.join(F.broadcast(broken), F.lit(True), "left_anti"))
+    return structure if structure.limit(1).count() else differs
 
 
 def field_mismatches(expected: DataFrame, actual: DataFrame, key: str, bindings: Mapping[str, str]) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Group minima attached to rows, with hot groups kept off single tasks."""
+"""Group minima and predecessors attached to rows, with hot groups kept off single tasks."""
 
 from __future__ import annotations
 
@@ -54,3 +54,46 @@ def with_group_min(rows: DataFrame, keys: list[str], value: str, out: str, count
     add = [F.col(f"b.{out}")] + ([F.col("b.__n").alias(count)] if count else [])
     joined = many.alias("a").join(near(minima).alias("b"), same, "inner").select("a.*", *add)
     return shuffled(rest).unionByName(joined).drop(h, own)
+
+
+def with_previous(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str], first: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Add values of the row before, within equal ``by`` and in the order of ``order``.
+
+    ``columns`` maps a column to the name its previous value gets; ``first``
+    names a flag of rows without predecessor. Nulls in ``by`` are a group like
+    any other; rows that tie in ``order`` follow each other in any order, so
+    callers give a total one.
+
+    Groups of up to ``hot_rows`` rows take one window. Larger ones would put a
+    sorted run of any length into one task; their rows are spread by ranges of
+    (``by``, ``order``) instead, predecessors are taken within each range, and
+    the first row of a range gets its own from the last row of the range before
+    (one row for each range).
+    """
+    h, seen = "__h", "__seen"
+    flag = {first: F.col(seen).isNull()} if first else {}
+    keyed = rows.withColumn(h, F.xxhash64(*by))
+    hot = cut(keyed.groupBy(h).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows).select(h), "hot")
+    hot_n = hot.count()
+
+    def lagged(df: DataFrame, w) -> DataFrame:
+        return df.withColumns({new: F.lag(old).over(w) for old, new in columns.items()} | {seen: F.lag(F.lit(1)).over(w)})
+
+    def plain(df: DataFrame) -> DataFrame:
+        return lagged(df, Window.partitionBy(*by).orderBy(*order))
+
+    if not hot_n:
+        return plain(keyed).withColumns(flag).drop(h, seen)
+    near = F.broadcast if hot_n <= BROADCAST_KEYS else (lambda x: x)
+    rest = plain(keyed.join(near(hot), h, "left_anti"))
+    many = keyed.join(near(hot), h, "left_semi")
+    spread = cut(many.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()), "ranges")
+    inside = lagged(spread, Window.partitionBy("__part", *by).orderBy(*order))
+    ends = spread.groupBy("__part", *by).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__last"))
+    # groups and ranges follow the same order, so the range before is the nearest lower one that holds the group
+    before = ends.withColumns({"__last": F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")), "__any": F.lag(F.lit(1)).over(Window.partitionBy(*by).orderBy("__part"))})
+    same = [F.col("i.__part") == F.col("e.__part"), *[F.col(f"i.{b}").eqNullSafe(F.col(f"e.{b}")) for b in by]]
+    joined = inside.alias("i").join(F.broadcast(before).alias("e") if hot_n <= BROADCAST_KEYS else before.alias("e"), same)
+    start = F.col(f"i.{seen}").isNull()
+    filled = joined.select(*[F.col(f"i.{c}") for c in keyed.columns], *[F.when(start, F.col(f"e.__last.{old}")).otherwise(F.col(f"i.{new}")).alias(new) for old, new in columns.items()], F.coalesce(F.col(f"i.{seen}"), F.col("e.__any")).alias(seen))
+    return rest.unionByName(filled).withColumns(flag).drop(h, seen)

@@ -117,12 +117,13 @@ def source_histogram(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""SELECT {sql_label('source')} AS source, sha256('{{"files":[' || string_agg('{{"path":"' || doc_id || '","sha256":"' || sha256(text) || '","size_bytes":' || octet_length(encode(text)) || '}}', ',' ORDER BY CAST(doc_id AS VARCHAR) COLLATE "C") || '],"version":"v1"}}' || chr(10)) AS identity
-FROM documents GROUP BY 1""".replace(' COLLATE "C"', ""))
+@query("""SELECT coalesce(role_hint, '') AS role_hint, sha256('{"files":[' || string_agg('{"path":"' || path || '","sha256":"' || lower(trim(sha256)) || '","size_bytes":' || network_id || '}', ',' ORDER BY path) || '],"version":"v1"}' || chr(10)) AS identity
+FROM networks WHERE path IS NOT NULL AND sha256 IS NOT NULL GROUP BY 1""")
 def content_identities(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "documents")
-    files = F.collect_list(F.struct(F.col("doc_id").cast("string").alias("path"), sha256_text(F.col("text")).alias("sha256"), F.octet_length("text").cast("bigint").alias("size_bytes")))
-    return t.groupBy(label(F.col("source")).alias("source")).agg(content_identity(files).alias("identity"))
+    """One identity for each role's set of network files."""
+    n = table(spark, d, "networks").filter("path is not null and sha256 is not null")
+    files = F.collect_list(F.struct("path", label(F.col("sha256")).alias("sha256"), F.col("network_id").alias("size_bytes")))
+    return n.groupBy(F.coalesce("role_hint", F.lit("")).alias("role_hint")).agg(content_identity(files).alias("identity"))
 
 
 @query(r"""SELECT network_id, coalesce(regexp_full_match(sha256, '[0-9a-f]{64}'), false) AS sha_ok, coalesce(regexp_full_match(name, '[A-Za-z0-9_-]+'), false) AS name_ok,

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from plyforge.operators.skew import with_group_min
+from plyforge.operators.skew import with_group_min, with_previous
 
 
 @pytest.mark.parametrize("hot_rows", [10, 10_000])
@@ -26,3 +26,18 @@ def test_extra_columns_pass_through(spark):
     df = spark.range(5).select("id", F.lit("a").alias("k"), F.lit(1).alias("value"))
     out = with_group_min(df, ["k"], "id", "m", hot_rows=2)
     assert set(out.columns) == {"id", "k", "value", "m"} and out.count() == 5
+
+
+@pytest.mark.parametrize("hot_rows", [5, 10_000])
+def test_predecessors(spark, hot_rows):
+    import random
+
+    rng = random.Random(0)
+    rows = [(rng.choice(["hot"] * 20 + ["a", "b", None]), i // 2, i, rng.choice([i, None])) for i in range(900)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "g string, t int, i int, v int").repartition(5)
+    got = {r.i: (r.before, r.first) for r in with_previous(df, ["g"], ["t", "i"], {"v": "before"}, "first", hot_rows).collect()}
+    last = {}
+    for g, t, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+        assert got[i] == (last.get(g), g not in last)
+        last[g] = v
