@@ -100,9 +100,8 @@ def assign_splits(families: DataFrame, shares: dict[str, float], seed: str = "fa
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must sum to 1")
     sizes = families.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
-    total = families.agg(F.count(F.lit(1)).alias("rows"))
-    sizes = sizes.join(F.broadcast(total), F.lit(True))  # one row
-    big = cut(sizes.filter(F.col("n") > large * F.col("rows")).select("family_id", (F.col("n") / F.col("rows")).alias("held")), "big")
+    rows = max(1, families.count())
+    big = cut(sizes.filter(F.col("n") > large * rows).select("family_id", (F.col("n") / rows).alias("held")), "big")
     held = big.agg(F.coalesce(F.sum("held"), F.lit(0.0))).first()[0]  # at most 1/large rows
     main = max(shares, key=lambda s: shares[s])
     u: Column = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("family_id").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))

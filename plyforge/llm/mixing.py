@@ -146,8 +146,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
 
     held = spark.createDataFrame([(g.key, g.source, float(share[i]), int(cap[i]), int(tokens[i].sum()), bool(tokens[i].sum() * cap[i] >= share[i] * total)) for i, g in enumerate(goals)], "key string, source string, target_share double, max_repeats int, tokens bigint, reachable boolean")
     by = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.col("n_tokens") * F.col("times")).alias("drawn_tokens"), F.max("times").alias("most_times"))
-    everything = by.agg(F.sum("drawn_tokens").alias("all_tokens"))  # one row
-    report = held.join(by, "key", "left").join(F.broadcast(everything), F.lit(True), "left")
+    # at most MOST_SOURCES rows
+    report = held.join(by, "key", "left").withColumn("all_tokens", F.sum("drawn_tokens").over(Window.partitionBy(F.lit(0))))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     report = report.select("source", "target_share", "max_repeats", "tokens", "reachable", zero("texts").alias("texts"), zero("drawn_tokens").alias("drawn_tokens"), zero("most_times").alias("most_times"), F.coalesce(F.col("drawn_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("share_reached"), (zero("drawn_tokens") / F.lit(float(budget or max(1.0, total)))).alias("share_of_budget"))
     named = spark.createDataFrame([(g.key, g.source) for g in goals], "key string, source string")

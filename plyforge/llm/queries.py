@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyforge.functions.boards import label, sha_label
 from plyforge.llm import copies, crosssplit, cutting, families, mixing, packing, ranking, sample
+from plyforge.llm.sql import oracle_sql  # noqa: F401 - read beside queries()
 from plyforge.session import cut, table
 
 #: Shares of the new splits, and of the reproducible sample.
@@ -16,12 +17,24 @@ SPLITS = {"train": 0.9, "validation": 0.05, "test": 0.05}
 SAMPLE = 0.05
 
 
+def _sample_key() -> Column:
+    """The stated hash of the text, else the text's own; a row without either is a key of its own."""
+    return F.coalesce(sha_label(F.col("fen_sha256")), F.sha2(F.col("fen"), 256), F.concat(F.lit("row "), F.col("position_id").cast("string")))
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
-    key = F.coalesce(sha_label(F.col("fen_sha256")), F.sha2(F.col("fen"), 256), F.concat(F.lit("row "), F.col("position_id").cast("string")))
-    chosen = sample.nested_sample(table(spark, d, "positions"), key, label(F.col("split")), F.col("intake_no"), SAMPLE)
+    chosen = sample.nested_sample(table(spark, d, "positions"), _sample_key(), label(F.col("split")), F.col("intake_no"), SAMPLE)
     return chosen.select("position_id", label(F.col("split")).alias("split"), "intake_no", "sample_bucket", "sample_place")
 
 
+def p1_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Of every split: how many rows and how many keys are in the sample."""
+    positions = table(spark, d, "positions")
+    counts = lambda df, n: df.groupBy(F.coalesce(label(F.col("split")), F.lit("")).alias("split")).agg(F.count(F.lit(1)).alias(f"{n}rows"), F.countDistinct(_sample_key()).alias(f"{n}keys"))
+    chosen = sample.nested_sample(positions, _sample_key(), label(F.col("split")), F.col("intake_no"), SAMPLE)
+    return counts(positions, "").join(counts(chosen, "sample_"), "split", "left").withColumn("share", F.col("sample_keys") / F.col("keys"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_pairs(*crosssplit.cross_split(table(spark, d, "positions")))
 
@@ -91,8 +104,4 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_sample, p2_found, p2_report, p3_found, p3_records, p5_found, p5_strengths, p6_found, p6_assignment, p7_found, p7_contents, p7_fill, p8_found, p8_shares, p8_drawn, p9_found, p9_pieces)}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f.__name__: f for f in (p1_sample, p1_shares, p2_found, p2_report, p3_found, p3_records, p5_found, p5_strengths, p6_found, p6_assignment, p7_found, p7_contents, p7_fill, p8_found, p8_shares, p8_drawn, p9_found, p9_pieces)}

@@ -76,6 +76,6 @@ def nested_sample(df: DataFrame, key: Column, split: Column, intake: Column, sha
     ship(df.sparkSession)
     lengths = counts.groupBy("split").applyInPandas(lambda pdf: list_lengths(pdf, share, buckets), "intake bigint, length bigint")
     base = int(np.ceil(share * buckets))
-    longest = lengths.agg(F.greatest(F.lit(base), F.coalesce(F.max("length"), F.lit(0))).alias("__length"))
-    # one row, by construction
-    return marked.join(F.broadcast(longest), F.col("sample_place") < F.col("__length")).drop("__length")
+    # one number decides; with it the sample is a filter of the scan
+    longest = max(base, lengths.agg(F.max("length")).first()[0] or 0)
+    return marked.filter(F.col("sample_place") < longest)
