@@ -34,9 +34,9 @@ def with_copies(df: DataFrame, id_col: str = "position_id", fen: str = "fen", ha
 
 
 def records(df: DataFrame, id_col: str = "position_id", **kw) -> DataFrame:
-    """One row per record: (``keep_id``, ``copies``)."""
+    """One row per record: (``keep_id``, ``copies``). A row repeated under its own id is a copy without a link."""
     w = with_copies(df, id_col, **kw)
-    return w.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).select("keep_id", "copies")
+    return w.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy("keep_id").agg(F.max("copies").alias("copies"))
 
 
 def copy_links(df: DataFrame, id_col: str = "position_id", **kw) -> DataFrame:

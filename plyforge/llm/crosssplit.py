@@ -222,8 +222,8 @@ def memberships(positions: DataFrame, left_splits: tuple[str, ...], right_splits
 
 
 def classes_of(members: DataFrame) -> DataFrame:
-    flags = members.groupBy("cid").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right"))
-    return members.filter("position_id = cid").select("cid", "board", "side").join(flags, "cid")
+    """One row for each distinct board and side, with the sides of the split it stands on."""
+    return members.groupBy("cid", "board", "side").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right"))
 
 
 def cross_split(positions: DataFrame, left_splits: tuple[str, ...] = ("val", "challenge", "fresh"), right_splits: tuple[str, ...] = ("train",), differ: int = 2, hot_rows: int = HOT_ROWS, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +239,7 @@ def cross_split(positions: DataFrame, left_splits: tuple[str, ...] = ("val", "ch
 
 
 def overlap_pairs(members: DataFrame, near: DataFrame) -> DataFrame:
-    """(``position_id_a`` < ``position_id_b``): all pairs of rows behind the pairs of classes."""
+    """(``position_id_a`` < ``position_id_b``): all pairs of rows behind the pairs of classes. A row repeated under its id repeats its pairs."""
     a = members.filter("left").select(F.col("cid").alias("cid_a"), F.col("position_id").alias("x"))
     b = members.filter("not left").select(F.col("cid").alias("cid_b"), F.col("position_id").alias("y"))
     rows = near.select("cid_a", "cid_b").join(a, "cid_a").join(b, "cid_b")
