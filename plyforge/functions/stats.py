@@ -13,6 +13,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.functions.vocabulary import INTERVAL_SIDES, TEST_STATES, VERDICTS
+
 #: What an empty cell counts as, and the furthest a score may be from 0 and 1.
 EMPTY_CELL, CLIP = 0.001, 0.001
 #: Halvings of the bracket around the constrained estimate's multiplier.
@@ -104,12 +106,14 @@ def with_gsprt_llr(df: DataFrame, cells: list[str], elo0: float, elo1: float) ->
 
 def gsprt_state(llr: Column, games: Column, alpha: float, beta: float, max_games: int) -> Column:
     low, high = wald_bounds(alpha, beta)
-    return F.when(llr < low, "H0_ACCEPTED").when(llr > high, "H1_ACCEPTED").when(games >= max_games, "CAP_REACHED").when(llr.isNotNull(), "CONTINUE")
+    h0, h1, cap, going = TEST_STATES
+    return F.when(llr < low, h0).when(llr > high, h1).when(games >= max_games, cap).when(llr.isNotNull(), going)
 
 
 def verdict(state: Column, flagged: Column) -> Column:
     """Null while the test goes on, and where an accepted gain contradicts a flagged regression."""
-    return F.when((state == "H1_ACCEPTED") & ~flagged, "SUPPORTED_PROGRESS").when((state == "H0_ACCEPTED") | ((state == "CAP_REACHED") & flagged), "PROGRESS_NOT_SUPPORTED").when(state == "CAP_REACHED", "INCONCLUSIVE")
+    (h0, h1, cap, _), (gain, none, open_) = TEST_STATES, VERDICTS
+    return F.when((state == h1) & ~flagged, gain).when((state == h0) | ((state == cap) & flagged), none).when(state == cap, open_)
 
 
 def wdl_problem(w: Column, d: Column, l: Column, cells: list[Column]) -> Column:  # noqa: E741
@@ -129,4 +133,5 @@ def collision_probability(pairs: Column, distinct: Column) -> Column:
 
 
 def interval_side(low: Column, high: Column) -> Column:
-    return F.when(low > 0, "ENTIRELY_ABOVE_ZERO").when(high < 0, "ENTIRELY_BELOW_ZERO").when(low.isNotNull() & high.isNotNull(), "CROSSES_ZERO")
+    above, below, across = INTERVAL_SIDES
+    return F.when(low > 0, above).when(high < 0, below).when(low.isNotNull() & high.isNotNull(), across)

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.stats import interval_side
+from plyforge.functions.vocabulary import DIRECTIONS, VERDICTS
 from plyforge.operators.skew import HOT_ROWS, with_previous
 
-VERDICTS = ("SUPPORTED_PROGRESS", "PROGRESS_NOT_SUPPORTED", "INCONCLUSIVE")
 #: Changes below this don't count as movement.
 TOLERANCE = 1e-12
 #: What the ledger line holds of a result.
@@ -83,7 +83,8 @@ def with_steps(records: DataFrame, by: list[str], value: str = "elo_value", orde
 
 
 def direction(up: Column, down: Column, n: Column) -> Column:
-    return F.when(n < 2, "INSUFFICIENT_POINTS").when(up & ~down, "NONDECREASING").when(down & ~up, "NONINCREASING").when(~up & ~down, "FLAT").otherwise("MIXED")
+    few, rising, falling, flat, mixed = DIRECTIONS
+    return F.when(n < 2, few).when(up & ~down, rising).when(down & ~up, falling).when(~up & ~down, flat).otherwise(mixed)
 
 
 def summarize_series(records: DataFrame, by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from plyforge.functions import stats
 from plyforge.functions.boards import fen_key
+from plyforge.functions.vocabulary import EXCLUSION_CODES, RESULTS
 
-RESULTS = ("1-0", "0-1", "1/2-1/2")
 CELLS = ("ll", "ld", "dd", "wd", "ww")
 
 
@@ -24,13 +24,9 @@ def candidate_outcome(role: Column, result: Column) -> Column:
 
 def exclusion_code(white: Column, black: Column, result: Column, role: Column, opening: Column) -> Column:
     """The first reason why a game can't be paired; null for a good one."""
-    return (
-        F.when(white.isNull() | black.isNull(), "missing_white_or_black_header")
-        .when(result.isNull(), "missing_result_header")
-        .when(~result.isin(*RESULTS), "unresolved_or_invalid_result")
-        .when(role.isNull(), "unrecognized_engine_labels")
-        .when(opening.isNull(), "missing_or_invalid_fen_for_opening_ref")
-    )
+    no_player, no_result, odd_result, odd_labels, no_opening = EXCLUSION_CODES
+    found = F.when(white.isNull() | black.isNull(), no_player).when(result.isNull(), no_result).when(~result.isin(*RESULTS), odd_result)
+    return found.when(role.isNull(), odd_labels).when(opening.isNull(), no_opening)
 
 
 def classify_games(games: DataFrame, candidate: Column, opponent: Column) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.stats import wdl_expectation
+from plyforge.functions.vocabulary import POSITION_CLASSES
 
 POSITION = ["run_id", "position_id"]
 #: The metrics that a run may be compared by.
@@ -83,13 +84,13 @@ def position_metrics(jobs: DataFrame, results: DataFrame, statics: DataFrame) ->
     )
     df = df.withColumn("static_disagreement", F.abs(F.col("candidate_static_preference") - F.col("official_static_preference")))
     df = df.withColumns({k: F.lit(None).cast("double") for k in RESERVED})
-    df = df.withColumn("primary_class", F.when(~both, "EVIDENCE_INCOMPLETE").when(same, "AGREEMENT").otherwise("MOVE_DISAGREEMENT"))
+    df = df.withColumn("primary_class", F.when(~both, POSITION_CLASSES[0]).when(same, POSITION_CLASSES[1]).otherwise(POSITION_CLASSES[2]))
     return df.select(*POSITION, "candidate_bestmove", "teacher_bestmove", *METRICS, *RESERVED, "primary_class")
 
 
 def position_classes(metrics: DataFrame) -> DataFrame:
     """(run, position, ``class_name``, ``class_score``): the primary class, and whether the teacher's move lies outside the candidate's list."""
-    outside = F.when((F.col("primary_class") == "MOVE_DISAGREEMENT") & F.col("rank_error").isNull(), "TEACHER_OUTSIDE_CANDIDATE_TOPK")
+    outside = F.when((F.col("primary_class") == POSITION_CLASSES[2]) & F.col("rank_error").isNull(), POSITION_CLASSES[3])
     return metrics.select(*POSITION, F.explode(F.array_compact(F.array("primary_class", outside))).alias("class_name"), F.lit(1.0).alias("class_score"))
 
 

@@ -11,17 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.boards import strip, words
+from plyforge.functions.vocabulary import EXCLUSION_CODES, RESULTS, UNRESOLVED
 
-# Columns of a parsed-game line, results and exclusion codes.
+# The columns of a parsed-game line.
 COLUMNS = ("game_index", "white", "black", "result", "termination", "fen", "opening_ref", "candidate_role", "candidate_outcome", "exclusion_reason")
-RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
-EXCLUSION_CODES = (
-    "missing_white_or_black_header",
-    "missing_result_header",
-    "unresolved_or_invalid_result",
-    "unrecognized_engine_labels",
-    "missing_or_invalid_fen_for_opening_ref",
-)
 
 #: A column: quoted from its first character on, with doubled quotes inside, or free of quotes and commas.
 _COLUMN = r'(?:"[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
@@ -57,7 +50,7 @@ def _value_checks(c: dict[str, Column]) -> Column:
     code = F.trim(F.substring_index(c["exclusion_reason"], ":", 1))
     return (
         F.coalesce(c["game_index"].rlike(r"\A0*[1-9][0-9]*\z") & c["game_index"].try_cast("bigint").isNotNull(), F.lit(False))
-        & (c["result"].isNull() | c["result"].isin(*RESULTS))
+        & (c["result"].isNull() | c["result"].isin(*RESULTS, UNRESOLVED))
         & F.coalesce(fen, F.lit(False))
         & (c["exclusion_reason"].isNull() | code.isin(*EXCLUSION_CODES))
     )

@@ -110,11 +110,17 @@ def gsprt_by_run(spark: SparkSession, d: str) -> DataFrame:
     return g.select("run_id", "games_played", F.round("llr", 6).alias("llr"), "state")
 
 
-@query()
+_HALF = f"({_ELO.format('score + err')} - {_ELO.format('score - err')}) / 2"
+_VERDICT = f"""SELECT l.run_id, pairs, elo, elo_ci_low, elo_ci_high, l.llr, state, elo_ci_high < -20 AS flagged FROM (SELECT run_id, llr, {_STATE} AS state FROM ({_LLR})) l
+JOIN (SELECT run_id, pairs, {_ELO.format('score')} AS elo, {_ELO.format('score')} - {_HALF} AS elo_ci_low, {_ELO.format('score')} + {_HALF} AS elo_ci_high FROM ({_ERROR})) e ON l.run_id = e.run_id"""
+
+
+@query(f"""SELECT run_id, pairs, round(elo, 5) AS elo, round(elo_ci_low, 5) AS elo_ci_low, round(elo_ci_high, 5) AS elo_ci_high, round(llr, 6) AS llr, state, flagged,
+  CASE WHEN state = 'H1_ACCEPTED' AND NOT flagged THEN 'SUPPORTED_PROGRESS' WHEN state = 'H0_ACCEPTED' OR (state = 'CAP_REACHED' AND flagged) THEN 'PROGRESS_NOT_SUPPORTED' WHEN state = 'CAP_REACHED' THEN 'INCONCLUSIVE' END AS verdict FROM ({_VERDICT})""")
 def verdict_by_run(spark: SparkSession, d: str) -> DataFrame:
-    """Elo, test state and verdict of every run; null verdicts go on."""
+    """Elo, test state and verdict of every run; where the test goes on there is no verdict."""
     g = matches.with_verdict(matches.with_gsprt(matches.with_elo(_cells(spark, d).filter("pairs > 0")), 0.0, 5.0, max_games=40), -20.0)
-    return g.select("run_id", "pairs", "broken_pairs", "elo", "elo_ci_low", "elo_ci_high", "llr", "state", "flagged", "verdict")
+    return g.select("run_id", "pairs", *[F.round(c, 5).alias(c) for c in ("elo", "elo_ci_low", "elo_ci_high")], F.round("llr", 6).alias("llr"), "state", "flagged", "verdict")
 
 
 @query(f"""SELECT t.run_id, CASE WHEN wins + draws + losses <> 2 * (ll + ld + dd + wd + ww) THEN 'games' WHEN wins - losses <> 2 * ww + wd - ld - 2 * ll THEN 'net'

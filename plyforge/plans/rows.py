@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plyforge.operators.strict_rows import COLUMNS, EXCLUSION_CODES, RESULTS, bad_lines, load_lines
+from plyforge.functions.vocabulary import EXCLUSION_CODES, RESULTS, UNRESOLVED
+from plyforge.operators.strict_rows import COLUMNS, bad_lines, load_lines
 from plyforge.plans.queries import query
 from plyforge.session import table
 
@@ -18,7 +19,7 @@ _BOARD = "string_split(w[1], '/')"
 _SQUARES = "list_sum(list_transform(regexp_extract_all(r, '.'), lambda x: CASE WHEN x BETWEEN '1' AND '8' THEN CAST(x AS INTEGER) ELSE 1 END))"
 _FEN = f"""(v[6] IS NULL OR (len(w) >= 4 AND w[2] IN ('w', 'b') AND len({_BOARD}) = 8 AND len(list_filter({_BOARD}, lambda r: regexp_full_match(r, '[1-8KQRBNPkqrbnp]+') AND {_SQUARES} = 8)) = 8))"""
 _LIST = lambda names: ", ".join(f"'{x}'" for x in names)
-_GOOD = f"""(v[1] IS NOT NULL AND regexp_full_match(v[1], '0*[1-9][0-9]*') AND (v[4] IS NULL OR v[4] IN ({_LIST(RESULTS)})) AND {_FEN} AND (v[10] IS NULL OR trim(split_part(v[10], ':', 1)) IN ({_LIST(EXCLUSION_CODES)})))"""
+_GOOD = f"""(v[1] IS NOT NULL AND regexp_full_match(v[1], '0*[1-9][0-9]*') AND (v[4] IS NULL OR v[4] IN ({_LIST((*RESULTS, UNRESOLVED))})) AND {_FEN} AND (v[10] IS NULL OR trim(split_part(v[10], ':', 1)) IN ({_LIST(EXCLUSION_CODES)})))"""
 _LINES = f"SELECT *, list_filter(regexp_split_to_array(coalesce(v[6], ''), '{_STRIP}'), lambda x: x <> '') AS w FROM ({_READ})"
 
 

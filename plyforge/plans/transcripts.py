@@ -50,15 +50,21 @@ def search_infos(spark: SparkSession, d: str) -> DataFrame:
 _TEXT = lambda x: f"coalesce({x}, '')"
 
 
-@query(f"""SELECT doc_id, ln, {_after('score')} AS sf_score_type, {_after('score', 2)} AS sf_score, {_BOUND} AS sf_bound, {', '.join(f'{_TEXT(_after(token))} AS sf_{name}' for name, token in uci.NUMBERS.items())},
+_RESCORE = f"""SELECT doc_id, ln, {_after('score')} AS sf_score_type, {_after('score', 2)} AS sf_score, {_BOUND} AS sf_bound, {', '.join(f'{_TEXT(_after(token))} AS sf_{name}' for name, token in uci.NUMBERS.items())},
   {', '.join(f"coalesce(CASE WHEN {_after('wdl', 3)} IS NOT NULL THEN {_after('wdl', k + 1)} END, '') AS sf_wdl_{x}" for k, x in enumerate('wdl'))}, coalesce(CASE WHEN list_contains(t, 'pv') THEN array_to_string({_PV}, ' ') END, '') AS sf_pv
 FROM ({_TOKENS}) WHERE line LIKE 'info %' AND line NOT LIKE 'info string%' AND {_after('score')} IN ('cp', 'mate') AND {_after('score', 2)} IS NOT NULL
-  AND {' AND '.join(f"(NOT list_contains(t, '{token}') OR {_after(token)} IS NOT NULL)" for token in uci.NUMBERS.values())}""")
+  AND {' AND '.join(f"(NOT list_contains(t, '{token}') OR {_after(token)} IS NOT NULL)" for token in uci.NUMBERS.values())}"""
+
+
+@query(_RESCORE)
 def rescore_infos(spark: SparkSession, d: str) -> DataFrame:
     return _log_lines(spark, d).select("doc_id", "ln", uci.rescore_info(F.col("line")).alias("i")).filter("i is not null").select("doc_id", "ln", "i.*")
 
 
-@query(f"""SELECT doc_id, ln, CASE WHEN t[2] NOT IN ('(none)', '0000') THEN t[2] END AS bestmove, CASE WHEN t[3] = 'ponder' AND t[4] NOT IN ('(none)', '0000') THEN t[4] END AS ponder FROM ({_TOKENS}) WHERE t[1] = 'bestmove'""")
+_ENDS = f"""SELECT doc_id, ln, CASE WHEN t[2] NOT IN ('(none)', '0000') THEN t[2] END AS bestmove, CASE WHEN t[3] = 'ponder' AND t[4] NOT IN ('(none)', '0000') THEN t[4] END AS ponder FROM ({_TOKENS}) WHERE t[1] = 'bestmove'"""
+
+
+@query(_ENDS)
 def best_moves(spark: SparkSession, d: str) -> DataFrame:
     return _log_lines(spark, d).select("doc_id", "ln", uci.best_move(F.col("line")).alias("b")).filter("b is not null").select("doc_id", "ln", "b.*")
 
@@ -69,7 +75,9 @@ def last_exact_infos(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.last_exact(_infos(spark, d), ["doc_id", "rank"]).select("doc_id", "rank", "ln", "score_value", "move")
 
 
-@query()
+@query(f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN sf_bound = 'exact' THEN 0 ELSE 1 END, ln DESC) AS k FROM ({_RESCORE})), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln DESC) AS k FROM ({_ENDS}))
+SELECT coalesce(i.doc_id, e.doc_id) AS doc_id, i.* EXCLUDE (doc_id, ln, k, pv), coalesce(pv[1], CASE WHEN coalesce(len(pv), 0) = 0 THEN e.bestmove END, '') AS sf_bestmove, coalesce(pv[2], CASE WHEN coalesce(len(pv), 0) = 0 THEN e.ponder END, '') AS sf_ponder
+FROM (SELECT *, list_filter(string_split(sf_pv, ' '), lambda m: m <> '') AS pv FROM i WHERE k = 1) i FULL JOIN (SELECT * FROM e WHERE k = 1) e ON i.doc_id = e.doc_id""")
 def picked_results(spark: SparkSession, d: str) -> DataFrame:
     """What a rescoring of each transcript would report."""
     lines = _log_lines(spark, d)

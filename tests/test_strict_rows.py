@@ -2,7 +2,8 @@ import csv
 import io
 import random
 
-from plyforge.operators.strict_rows import COLUMNS, EXCLUSION_CODES, bad_lines, load_lines
+from plyforge.functions.vocabulary import EXCLUSION_CODES
+from plyforge.operators.strict_rows import COLUMNS, bad_lines, load_lines
 
 FEN = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
 
