@@ -34,6 +34,10 @@ _SIDES = f"SELECT position_id, board, side, {label('split')} AS split FROM {pars
 P2_FOUND = f"""WITH r AS ({_SIDES}) SELECT least(a.position_id, b.position_id) AS position_id_a, greatest(a.position_id, b.position_id) AS position_id_b
 FROM r a JOIN r b ON a.side = b.side AND a.split IN ('val', 'challenge', 'fresh') AND b.split = 'train' WHERE hamming(a.board, b.board) <= 2"""
 
+P2_REPORT = f"""WITH r AS (SELECT position_id, board, side, {label('split')} AS split, coalesce({label('source')}, '') AS source FROM {parsed('positions', 'position_id, split, source')})
+SELECT a.split, a.source, count(DISTINCT a.position_id) AS rows_hit, count(*) AS pairs, count(*) FILTER (WHERE a.board = b.board) AS exact_pairs
+FROM r a JOIN r b ON a.side = b.side AND a.split IN ('val', 'challenge', 'fresh') AND b.split = 'train' WHERE hamming(a.board, b.board) <= 2 GROUP BY 1, 2"""
+
 _KEY = "concat_ws(' ', board, side, rights, ep, coalesce(CAST(h AS VARCHAR), '?'), coalesce(CAST(f AS VARCHAR), '?'))"
 _RECORDS = f"SELECT position_id, {_KEY} AS k FROM {parsed('positions', 'position_id', 'halfmove_clock', 'fullmove_number')}"
 P3_FOUND = f"SELECT keep_id, position_id AS copy_id FROM (SELECT position_id, min(position_id) OVER (PARTITION BY k) AS keep_id FROM ({_RECORDS})) WHERE position_id > keep_id"
@@ -61,7 +65,9 @@ first AS (SELECT coalesce(split, '') AS split, key, sample_place, min(coalesce(i
 o AS (SELECT first.split, i, sample_place, row_number() OVER (PARTITION BY first.split, i ORDER BY sample_place) AS rn, count(*) OVER (PARTITION BY first.split, i) AS total FROM first JOIN moments ON first.split = moments.split AND intake <= i),
 l AS (SELECT greatest(205, coalesce(max(sample_place) FILTER (WHERE rn = greatest(0, floor(0.05 * total - 3 * sqrt(0.05 * total)))), 0) + 1) AS longest FROM o)
 SELECT position_id, split, intake_no, sample_bucket, sample_place FROM m, l WHERE sample_place < longest"""
+P1_SHARES = P1_SAMPLE.rsplit("SELECT position_id", 1)[0] + """SELECT coalesce(split, '') AS split, count(*) AS rows, count(DISTINCT key) AS keys, nullif(count(*) FILTER (WHERE sample_place < longest), 0) AS sample_rows,
+  nullif(count(DISTINCT key) FILTER (WHERE sample_place < longest), 0) AS sample_keys, nullif(count(DISTINCT key) FILTER (WHERE sample_place < longest), 0) / count(DISTINCT key)::DOUBLE AS share FROM m, l GROUP BY 1"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_sample": P1_SAMPLE, "p6_assignment": P6_ASSIGNMENT, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p6_found": P6_FOUND}
+    return {"p1_sample": P1_SAMPLE, "p1_shares": P1_SHARES, "p2_report": P2_REPORT, "p6_assignment": P6_ASSIGNMENT, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p6_found": P6_FOUND}
