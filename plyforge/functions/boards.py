@@ -57,7 +57,23 @@ def _expand(board: Column) -> Column:
     return board
 
 
-def with_record(df: DataFrame, fen: str, half: str | None = None, full: str | None = None, prefix: str = "r_") -> DataFrame:
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a one-element generator.
+
+    The optimizer copies the expression of a column into every filter and join
+    condition on it, so that a costly one runs once for the filter and again
+    for its value. It doesn't look through a generator.
+    """
+    others = [c for c in df.columns if c not in columns]
+    row = F.struct(*[c.alias(k) for k, c in columns.items()])
+    return df.select(*others, F.explode(F.array(row)).alias("__once")).select(*others, "__once.*")
+
+
+#: What a record is made of.
+FIELDS = ("board", "side", "castling", "ep", "half", "full")
+
+
+def with_record(df: DataFrame, fen: str, half: str | None = None, full: str | None = None, prefix: str = "r_", fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """Add the record that ``fen`` spells, however it is spelled.
 
     Added: ``{prefix}board`` (64 characters, rank 8 first, ``.`` is empty),
@@ -69,7 +85,9 @@ def with_record(df: DataFrame, fen: str, half: str | None = None, full: str | No
     named fields don't matter. Clocks come from the text; where the text lacks
     one, from the column given. A text without a sound board and a side gives
     null in all of the first four columns. Existing columns of the added names
-    are overwritten; no other column is touched.
+    are overwritten; no other column is touched. ``fields`` says which to add.
+    Filters on the added columns repeat the parsing: write the rows down first,
+    or put :func:`computed_once` between.
     """
     t, b, r = f"__{prefix}t", f"__{prefix}b", f"__{prefix}r"
     plain = F.col(t).rlike(_PLAIN)
@@ -98,16 +116,15 @@ def with_record(df: DataFrame, fen: str, half: str | None = None, full: str | No
     sound = F.col(f"__{prefix}x").rlike(_FULL_RANKS) & raw["side"].isin("w", "b")
     rights = F.concat(*[F.when(raw["rights"].contains(x), F.lit(x)).otherwise(F.lit("")) for x in "KQkq"])
     number = lambda k, other: F.coalesce(F.when(sound, raw[k].try_cast("int")), F.col(other).cast("int") if other else F.lit(None).cast("int"))
-    return df.withColumns(
-        {
-            f"{prefix}board": F.when(sound, F.replace(F.col(f"__{prefix}x"), F.lit("/"), F.lit(""))),
-            f"{prefix}side": F.when(sound, raw["side"]),
-            f"{prefix}castling": F.when(sound, F.when(rights == "", F.lit("-")).otherwise(rights)),
-            f"{prefix}ep": F.when(sound, F.when(raw["ep"].rlike("[a-h][1-8]"), raw["ep"]).otherwise(F.lit("-"))),
-            f"{prefix}half": number("half", half),
-            f"{prefix}full": number("full", full),
-        }
-    ).drop(t, b, r, f"__{prefix}x", *[f"__{prefix}{k}" for k in raw])
+    found = {
+        "board": F.when(sound, F.replace(F.col(f"__{prefix}x"), F.lit("/"), F.lit(""))),
+        "side": F.when(sound, raw["side"]),
+        "castling": F.when(sound, F.when(rights == "", F.lit("-")).otherwise(rights)),
+        "ep": F.when(sound, F.when(raw["ep"].rlike("[a-h][1-8]"), raw["ep"]).otherwise(F.lit("-"))),
+        "half": number("half", half),
+        "full": number("full", full),
+    }
+    return df.withColumns({prefix + k: found[k] for k in fields}).drop(t, b, r, f"__{prefix}x", *[f"__{prefix}{k}" for k in raw])
 
 
 def position_text(prefix: str = "r_") -> Column:
