@@ -216,9 +216,10 @@ def _verified(pairs: DataFrame, classes: DataFrame, weights: np.ndarray, differ:
 def memberships(positions: DataFrame, left_splits: tuple[str, ...], right_splits: tuple[str, ...], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows of the splits concerned with the class (smallest id of equal board and side) they belong to."""
     named = positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split"))
-    rows = with_record(named.filter(F.col("split").isin(*left_splits, *right_splits)), "fen")
-    rows = rows.filter("r_board is not null").select("position_id", "source", "split", F.col("r_board").alias("board"), F.col("r_side").alias("side"), F.col("split").isin(*left_splits).alias("left"))
-    return with_group_min(cut(rows, "boards"), ["board", "side"], "position_id", "cid", None, hot_rows)
+    rows = with_record(named.filter(F.col("split").isin(*left_splits, *right_splits)), "fen", fields=("board", "side"))
+    rows = rows.select("position_id", "source", "split", F.col("r_board").alias("board"), F.col("r_side").alias("side"), F.col("split").isin(*left_splits).alias("left"))
+    # filtered only when written down: a filter on the board would parse every text twice
+    return with_group_min(cut(rows, "boards").filter("board is not null"), ["board", "side"], "position_id", "cid", None, hot_rows)
 
 
 def classes_of(members: DataFrame) -> DataFrame:
