@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.functions.boards import label, position_text, with_record
+from plyforge.functions.boards import FIELDS, computed_once, label, position_text, with_record
 from plyforge.operators.skew import HOT_ROWS, with_group_min
 from plyforge.session import cut, release
 
@@ -69,12 +69,13 @@ def position_families(positions: DataFrame, games: DataFrame, hot_rows: int = HO
     game; games without source, index or readable position join nothing. Plies
     (null or repeated) don't matter.
     """
-    rows = with_record(positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split")), "fen").select("position_id", "source", "split", position_text().alias("position"))
+    rows = with_record(positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split")), "fen", fields=FIELDS[:4]).select("position_id", "source", "split", position_text().alias("position"))
     rows = cut(rows, "parsed")
     # the same position: a star around its smallest id
     rows = cut(with_group_min(rows, ["position"], "position_id", "same", None, hot_rows), "rows")
-    reached = with_record(games.select("fen", label(F.col("source")).alias("source"), F.col("game_index")), "fen").select("source", position_text().alias("position"), F.xxhash64("source", "game_index").alias("game"), "game_index")
-    reached = reached.filter("source is not null and position is not null and game_index is not null").drop("game_index").distinct()
+    named = games.filter("game_index is not null").select("fen", label(F.col("source")).alias("source"), F.col("game_index"))
+    reached = with_record(named, "fen", fields=FIELDS[:4]).select("source", position_text().alias("position"), "game_index")
+    reached = computed_once(reached, {c: F.col(c) for c in ("source", "position")}).filter("source is not null and position is not null").select("source", "position", F.xxhash64("source", "game_index").alias("game")).distinct()
     placed = rows.filter("source is not null and position is not null").select("source", "position", "same").distinct()
     occurs = cut(placed.join(reached, ["source", "position"]).select("same", "game"), "occurs")
     # the same game: a star around the smallest position of the game
