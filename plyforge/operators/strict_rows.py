@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyforge.functions.boards import strip, words
+from plyforge.functions.boards import computed_once, strip, words
 from plyforge.functions.vocabulary import EXCLUSION_CODES, RESULTS, UNRESOLVED
 
 # The columns of a parsed-game line.
@@ -64,8 +64,9 @@ def load_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line") -
     Other columns of the input are dropped, so their names can't clash.
     """
     src = lines.select(F.col(line_id).alias("line_id"), F.col(line).alias("__line")).filter(sound_quoting(F.col("__line")))
-    src = src.withColumn("__raw", raw_columns(F.col("__line"))).filter(F.size("__raw") == len(COLUMNS))
-    src = src.select("line_id", *[column_value(F.get("__raw", F.lit(i))).alias(c) for i, c in enumerate(COLUMNS)])
+    # fenced, so that the filters below don't split and unquote every line once more
+    src = computed_once(src.select("line_id", "__line"), {"__raw": raw_columns(F.col("__line"))}).filter(F.size("__raw") == len(COLUMNS))
+    src = computed_once(src, {c: column_value(F.get("__raw", F.lit(i))) for i, c in enumerate(COLUMNS)}).select("line_id", *COLUMNS)
     good = src.filter(_value_checks({c: F.col(c) for c in COLUMNS}))
     return good.withColumn("game_index", F.col("game_index").cast("bigint"))
 
