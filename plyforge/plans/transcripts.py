@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions import uci
@@ -17,6 +19,12 @@ _LINES = r"""SELECT doc_id, ln, lines[ln] AS line FROM (SELECT doc_id, lines, un
 _TOKENS = f"SELECT doc_id, ln, line, {sql_words('line')} AS t FROM ({_LINES})"
 
 
+def _everywhere(sql: str) -> str:
+    """The SQL over all texts instead of those of one kind."""
+    return re.sub(r"doc_kind = '\w+' AND ", "", sql)
+
+
+
 def _after(name: str, plus: int = 1) -> str:
     return f"CASE WHEN list_contains(t, '{name}') THEN t[list_position(t, '{name}') + {plus}] END"
 
@@ -38,13 +46,23 @@ def _log_lines(spark: SparkSession, d: str) -> DataFrame:
     return files.lines_of(table(spark, d, "documents").filter("doc_kind = 'log'"), "doc_id")
 
 
-def _infos(spark: SparkSession, d: str) -> DataFrame:
-    return _log_lines(spark, d).select("doc_id", "ln", uci.mining_info(F.col("line")).alias("i")).filter("i is not null").select("doc_id", "ln", "i.*")
+def _all_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of every text: transcripts and listings also stand in mixed notes, and the readers decide by line."""
+    return files.lines_of(table(spark, d, "documents"), "doc_id")
+
+
+def _infos(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "ln", uci.mining_info(F.col("line")).alias("i")).filter("i is not null").select("doc_id", "ln", "i.*")
 
 
 @query(_INFO)
 def search_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _infos(spark, d)
+    return _infos(_log_lines(spark, d))
+
+
+@query(_everywhere(_INFO))
+def search_infos_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    return _infos(_all_lines(spark, d))
 
 
 _TEXT = lambda x: f"coalesce({x}, '')"
@@ -56,34 +74,74 @@ FROM ({_TOKENS}) WHERE line LIKE 'info %' AND line NOT LIKE 'info string%' AND {
   AND {' AND '.join(f"(NOT list_contains(t, '{token}') OR {_after(token)} IS NOT NULL)" for token in uci.NUMBERS.values())}"""
 
 
+def _rescored(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "ln", uci.rescore_info(F.col("line")).alias("i")).filter("i is not null").select("doc_id", "ln", "i.*")
+
+
 @query(_RESCORE)
 def rescore_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _log_lines(spark, d).select("doc_id", "ln", uci.rescore_info(F.col("line")).alias("i")).filter("i is not null").select("doc_id", "ln", "i.*")
+    return _rescored(_log_lines(spark, d))
+
+
+@query(_everywhere(_RESCORE))
+def rescore_infos_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    return _rescored(_all_lines(spark, d))
 
 
 _ENDS = f"""SELECT doc_id, ln, CASE WHEN t[2] NOT IN ('(none)', '0000') THEN t[2] END AS bestmove, CASE WHEN t[3] = 'ponder' AND t[4] NOT IN ('(none)', '0000') THEN t[4] END AS ponder FROM ({_TOKENS}) WHERE t[1] = 'bestmove'"""
 
 
+def _ends(lines: DataFrame) -> DataFrame:
+    return lines.select("doc_id", "ln", uci.best_move(F.col("line")).alias("b")).filter("b is not null").select("doc_id", "ln", "b.*")
+
+
 @query(_ENDS)
 def best_moves(spark: SparkSession, d: str) -> DataFrame:
-    return _log_lines(spark, d).select("doc_id", "ln", uci.best_move(F.col("line")).alias("b")).filter("b is not null").select("doc_id", "ln", "b.*")
+    return _ends(_log_lines(spark, d))
+
+
+@query(_everywhere(_ENDS))
+def best_moves_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    return _ends(_all_lines(spark, d))
+
+
+_LAST = f"""SELECT doc_id, rank, coalesce(arg_max(ln, ln) FILTER (WHERE bound = 'exact'), max(ln)) AS ln, coalesce(arg_max(score_value, ln) FILTER (WHERE bound = 'exact'), arg_max(score_value, ln)) AS score_value,
+  coalesce(arg_max(move, ln) FILTER (WHERE bound = 'exact'), arg_max(move, ln)) AS move FROM ({_INFO}) GROUP BY doc_id, rank"""
+
 
+def _last_exact(lines: DataFrame) -> DataFrame:
+    return snapshots.last_exact(_infos(lines), ["doc_id", "rank"]).select("doc_id", "rank", "ln", "score_value", "move")
 
-@query(f"""SELECT doc_id, rank, coalesce(arg_max(ln, ln) FILTER (WHERE bound = 'exact'), max(ln)) AS ln, coalesce(arg_max(score_value, ln) FILTER (WHERE bound = 'exact'), arg_max(score_value, ln)) AS score_value,
-  coalesce(arg_max(move, ln) FILTER (WHERE bound = 'exact'), arg_max(move, ln)) AS move FROM ({_INFO}) GROUP BY doc_id, rank""")
+
+@query(_LAST)
 def last_exact_infos(spark: SparkSession, d: str) -> DataFrame:
-    return snapshots.last_exact(_infos(spark, d), ["doc_id", "rank"]).select("doc_id", "rank", "ln", "score_value", "move")
+    return _last_exact(_log_lines(spark, d))
+
+
+@query(_everywhere(_LAST))
+def last_exact_infos_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    return _last_exact(_all_lines(spark, d))
 
 
-@query(f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN sf_bound = 'exact' THEN 0 ELSE 1 END, ln DESC) AS k FROM ({_RESCORE})), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln DESC) AS k FROM ({_ENDS}))
+_PICKED = f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN sf_bound = 'exact' THEN 0 ELSE 1 END, ln DESC) AS k FROM ({_RESCORE})), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln DESC) AS k FROM ({_ENDS}))
 SELECT coalesce(i.doc_id, e.doc_id) AS doc_id, i.* EXCLUDE (doc_id, ln, k, pv), coalesce(pv[1], CASE WHEN coalesce(len(pv), 0) = 0 THEN e.bestmove END, '') AS sf_bestmove, coalesce(pv[2], CASE WHEN coalesce(len(pv), 0) = 0 THEN e.ponder END, '') AS sf_ponder
-FROM (SELECT *, list_filter(string_split(sf_pv, ' '), lambda m: m <> '') AS pv FROM i WHERE k = 1) i FULL JOIN (SELECT * FROM e WHERE k = 1) e ON i.doc_id = e.doc_id""")
+FROM (SELECT *, list_filter(string_split(sf_pv, ' '), lambda m: m <> '') AS pv FROM i WHERE k = 1) i FULL JOIN (SELECT * FROM e WHERE k = 1) e ON i.doc_id = e.doc_id"""
+
+
+def _picked(lines: DataFrame) -> DataFrame:
+    return snapshots.picked_result(_rescored(lines), _ends(lines), ["doc_id"])
+
+
+@query(_PICKED)
 def picked_results(spark: SparkSession, d: str) -> DataFrame:
     """What a rescoring of each transcript would report."""
-    lines = _log_lines(spark, d)
-    infos = lines.select("doc_id", "ln", uci.rescore_info(F.col("line")).alias("i")).filter("i is not null").select("doc_id", "ln", "i.*")
-    ends = lines.select("doc_id", "ln", uci.best_move(F.col("line")).alias("b")).filter("b is not null").select("doc_id", "ln", "b.*")
-    return snapshots.picked_result(infos, ends, ["doc_id"])
+    return _picked(_log_lines(spark, d))
+
+
+@query(_everywhere(_PICKED))
+def picked_results_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """What a rescoring of each text with a transcript would report."""
+    return _picked(_all_lines(spark, d))
 
 
 _JOBS = """SELECT l_orderkey AS job, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ln, 1 + l_linenumber % 2 AS rank, CAST(floor(l_quantity / 26) AS BIGINT) AS depth,
@@ -109,25 +167,42 @@ def coherent_snapshots(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.coherent_snapshot(transcripts_of_orders(spark, d), ["job"]).select("job", "rank", "ln", "move", "round")
 
 
-@query(r"""SELECT doc_id, ln, r[1] AS fen, r[2] AS sf_score_type, r[3] AS sf_score, r[4] AS sf_bound, r[5] AS sf_bestmove, r[6] AS sf_depth FROM (
+_ROWS = r"""SELECT doc_id, ln, r[1] AS fen, r[2] AS sf_score_type, r[3] AS sf_score, r[4] AS sf_bound, r[5] AS sf_bestmove, r[6] AS sf_depth FROM (
   SELECT doc_id, ln, string_split(lines[ln], chr(9)) AS r FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS ln FROM
-  (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS lines FROM documents WHERE doc_kind = 'table' AND text <> ''))) WHERE len(r) = 6 AND r[2] IN ('cp', 'mate')""")
-def rescored_rows(spark: SparkSession, d: str) -> DataFrame:
-    lines = files.lines_of(table(spark, d, "documents").filter("doc_kind = 'table'"), "doc_id").withColumn("r", F.split("line", "\t"))
+  (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS lines FROM documents WHERE doc_kind = 'table' AND text <> ''))) WHERE len(r) = 6 AND r[2] IN ('cp', 'mate')"""
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    lines = files.lines_of(docs, "doc_id").withColumn("r", F.split("line", "\t"))
     names = ("fen", "sf_score_type", "sf_score", "sf_bound", "sf_bestmove", "sf_depth")
     return lines.filter((F.size("r") == 6) & F.get("r", F.lit(1)).isin("cp", "mate")).select("doc_id", "ln", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
 
 
+@query(_ROWS)
+def rescored_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(table(spark, d, "documents").filter("doc_kind = 'table'"))
+
+
+@query(_everywhere(_ROWS))
+def rescored_rows_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(table(spark, d, "documents"))
+
+
+def _every() -> Column:
+    """In game texts every section counts as a game, in others one with tags or a legal first move."""
+    return F.coalesce(F.col("doc_kind") == "pgn", F.lit(False))
+
+
 @query()
 def pgn_headers(spark: SparkSession, d: str) -> DataFrame:
-    """Every game in the game texts with its headers."""
-    return pgn.games_of(table(spark, d, "documents").filter("doc_kind = 'pgn'"), "doc_id").drop("headers")
+    """Every game in the texts with its headers."""
+    return pgn.games_of(table(spark, d, "documents"), "doc_id", every=_every()).drop("headers")
 
 
 @query()
 def pgn_positions(spark: SparkSession, d: str) -> DataFrame:
     """Every position played in the game texts."""
-    return pgn.positions_of(table(spark, d, "documents").filter("doc_kind = 'pgn'"), "doc_id", skip_first_n_plies=8)[0]
+    return pgn.positions_of(table(spark, d, "documents"), "doc_id", skip_first_n_plies=8, every=_every())[0]
 
 
 @query()

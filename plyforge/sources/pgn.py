@@ -11,7 +11,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -94,6 +94,22 @@ def replay(headers: dict[str, str], movetext: str) -> tuple[list[str], str | Non
     return fens, None
 
 
+def is_game(headers: dict[str, str], movetext: str) -> bool:
+    """Whether a section of a text that isn't known to be of games is one: it has tags or begins with a legal move."""
+    first = None if headers else next(main_line(movetext), None)
+    try:
+        return bool(headers) or (first is not None and bool(Position.from_fen(START).move_of(first)))
+    except (IllegalMove, ValueError, IndexError):
+        return False
+
+
+def numbered_games(text: str | None, every: bool) -> Iterator[tuple[int, dict[str, str], str]]:
+    """(number from 1, headers, movetext) of the games of a text: every section, or those that are games by themselves."""
+    games = (g for g in scan_games(text) if every or is_game(*g)) if text else ()
+    for k, (headers, moves) in enumerate(games, 1):
+        yield k, headers, moves
+
+
 class PgnFile(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -135,39 +151,46 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(PgnSource)
 
 
-def games_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, game columns) of every game in a text column; null and empty texts hold none."""
+def _with_every(docs: DataFrame, key: str, text: str, every: Column | None) -> DataFrame:
+    return docs.select(key, text, (F.lit(True) if every is None else every).alias("every_section"))
+
+
+def games_of(docs: DataFrame, key: str, text: str = "text", every: Column | None = None) -> DataFrame:
+    """(key, game columns) of every game in a text column; null and empty texts hold none.
+
+    Where ``every`` is false, sections without tags and legal first move are no
+    games and aren't numbered.
+    """
     names = [key, "game_index", "white", "black", "result", "termination", "fen", "headers"]
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [None, pa.int64(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string())]
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows = [(i, *_game_row(k, h)[:-1], list(h.items())) for i, t in zip(ids, texts, strict=True) if t for k, (h, _) in enumerate(scan_games(t), 1)]
+            rows = [(i, *_game_row(k, h)[:-1], list(h.items())) for i, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, h, _ in numbered_games(t, e)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t or b.schema.field(0).type) for c, t in zip(cols, types, strict=True)], names)
 
-    return map_arrow(docs.select(key, text), run, f"{key} {kind}, {GAME}")
+    return map_arrow(_with_every(docs, key, text, every), run, f"{key} {kind}, {GAME}")
 
 
-def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_plies: int = 0) -> tuple[DataFrame, DataFrame]:
+def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_plies: int = 0, every: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(positions, failures) of every game in a text column.
 
     Positions: (key, ``game_index``, ``ply`` from 1, ``fen``) beyond the first
     ``skip_first_n_plies`` of a game. A game with a text that names no legal
     move gives no position at all but a failure (key, ``game_index``, ``ply``,
-    ``token``): a shortened game would pass for a whole one.
+    ``token``): a shortened game would pass for a whole one. ``every`` as in
+    :func:`games_of`.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [None, pa.int64(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for i, t in zip(ids, texts, strict=True):
+            for i, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 rows = []
-                for k, (h, moves) in enumerate(scan_games(t), 1) if t else ():
+                for k, h, moves in numbered_games(t, e):
                     fens, bad = replay(h, moves)
                     if bad is not None:
                         rows.append((i, k, len(fens) + 1, None, bad))
@@ -176,7 +199,7 @@ def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_pli
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)], [key, "game_index", "ply", "fen", "token"])
 
-    out = map_arrow(docs.select(key, text), run, f"{key} {kind}, game_index bigint, ply bigint, fen string, token string")
+    out = map_arrow(_with_every(docs, key, text, every), run, f"{key} {kind}, game_index bigint, ply bigint, fen string, token string")
     return out.filter("token is null").drop("token"), out.filter("token is not null").drop("fen")
 
 
