@@ -31,6 +31,8 @@ HOPS = {p: [_walk(s, d) for s in range(64)] for p, d in _HOPS.items()}
 RAYS = {p: [[_ray(s, d) for d in dirs] for s in range(64)] for p, dirs in _LINES.items()}
 #: Squares from which a pawn of the colour attacks the square.
 PAWN_FROM = {"w": [_walk(s, ((1, -1), (1, 1))) for s in range(64)], "b": [_walk(s, ((-1, -1), (-1, 1))) for s in range(64)]}
+#: Runs of empty squares in a FEN, the longest first.
+_BLANKS = [(str(n), "." * n) for n in range(8, 0, -1)]
 _CORNERS = {0: "q", 7: "k", 56: "Q", 63: "K"}
 _SAN = re.compile(r"([KQRBN]?)([a-h]?)([1-8]?)[x-]?([a-h][1-8])(?:=?([QRBNqrbn]))?[+#]?\Z")
 
@@ -72,25 +74,27 @@ class Position:
 
     def fen(self) -> str:
         """Six fields; the en-passant square only when such a capture is legal."""
-        rows = ("".join(self.board[i : i + 8]) for i in range(0, 64, 8))
-        placement = re.sub(r"\.+", lambda m: str(len(m[0])), "/".join(rows))
+        squares = "".join(self.board)
+        placement = "/".join([squares[i : i + 8] for i in range(0, 64, 8)])
+        for n, blank in _BLANKS:
+            placement = placement.replace(blank, n)
         rights = "".join(x for x in "KQkq" if x in self.rights) or "-"
         ep = square_name(self.ep) if self.ep is not None and self._ep_is_legal() else "-"
         return f"{placement} {'w' if self.white else 'b'} {rights} {ep} {self.half} {self.full}"
 
     def attacked(self, square: int, by_white: bool) -> bool:
-        b, case = self.board, (str.upper if by_white else str.lower)
-        if any(b[s] == case("p") for s in PAWN_FROM["w" if by_white else "b"][square]):
-            return True
-        if any(b[s] == case(p) for p in HOPS for s in HOPS[p][square]):
-            return True
-        queen = case("q")
-        for p in ("r", "b"):
-            slider = case(p)
-            for ray in RAYS[p][square]:
+        b = self.board
+        pawn, knight, king, rook, bishop, queen = "PNKRBQ" if by_white else "pnkrbq"
+        for piece, spots in ((pawn, PAWN_FROM["w" if by_white else "b"][square]), (knight, HOPS["n"][square]), (king, HOPS["k"][square])):
+            for s in spots:
+                if b[s] == piece:
+                    return True
+        for slider, rays in ((rook, RAYS["r"][square]), (bishop, RAYS["b"][square])):
+            for ray in rays:
                 for s in ray:
-                    if b[s] != ".":
-                        if b[s] in (slider, queen):
+                    x = b[s]
+                    if x != ".":
+                        if x == slider or x == queen:
                             return True
                         break
         return False
@@ -118,7 +122,7 @@ class Position:
                 rook, to = (z + 1, z - 1) if z > a else (z - 2, z + 1)
                 b[to], b[rook] = b[rook], "."
         rights = self.rights
-        if rights:
+        if rights and (kind == "k" or a in _CORNERS or z in _CORNERS):
             lost = ("KQ" if self.white else "kq") if kind == "k" else ""
             lost += "".join(_CORNERS[s] for s in (a, z) if s in _CORNERS)
             rights = "".join(x for x in rights if x not in lost)
@@ -143,7 +147,7 @@ class Position:
             spots.append(a + ahead)
             if a // 8 == (6 if self.white else 1) and b[a + 2 * ahead] == ".":
                 spots.append(a + 2 * ahead)
-        for z in _walk(a, ((-1, -1), (-1, 1)) if self.white else ((1, -1), (1, 1))):
+        for z in PAWN_FROM["b" if self.white else "w"][a]:  # what a pawn attacks is where one of the other colour attacks it from
             if z == self.ep or (b[z] != "." and not self._own(b[z])):
                 spots.append(z)
         for z in spots:

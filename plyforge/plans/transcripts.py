@@ -201,8 +201,14 @@ def pgn_headers(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def pgn_positions(spark: SparkSession, d: str) -> DataFrame:
-    """Every position played in the game texts."""
-    return pgn.positions_of(table(spark, d, "documents"), "doc_id", skip_first_n_plies=8, every=_every())[0]
+    """Every position played in the games of the texts, from the first ply; games that can't be replayed are told in ``pgn_replays``."""
+    return pgn.positions_of(table(spark, d, "documents"), "doc_id", skip_first_n_plies=0, every=_every())[0]
+
+
+@query()
+def pgn_replays(spark: SparkSession, d: str) -> DataFrame:
+    """Of every game in the texts: how many positions it gives, or at which ply and text its replay fails."""
+    return pgn.replays_of(table(spark, d, "documents"), "doc_id", every=_every())
 
 
 @query()

@@ -203,6 +203,29 @@ def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_pli
     return out.filter("token is null").drop("token"), out.filter("token is not null").drop("fen")
 
 
+def replays_of(docs: DataFrame, key: str, text: str = "text", every: Column | None = None) -> DataFrame:
+    """(key, ``game_index``, ``positions``, ``failed_ply``, ``token``): one row for every game of a text column.
+
+    ``positions`` is how many :func:`positions_of` gives without skipping; where
+    a text names no legal move it is 0, and ``failed_ply`` and ``token`` say
+    where and what.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [None, pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        for b in batches:
+            rows = []
+            for i, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for k, h, moves in numbered_games(t, e):
+                    fens, bad = replay(h, moves)
+                    rows.append((i, k, len(fens), None, None) if bad is None else (i, k, 0, len(fens) + 1, bad))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)], [key, "game_index", "positions", "failed_ply", "token"])
+
+    return map_arrow(_with_every(docs, key, text, every), run, f"{key} {kind}, game_index bigint, positions bigint, failed_ply bigint, token string")
+
+
 def leaf_positions(spark: SparkSession, plies: int, start: str = START) -> DataFrame:
     """(``fen``) of every sequence of ``plies`` legal moves: a bag, transpositions repeat.
 
