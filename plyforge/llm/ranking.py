@@ -84,39 +84,57 @@ def solve(i: np.ndarray, j: np.ndarray, margin: np.ndarray, weight: np.ndarray,
     return s
 
 
-def solve_distributed(pairs: DataFrame, items: DataFrame, rounds: int = 40, sweeps: int = 8, prior: float = PRIOR, keep_every: int = 4) -> DataFrame:
-    """(``item``, ``strength``) where pairs don't fit the driver: the same loss by damped Jacobi sweeps.
-
-    A sweep is one join of the pairs with the strengths and one aggregation by
-    item with map-side combine; every ``keep_every`` sweeps the strengths are
-    written to the shared folder. Pair weights are renewed every ``sweeps``.
+def solve_distributed(pairs: DataFrame, items: DataFrame, rounds: int = 100, sweeps: int = 1, close: float = 1e-7, prior: float = PRIOR) -> DataFrame:
+    """(``item``, ``strength``) where pairs don't fit the driver: the rounds of :func:`solve`, with vectors as tables.
+
+    A step of the conjugate gradients is one join of the pairs with the search
+    direction and one aggregation by item with map-side combine, written to the
+    shared folder every ``sweeps`` steps; only scalar products reach the
+    driver. A round whose residual isn't met in twice as many steps as there
+    are items is an error: its strengths would pass for a solution.
     """
     both = pairs.select("a", "b", "margin", "weight").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("margin")).alias("margin"), "weight"))
     both = cut(both, "bothways")
-    s = cut(items.select("item", F.lit(0.0).alias("strength")), "strengths")
-    eps, old = 1.0, [s]
+    s, eps, most = cut(items.select("item", F.lit(0.0).alias("x")), "strengths"), 1.0, max(50, 2 * items.count())
+    add = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
     for k in range(rounds):
-        held = s  # strengths that give this round's pair weights
-        for m in range(sweeps):
-            e = both.join(s.select(F.col("item").alias("b"), F.col("strength").alias("other")), "b")
-            if k:
-                ha, hb = held.select(F.col("item").alias("a"), F.col("strength").alias("ha")), held.select(F.col("item").alias("b"), F.col("strength").alias("hb"))
-                residual: Column = F.col("ha") - F.col("hb") - F.col("margin")
-                e = e.join(ha, "a").join(hb, "b").withColumn("c", F.col("weight") / F.sqrt(residual * residual + F.lit(eps * eps)))
-            else:
-                e = e.withColumn("c", F.col("weight"))
-            sums = e.groupBy(F.col("a").alias("item")).agg(F.sum(F.col("c") * (F.col("other") + F.col("margin"))).alias("up"), F.sum("c").alias("down"))
-            new = F.col("up") / (F.col("down") + F.lit(prior))
-            s = s.join(sums, "item", "left").select("item", F.when(F.col("down") > 0, 0.5 * F.col("strength") + 0.5 * new).otherwise(F.lit(0.0)).alias("strength"))
-            if m % keep_every == keep_every - 1:
-                s = cut(s, "strengths")
-                old.append(s)
-        s = cut(s, "strengths")
-        for x in old[:-2]:
-            release(x)
-        old = [*old[-2:], s]
+        ends = both.join(s.select(F.col("item").alias("a"), F.col("x").alias("xa")), "a").join(s.select(F.col("item").alias("b"), F.col("x").alias("xb")), "b")
+        residual: Column = F.col("xa") - F.col("xb") - F.col("margin")
+        c = F.col("weight") / F.sqrt(residual * residual + F.lit(eps * eps)) if k else F.col("weight")
+        edges = cut(ends.select("a", "b", "margin", "xb", c.alias("c")), "edges")
+        sums = edges.groupBy(F.col("a").alias("item")).agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("margin")).alias("right"), F.sum(F.col("c") * F.col("xb")).alias("pull"))
+        zero = F.lit(0.0)
+        v = s.join(sums, "item", "left").select("item", "x", F.col("x").alias("began"), (F.coalesce("c", zero) + F.lit(prior)).alias("degree"), F.coalesce("right", zero).alias("right"), F.coalesce("pull", zero).alias("pull"))
+        v = v.withColumn("r", F.col("right") - (F.col("degree") * F.col("x") - F.col("pull")))
+        v = cut(v.withColumn("p", F.col("r") / F.col("degree")).drop("pull"), "vectors")
+        rz, right = v.agg(add(F.col("r") * F.col("p")), add(F.col("right") * F.col("right"))).first()
+        kept, steps = [v], 0
+        v = v.drop("right")
+        while rz > 1e-22 * max(1.0, right):
+            if steps == most:
+                raise RuntimeError(f"no ranking: after {steps} steps of round {k + 1} the residual is still {rz:.3g}")
+            pulled = edges.join(v.select(F.col("item").alias("b"), "p"), "b").groupBy(F.col("a").alias("item")).agg(F.sum(F.col("c") * F.col("p")).alias("pull"))
+            v = v.join(pulled, "item", "left").withColumn("q", F.col("degree") * F.col("p") - F.coalesce("pull", zero)).drop("pull")
+            steps += 1
+            if steps % sweeps == 0:
+                v = cut(v, "vectors")
+                kept.append(v)
+            step = rz / v.agg(add(F.col("p") * F.col("q"))).first()[0]
+            v = v.withColumns({"x": F.col("x") + F.lit(step) * F.col("p"), "r": F.col("r") - F.lit(step) * F.col("q")}).drop("q")
+            old, rz = rz, v.agg(add(F.col("r") * F.col("r") / F.col("degree"))).first()[0]
+            v = v.withColumn("p", F.col("r") / F.col("degree") + F.lit(rz / old) * F.col("p"))
+            for done in kept[:-2]:
+                release(done)
+            kept = kept[-2:]
+        before, s = s, cut(v.select("item", "x", "began"), "strengths")
+        moved = s.agg(F.coalesce(F.max(F.abs(F.col("x") - F.col("began"))), zero)).first()[0]
+        for done in (*kept, edges, before):
+            release(done)
         eps = max(EPS, eps * 0.7)
-    return s
+        if moved < close and eps == EPS:
+            break
+    release(both)
+    return s.select("item", F.col("x").alias("strength"))
 
 
 def rank_items(records: DataFrame, driver_pairs: int = DRIVER_PAIRS, driver_items: int = DRIVER_ITEMS, **distributed) -> DataFrame:

@@ -102,3 +102,18 @@ def test_ranks_over_many_partitions(spark):
     want = sorted(((i % 100), str(i)) for i in range(5000))
     want = {name: k for k, (_, name) in enumerate(sorted(want, key=lambda x: (-x[0], x[1])), 1)}
     assert {r.network_sha256: r.rank_no for r in got} == want
+
+
+@pytest.mark.parametrize("kind", ["ladder", "hub"])
+def test_distributed_rounds_are_those_of_the_driver(spark, kind):
+    n, rounds, rng = 16, 3, np.random.default_rng(7)
+    i, j = np.array([(k, k + 1) for k in range(n - 1)] if kind == "ladder" else [(0, k) for k in range(1, n)] + [(k, k + 1) for k in range(1, n - 1, 3)]).T
+    margin, weight = rng.normal(0, 1, len(i)), rng.uniform(1, 12, len(i))
+    rows = [(f"n{a:02d}", f"n{b:02d}", float(m), float(w)) for a, b, m, w in zip(i, j, margin, weight, strict=True)]
+    pairs = spark.createDataFrame(rows, "a string, b string, margin double, weight double").coalesce(1)
+    items = spark.createDataFrame([(f"n{k:02d}",) for k in range(n)], "item string").coalesce(1)
+    got = {r.item: r.strength for r in ranking.solve_distributed(pairs, items, rounds=rounds).collect()}
+    want = ranking.solve(i, j, margin, weight, n, rounds=rounds)
+    found = np.array([got[f"n{k:02d}"] for k in range(n)])
+    assert np.abs(found - want).max() < 1e-7
+    assert list(np.argsort(-found)) == list(np.argsort(-want))
