@@ -23,12 +23,12 @@ def _has(t: Column, name: str) -> Column:
 
 
 def _bound(t: Column) -> Column:
-    tail = F.slice(t, F.array_position(t, "score").cast("int") + 3, F.lit(10_000))
+    tail = F.slice(t, F.array_position(t, "score").cast("int") + 3, F.size(t))
     return F.when(_has(tail, "lowerbound"), "lowerbound").when(_has(tail, "upperbound"), "upperbound").otherwise("exact")
 
 
 def _pv(t: Column) -> Column:
-    return F.slice(t, F.array_position(t, "pv").cast("int") + 1, F.lit(10_000))
+    return F.slice(t, F.array_position(t, "pv").cast("int") + 1, F.size(t))
 
 
 def mining_info(line: Column) -> Column:

@@ -32,6 +32,13 @@ def test_rescore_info(spark):
     assert one(spark, uci.rescore_info, *bad) == [None] * len(bad)
 
 
+def test_long_lines_are_read_to_the_end(spark):
+    pv = " ".join(["e2e4"] * 12_000)
+    (a,) = one(spark, uci.mining_info, f"info score cp 1 pv {pv} upperbound")
+    (b,) = one(spark, uci.rescore_info, f"info score cp 1 pv {pv} upperbound")
+    assert (a.bound, a.pv) == (b.sf_bound, b.sf_pv) == ("upperbound", f"{pv} upperbound")
+
+
 def test_best_move(spark):
     got = one(spark, uci.best_move, "bestmove e2e4 ponder e7e5", "bestmove (none)", "bestmove 0000 ponder (none)", "bestmove", "bestmove a b c", "info")
     assert [(x.bestmove, x.ponder) if x else None for x in got] == [("e2e4", "e7e5"), (None, None), (None, None), (None, None), ("a", None), None]
