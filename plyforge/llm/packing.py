@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plyforge.llm.tokens import VOCABULARY, with_token_counts
@@ -55,8 +55,8 @@ def _pack(items: DataFrame, capacity: int, windows: int, level: int) -> DataFram
     Window numbers are unique over levels and partitions. A task streams; it
     holds no more than the open windows.
     """
-    schema = "item bigint, window bigint, size bigint, open boolean"
-    names = ["item", "window", "size", "open"]
+    schema = "item bigint, n_tokens bigint, window bigint, size bigint, open boolean"
+    names = ["item", "n_tokens", "window", "size", "open"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = (level << 57) | (TaskContext.get().partitionId() << 36)
@@ -64,25 +64,29 @@ def _pack(items: DataFrame, capacity: int, windows: int, level: int) -> DataFram
 
         def stream():
             for b in batches:
-                yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+                ids, tokens, sizes = (c.to_pylist() for c in b.columns)
+                yield from zip(zip(ids, tokens, strict=True), sizes, strict=True)
 
         got: list[tuple] = []
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], names)
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.bool_()), strict=True)], names)
         for item, w, size in pack_stream(stream(), capacity, windows, rest):
-            got.append((item, base | w, size, False))
+            got.append((*item, base | w, size, False))
             if len(got) >= 20_000:
                 yield batch(got)
                 got = []
-        got += [(None, base | w, capacity - room, True) for w, room in rest.items()]
+        got += [(None, None, base | w, capacity - room, True) for w, room in rest.items()]
         if got:
             yield batch(got)
 
-    return map_arrow(items.select("item", "size"), run, schema)
+    return map_arrow(items.select("item", "n_tokens", "size"), run, schema)
 
 
 def pack(items: DataFrame, capacity: int, windows: int = WINDOWS, per_partition: int = 50_000) -> DataFrame:
     """(``item``, ``size``, ``container``): items (``item`` bigint, ``size`` 0..capacity) in containers.
 
+    A column ``n_tokens`` goes along, so that rows of null or repeated ids
+    needn't be found again.
+
     Items are spread by a hash of their id over ``ceil(items / per_partition)``
     partitions and taken in the order of that hash, so the result doesn't
     depend on how the input was partitioned. The windows left open by up to
@@ -90,15 +94,16 @@ def pack(items: DataFrame, capacity: int, windows: int = WINDOWS, per_partition:
     until one task has taken up the last. A size of 0 or null takes no room
     but is placed as well; an empty input gives no containers.
     """
-    items = items.select("item", F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"))
+    named = [x for x in ("item", "n_tokens", "size") if x in items.columns]
+    items = items.select("item", (F.col("n_tokens") if "n_tokens" in named else F.lit(None)).cast("bigint").alias("n_tokens"), F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"))
     parts = max(1, -(-items.count() // per_partition))
     spread = F.xxhash64(F.lit("pack"), "item")
-    placed = cut(_pack(items.repartition(parts, spread).sortWithinPartitions(spread, "item", "size"), capacity, windows, 0), "placed")
+    placed = cut(_pack(items.repartition(parts, spread).sortWithinPartitions(spread, "item", "size", "n_tokens"), capacity, windows, 0), "placed")
     contents, moves, level, left = placed.filter("not open"), None, 0, placed.filter("open")
     while True:
         level += 1
         parts = -(-parts // FAN_IN)
-        waiting = left.select(F.col("window").alias("item"), "size")
+        waiting = left.select(F.col("window").alias("item"), "n_tokens", "size")
         merged = cut(_pack(waiting.repartition(parts, F.xxhash64("item")).sortWithinPartitions(F.desc("size"), "item"), capacity, windows, level), "merged")
         step = merged.filter("not open").select(F.col("item").alias("window"), F.col("window").alias("to"))
         if moves is None:
@@ -108,7 +113,7 @@ def pack(items: DataFrame, capacity: int, windows: int = WINDOWS, per_partition:
             moves = moves.join(then, "to", "left").select("window", F.coalesce("further", "to").alias("to"))
         left = merged.filter("open")
         if parts == 1:
-            return contents.join(moves, "window", "left").select("item", "size", F.coalesce("to", "window").alias("container"))
+            return contents.join(moves, "window", "left").select(*named, F.coalesce("to", "window").alias("container"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 8192, windows: int = WINDOWS, per_partition: int = 50_000, path: str = VOCABULARY) -> DataFrame:
@@ -118,17 +123,20 @@ def pack_documents(docs: DataFrame, capacity: int = 8192, windows: int = WINDOWS
     containers of their own and one remainder, which is packed like any
     other text; pieces are numbered from 0. Empty and null texts have no
     tokens and are placed with ``token_start = token_end``. Repeated texts are
-    texts of their own; extra columns are ignored.
+    texts of their own, under repeated or null ids too: every row is placed once.
+    Extra columns are ignored.
     """
     sized = cut(with_token_counts(docs.select("doc_id", "text"), path=path), "sized")
     whole = F.floor(F.col("n_tokens") / F.lit(capacity)).cast("bigint")
     rest = F.col("n_tokens") % F.lit(capacity)
-    full = sized.filter(F.col("n_tokens") > capacity).select("doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece"))
-    full = full.select(F.concat_ws(":", F.lit("full"), "doc_id", "piece").alias("container"), "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), ((F.col("piece") + 1) * capacity).alias("token_end"))
+    # rows of one id have containers of their own
+    again = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_tokens"))
+    full = sized.filter(F.col("n_tokens") > capacity).withColumn("again", again).select("doc_id", "again", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece"))
+    full = full.select(F.concat_ws(":", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", F.when(F.col("again") > 1, F.col("again"))).alias("container"), "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), ((F.col("piece") + 1) * capacity).alias("token_end"))
     small = sized.select("doc_id", "n_tokens", F.when(F.col("n_tokens") <= capacity, F.col("n_tokens")).when(rest > 0, rest).alias("size")).filter("size is not null")
-    packed = pack(small.select(F.col("doc_id").alias("item"), "size"), capacity, windows, per_partition)
+    packed = pack(small.select(F.col("doc_id").alias("item"), "n_tokens", "size"), capacity, windows, per_partition)
     start = F.col("n_tokens") - F.col("size")
-    rests = packed.join(small.select(F.col("doc_id").alias("item"), "n_tokens"), "item").select(
+    rests = packed.select(
         F.concat_ws(":", F.lit("mixed"), "container").alias("container"), F.col("item").alias("doc_id"), F.floor(start / F.lit(capacity)).cast("bigint").alias("piece"), start.alias("token_start"), F.col("n_tokens").alias("token_end")
     )
     return full.unionByName(rests)

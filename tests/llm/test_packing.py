@@ -75,3 +75,15 @@ def test_documents(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     assert packing.pack_documents(df).collect() == []
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(1, 100), (1, 100), (1, 9000), (1, 9000), (None, 300), (None, 300), (None, 8500), (2, 50)]
+    df = spark.createDataFrame([(i, " chess" * n) for i, n in rows], "doc_id bigint, text string")
+    out = packing.pack_documents(df)
+    tokens = {}
+    for r in out.collect():
+        tokens[r.doc_id] = tokens.get(r.doc_id, 0) + r.token_end - r.token_start
+    assert tokens == {1: 18200, None: 9100, 2: 50}
+    fill = packing.container_fill(out).collect()
+    assert max(r.tokens for r in fill) <= 8192
