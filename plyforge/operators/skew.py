@@ -13,6 +13,50 @@ HOT_ROWS = 200_000
 BROADCAST_KEYS = 200_000
 
 
+def hot_hashes(rows: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """Written table (``__h``) of the 64-bit hashes of keys that more than ``hot_rows`` rows hold; None if there are none.
+
+    Counts combine before the shuffle. At most ``rows / hot_rows`` keys can be
+    hot; a hash that two keys share can only make both count as hot.
+    """
+    counted = rows.groupBy(F.xxhash64(*keys).alias("__h")).agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(counted.filter(F.col("n") > hot_rows).select("__h"), "hot")
+    return hot if hot.limit(1).count() else None
+
+
+def looked_up(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key), where any key may hold any share of ``rows``.
+
+    Rows of the ``hot`` keys (:func:`hot_hashes`) aren't shuffled: the facts of
+    those keys, which are as few as the keys, go to them, by broadcast up to
+    ``BROADCAST_KEYS`` of them. All other rows take a plain join. ``how`` is
+    ``inner`` or ``left``; null keys find nothing.
+    """
+    if hot is None:
+        return rows.join(facts, keys, how)
+    near = F.broadcast if hot.count() <= BROADCAST_KEYS else (lambda x: x)
+    keyed = rows.withColumn("__h", F.xxhash64(*keys))
+    few = facts.withColumn("__h", F.xxhash64(*keys)).join(near(hot), "__h", "left_semi").drop("__h")
+    rest = keyed.join(near(hot), "__h", "left_anti").drop("__h").join(facts, keys, how)
+    many = keyed.join(near(hot), "__h", "left_semi").drop("__h").join(near(few), keys, how)
+    return rest.unionByName(many)
+
+
+def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds ``out``: the place from 1 of each row in the given order, without one task for all rows.
+
+    Rows are range-partitioned, numbered within and offset by the parts before
+    (one row for each part). The order must be total to be the same on every run.
+    """
+    spread = cut(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "spread")
+    sizes = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)).cast("bigint")
+    # as many rows as shuffle partitions
+    return spread.join(F.broadcast(offsets), "__part").withColumn(out, inside + F.col("__before")).drop("__part", "__before")
+
+
 def with_group_min(rows: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, hot_rows: int = HOT_ROWS, salts: int = 64, total: int | None = None) -> DataFrame:
     """Add to every row the smallest ``value`` among the rows of equal ``keys`` (and their number).
 
