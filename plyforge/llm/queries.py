@@ -59,6 +59,11 @@ def p5_strengths(spark: SparkSession, d: str) -> DataFrame:
     return ranking.rank_items(table(spark, d, "records"))
 
 
+def p5_check(spark: SparkSession, d: str) -> DataFrame:
+    """Networks at which the loss still slopes, so that the ranking wouldn't be the best one: none."""
+    return ranking.slopes(table(spark, d, "records")).filter("not slope < 1e-6").select("network_sha256", "slope")
+
+
 def _families(spark: SparkSession, d: str) -> DataFrame:
     return cut(families.position_families(table(spark, d, "positions"), table(spark, d, "extracted_positions")), "families")
 
@@ -104,4 +109,4 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_sample, p1_shares, p2_found, p2_report, p3_found, p3_records, p5_found, p5_strengths, p6_found, p6_assignment, p7_found, p7_contents, p7_fill, p8_found, p8_shares, p8_drawn, p9_found, p9_pieces)}
+    return {f.__name__: f for f in (p1_sample, p1_shares, p2_found, p2_report, p3_found, p3_records, p5_found, p5_strengths, p5_check, p6_found, p6_assignment, p7_found, p7_contents, p7_fill, p8_found, p8_shares, p8_drawn, p9_found, p9_pieces)}

@@ -68,6 +68,9 @@ SELECT position_id, split, intake_no, sample_bucket, sample_place FROM m, l WHER
 P1_SHARES = P1_SAMPLE.rsplit("SELECT position_id", 1)[0] + """SELECT coalesce(split, '') AS split, count(*) AS rows, count(DISTINCT key) AS keys, nullif(count(*) FILTER (WHERE sample_place < longest), 0) AS sample_rows,
   nullif(count(DISTINCT key) FILTER (WHERE sample_place < longest), 0) AS sample_keys, nullif(count(DISTINCT key) FILTER (WHERE sample_place < longest), 0) / count(DISTINCT key)::DOUBLE AS share FROM m, l GROUP BY 1"""
 
+#: Certificates: queries of what breaks a rule, which nothing may do.
+P5_CHECK = "SELECT '' AS network_sha256, 0.0::DOUBLE AS slope WHERE false"
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_sample": P1_SAMPLE, "p1_shares": P1_SHARES, "p2_report": P2_REPORT, "p6_assignment": P6_ASSIGNMENT, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p6_found": P6_FOUND}
+    return {"p1_sample": P1_SAMPLE, "p1_shares": P1_SHARES, "p2_report": P2_REPORT, "p6_assignment": P6_ASSIGNMENT, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p6_found": P6_FOUND, "p5_check": P5_CHECK}

@@ -88,32 +88,81 @@ def test_empty(spark):
     assert ranking.rank_items(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_distributed_solver_agrees(spark):
-    rows, _ = league(6, 60, 2)
-    a = ranks(spark, rows)
-    b = ranks(spark, rows, driver_pairs=0, rounds=8, sweeps=4)
-    assert set(a) == set(b)
-    assert np.corrcoef([a[k][1] for k in a], [b[k][1] for k in a])[0, 1] > 0.97
-
-
-def test_ranks_over_many_partitions(spark):
-    df = spark.range(5000).select(F.col("id").cast("string").alias("item"), (F.col("id") % 100).cast("double").alias("strength"))
-    got = ranking.with_ranks(df.repartition(6)).collect()
-    want = sorted(((i % 100), str(i)) for i in range(5000))
-    want = {name: k for k, (_, name) in enumerate(sorted(want, key=lambda x: (-x[0], x[1])), 1)}
-    assert {r.network_sha256: r.rank_no for r in got} == want
-
-
-@pytest.mark.parametrize("kind", ["ladder", "hub"])
-def test_distributed_rounds_are_those_of_the_driver(spark, kind):
-    n, rounds, rng = 16, 3, np.random.default_rng(7)
-    i, j = np.array([(k, k + 1) for k in range(n - 1)] if kind == "ladder" else [(0, k) for k in range(1, n)] + [(k, k + 1) for k in range(1, n - 1, 3)]).T
-    margin, weight = rng.normal(0, 1, len(i)), rng.uniform(1, 12, len(i))
-    rows = [(f"n{a:02d}", f"n{b:02d}", float(m), float(w)) for a, b, m, w in zip(i, j, margin, weight, strict=True)]
-    pairs = spark.createDataFrame(rows, "a string, b string, margin double, weight double").coalesce(1)
-    items = spark.createDataFrame([(f"n{k:02d}",) for k in range(n)], "item string").coalesce(1)
-    got = {r.item: r.strength for r in ranking.solve_distributed(pairs, items, rounds=rounds).collect()}
-    want = ranking.solve(i, j, margin, weight, n, rounds=rounds)
-    found = np.array([got[f"n{k:02d}"] for k in range(n)])
-    assert np.abs(found - want).max() < 1e-7
-    assert list(np.argsort(-found)) == list(np.argsort(-want))
+def graph(kind, n, seed=7):
+    """Pairs of numbers with random results: (i, j, wins, losses)."""
+    rng = np.random.default_rng(seed)
+    ends = {
+        "chain": [(k, k + 1) for k in range(n - 1)],
+        "ladder": [(k, k + d) for d in (1, 2) for k in range(n - d)],
+        "hub": [(0, k) for k in range(1, n)] + [(k, k + 1) for k in range(1, n - 1, 3)],
+        "islands": [(k, k + d) for d in (1, 2) for k in range(n - d) if k // 5 == (k + d) // 5],
+        "mesh": sorted({tuple(sorted(map(int, rng.integers(0, n, 2)))) for _ in range(4 * n)} - {(k, k) for k in range(n)}),
+    }[kind]
+    strength = rng.normal(0, 1, n)
+    out = []
+    for i, j in ends:
+        games = int(rng.integers(2, 60))
+        wins = int(rng.binomial(games, 1 / (1 + np.exp(strength[j] - strength[i]))))
+        out.append((i, j, wins, games - wins))
+    return out
+
+
+def held(pairs, n):
+    i, j, w, l = map(np.array, zip(*pairs, strict=True))  # noqa: E741
+    w, l = w + 0.5, l + 0.5  # noqa: E741
+    return ranking.Held(i, j, np.log(w / l), (1 / (1 / w + 1 / l)) ** 0.5, n)
+
+
+@pytest.mark.parametrize(("kind", "n"), [("chain", 60), ("chain", 400), ("ladder", 300), ("hub", 400), ("islands", 100), ("mesh", 2000)])
+def test_rounds_settle_at_the_one_best_answer(kind, n):
+    pairs = graph(kind, n)
+    a = held(pairs, n)
+    ranking.settle(a)
+    assert a.slope(ranking.EPS) < 1e-7
+    # the same answer, and the same order, from another beginning and another order of pairs
+    b = held(pairs[::-1], n)
+    b.s = np.random.default_rng(1).normal(0, 3, n)
+    ranking.settle(b)
+    assert np.abs(a.s - b.s).max() < 1e-7
+    order = lambda s: sorted(range(n), key=lambda k: (-round(s[k], 6), k))
+    assert order(a.s) == order(b.s)
+
+
+def test_unsettled_rounds_are_an_error():
+    with pytest.raises(ranking.NotSettled):
+        ranking.settle(held(graph("ladder", 40), 40), rounds=2)
+
+
+def tables(spark, h, **kw):
+    rows = [(int(a), int(b), float(m), float(w)) for a, b, m, w in zip(h.i, h.j, h.margin, h.weight, strict=True)]
+    pairs = spark.createDataFrame(rows, "i bigint, j bigint, margin double, weight double").coalesce(1)
+    return ranking.Spread(pairs, spark.range(h.n).withColumnRenamed("id", "i").coalesce(1), h.n, **kw)
+
+
+@pytest.mark.parametrize(("kind", "n", "kw"), [("chain", 8, {}), ("ladder", 8, {}), ("islands", 10, {}), ("hub", 10, {}), ("hub", 10, {"broadcast": 0, "hot_rows": 3})])
+def test_a_round_on_tables_is_one_on_arrays(spark, kind, n, kw):
+    a = held(graph(kind, n), n)
+    b = tables(spark, a, **kw)
+    for curved in (False, True):
+        assert b.slope(1e-3) == pytest.approx(a.slope(1e-3), rel=1e-6)
+        for g in (a, b):
+            g.direct(1e-3, curved, 1e-20)
+        change = a.changes(1e-3)
+        assert b.changes(1e-3) == pytest.approx(change, rel=1e-5, abs=1e-7)
+        for g in (a, b):
+            g.move(ranking.LENGTHS[int(np.argmin(change))])
+        found = {r.i: r.s for r in b.v.select("i", "s").collect()}
+        assert max(abs(found[k] - a.s[k]) for k in range(n)) < 1e-7
+
+
+def test_tables_give_the_rank_of_every_item(spark):
+    rows = [(f"r{i}-{j}", "run", "t", f"n{i:03d}", f"n{j:03d}", w, l, 0) for i, j, w, l in graph("ladder", 5)]
+    a, b = ranks(spark, rows), ranks(spark, rows, driver_pairs=0)
+    assert {k: v[0] for k, v in a.items()} == {k: v[0] for k, v in b.items()}
+    assert max(abs(a[k][1] - b[k][1]) for k in a) < 1e-7
+
+
+def test_slopes_tell_the_best_answer(spark):
+    rows, _ = league(8, 150, 3)
+    got = {r.network_sha256: r.slope for r in ranking.slopes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == 8 and max(got.values()) < 1e-6
