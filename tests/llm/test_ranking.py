@@ -144,11 +144,11 @@ def test_a_round_on_tables_is_one_on_arrays(spark, kind, n, kw):
     a = held(graph(kind, n), n)
     b = tables(spark, a, **kw)
     for curved in (False, True):
-        assert b.slope(1e-3) == pytest.approx(a.slope(1e-3), rel=1e-4)
+        assert b.slope(0.3) == pytest.approx(a.slope(0.3), rel=1e-4)
         for g in (a, b):
-            g.direct(1e-3, curved, 1e-20)
-        change = a.changes(1e-3)
-        assert b.changes(1e-3) == pytest.approx(change, rel=1e-5, abs=1e-7)
+            g.direct(0.3, curved, 1e-20)
+        change = a.changes(0.3)
+        assert b.changes(0.3) == pytest.approx(change, rel=1e-5, abs=1e-7)
         for g in (a, b):
             g.move(ranking.LENGTHS[int(np.argmin(change))])
         found = {r.i: r.s for r in b.v.select("i", "s").collect()}
