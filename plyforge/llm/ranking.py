@@ -209,16 +209,11 @@ class Spread:
             pulled = self._at(edges, "j", "p", "x").groupBy("i").agg(F.sum(F.col("c") * F.col("x")).alias("pull"))
             q = F.col("degree") * F.col("p") - F.coalesce(F.col("pull"), F.lit(0.0))
             self._step(self.v.drop("q").join(pulled, "i", "left").withColumn("q", q).select(*names))
-            # all sums of a step at once: the next residual is a square in the length of the step
             e, q, degree = F.col("e"), F.col("q"), F.col("degree")
-            pq, eq, qq = self._sum(F.col("p") * q, e * q / degree, q * q / degree)
-            a = rz / pq
-            old, rz = rz, max(0.0, rz - 2 * a * eq + a * a * qq)
-            if not rz:
-                self.v = self.v.withColumn("d", F.col("d") + F.lit(a) * F.col("p"))
-                return
-            moved = self.v.withColumns({"d": F.col("d") + F.lit(a) * F.col("p"), "e": e - F.lit(a) * q})
-            self.v = moved.withColumn("p", F.col("e") / degree + F.lit(rz / old) * F.col("p"))
+            a = rz / self._sum(F.col("p") * q)[0]
+            self.v = self.v.withColumns({"d": F.col("d") + F.lit(a) * F.col("p"), "e": e - F.lit(a) * q})
+            old, rz = rz, self._sum(e * e / degree)[0]
+            self.v = self.v.withColumn("p", e / degree + F.lit(rz / old) * F.col("p"))
         raise NotSettled(f"the residual is still {rz:.3g}")
 
     def changes(self, eps: float) -> np.ndarray:
