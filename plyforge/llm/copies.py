@@ -22,21 +22,34 @@ def _keyed(df: DataFrame, id_col: str, fen: str, half: str, full: str) -> DataFr
     return with_record(df, fen, half, full, "__r_").select(id_col, F.coalesce(record_text("__r_"), unread).alias("__key"))
 
 
+def _with_copies(df: DataFrame, id_col: str, fen: str, half: str, full: str, hot_rows: int) -> DataFrame:
+    # read twice (hot keys, then rows), so what was parsed is written down
+    return with_group_min(cut(_keyed(df, id_col, fen, half, full), "keyed"), ["__key"], id_col, "keep_id", "copies", hot_rows)
+
+
 def with_copies(df: DataFrame, id_col: str = "position_id", fen: str = "fen", half: str = "halfmove_clock", full: str = "fullmove_number", hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, ``keep_id``, ``copies``): of every row, the smallest id of its record and how many rows spell it.
 
     Texts from which no record can be read are equal when they agree up to
     white space and in both clock columns; a null or blank text is a record of
-    its own. Rows of a null id are kept but never represent others.
+    its own. Rows of a null id are kept but never represent others; a record of
+    null ids alone has a null ``keep_id``.
     """
-    # read twice (hot keys, then rows), so what was parsed is written down
-    return with_group_min(cut(_keyed(df, id_col, fen, half, full), "keyed"), ["__key"], id_col, "keep_id", "copies", hot_rows).drop("__key")
+    return _with_copies(df, id_col, fen, half, full, hot_rows).drop("__key")
 
 
-def records(df: DataFrame, id_col: str = "position_id", **kw) -> DataFrame:
-    """One row per record: (``keep_id``, ``copies``). A row repeated under its own id is a copy without a link."""
-    w = with_copies(df, id_col, **kw)
-    return w.filter(F.col(id_col).eqNullSafe(F.col("keep_id"))).groupBy("keep_id").agg(F.max("copies").alias("copies"))
+def records(df: DataFrame, id_col: str = "position_id", fen: str = "fen", half: str = "halfmove_clock", full: str = "fullmove_number", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """One row per record: (``keep_id``, ``copies``). A row repeated under its own id is a copy without a link.
+
+    Records of null ids alone are told apart by what they spell, and without
+    text every row is one.
+    """
+    w = _with_copies(df, id_col, fen, half, full, hot_rows)
+    copies = F.max("copies").alias("copies")
+    named = w.filter(F.col(id_col) == F.col("keep_id")).groupBy("keep_id").agg(copies)
+    nameless = w.filter("keep_id is null")
+    spelled = nameless.filter("__key is not null").groupBy("__key").agg(copies).select(F.lit(None).cast(w.schema["keep_id"].dataType).alias("keep_id"), "copies")
+    return named.unionByName(spelled).unionByName(nameless.filter("__key is null").select("keep_id", "copies"))
 
 
 def copy_links(df: DataFrame, id_col: str = "position_id", **kw) -> DataFrame:

@@ -10,11 +10,17 @@ norms of what lies behind the prefix, and by an 8-byte signature of the ranks
 (boards that differ on ``d`` squares differ on at most ``d`` ranks), before any
 board is fetched; those left get exact dot products and the exact number of
 differing squares.
+
+A list too long to compare is split by the next heaviest terms of its boards.
+Boards that are still together then, nearly empty ones, meet in lists keyed by
+the whole board with every choice of ``d`` ranks left out, and where that isn't
+enough of ``d`` squares, whose lists hold but boards that differ nowhere else.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.boards import label, with_record
-from plyforge.operators.skew import HOT_ROWS, with_group_min
+from plyforge.operators.skew import BROADCAST_KEYS, HOT_ROWS, with_group_min
 from plyforge.session import cut, map_arrow
 
 PIECES = ".PNBRQKpnbrqk"
@@ -32,8 +38,10 @@ _CODE = np.zeros(256, np.int64)
 for _i, _x in enumerate(PIECES):
     _CODE[ord(_x)] = _i
 
-#: Of a list, the pairs (left rows times right rows) from which it is split by further terms.
+#: Of a list, the pairs (left rows times right rows) from which it is split further.
 HOT_PAIRS = 250_000
+#: The ways lists are split, one after the other: by heaviest terms, or by leaving out blocks of so many.
+STEPS = (("terms", 0), ("terms", 1), ("blocks", 8), ("blocks", 64))
 
 
 def _matrix(boards: pa.Array) -> np.ndarray:
@@ -94,62 +102,149 @@ class Lists:
         self.by_rank = v[order]
         self.subsets = list(combinations(range(differ + share), share))
 
-    def entries(self, level: int):
-        """Arrow function: (cid, board, side[, key0]) to (cid, key, need, norm, rest, sig[, key0]), one row for each subset.
-
-        Level 0 takes the heaviest terms; each further level the heaviest of
-        those that the key so far doesn't hold.
+    def bounds(self, ranks: np.ndarray, norm: np.ndarray, held: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(heaviest ranks not held, need, rest) of boards given by the ranks of their terms."""
+        size = self.differ + self.share
+        v = self.by_rank[ranks]
+        need = norm - np.partition(v, 64 - self.differ, 1)[:, 64 - self.differ :].sum(1) if self.differ else norm
+        if held is not None:
+            ranks = np.where((ranks[:, :, None] == held[:, None, :]).any(2), TERMS, ranks)
+        top = np.sort(np.partition(ranks, size - 1, 1)[:, :size], 1)
+        rest = norm - np.append(self.by_rank, 0.0)[top].sum(1)
+        return top, need, rest if held is None else rest - self.by_rank[held].sum(1)
+
+    def keyed(self, step: tuple[str, int], boards: pa.Array, sides: pa.Array, held: pa.Array | None, outer: np.ndarray | None):
+        """(keys [board, list], heaviest terms [board, list, share] or None, need, norm, rest, signatures) of boards.
+
+        Keys are 64-bit. Those of the first lists are the terms themselves; in
+        all others a clash only brings boards together that are told apart
+        when compared.
+        """
+        kind, level = step
+        terms = _matrix(boards)
+        ranks = self.rank[terms]
+        norm = self.by_rank[ranks].sum(1)
+        side = np.frombuffer("".join(sides.to_pylist()).encode(), np.uint8) == ord("w")
+        sig = signatures(terms)
+        if kind == "blocks":
+            zero = np.zeros(len(norm))
+            return blanked(terms, side, level, self.differ), None, zero, zero, zero, sig
+        fixed = np.stack([np.frombuffer(x, np.int16) for x in held.to_pylist()]).astype(np.int64) if level else None
+        top, need, rest = self.bounds(ranks, norm, fixed)
+        chosen = np.stack([top[:, s] for s in self.subsets], 1)
+        flat = np.zeros(chosen.shape[:2], np.int64)
+        for j in range(self.share):
+            flat = flat * (TERMS + 1) + chosen[:, :, j]
+        flat = flat * 2 + side[:, None]
+        if level:
+            flat = _mixed(flat.astype(np.uint64) + _mixed(outer.astype(np.uint64))[:, None]).view(np.int64)
+            chosen = np.concatenate([np.repeat(fixed[:, None, :], len(self.subsets), 1), chosen], 2)
+        return flat, chosen, need, norm, np.maximum(rest, 0), sig
+
+    def entries(self, step: tuple[str, int], what: str):
+        """Arrow function over (cid, board, side, left, right[, key, held]) of the boards that enter the lists of a step.
+
+        ``what`` is ``rows`` (cid, key, need, norm, rest, sig), ``sizes`` (key,
+        l, r: boards of either side, added up for each batch), or ``held``
+        (cid, key, held: the terms that a list's boards share).
         """
-        size, share = self.differ + self.share, self.share
+        deep = step[0] == "terms" and step[1] > 0
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                n = b.num_rows
-                if not n:
-                    continue
-                terms = _matrix(b.column(1))
-                ranks = self.rank[terms]
-                v = self.by_rank[ranks]
-                norm = v.sum(1)
-                need = norm - np.partition(v, 64 - self.differ, 1)[:, 64 - self.differ :].sum(1) if self.differ else norm
-                if level:
-                    held = np.stack([np.asarray(x) for x in b.column(3).to_pylist()])
-                    ranks = np.where((ranks[:, :, None] == held[:, None, :]).any(2), TERMS, ranks)
-                top = np.sort(np.partition(ranks, size - 1, 1)[:, :size], 1)
-                rest = norm - self.by_rank[top].sum(1)
-                if level:
-                    rest = rest - self.by_rank[held].sum(1)
-                keys = np.stack([top[:, s] for s in self.subsets], 1).reshape(-1, share)
-                rep = lambda x, t: pa.array(np.repeat(np.asarray(x), len(self.subsets)).astype(t))
-                side = np.frombuffer("".join(b.column(2).to_pylist()).encode(), np.uint8) == ord("w")
-                flat = np.zeros(len(keys), np.int64)
-                for j in range(share):
-                    flat = flat * TERMS + keys[:, j]
-                flat = flat * 2 + np.repeat(side, len(self.subsets))
-                cols = [rep(b.column(0), np.int64), pa.array(flat), rep(need, np.float32), rep(norm, np.float32), rep(np.maximum(rest, 0), np.float32), rep(signatures(terms), np.int64)]
-                names = ["cid", "key", "need", "norm", "rest", "sig"]
-                if level:
-                    outer = np.zeros(n, np.int64)
-                    for j in range(held.shape[1]):
-                        outer = outer * TERMS + held[:, j]
-                    cols.append(rep(outer, np.int64))
-                    names.append("key0")
-                yield pa.RecordBatch.from_arrays(cols, names)
+            for whole in batches:
+                # lists of single squares are many: few boards at a time
+                for at in range(0, whole.num_rows, 512 if step == ("blocks", 64) else 20_000):
+                    b = whole.slice(at, 512 if step == ("blocks", 64) else 20_000)
+                    keys, chosen, need, norm, rest, sig = self.keyed(step, b.column(1), b.column(2), b.column(6) if deep else None, np.asarray(b.column(5)) if deep else None)
+                    each = keys.shape[1]
+                    rep = lambda x, t: pa.array(np.repeat(np.asarray(x), each).astype(t))  # noqa: E731,B023
+                    flat = keys.ravel()
+                    if what == "sizes":
+                        found, place = np.unique(flat, return_inverse=True)
+                        count = lambda c: np.bincount(place, np.repeat(np.asarray(b.column(c).to_pylist(), float), each), len(found)).astype(np.int64)  # noqa: E731,B023
+                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count(3)), pa.array(count(4))], ["key", "l", "r"])
+                    elif what == "held":
+                        terms = chosen.reshape(len(flat), -1).astype(np.int16)
+                        yield pa.RecordBatch.from_arrays([rep(b.column(0), np.int64), pa.array(flat), pa.array([x.tobytes() for x in terms], pa.binary())], ["cid", "key", "held"])
+                    else:
+                        cols = [rep(b.column(0), np.int64), pa.array(flat), rep(need, np.float32), rep(norm, np.float32), rep(rest, np.float32), rep(sig, np.int64)]
+                        yield pa.RecordBatch.from_arrays(cols, ["cid", "key", "need", "norm", "rest", "sig"])
 
         return run
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them."""
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+    return x ^ (x >> np.uint64(31))
+
+
+def blanked(terms: np.ndarray, side: np.ndarray, blocks: int, differ: int) -> np.ndarray:
+    """[board, choice] keys of boards with every choice of ``differ`` of their ``blocks`` left out."""
+    code = _mixed(np.arange(1, TERMS + 1, dtype=np.uint64))
+    of = code[terms].reshape(len(terms), blocks, 64 // blocks).sum(2, dtype=np.uint64)
+    out = list(combinations(range(blocks), differ))
+    gone = np.zeros((len(terms), len(out)), np.uint64)
+    for j in range(differ):
+        gone += of[:, [c[j] for c in out]]
+    kept = of.sum(1, dtype=np.uint64)[:, None] - gone + _mixed(side.astype(np.uint64) + np.uint64(TERMS + 7))[:, None]
+    return _mixed(kept ^ _mixed(np.arange(len(out), dtype=np.uint64) + np.uint64(1 << 40))[None, :]).view(np.int64)
+
+
 #: What the bound may fall short by through 32-bit storage.
 SLACK = 1e-2
 
 
-def _pruned(left: DataFrame, right: DataFrame, on: list[str], differ: int) -> DataFrame:
+def _pruned(left: DataFrame, right: DataFrame, differ: int) -> DataFrame:
     """Pairs of equal lists whose greatest possible dot product reaches what both need and whose ranks are near enough."""
     a, b = left.alias("a"), right.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in on]
     front = F.least(F.col("a.norm") - F.col("a.rest"), F.col("b.norm") - F.col("b.rest"))
     bound = front + F.sqrt(F.col("a.rest") * F.col("b.rest")) + F.lit(SLACK)
-    return a.join(b, [*same, bound >= F.greatest("a.need", "b.need"), ranks_apart(F.col("a.sig"), F.col("b.sig")) <= differ]).select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
+    near = ranks_apart(F.col("a.sig"), F.col("b.sig")) <= differ
+    pairs = a.join(b, [F.col("a.key") == F.col("b.key"), bound >= F.greatest("a.need", "b.need"), near])
+    return pairs.select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b"))
+
+
+def candidates(flat: DataFrame, lists: Lists, hot_pairs: int, sizes_seen: list[int] | None = None) -> DataFrame:
+    """Pairs of boards that may be near: every near pair is among them.
+
+    ``flat``: (``cid``, ``board``, ``side``, ``left``, ``right``). At each of
+    the ``STEPS`` lists of up to ``hot_pairs`` pairs are compared and the boards
+    of the others go on to the next; the last lists hold few boards by
+    construction. ``sizes_seen`` gets the pairs of the longest list compared.
+    """
+    names = ["cid", "board", "side", "left", "right"]
+    todo, found = flat, []
+    for k, step in enumerate(STEPS):
+        into = lambda what, schema, rows=todo, step=step: map_arrow(rows, lists.entries(step, what), schema)
+        last = k + 1 == len(STEPS)
+        hot, near = None, lambda x: x
+        if not last or sizes_seen is not None:
+            sizes = into("sizes", "key bigint, l bigint, r bigint").groupBy("key").agg((F.sum("l") * F.sum("r")).alias("pairs"))
+            sizes = cut(sizes.filter(F.col("pairs") > 0), "sizes") if sizes_seen is not None else sizes
+            if sizes_seen is not None:
+                sizes_seen.append(sizes.filter(F.lit(last) | (F.col("pairs") <= hot_pairs)).agg(F.max("pairs")).first()[0] or 0)
+        if not last:
+            hot = cut(sizes.filter(F.col("pairs") > hot_pairs).select("key"), "hotlists")
+            n_hot = hot.count()
+            near = F.broadcast if n_hot <= BROADCAST_KEYS else (lambda x: x)
+            hot = hot if n_hot else None
+        schema = "cid bigint, key bigint, need float, norm float, rest float, sig bigint"
+        side = lambda which: into("rows", schema, todo.filter(which))  # noqa: E731,B023
+        left, right = side("left"), side("right")
+        if hot is not None:
+            left, right = left.join(near(hot), "key", "left_anti"), right.join(near(hot), "key", "left_anti")
+        found.append(_pruned(left, right, lists.differ))
+        if hot is None:
+            break
+        if STEPS[k + 1][0] == "terms":
+            held = into("held", "cid bigint, key bigint, held binary").join(near(hot), "key", "left_semi")
+            todo = cut(held.join(flat, "cid").select(*names, "key", "held"), "deeper")
+        else:
+            keys = into("rows", schema).join(near(hot), "key", "left_semi").select("cid").distinct()
+            todo = cut(keys.join(flat, "cid").select(*names), "deeper")
+    return reduce(DataFrame.unionByName, found)
 
 
 def near_boards(classes: DataFrame, differ: int = 2, share: int = 3, hot_pairs: int = HOT_PAIRS) -> DataFrame:
@@ -158,41 +253,15 @@ def near_boards(classes: DataFrame, differ: int = 2, share: int = 3, hot_pairs:
     ``classes``: (``cid`` bigint, ``board``, ``side``, ``left`` and ``right``
     booleans), one row for each distinct board and side. Adds ``differing`` and
     the exact weighted ``cosine``. A class that stands on both sides pairs with
-    itself. A list that would give more than ``hot_pairs`` pairs is split by the
-    next heaviest terms of its boards, which is as complete as the first step.
+    itself. A list that would give more than ``hot_pairs`` pairs is split
+    further, which loses nothing (:func:`candidates`).
     """
     weights = squared_weights(term_counts(classes))
-    lists = Lists(weights, differ, share)
-    schema = "cid bigint, key bigint, need float, norm float, rest float, sig bigint"
     flat = classes.select("cid", "board", "side", "left", "right")
-    of = lambda which: map_arrow(flat.filter(which).select("cid", "board", "side"), lists.entries(0), schema)
-    left, right = of("left"), of("right")
-    sizes = left.select("key", F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select("key", F.lit(0).alias("l"), F.lit(1).alias("r"))).groupBy("key").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
-    hot = cut(sizes.filter(F.col("l") * F.col("r") > hot_pairs).select("key"), "hotlists")
-    if not hot.count():
-        found = _pruned(left, right, ["key"], differ)
-    else:
-        # hot lists are few: each holds more than 2 * sqrt(hot_pairs) entries
-        cold = lambda x: x.join(hot, "key", "left_anti")
-        found = _pruned(cold(left), cold(right), ["key"], differ)
-        found = found.unionByName(_split_lists(flat, left, right, hot, lists, hot_pairs))
-    found = cut(found.distinct(), "candidates")
+    found = cut(candidates(flat, Lists(weights, differ, share), hot_pairs).distinct(), "candidates")
     return _verified(found, classes, weights, differ)
 
 
-def _split_lists(flat: DataFrame, left: DataFrame, right: DataFrame, hot: DataFrame, lists: Lists, hot_pairs: int) -> DataFrame:
-    """Candidates of the hot lists, from lists keyed by their key and a subset of the next heaviest terms."""
-    share = lists.share
-    places = [F.floor(F.col("key") / F.lit(2 * TERMS ** (share - 1 - j))).cast("bigint") % TERMS for j in range(share)]
-    schema = "cid bigint, key bigint, need float, norm float, rest float, sig bigint, key0 bigint"
-
-    def again(side: DataFrame) -> DataFrame:
-        held = side.join(hot, "key", "left_semi").select("cid", F.array(*places).alias("held"))
-        return map_arrow(held.join(flat, "cid").select("cid", "board", "side", "held"), lists.entries(1), schema)
-
-    return _pruned(again(left), again(right), ["key0", "key"], lists.differ)
-
-
 def _verified(pairs: DataFrame, classes: DataFrame, weights: np.ndarray, differ: int) -> DataFrame:
     a = classes.select(F.col("cid").alias("cid_a"), F.col("board").alias("board_a"))
     b = classes.select(F.col("cid").alias("cid_b"), F.col("board").alias("board_b"))
@@ -256,3 +325,16 @@ def overlap_report(members: DataFrame, near: DataFrame) -> DataFrame:
     exact = F.when(F.col("differing") == 0, pairs).otherwise(F.lit(0))
     per = each.groupBy("split", "source", "cid_a", "n").agg(F.sum(pairs).alias("p"), F.sum(exact).alias("e"))
     return per.groupBy("split", "source").agg(F.sum("n").alias("rows_hit"), F.sum("p").alias("pairs"), F.sum("e").alias("exact_pairs"))
+
+
+def class_pairs(near: DataFrame) -> DataFrame:
+    """(``class_a`` held out, ``class_b`` trained on, ``differing``): the pairs of boards, copies not expanded."""
+    return near.select(F.col("cid_a").alias("class_a"), F.col("cid_b").alias("class_b"), F.col("differing").cast("bigint").alias("differing"))
+
+
+def class_members(members: DataFrame, near: DataFrame) -> DataFrame:
+    """(``position_id``, ``class_id``, ``links``): every row of the splits with the class of its board and the boards across the split that this is linked to."""
+    ends = near.select(F.col("cid_a").alias("cid"), F.lit(True).alias("left")).unionByName(near.select(F.col("cid_b").alias("cid"), F.lit(False).alias("left")))
+    links = ends.groupBy("cid", "left").agg(F.count(F.lit(1)).alias("links"))
+    rows = members.select("position_id", "cid", "left").join(links, ["cid", "left"], "left")
+    return rows.select("position_id", F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

@@ -1,8 +1,10 @@
 """Problem 9: oversized texts cut at natural boundaries into overlapping pieces.
 
 Balanced targets: the fewest pieces that can hold the text get ends at equal
-distances; every end snaps to the strongest boundary near it; when a piece
-then breaks the limit, the text is cut anew into one piece more.
+distances; every end snaps to the strongest boundary near it. When a piece
+can't keep the limit, or its end had to go far from its target, what is left of
+the text is planned anew, with a piece more if need be; what was cut stays, so
+that the work grows as the text.
 """
 
 from __future__ import annotations
@@ -11,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyforge.llm.tokens import VOCABULARY, encoder
+from plyforge.functions.boards import WS_CLASS, strip
+from plyforge.llm.tokens import VOCABULARY, encoder, with_token_counts
 from plyforge.session import map_arrow
 
 LIMIT, OVERLAP = 2048, 128
@@ -26,6 +29,13 @@ STOPS = np.array([ord(x) for x in ".!?…"], np.uint32)
 CLOSERS = np.array([ord(x) for x in "\"')]}»”’"], np.uint32)
 
 
+def _one_of(code: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Which code points are among some, by a table."""
+    table = np.zeros(int(some.max()) + 2, bool)
+    table[some] = True
+    return table[np.minimum(code, len(table) - 1)]
+
+
 class Text:
     """A text with its token boundaries as places between characters, and the strength of each."""
 
@@ -38,7 +48,7 @@ class Text:
         self.n_tokens = len(ends) - 1
         # boundary t lies before token t; one inside a character counts as before that character
         self.at = np.searchsorted(np.append(starts, len(raw)), ends, "right") - 1
-        self.space = np.isin(self.code, SPACES)
+        self.space = _one_of(self.code, SPACES)
         self.strength = self._strengths()
 
     def _strengths(self) -> np.ndarray:
@@ -52,10 +62,10 @@ class Text:
         s = np.zeros(n + 1, np.int8)
         before, after = space[: n - 1], space[1:]
         s[1:n][before | after] = 1
-        closing = np.isin(code, CLOSERS)
+        closing = _one_of(code, CLOSERS)
         inner = np.where(space | closing, -1, np.arange(n))
         word_end = np.maximum.accumulate(inner) if n else inner
-        ended = (last >= 0) & (word_end >= 0) & np.isin(code[np.maximum(word_end, 0)], STOPS)
+        ended = (last >= 0) & (word_end >= 0) & _one_of(code[np.maximum(word_end, 0)], STOPS)
         here = np.zeros(n + 1, bool)
         here[1:] = ended
         s[(s == 1) & here] = 2
@@ -79,40 +89,62 @@ class Text:
         n = self.n_tokens
         if n <= limit:
             return [(0, len(self.code), n, 4, 0)]
-        pieces = max(2, -(-(n - overlap) // (limit - overlap)))
-        while True:
-            done = self._try(pieces, limit, overlap)
-            if done:
-                return done
-            pieces += 1
-
-    def _try(self, pieces: int, limit: int, overlap: int) -> list[tuple[int, int, int, int, int]]:
-        n, at, step = self.n_tokens, self.at, (self.n_tokens - overlap) / pieces
+        out: list[tuple[int, int, int, int, int]] = []
+        start, shared, pieces, failed = 0, 0, 0, 0
+        while start + overlap < n or not out:
+            fewest = max(1, -(-(n - overlap - start) // (limit - overlap)))
+            got, left = self._cut_on(start, max(fewest, pieces), limit, overlap)
+            for begin, end, tokens in got:
+                a, b = int(self.at[begin]), int(self.at[end])
+                out.append((a, b, tokens, int(self.strength[b]), shared))
+                start, shared = end - overlap, overlap
+                if end == n:
+                    return out
+            # a plan that failed at once gets a piece more, then two, then four
+            failed = 0 if got else failed + 1
+            pieces = left + 2 ** (failed - 1) if failed else 0
+        return out
+
+    def _cut_on(self, begin: int, pieces: int, limit: int, overlap: int) -> tuple[list[tuple[int, int, int]], int]:
+        """((start, end, tokens) of pieces from token ``begin`` on, as long as a plan of so many pieces works; how many it had left)."""
+        n, step = self.n_tokens, (self.n_tokens - overlap - begin) / pieces
         reach = max(1, min(int(step / 3), limit // 8))
-        out, start = [], 0
+        got, start = [], begin
         for i in range(1, pieces + 1):
-            if i == pieces:
-                end = n
+            target = begin + overlap + round(i * step)
+            top = min(start + limit, n - 1)
+            for _ in range(8):
+                end, far = (n, False) if i == pieces else self._end(start + overlap + 1, target, top, reach)
+                if end < 0 or end - start > limit:
+                    return got, pieces - i + 1
+                tokens = len(self.enc.encode_ordinary(self.text[self.at[start] : self.at[end]])) if self.at[end] > self.at[start] else limit + 1
+                if tokens <= limit:
+                    break
+                if i == pieces:
+                    return got, 1
+                top = end - 1  # a little shorter
             else:
-                target = overlap + round(i * step)
-                low, high = max(start + overlap + 1, target - reach), min(target + reach, start + limit, n - 1)
-                if low > high:
-                    return []
-                spots = np.arange(low, high + 1)
-                strength = self.strength[at[spots]]
-                best = strength.max()
-                good = spots[strength == best]
-                end = int(good[np.argmin(np.abs(good - target))])
-            a, b = int(at[start]), int(at[end])
-            if b <= a:
-                return []
-            tokens = len(self.enc.encode_ordinary(self.text[a:b]))
-            if tokens > limit:
-                return []
-            shared = 0 if i == 1 else previous - start
-            out.append((a, b, tokens, int(self.strength[b]), shared))
-            previous, start = end, end - overlap
-        return out
+                return got, pieces - i + 1
+            got.append((start, end, tokens))
+            start = end - overlap
+            if far:
+                return got, pieces - i
+        return got, 0
+
+    def _end(self, low: int, target: int, top: int, reach: int) -> tuple[int, bool]:
+        """(token at which to end, whether it is far from the target): the strongest boundary near the target, else any natural one in reach of the limit, else the target; -1 if nothing is left."""
+        near = np.arange(max(low, target - reach), min(target + reach, top) + 1)
+        if len(near):
+            strength = self.strength[self.at[near]]
+            best = strength.max()
+            if best > 0:
+                good = near[strength == best]
+                return int(good[np.argmin(np.abs(good - target))]), False
+        every = np.arange(low, top + 1)
+        good = every[self.strength[self.at[every]] > 0]
+        if len(good):
+            return int(good[np.argmin(np.abs(good - target))]), True
+        return (int(near[np.argmin(np.abs(near - target))]), False) if len(near) else (-1, False)
 
 
 def token_lengths(enc) -> np.ndarray:
@@ -128,16 +160,16 @@ def cut_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, w
     characters from 0; consecutive pieces share ``overlap`` tokens of the text
     as encoded whole (where a token boundary falls inside a character, the
     piece begins with that character). Every piece has at most ``limit``
-    tokens. Stretches without white space are cut inside when nothing better is
-    near.
+    tokens. A text is cut inside a word only where no natural end lies within
+    the piece's limit.
 
     Null, empty and shorter texts give no row; repeated rows give repeated
     pieces; extra columns are ignored. Texts are cut in the tasks that scan
     them: nothing is shuffled. A text of at most ``limit`` bytes can't have
     more tokens than that and isn't encoded.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be less than half the limit")
+    if limit < 16 or not 0 <= overlap < limit // 2:
+        raise ValueError("the limit must be at least 16, and the overlap less than half of it")
     schema = "doc_id bigint, piece int, pieces int, char_start int, char_end int, n_tokens int, shared_tokens int, ends_at string, unbreakable bigint" + (", piece_text string" if with_text else "")
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()] + [pa.string()] * with_text
     names = [x.split()[0] for x in schema.split(", ")]
@@ -168,3 +200,35 @@ def cut_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, w
 
     long = docs.filter(F.octet_length("text") > limit).select("doc_id", "text")
     return map_arrow(long, run, schema)
+
+
+def broken_rules(docs: DataFrame, pieces: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, path: str = VOCABULARY) -> DataFrame:
+    """(``rule``, ``violations``) of pieces with their texts against the documents, told apart by ``doc_id``.
+
+    ``text``: pieces that aren't what stands at their place. ``cover``: texts
+    whose pieces don't follow each other from the first character to the last.
+    ``limit``: pieces of too many tokens, counted anew. ``overlap``: pieces that
+    don't share ``overlap`` tokens with the one before. ``natural``: pieces that
+    end inside a word though white space lies between the end of the piece
+    before and their own. ``missing``: texts too long that weren't cut.
+    """
+    counted = with_token_counts(pieces.withColumn("text", F.col("piece_text")), out="again", path=path)
+    counted = counted.join(docs.select("doc_id", "text"), "doc_id")
+    before = F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("piece"))  # the pieces of one text
+    p = counted.withColumn("before", before)
+    last = F.col("piece") == F.col("pieces")
+    here = F.substr(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    new = F.substr(F.col("text"), F.coalesce(F.col("before"), F.lit(0)) + 1, F.col("char_end") - F.coalesce(F.col("before"), F.lit(0)))
+    start = F.when(F.col("piece") == 1, F.col("char_start") == 0).otherwise((F.col("char_start") <= F.col("before")) & (F.col("before") < F.col("char_end")))
+    rules = {
+        "text": here != F.col("piece_text"),
+        "cover": ~F.coalesce(start, F.lit(False)) | (last != (F.col("char_end") == F.char_length("text"))),
+        "limit": (F.col("again") > limit) | (F.col("again") != F.col("n_tokens")),
+        "overlap": F.col("shared_tokens") != F.when(F.col("piece") == 1, 0).otherwise(overlap),
+        "natural": ~last & (F.col("ends_at") == BOUNDARIES[0]) & strip(new).rlike(WS_CLASS),
+    }
+    counts = p.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
+    tall = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in rules])).alias("x")).select("x.*")
+    long = with_token_counts(docs.select("doc_id", "text"), path=path).filter(F.col("n_tokens") > limit)
+    missing = long.join(pieces.select("doc_id"), "doc_id", "left_anti").agg(F.lit("missing").alias("rule"), F.count(F.lit(1)).alias("violations"))
+    return tall.unionByName(missing)

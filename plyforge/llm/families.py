@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyforge.functions.boards import FIELDS, computed_once, label, position_text, with_record
-from plyforge.operators.skew import HOT_ROWS, with_group_min
+from plyforge.operators.skew import HOT_ROWS, hot_hashes, looked_up, with_group_min
 from plyforge.session import cut, release
 
 
@@ -70,18 +70,28 @@ def position_families(positions: DataFrame, games: DataFrame, hot_rows: int = HO
     (null or repeated) don't matter.
     """
     rows = with_record(positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split")), "fen", fields=FIELDS[:4]).select("position_id", "source", "split", position_text().alias("position"))
-    rows = cut(rows, "parsed")
+    parsed = cut(rows, "parsed")
     # the same position: a star around its smallest id
-    rows = cut(with_group_min(rows, ["position"], "position_id", "same", None, hot_rows), "rows")
+    rows = cut(with_group_min(parsed, ["position"], "position_id", "same", "alike", hot_rows), "rows")
+    release(parsed)
     named = games.filter("game_index is not null").select("fen", label(F.col("source")).alias("source"), F.col("game_index"))
     reached = with_record(named, "fen", fields=FIELDS[:4]).select("source", position_text().alias("position"), "game_index")
-    reached = computed_once(reached, {c: F.col(c) for c in ("source", "position")}).filter("source is not null and position is not null").select("source", "position", F.xxhash64("source", "game_index").alias("game")).distinct()
+    reached = computed_once(reached, {c: F.col(c) for c in ("source", "position")}).filter("source is not null and position is not null")
+    reached = cut(reached.distinct(), "reached")
     placed = rows.filter("source is not null and position is not null").select("source", "position", "same").distinct()
-    occurs = cut(placed.join(reached, ["source", "position"]).select("same", "game"), "occurs")
-    # the same game: a star around the smallest position of the game
-    linked = with_group_min(occurs, ["game"], "same", "first", None, hot_rows).select(F.col("same").alias("u"), F.col("first").alias("v"))
-    found = components(linked, hot_rows)
-    return rows.join(found, F.col("same") == F.col("node"), "left").select("position_id", "split", F.coalesce("component", "same").alias("family_id"))
+    # every game of a source may begin with one position
+    hot = hot_hashes(reached, ["source", "position"], hot_rows) if reached.count() > hot_rows else None
+    occurs = looked_up(reached, placed, ["source", "position"], hot=hot)
+    occurs = cut(occurs.select("same", "source", "game_index"), "occurs")
+    release(reached)
+    # the same game, by its whole name: a star around its smallest position
+    linked = with_group_min(occurs, ["source", "game_index"], "same", "first", None, hot_rows).select(F.col("same").alias("u"), F.col("first").alias("v"))
+    found = cut(components(linked, hot_rows), "components").select(F.col("node").alias("same"), "component")
+    release(occurs)
+    # as a position knows how often it stands there, hot ones needn't be counted again
+    hot = cut(rows.filter((F.col("alike") > hot_rows) & F.col("position").isNotNull()).select(F.xxhash64("same").alias("__h")).distinct(), "hot")
+    out = looked_up(rows.drop("alike"), found, ["same"], "left", hot if hot.limit(1).count() else None)
+    return out.select("position_id", "split", F.coalesce("component", "same").alias("family_id"))
 
 
 def broken_families(families: DataFrame) -> DataFrame:
@@ -90,27 +100,33 @@ def broken_families(families: DataFrame) -> DataFrame:
     return families.join(spread, "family_id", "left_semi").select("position_id", "family_id")
 
 
-def assign_splits(families: DataFrame, shares: dict[str, float], seed: str = "families-v1", large: float = 0.01) -> DataFrame:
+def assign_splits(families: DataFrame, shares: dict[str, float], seed: str = "families-v1", pinned: DataFrame | None = None) -> DataFrame:
     """(``position_id``, ``family_id``, ``new_split``): one split for each family, near the shares in rows.
 
-    A family goes where its hash falls in the ranges of the shares. Families
-    of more than ``large`` of all rows would throw small splits off; they go
-    to the split of the largest share, whose range is narrowed by what they
-    hold, so that the proportions still come out.
+    A family goes where its hash falls in the ranges of the shares, which
+    follow each other in the order given. So its split depends on its id alone:
+    whatever else is added, a family that didn't merge stays. A family so large
+    that it upsets the proportions (:func:`large_families`) is moved only by
+    naming it in ``pinned`` (``family_id``, ``split``; each family once).
     """
     if abs(sum(shares.values()) - 1) > 1e-9:
         raise ValueError("shares must sum to 1")
-    sizes = families.groupBy("family_id").agg(F.count(F.lit(1)).alias("n"))
-    rows = max(1, families.count())
-    big = cut(sizes.filter(F.col("n") > large * rows).select("family_id", (F.col("n") / rows).alias("held")), "big")
-    held = big.agg(F.coalesce(F.sum("held"), F.lit(0.0))).first()[0]  # at most 1/large rows
-    main = max(shares, key=lambda s: shares[s])
-    u: Column = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("family_id").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    left = {s: max(0.0, x - held) if s == main else x for s, x in shares.items()}
-    scale, at, chosen = sum(left.values()) or 1.0, 0.0, None
-    for s in [x for x in shares if x != main]:
-        at += left[s] / scale
+    digest = F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("family_id").cast("string")), 256)
+    u: Column = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    *others, last = shares
+    at, chosen = 0.0, None
+    for s in others:
+        at += shares[s]
         chosen = F.when(u < at, s) if chosen is None else chosen.when(u < at, s)
-    chosen = F.lit(main) if chosen is None else chosen.otherwise(main)
-    marked = families.join(F.broadcast(big), "family_id", "left")  # at most 1/large rows
-    return marked.select("position_id", "family_id", F.when(F.col("held").isNotNull(), main).otherwise(chosen).alias("new_split"))
+    chosen = F.lit(last) if chosen is None else chosen.otherwise(last)
+    if pinned is None:
+        return families.select("position_id", "family_id", chosen.alias("new_split"))
+    marked = families.join(pinned.select("family_id", F.col("split").alias("__to")), "family_id", "left")
+    return marked.select("position_id", "family_id", F.coalesce("__to", chosen).alias("new_split"))
+
+
+def large_families(assigned: DataFrame, share: float = 0.01) -> DataFrame:
+    """(``family_id``, ``rows``, ``new_split``) of every family that holds more than ``share`` of all rows."""
+    sizes = cut(assigned.groupBy("family_id").agg(F.count(F.lit(1)).alias("rows"), F.min("new_split").alias("new_split")), "sizes")
+    every = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return sizes.filter(F.col("rows") > F.lit(share * every)).select("family_id", "rows", "new_split")

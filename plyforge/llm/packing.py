@@ -151,3 +151,27 @@ def container_fill(contents: DataFrame, capacity: int = 8192) -> DataFrame:
 def divided(contents: DataFrame) -> DataFrame:
     """(``doc_id``) of every text that had to be divided."""
     return contents.filter("piece = 1").select("doc_id")
+
+
+def broken_rules(docs: DataFrame, contents: DataFrame, capacity: int = 8192, windows: int = WINDOWS, path: str = VOCABULARY) -> DataFrame:
+    """(``rule``, ``violations``) of containers against the texts they hold, told apart by ``doc_id``, whose tokens are counted anew.
+
+    ``cover``: texts whose pieces aren't the whole text, each token once.
+    ``divided``: texts that fit a container and were divided. ``capacity``:
+    containers of too many tokens. ``half_empty`` and ``containers``: by how
+    many more than ``windows`` containers are less than half full, and by how
+    many there are more than the fewest possible, a hundredth and ``windows``.
+    """
+    tokens = with_token_counts(docs.select("doc_id", "text"), path=path)
+    end = F.least(F.col("n_tokens"), (F.col("piece") + 1) * capacity)
+    right = (F.col("token_start") == F.col("piece") * capacity) & (F.col("token_end") == end)
+    joined = contents.join(tokens, "doc_id", "right")
+    per = joined.groupBy("doc_id", "n_tokens").agg(F.count("container").alias("pieces"), F.countDistinct("piece").alias("places"), F.count_if(F.coalesce(~right, F.lit(True))).alias("wrong"))
+    due = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity))
+    whole = (F.col("pieces") == due) & (F.col("places") == due) & (F.col("wrong") == 0)
+    texts = per.agg(F.count_if(~whole).alias("cover"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("pieces") > 1)).alias("divided"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
+    fill = container_fill(contents, capacity).agg(F.count_if(F.col("tokens") > capacity).alias("capacity"), F.count_if(F.col("fill") < 0.5).alias("half"), F.count(F.lit(1)).alias("n"))
+    t, f = texts.first(), fill.first()
+    least = -(-t.total // capacity)
+    found = {"cover": t.cover, "divided": t.divided, "capacity": f.capacity, "half_empty": max(0, f.half - windows), "containers": max(0, f.n - least - least // 100 - windows)}
+    return docs.sparkSession.createDataFrame([(k, int(v)) for k, v in found.items()], "rule string, violations bigint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from plyforge.functions.boards import label, sha_label
 from plyforge.llm import copies, crosssplit, cutting, families, mixing, packing, ranking, sample
 from plyforge.llm.sql import oracle_sql  # noqa: F401 - read beside queries()
-from plyforge.session import cut, table
+from plyforge.session import cut, shared_dir, table
 
 #: Shares of the new splits, and of the reproducible sample.
 SPLITS = {"train": 0.9, "validation": 0.05, "test": 0.05}
@@ -35,6 +36,14 @@ def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     return counts(positions, "").join(counts(chosen, "sample_"), "split", "left").withColumn("share", F.col("sample_keys") / F.col("keys"))
 
 
+def p1_growth(spark: SparkSession, d: str) -> DataFrame:
+    """The sample while the table grows, loses rows, and gets rows of old and unknown intakes, under one kept list."""
+    p = table(spark, d, "positions")
+    states = [p.filter("coalesce(intake_no, 0) <= 6"), p.filter("intake_no >= 4"), p]
+    manifest = f"{shared_dir(spark).rstrip('/')}/sample-list-{uuid.uuid4().hex}"
+    return sample.growth(states, _sample_key(), label(F.col("split")), F.col("intake_no"), manifest, share=SAMPLE)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_pairs(*crosssplit.cross_split(table(spark, d, "positions")))
 
@@ -43,6 +52,16 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return crosssplit.overlap_report(*crosssplit.cross_split(table(spark, d, "positions")))
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of boards across the splits, copies not expanded."""
+    return crosssplit.class_pairs(crosssplit.cross_split(table(spark, d, "positions"))[1])
+
+
+def p2_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of the splits concerned with its class and how many boards across the split are linked to it."""
+    return crosssplit.class_members(*crosssplit.cross_split(table(spark, d, "positions")))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copy_links(table(spark, d, "positions"))
 
@@ -76,6 +95,11 @@ def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
     return families.assign_splits(_families(spark, d), SPLITS)
 
 
+def p6_large(spark: SparkSession, d: str) -> DataFrame:
+    """Families of over a thousandth of all rows, with where they go."""
+    return families.large_families(p6_assignment(spark, d), 0.001)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.divided(packing.pack_documents(table(spark, d, "documents")))
 
@@ -88,6 +112,12 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.container_fill(packing.pack_documents(table(spark, d, "documents")))
 
 
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """How often the containers break each rule of packing."""
+    docs = table(spark, d, "documents")
+    return packing.broken_rules(docs, packing.pack_documents(docs))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).report.filter("not reachable").select("source")
 
@@ -100,6 +130,16 @@ def p8_drawn(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).drawn
 
 
+def p8_margins(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of languages and topics, wanted and reached."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")).margins
+
+
+def p8_check(spark: SparkSession, d: str) -> DataFrame:
+    """How often the drawn texts break each rule of the mixture."""
+    return mixing.broken_rules(mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return cutting.cut_documents(table(spark, d, "documents"), with_text=False).filter("piece = 1").select("doc_id", "unbreakable")
 
@@ -108,5 +148,15 @@ def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cutting.cut_documents(table(spark, d, "documents"))
 
 
+def p9_check(spark: SparkSession, d: str) -> DataFrame:
+    """How often the pieces break each rule of cutting."""
+    docs = table(spark, d, "documents")
+    return cutting.broken_rules(docs, cutting.cut_documents(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_sample, p1_shares, p2_found, p2_report, p3_found, p3_records, p5_found, p5_strengths, p5_check, p6_found, p6_assignment, p7_found, p7_contents, p7_fill, p8_found, p8_shares, p8_drawn, p9_found, p9_pieces)}
+    every = (
+        p1_sample, p1_shares, p1_growth, p2_found, p2_report, p2_classes, p2_members, p3_found, p3_records, p5_found, p5_strengths, p5_check,
+        p6_found, p6_assignment, p6_large, p7_found, p7_contents, p7_fill, p7_check, p8_found, p8_shares, p8_drawn, p8_margins, p8_check, p9_found, p9_pieces, p9_check,
+    )
+    return {f.__name__: f for f in every}

@@ -53,24 +53,55 @@ P6_FOUND = f"WITH RECURSIVE {_FAMILIES} SELECT position_id, family_id FROM f WHE
 
 
 _U = "CAST(('0x' || substr(sha256('families-v1' || chr(0) || family_id), 1, 8))::UBIGINT AS DOUBLE) / 4294967296"
-P6_ASSIGNMENT = f"""WITH RECURSIVE {_FAMILIES}, z AS (SELECT family_id, count(*) AS n FROM f GROUP BY 1), big AS (SELECT family_id, n / (SELECT count(*) FROM f)::DOUBLE AS held FROM z WHERE n > 0.01 * (SELECT count(*) FROM f)),
-sc AS (SELECT greatest(0.0, 0.9 - coalesce(sum(held), 0)) + 0.1 AS scale FROM big)
-SELECT position_id, family_id, CASE WHEN family_id IN (SELECT family_id FROM big) THEN 'train' WHEN {_U} < 0.05 / scale THEN 'validation' WHEN {_U} < 0.1 / scale THEN 'test' ELSE 'train' END AS new_split FROM f, sc"""
+_NEW = f"CASE WHEN {_U} < 0.9 THEN 'train' WHEN {_U} < {0.9 + 0.05!r} THEN 'validation' ELSE 'test' END"
+P6_ASSIGNMENT = f"WITH RECURSIVE {_FAMILIES} SELECT position_id, family_id, {_NEW} AS new_split FROM f"
+P6_LARGE = f"WITH RECURSIVE {_FAMILIES} SELECT family_id, count(*) AS rows, {_NEW} AS new_split FROM f GROUP BY 1 HAVING count(*) > 0.001 * (SELECT count(*) FROM f)"
 
 _SHA = f"nullif(regexp_replace({label('fen_sha256')}, '^sha-?256[:=]\\s*', ''), '')"
 _BUCKET = "CAST(('0x' || substr(sha256('sample-v1' || chr(0) || key), 1, 8))::UBIGINT % 4096 AS BIGINT)"
-P1_SAMPLE = f"""WITH k AS (SELECT position_id, {label('split')} AS split, intake_no, coalesce({_SHA}, sha256(fen), 'row ' || position_id) AS key FROM positions),
+
+
+def _marked(where: str = "true") -> str:
+    """Rows with their key, bucket and place, and the length of the list that they need."""
+    return f"""k AS (SELECT position_id, {label('split')} AS split, intake_no, coalesce({_SHA}, sha256(fen), 'row ' || position_id) AS key FROM positions WHERE {where}),
 b AS (SELECT *, {_BUCKET} AS sample_bucket FROM k), m AS (SELECT *, CAST(xor(sample_bucket * 1637 % 4096, (sample_bucket * 1637 % 4096) >> 5) * 2741 % 4096 AS INTEGER) AS sample_place FROM b),
 first AS (SELECT coalesce(split, '') AS split, key, sample_place, min(coalesce(intake_no, -4000000000)) AS intake FROM m GROUP BY 1, 2, 3), moments AS (SELECT DISTINCT split, intake AS i FROM first),
 o AS (SELECT first.split, i, sample_place, row_number() OVER (PARTITION BY first.split, i ORDER BY sample_place) AS rn, count(*) OVER (PARTITION BY first.split, i) AS total FROM first JOIN moments ON first.split = moments.split AND intake <= i),
-l AS (SELECT greatest(205, coalesce(max(sample_place) FILTER (WHERE rn = greatest(0, floor(0.05 * total - 3 * sqrt(0.05 * total)))), 0) + 1) AS longest FROM o)
-SELECT position_id, split, intake_no, sample_bucket, sample_place FROM m, l WHERE sample_place < longest"""
-P1_SHARES = P1_SAMPLE.rsplit("SELECT position_id", 1)[0] + """SELECT coalesce(split, '') AS split, count(*) AS rows, count(DISTINCT key) AS keys, nullif(count(*) FILTER (WHERE sample_place < longest), 0) AS sample_rows,
+l AS (SELECT greatest(205, coalesce(max(sample_place) FILTER (WHERE rn = greatest(0, floor(0.05 * total - 3 * sqrt(0.05 * total)))), 0) + 1) AS longest FROM o)"""
+
+
+P1_SAMPLE = f"WITH {_marked()} SELECT position_id, split, intake_no, sample_bucket, sample_place FROM m, l WHERE sample_place < longest"
+P1_SHARES = f"""WITH {_marked()} SELECT coalesce(split, '') AS split, count(*) AS rows, count(DISTINCT key) AS keys, nullif(count(*) FILTER (WHERE sample_place < longest), 0) AS sample_rows,
   nullif(count(DISTINCT key) FILTER (WHERE sample_place < longest), 0) AS sample_keys, nullif(count(DISTINCT key) FILTER (WHERE sample_place < longest), 0) / count(DISTINCT key)::DOUBLE AS share FROM m, l GROUP BY 1"""
+#: Three states of the table under one list that only grows.
+_STATES = ("coalesce(intake_no, 0) <= 6", "intake_no >= 4", "true")
+_LENGTHS = ", ".join(f"n{i} AS (WITH {_marked(w)} SELECT longest FROM l)" for i, w in enumerate(_STATES))
+P1_GROWTH = f"WITH {_marked()}, {_LENGTHS} " + " UNION ALL ".join(
+    f"SELECT {i + 1} AS step, count(DISTINCT key) AS chosen, 0::BIGINT AS lost FROM m WHERE {w} AND sample_place < (SELECT max(longest) FROM ({' UNION ALL '.join(f'SELECT longest FROM n{j}' for j in range(i + 1))}))" for i, w in enumerate(_STATES)
+)
+
+_CLASSES = f"c AS (SELECT position_id, board, side, split IN ('val', 'challenge', 'fresh') AS held, min(position_id) OVER (PARTITION BY board, side) AS cid FROM ({_SIDES}) WHERE split IN ('val', 'challenge', 'fresh', 'train'))"
+_NEAR = f"{_CLASSES}, n AS (SELECT DISTINCT a.cid AS class_a, b.cid AS class_b, hamming(a.board, b.board) AS differing FROM c a JOIN c b ON a.side = b.side AND a.held AND NOT b.held WHERE hamming(a.board, b.board) <= 2)"
+P2_CLASSES = f"WITH {_NEAR} SELECT class_a, class_b, differing FROM n"
+P2_MEMBERS = f"""WITH {_NEAR}, la AS (SELECT class_a AS cid, count(*) AS k FROM n GROUP BY 1), lb AS (SELECT class_b AS cid, count(*) AS k FROM n GROUP BY 1)
+SELECT position_id, c.cid AS class_id, coalesce(CASE WHEN held THEN la.k ELSE lb.k END, 0) AS links FROM c LEFT JOIN la ON c.cid = la.cid LEFT JOIN lb ON c.cid = lb.cid"""
 
 #: Certificates: queries of what breaks a rule, which nothing may do.
 P5_CHECK = "SELECT '' AS network_sha256, 0.0::DOUBLE AS slope WHERE false"
 
 
+def _none(*rules: str) -> str:
+    return " UNION ALL ".join(f"SELECT '{r}' AS rule, 0::BIGINT AS violations" for r in rules)
+
+
+P7_CHECK = _none("cover", "divided", "capacity", "half_empty", "containers")
+P8_CHECK = _none("cap", "share", "full", "reachable", "margin")
+P9_CHECK = _none("text", "cover", "limit", "overlap", "natural", "missing")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_sample": P1_SAMPLE, "p1_shares": P1_SHARES, "p2_report": P2_REPORT, "p6_assignment": P6_ASSIGNMENT, "p2_found": P2_FOUND, "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p6_found": P6_FOUND, "p5_check": P5_CHECK}
+    return {
+        "p1_sample": P1_SAMPLE, "p1_shares": P1_SHARES, "p1_growth": P1_GROWTH, "p2_found": P2_FOUND, "p2_report": P2_REPORT, "p2_classes": P2_CLASSES, "p2_members": P2_MEMBERS,
+        "p3_found": P3_FOUND, "p3_records": P3_RECORDS, "p5_check": P5_CHECK, "p6_found": P6_FOUND, "p6_assignment": P6_ASSIGNMENT, "p6_large": P6_LARGE,
+        "p7_check": P7_CHECK, "p8_check": P8_CHECK, "p9_check": P9_CHECK,
+    }

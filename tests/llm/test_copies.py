@@ -48,3 +48,11 @@ def test_repeated_rows_empty_and_clashing_columns(spark):
 def test_very_long_text(spark):
     df = spark.createDataFrame([(1, "x " * 200_000, 0, 1), (2, "x  " * 200_000, 0, 1)], SCHEMA)
     assert [tuple(r) for r in copies.copy_links(df).collect()] == [(1, 2)]
+
+
+def test_records_of_null_ids_are_told_apart(spark):
+    a, b = "8/8/8/8/8/8/8/K6k w - - 0 1", "8/8/8/8/8/8/8/K5k1 w - - 0 1"
+    rows = [(None, a, None, None), (None, a, None, None), (None, b, None, None), (None, None, None, None), (None, "", None, None), (4, b, None, None), (9, None, None, None)]
+    df = spark.createDataFrame(rows, "position_id bigint, fen string, halfmove_clock int, fullmove_number int")
+    got = sorted((r.keep_id or 0, r.copies) for r in copies.records(df).collect())
+    assert got == [(0, 1), (0, 1), (0, 2), (4, 2), (9, 1)]

@@ -115,3 +115,36 @@ def test_nulls_empty_and_clashing_columns(spark):
     rows = [(1, b, None, "val"), (2, b, None, "train"), (3, None, "s", "train"), (4, "junk", "s", "val"), (5, b, "s", None), (6, b + "x" * 100_000, "s", "val")]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("cid", F.lit("x")).withColumn("board", F.lit("y")).withColumn("left", F.lit(1))
     assert found(df)[2] == {(1, 2), (2, 6)}
+
+
+def test_no_list_stays_hot(spark):
+    """Thousands of boards with three or four pieces, which share nearly everything."""
+    rng, seen = random.Random(11), set()
+    while len(seen) < 2500:
+        b = ["."] * 64
+        for x in "kK" + "".join(rng.choice("Pp") for _ in range(rng.randrange(1, 3))):
+            b[rng.randrange(24) if x in "kK" else rng.randrange(24, 64)] = x
+        seen.add("".join(b))
+    bs = sorted(seen)
+    flat = spark.createDataFrame([(i, b, "w", i % 2 == 0, i % 2 == 1) for i, b in enumerate(bs)], "cid bigint, board string, side string, left boolean, right boolean")
+    weights = cs.squared_weights(cs.term_counts(flat))
+    longest, hot = [], 60
+    pairs = {tuple(r) for r in cs.candidates(flat, cs.Lists(weights, 2, 3), hot, longest).collect()}
+    assert len(longest) > 2 and max(longest[:-1]) <= hot and longest[-1] <= 169 * 169
+    grid = np.stack([np.frombuffer(b.encode(), np.uint8) for b in bs])
+    near = {(i, j) for i in range(0, len(bs), 2) for j in np.flatnonzero((grid != grid[i]).sum(1) <= 2).tolist() if j % 2}
+    assert near <= pairs and len(near) > 1000
+
+
+def test_classes_and_members(spark):
+    rows, df = table(spark, 300, 5)
+    members, near, pairs = found(df)
+    per = {}
+    for r in cs.class_members(members, near).collect():
+        per[r.position_id] = r
+    classes = {(r.class_a, r.class_b) for r in cs.class_pairs(near).collect()}
+    side = {i: (s or "").strip().lower() for i, _, _, s in rows}
+    expanded = {(min(a, b), max(a, b)) for a in per for b in per if side[a] != "train" and side[b] == "train" and (per[a].class_id, per[b].class_id) in classes}
+    assert expanded == pairs
+    for i, r in per.items():
+        assert r.links == sum(c[0 if side[i] != "train" else 1] == r.class_id for c in classes)

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +102,43 @@ def test_stronger_boundaries_win():
     assert len(cut) == 2 and text[: cut[0][1]].endswith("\n\n")
 
 
+def pieces_of(text, limit=2048, overlap=128):
+    enc = encoder()
+    t = cutting.Text(text, enc, cutting.token_lengths(enc))
+    return t, t.cut(limit, overlap)
+
+
+def test_words_are_cut_only_where_no_natural_end_is_in_reach():
+    """Stretches without white space of 500 to 1,900 tokens, wherever the targets fall."""
+    rng = random.Random(3)
+    parts = []
+    for _ in range(60):
+        parts.append("".join(rng.choice("abcXYZ0189+/") for _ in range(rng.randrange(800, 2800))))
+        parts.append(" " + words(rng.randrange(5, 120), rng.random()))
+    t, got = pieces_of("".join(parts))
+    for a, b, n, strength, _ in got[:-1]:
+        assert n <= 2048
+        if strength == 0:
+            at = list(t.at)
+            begin = next(i for i, x in enumerate(at) if x == a)
+            inside = [i for i in range(begin + 130, min(begin + 2030, len(at))) if t.strength[at[i]] > 0]
+            assert not inside, (a, b)
+
+
+def test_time_grows_as_the_text():
+    unit = words(40_000, 8)
+    took = []
+    for times in (4, 40):
+        text = unit * times
+        began = time.perf_counter()
+        t, got = pieces_of(text)
+        took.append((time.perf_counter() - began) / len(text))
+        assert got[0][0] == 0 and got[-1][1] == len(text) and max(n for _, _, n, *_ in got) <= 2048
+        least = -(-(t.n_tokens - 128) // 1920)
+        assert least <= len(got) <= least * 1.15 + 2
+    assert took[1] < took[0] * 2.5
+
+
 def test_other_limits_and_bad_ones(spark):
     df = spark.createDataFrame(TEXTS[:3], DOCS)
     out = cutting.cut_documents(df, limit=100, overlap=10, with_text=False).collect()
@@ -119,3 +157,14 @@ def test_counts_of_tokens(spark):
 
 def test_empty(spark):
     assert cutting.cut_documents(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_rules_tell_what_is_broken(spark):
+    docs = spark.createDataFrame(TEXTS, DOCS)
+    cuts = cutting.cut_documents(docs)
+    broken = lambda p: {r.rule: r.violations for r in cutting.broken_rules(docs, p).collect()}
+    assert set(broken(cuts).values()) == {0}
+    assert broken(cuts.filter("doc_id <> 1"))["missing"] == 1
+    assert broken(cuts.filter("piece <> 2 or doc_id <> 12"))["cover"] > 0
+    assert broken(cuts.withColumn("char_start", F.greatest(F.lit(0), F.col("char_start") - 1)))["text"] > 0
+    assert broken(cuts.withColumn("ends_at", F.lit("inside a word")))["natural"] > 0

@@ -15,7 +15,7 @@ def dirty(request, spark, small, tmp_path_factory):
     return request.param, str(target)
 
 
-@pytest.mark.parametrize("name", ["p1_sample", "p2_found", "p2_report", "p3_found", "p3_records", "p5_strengths", "p6_found", "p6_assignment", "p7_contents", "p8_drawn", "p8_shares", "p9_pieces"])
+@pytest.mark.parametrize("name", ["p1_sample", "p2_found", "p2_report", "p2_members", "p3_found", "p3_records", "p5_strengths", "p5_check", "p6_found", "p6_assignment", "p7_contents", "p8_drawn", "p8_shares", "p9_pieces"])
 def test_survives(spark, small, dirty, name):
     kind, at = dirty
     got = llm.queries()[name](spark, at)

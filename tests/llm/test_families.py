@@ -108,12 +108,35 @@ def test_assignment_keeps_families_and_proportions(spark):
         assert abs(sum(r.new_split == s for r in got) / 8000 - x) < 0.015
 
 
-def test_a_family_of_a_third_of_all_rows_does_not_skew_the_shares(spark):
-    rows = [(i, None, 0 if i % 3 == 0 else i) for i in range(9000)]
+def test_no_family_moves_when_others_come_or_grow(spark):
+    shares = {"train": 0.9, "validation": 0.05, "test": 0.05}
+    at = lambda rows: {r.family_id: r.new_split for r in fam.assign_splits(spark.createDataFrame(rows, "position_id bigint, split string, family_id bigint"), shares).collect()}
+    rows = [(i, None, i // 4) for i in range(4000)]
+    before, after = at(rows), at(rows + [(10_000 + i, None, 0 if i % 2 else 5000 + i) for i in range(6000)])
+    assert all(after[f] == s for f, s in before.items()) and len(after) > len(before)
+
+
+def test_large_families_are_told_and_moved_by_name(spark):
+    rows = [(i, None, 3 if i % 3 == 0 else i) for i in range(9000)]
     df = spark.createDataFrame(rows, "position_id bigint, split string, family_id bigint")
-    got = fam.assign_splits(df, {"train": 0.9, "validation": 0.05, "test": 0.05}).collect()
-    assert {r.new_split for r in got if r.family_id == 0} == {"train"}
-    assert abs(sum(r.new_split == "validation" for r in got) / 9000 - 0.05) < 0.01
+    shares = {"train": 0.9, "validation": 0.05, "test": 0.05}
+    free = fam.assign_splits(df, shares)
+    assert [(r.family_id, r.rows) for r in fam.large_families(free).collect()] == [(3, 3000)]
+    pinned = spark.createDataFrame([(3, "test"), (99_999, "test")], "family_id bigint, split string")
+    bound = {(r.position_id, r.family_id): r.new_split for r in fam.assign_splits(df, shares, pinned=pinned).collect()}
+    assert len(bound) == 9000
+    for r in free.collect():
+        assert bound[r.position_id, r.family_id] == ("test" if r.family_id == 3 else r.new_split)
+
+
+def test_hot_beginning_of_every_game_of_a_source(spark):
+    """A third of all rows reach one position, and one position holds a third of the rows."""
+    games = spark.range(6000).selectExpr("'s' AS source", "id AS game_index", "1 AS ply", f"'{fen(0)}' AS fen")
+    for k in (1, 2):
+        games = games.unionByName(spark.range(6000).selectExpr("'s' AS source", "id AS game_index", f"{k + 1} AS ply", f"concat('{fen(0)[:-2]}', substr('abcdefgh', id % 8 + 1, 1), {k + 1}) AS fen"))
+    rows = [(i, fen(0) if i % 3 == 0 else fen(0)[:-2] + "abcdefgh"[i % 8] + str(2 + i % 2), "s", "train") for i in range(900)]
+    out = fam.position_families(spark.createDataFrame(rows, P), games, hot_rows=200).collect()
+    assert len(out) == 900 and {r.family_id for r in out} == {0}
 
 
 def test_empty_tables(spark):

@@ -81,3 +81,35 @@ def test_empty_tables_and_clashing_columns(spark):
     assert out.drawn.collect() == [] and [r.source for r in out.report.collect()] == ["notes"]
     out = mixing.mix(corpus(spark, 50).withColumn("key", F.lit(1)).withColumn("times", F.lit(2)).withColumn("z", F.lit(3)), spark.createDataFrame([], TARGETS))
     assert out.drawn.collect() == [] and out.report.collect() == []
+
+
+def test_many_sources_are_fitted_where_they_lie(spark):
+    docs = corpus(spark, 800)
+    targets = spark.createDataFrame([("match_bulletin", 0.3, 4), ("notes", 0.4, 4), ("logs", 0.25, 2), ("absent", 0.05, 3)], TARGETS)
+    rows = lambda m: (sorted(map(tuple, m.drawn.collect())), sorted(map(tuple, m.report.collect())))
+    assert rows(mixing.mix(docs, targets)) == rows(mixing.mix(docs, targets, most_sources=0))
+
+
+def test_more_sources_than_the_driver_holds(spark):
+    n = mixing.MOST_SOURCES + 50
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(" chess move").alias("text"), F.lit("en").alias("lang"), F.concat(F.lit("s"), "id").alias("source"), F.lit("log").alias("doc_kind"))
+    targets = spark.range(n).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(1.0 / n).alias("target_share"), F.lit(2).alias("max_repeats"))
+    out = mixing.mix(docs, targets)
+    assert out.drawn.count() == n and out.report.filter("reachable").count() == n
+
+
+def test_reachable_is_a_matter_of_the_budget(spark):
+    docs = corpus(spark, 600)
+    targets = spark.createDataFrame([("match_bulletin", 0.5, 1), ("notes", 0.5, 1)], TARGETS)
+    assert {r.reachable for r in mixing.mix(docs, targets, budget=2_000).report.collect()} == {True}
+    assert {r.reachable for r in mixing.mix(docs, targets, budget=10**9).report.collect()} == {False}
+
+
+def test_margins_are_reported(spark):
+    docs = corpus(spark, 3000)
+    targets = spark.createDataFrame([("match_bulletin", 0.5, 3), ("notes", 0.5, 3)], TARGETS)
+    out = mixing.mix(docs, targets, language_shares={"en": 0.5, "de": 0.5})
+    got = {(r.dimension, r.name): r for r in out.margins.collect()}
+    assert got["language", "en"].share_wanted == 0.5 and abs(got["language", "en"].share_reached - 0.5) < 0.03
+    assert sum(r.share_reached for r in got.values()) == pytest.approx(2)
+    assert set(out.error) == {"language", "topic"}

@@ -87,3 +87,14 @@ def test_null_and_repeated_ids(spark):
     assert tokens == {1: 18200, None: 9100, 2: 50}
     fill = packing.container_fill(out).collect()
     assert max(r.tokens for r in fill) <= 8192
+
+
+def test_rules_tell_what_is_broken(spark):
+    docs = spark.createDataFrame([(i, " chess" * (200 + 37 * i % 900)) for i in range(60)] + [(99, " chess" * 20_000), (100, "")], "doc_id bigint, text string")
+    contents = packing.pack_documents(docs)
+    broken = lambda c: {r.rule: r.violations for r in packing.broken_rules(docs, c, windows=4).collect()}
+    assert set(broken(contents).values()) == {0}
+    assert broken(contents.filter("doc_id <> 7"))["cover"] == 1
+    assert broken(contents.unionByName(contents.filter("doc_id = 7")))["cover"] == 1
+    assert broken(contents.withColumn("container", F.lit("one")))["capacity"] == 1
+    assert broken(contents.withColumn("container", F.col("doc_id").cast("string")))["containers"] > 0

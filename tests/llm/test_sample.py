@@ -87,3 +87,29 @@ def test_clashing_columns_pass_through(spark):
     df = spark.range(100).select("id", F.col("id").cast("string").alias("k"), F.lit(1).alias("place"), F.lit("x").alias("split"), F.lit(2).alias("length"))
     out = sample.nested_sample(df, F.col("k"), F.lit("train"), F.lit(1), 0.5)
     assert {"place", "split", "length"} <= set(out.columns) and 20 < out.count() < 90
+
+
+def test_a_manifest_keeps_every_key_whatever_arrives_or_goes(spark, tmp_path):
+    """Rows under intakes already seen or null, and removals: without the kept list they would shift its length."""
+    placed = spark.range(20000).select(F.col("id").cast("string").alias("k")).withColumn("p", sample.place_of(sample.bucket_of(F.col("k"), "sample-v1"))).collect()
+    late = [r.k for r in placed if r.p >= 2000][:600]
+    first = [(i, k, "val", 3) for i, k in enumerate(late)]
+    base = [(10_000 + i, r.k, "train", 1) for i, r in enumerate(placed[:3000])]
+    at = f"file://{tmp_path}/list"
+    held = chosen(spark, base + first, manifest=at)
+    early = [(50_000 + i, r.k, "val", 3 if i % 2 else None) for i, r in enumerate(r for r in placed if r.p < 400)]
+    more = chosen(spark, base + first + early, manifest=at)
+    assert held <= more
+    assert not held <= chosen(spark, base + first + early)
+    fewer = base[:1000] + first[::2]
+    assert {i for i in more if i in {r[0] for r in fewer}} == chosen(spark, fewer, manifest=at)
+    assert sample.kept_length(spark, at, "sample-v1", sample.BUCKETS, 0.1) > 409
+    assert sample.kept_length(spark, at, "other", sample.BUCKETS, 0.1) == 0
+
+
+def test_growth_tells_lost_keys(spark, tmp_path):
+    make = lambda data: spark.createDataFrame(data, "id bigint, k string, s string, t int")
+    data = rows(2000)
+    states = [make(data[:500]), make(data[400:]), make(data)]
+    got = sample.growth(states, F.col("k"), F.col("s"), F.col("t"), f"file://{tmp_path}/grow", share=0.1).collect()
+    assert [(r.step, r.lost) for r in got] == [(1, 0), (2, 0), (3, 0)] and got[2].chosen >= got[0].chosen > 0
