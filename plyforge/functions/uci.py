@@ -104,7 +104,7 @@ def in_check(line: Column) -> Column:
 
 def displayed_fen(line: Column) -> Column:
     bare = F.trim(line)
-    return F.when(bare.startswith("Fen: "), F.trim(F.substring(bare, 6, 1_000_000)))
+    return F.when(bare.startswith("Fen: "), F.trim(F.substr(bare, F.lit(6))))
 
 
 def root_score(score: Column, side: Column, root_side: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.stats import interval_side
 from plyforge.functions.vocabulary import DIRECTIONS, VERDICTS
-from plyforge.operators.skew import HOT_ROWS, with_previous
+from plyforge.operators.skew import HOT_ROWS, numbered, with_previous
 
 #: Changes below this don't count as movement.
 TOLERANCE = 1e-12
@@ -57,10 +57,16 @@ def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     return each.filter(F.col("value").isNotNull()).groupBy("what", "value").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
 
 
-def index_agrees(records: DataFrame, record_count: int, version: str, expected_version: str) -> DataFrame:
-    """One row telling whether the index holds as many records as it says, under the version expected."""
+def index_agrees(records: DataFrame, metadata: DataFrame, expected_version: str) -> DataFrame:
+    """One row telling whether an index holds as many records as its stored ``metadata`` (key, value) says, under the version expected.
+
+    Missing metadata agree with nothing.
+    """
+    value = lambda k: F.max(F.when(F.col("key") == k, F.col("value")))
+    said = metadata.agg(value("record_count").try_cast("bigint").alias("said"), value("ledger_schema_version").alias("version")).first()
     n = F.count(F.lit(1))
-    return records.agg(n.alias("records"), (n == record_count).alias("count_agrees")).withColumn("version_agrees", F.lit(version == expected_version))
+    agree = F.coalesce(n == F.lit(said.said).cast("bigint"), F.lit(False))
+    return records.agg(n.alias("records"), agree.alias("count_agrees")).withColumn("version_agrees", F.lit(said.version == expected_version))
 
 
 def _evidence_state() -> Column:
@@ -114,6 +120,20 @@ def summarize_series(records: DataFrame, by: list[str], hot_rows: int = HOT_ROWS
     )
 
 
+def series_points(records: DataFrame, by: list[str], order: tuple[str, ...] = ("recorded_at", "run_id", "record_id")) -> DataFrame:
+    """(``by``, ``place`` from 1, run, time, estimate, interval, verdict) of every record of a series, in its order.
+
+    Rows instead of a list, so that a series may have any number. Places come
+    from one numbering of all rows, less where a series begins.
+    """
+    point = ["run_id", "recorded_at", "elo_value", "elo_ci_low", "elo_ci_high", "verdict"]
+    n = numbered(records.select(*by, *dict.fromkeys([*point, *order])), [*by, *order], "__no")
+    first = n.groupBy(*by).agg(F.min("__no").alias("__first"))
+    same = [F.col(f"n.{b}").eqNullSafe(F.col(f"f.{b}")) for b in by]
+    j = n.alias("n").join(first.alias("f"), same)
+    return j.select(*[F.col(f"n.{b}").alias(b) for b in by], (F.col("__no") - F.col("__first") + 1).alias("place"), *[F.col(f"n.{c}").alias(c) for c in point])
+
+
 def compare_arms(records: DataFrame) -> DataFrame:
     """The series summary of every arm of every experiment in one aggregation, without ranking them.
 
@@ -146,6 +166,14 @@ def sequence_gaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
     return g.select(*by, n.alias("rows_seen"), (n - k).alias("repeats"), (hi - k).alias("missing"), F.coalesce(sequential, F.lit(False)).alias("sequential"))
 
 
+def sequence_in_order(df: DataFrame, by: list[str], order: list[str], number: str) -> DataFrame:
+    """(``by``, ``rows_seen``, ``in_order``): whether the numbers are 1, 2, ... n as the rows stand in ``order``."""
+    n = numbered(df.select(*by, *dict.fromkeys([*order, number])), [*by, *order], "__no")
+    g = n.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_seen"), F.min("__no").alias("__first"), F.min(F.col("__no") - F.col(number)).alias("__lo"), F.max(F.col("__no") - F.col(number)).alias("__hi"), F.count(number).alias("__k"))
+    kept = (F.col("__k") == F.col("rows_seen")) & (F.col("__lo") == F.col("__hi")) & (F.col("__lo") == F.col("__first") - 1)
+    return g.select(*by, "rows_seen", F.coalesce(kept, F.lit(False)).alias("in_order"))
+
+
 def out_of_order(df: DataFrame, by: list[str], order: list[str], value: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rows whose value is less than that of the row before them."""
     return with_previous(df, by, order, {value: "before"}, hot_rows=hot_rows).filter(F.col(value) < F.col("before"))

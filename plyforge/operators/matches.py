@@ -94,9 +94,26 @@ def with_verdict(df: DataFrame, threshold: float | None = None) -> DataFrame:
     return df.withColumn("flagged", flagged).withColumn("verdict", stats.verdict(F.col("state"), F.col("flagged")))
 
 
-def result_documents(games: DataFrame, by: list[str]) -> DataFrame:
-    """Per run one JSON text of its paired games in order; a run's games are bounded by its match."""
-    kept, _ = raw_games(games)
+def result_documents(games: DataFrame, by: list[str], claims: DataFrame | None = None) -> DataFrame:
+    """(``by``, ``document``, ``problem``): per run one JSON text of its paired games in order, and of what was left out with the reason.
+
+    ``claims`` (``by``, ``claimed_wins``, ``claimed_losses``, ``claimed_draws``,
+    ``engine_stdout_log_ref``, ``pgn_ref``) pass through as they are and never
+    enter a count. ``problem`` is the first of ``no_claims``, ``negative_claim``,
+    ``no_games`` that fits, null for a sound document. A run's games are
+    bounded by its match.
+    """
+    kept, left = raw_games(games)
     game = F.struct("game_index", "white_role", "black_role", "result", "opening_ref", "termination")
     docs = kept.groupBy(*by).agg(F.array_sort(F.collect_list(game)).alias("games"))
-    return docs.select(*by, F.to_json(F.struct(*by, "games")).alias("document"))
+    out = left.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("game_index", "reason"))).alias("excluded_games"))
+    docs = docs.join(out, by, "full")
+    fields = ["claimed_wins", "claimed_losses", "claimed_draws", "engine_stdout_log_ref", "pgn_ref"] if claims is not None else []
+    if claims is not None:
+        docs = docs.join(claims.select(*by, *fields), by, "left")
+    claimed = [F.col(c) for c in fields[:3]]
+    missing, negative = F.lit(False), F.lit(False)
+    for c in claimed:
+        missing, negative = missing | c.isNull(), negative | (c < 0)
+    problem = F.when(missing, "no_claims").when(negative, "negative_claim").when(F.col("games").isNull(), "no_games")
+    return docs.select(*by, F.to_json(F.struct(*by, *fields, "games", "excluded_games")).alias("document"), problem.alias("problem"))

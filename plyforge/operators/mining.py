@@ -33,59 +33,95 @@ def probe_moves(candidate_best: Column, ranked: Column, teacher_best: Column) ->
     return F.array_distinct(F.array_compact(F.concat(one(candidate_best), F.coalesce(ranked, F.array().cast("array<string>")), one(teacher_best))))
 
 
+def _by_job(jobs: DataFrame, results: DataFrame, wanted: list, result: Column) -> DataFrame:
+    """One row a job: its columns ``wanted`` as ``j`` and what it gave as ``rs``, in one shuffle by job.
+
+    A search gives a handful of ranks, so the list is bounded. Jobs without
+    results have an empty one; results without job are left out.
+    """
+    j = jobs.select("job_id", F.struct(*wanted).alias("j"))
+    r = results.select("job_id", result.alias("r"))
+    both = j.withColumn("r", F.lit(None).cast(r.schema["r"].dataType)).unionByName(r.withColumn("j", F.lit(None).cast(j.schema["j"].dataType)))
+    return both.groupBy("job_id").agg(F.max("j").alias("j"), F.collect_list("r").alias("rs")).filter("j is not null")
+
+
+def _of(list_: str, test, value, pick=F.array_max) -> Column:
+    """The largest (or other pick) of a value among the entries of a list that pass a test; null if none does."""
+    return pick(F.transform(F.filter(F.col(list_), test), value))
+
+
 def position_metrics(jobs: DataFrame, results: DataFrame, statics: DataFrame) -> DataFrame:
     """One row per position of a run that has both main jobs.
 
-    ``jobs``: run_id, position_id, job_id, engine_role, search_kind,
+    ``jobs``: run_id, position_id, job_id (unique), engine_role, search_kind,
     restricted_move, bestmove. ``results``: job_id, rank, move, score_type,
     score_value, bound, wdl_w, wdl_d, wdl_l. ``statics``: run_id, position_id,
     network_role, move, status, score_root_pov.
 
-    One set-oriented plan replaces the lookups for each position: the main jobs
-    are joined, the candidate's results reduced beside them, and the teacher's
-    probes and the static scores joined twice each, by candidate's and by
-    teacher's move.
+    Two shuffles serve every lookup: jobs meet their results by job, then all
+    evidence of a position (both main jobs, probes, static scores) meets as one
+    row with small lists, in which moves are looked up. The lists are bounded by
+    the legal moves of a position. Of several main jobs of a role the one of the
+    smallest ``job_id`` counts.
     """
-    main = lambda role, kind: jobs.filter((F.col("engine_role") == role) & (F.col("search_kind") == kind) & (F.col("restricted_move") == "ALL"))
-    c = main("candidate", "multipv").select(*POSITION, F.col("job_id"), F.col("bestmove").alias("candidate_bestmove"))
-    t = main("teacher", "singlepv").select(*POSITION, F.col("bestmove").alias("teacher_bestmove"))
-    base = c.join(t, POSITION)
-
     cp = exact_cp(F.col("score_type"), F.col("bound"), F.col("score_value"))
-    of_rank = lambda k: F.max(F.when(F.col("rank") == k, cp))
-    own = base.join(results, "job_id", "left").groupBy(*POSITION, "candidate_bestmove", "teacher_bestmove")
-    own = own.agg((of_rank(1) - of_rank(2)).alias("candidate_margin_internal"), (F.min(F.when(F.col("move") == F.col("teacher_bestmove"), F.col("rank"))) - 1).cast("double").alias("rank_error"))
-
-    probes = jobs.filter((F.col("engine_role") == "teacher") & (F.col("search_kind") == "searchmove")).select(*POSITION, "job_id", "restricted_move")
-    probes = probes.join(results.filter("rank = 1"), "job_id").groupBy(*POSITION, F.col("restricted_move").alias("m")).agg(F.min_by(F.struct(cp.alias("cp"), F.when(F.col("bound") == "exact", wdl_expectation(F.col("wdl_w"), F.col("wdl_d"), F.col("wdl_l"))).alias("e")), "job_id").alias("p"))
+    hope = F.when(F.col("bound") == "exact", wdl_expectation(F.col("wdl_w"), F.col("wdl_d"), F.col("wdl_l")))
+    result = F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("move").alias("move"), cp.alias("cp"), hope.alias("e"))
+    per = _by_job(jobs, results, [*POSITION, "engine_role", "search_kind", "restricted_move", "bestmove"], result)
+    j = lambda c: F.col(f"j.{c}")
+    main = lambda role, kind: (j("engine_role") == role) & (j("search_kind") == kind) & (j("restricted_move") == "ALL")
+    first = F.get(F.filter("rs", lambda r: r["rank"] == 1), F.lit(0))
+    probe = F.when((j("engine_role") == "teacher") & (j("search_kind") == "searchmove") & first.isNotNull(), F.struct(j("restricted_move").alias("move"), F.col("job_id"), first["cp"].alias("cp"), first["e"].alias("e")))
+    searched = per.select(
+        *[j(c).alias(c) for c in POSITION],
+        F.when(main("candidate", "multipv"), F.struct(F.col("job_id").alias("job"), j("bestmove").alias("best"), F.col("rs").alias("rs"))).alias("c"),
+        F.when(main("teacher", "singlepv"), F.struct(F.col("job_id").alias("job"), j("bestmove").alias("best"))).alias("t"),
+        probe.alias("p"),
+    ).filter("c is not null or t is not null or p is not null")
     usable = F.when(F.col("status") == "ok", F.col("score_root_pov").cast("double"))
-    seen = statics.groupBy(*POSITION, F.col("move").alias("m")).agg(*[F.max(F.when(F.col("network_role") == r, usable)).alias(r) for r in ("candidate", "official")])
-
-    df = own
-    for who in ("candidate", "teacher"):
-        p = probes.select(*POSITION, F.col("m").alias(f"{who}_bestmove"), F.col("p").alias(f"{who}_p"))
-        s = seen.select(*POSITION, F.col("m").alias(f"{who}_bestmove"), F.col("candidate").alias(f"c_{who}"), F.col("official").alias(f"o_{who}"))
-        df = df.join(p, [*POSITION, f"{who}_bestmove"], "left").join(s, [*POSITION, f"{who}_bestmove"], "left")
+    static = statics.select(*POSITION, F.struct("network_role", "move", usable.alias("score")).alias("s"))
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    every = searched.select("*", none(static, "s")).unionByName(static.select(*POSITION, "s", *[none(searched, c) for c in "ctp"]))
+    g = every.groupBy(*POSITION).agg(
+        F.min_by("c", F.col("c.job")).alias("c"), F.min_by("t", F.col("t.job")).alias("t"), F.collect_list("p").alias("ps"), F.collect_list("s").alias("ss")
+    ).filter("c is not null and t is not null")
+    g = g.select(*POSITION, F.col("c.best").alias("candidate_bestmove"), F.col("t.best").alias("teacher_bestmove"), F.col("c.rs").alias("rs"), "ps", "ss")
 
     a, b = F.col("candidate_bestmove"), F.col("teacher_bestmove")
+    of_rank = lambda k: _of("rs", lambda r: r["rank"] == k, lambda r: r["cp"])
+    probed = lambda m: _of("ps", lambda p: p["move"] == m, lambda p: F.struct(p["job_id"], p["cp"], p["e"]), F.array_min)
+    seen = lambda m, role: _of("ss", lambda s: (s["move"] == m) & (s["network_role"] == role), lambda s: s["score"])
+    g = g.select(
+        *POSITION, "candidate_bestmove", "teacher_bestmove",
+        (of_rank(1) - of_rank(2)).alias("candidate_margin_internal"),
+        (_of("rs", lambda r: r["move"] == b, lambda r: r["rank"], F.array_min) - 1).cast("double").alias("rank_error"),
+        probed(a).alias("candidate_p"), probed(b).alias("teacher_p"),
+        *[seen(m, role).alias(f"{k}_{who}") for k, role in (("c", "candidate"), ("o", "official")) for who, m in (("candidate", a), ("teacher", b))],
+    )
+
     both, same = a.isNotNull() & b.isNotNull(), a == b
     prefer = F.when(same, F.lit(0.0)).otherwise(F.col("teacher_p.cp") - F.col("candidate_p.cp"))
     gain = F.col("teacher_p.e") - F.col("candidate_p.e")
     never_negative = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0.0), x))
-    static = lambda k: F.when(both & same, F.when(F.col(f"{k}_candidate").isNotNull(), F.lit(0.0))).when(both, F.col(f"{k}_candidate") - F.col(f"{k}_teacher"))
-    df = df.withColumns(
+
+    def preference(k: str) -> Column:
+        own, other = F.col(f"{k}_candidate"), F.col(f"{k}_teacher")
+        return F.when(both & same, F.when(own.isNotNull(), F.lit(0.0))).when(both, own - other)
+
+    g = g.withColumns(
         {
             "deep_teacher_preference": prefer,
             "teacher_regret_internal": F.when(same, F.lit(0.0)).otherwise(never_negative(prefer)),
             "teacher_regret_wdl_expected": F.when(same, F.lit(0.0)).otherwise(never_negative(gain)),
-            "candidate_static_preference": static("c"),
-            "official_static_preference": static("o"),
+            "candidate_static_preference": preference("c"),
+            "official_static_preference": preference("o"),
         }
     )
-    df = df.withColumn("static_disagreement", F.abs(F.col("candidate_static_preference") - F.col("official_static_preference")))
-    df = df.withColumns({k: F.lit(None).cast("double") for k in RESERVED})
-    df = df.withColumn("primary_class", F.when(~both, POSITION_CLASSES[0]).when(same, POSITION_CLASSES[1]).otherwise(POSITION_CLASSES[2]))
-    return df.select(*POSITION, "candidate_bestmove", "teacher_bestmove", *METRICS, *RESERVED, "primary_class")
+    g = g.withColumn("static_disagreement", F.abs(F.col("candidate_static_preference") - F.col("official_static_preference")))
+    g = g.withColumns({k: F.lit(None).cast("double") for k in RESERVED})
+    incomplete, agreement, disagreement, _ = POSITION_CLASSES
+    g = g.withColumn("primary_class", F.when(~both, incomplete).when(same, agreement).otherwise(disagreement))
+    return g.select(*POSITION, "candidate_bestmove", "teacher_bestmove", *METRICS, *RESERVED, "primary_class")
 
 
 def position_classes(metrics: DataFrame) -> DataFrame:
@@ -101,49 +137,66 @@ def worst_first(metrics: DataFrame, by: str, n: int, ascending: bool = False) ->
 
 
 def read_back(jobs: DataFrame, results: DataFrame, statics: DataFrame) -> DataFrame:
-    """Per run: positions, jobs, results and static evaluations stored."""
-    per_job = results.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    j = jobs.join(per_job, "job_id", "left").groupBy("run_id").agg(F.countDistinct("position_id").alias("positions"), F.countDistinct("job_id").alias("jobs"), F.coalesce(F.sum("n"), F.lit(0)).alias("results"))
-    s = statics.groupBy("run_id").agg(F.count(F.lit(1)).alias("static_evals"))
-    return j.join(s, "run_id", "left").withColumn("static_evals", F.coalesce("static_evals", F.lit(0)))
+    """Per run: positions, jobs, results and static evaluations stored. Positions are counted one by one, never gathered."""
+    per = _by_job(jobs, results, POSITION, F.lit(1)).select("j.*", F.lit(1).alias("jobs"), F.size("rs").cast("bigint").alias("results"), F.lit(0).alias("static_evals"))
+    s = statics.select(*POSITION, F.lit(0).alias("jobs"), F.lit(0).cast("bigint").alias("results"), F.lit(1).alias("static_evals"))
+    by_position = per.unionByName(s).groupBy(*POSITION).agg(*[F.sum(c).alias(c) for c in ("jobs", "results", "static_evals")])
+    return by_position.groupBy("run_id").agg(F.count_if((F.col("jobs") > 0) & F.col("position_id").isNotNull()).alias("positions"), *[F.sum(c).alias(c) for c in ("jobs", "results", "static_evals")]).filter("jobs > 0")
 
 
-def run_audit(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """Per run: jobs with broken rank sets, mixed depths, non-exact lines, a negative margin, a best move that isn't rank 1, and main moves never probed."""
-    cp = exact_cp(F.col("score_type"), F.col("bound"), F.col("score_value"))
-    first = F.col("rank") == 1
-    per = results.groupBy("job_id").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("k"), F.min("rank").alias("lo"), F.max("rank").alias("hi"), F.countDistinct("depth").alias("depths"), F.count_if(F.col("bound") != "exact").alias("inexact"), (F.max(F.when(first, cp)) - F.max(F.when(F.col("rank") == 2, cp))).alias("margin"), F.max(F.when(first, F.col("move"))).alias("first_move")
-    )
-    j = jobs.join(per, "job_id", "left")
-    searched = F.col("n") > 0
-    out = j.groupBy("run_id").agg(
-        F.count_if(searched & ((F.col("n") != F.col("k")) | (F.col("lo") != 1) | (F.col("hi") != F.col("k")))).alias("bad_rank_sets"), F.count_if(F.col("depths") > 1).alias("mixed_depths"), F.count_if(F.col("inexact") > 0).alias("not_exact"), F.count_if(F.col("margin") < 0).alias("negative_margins"), F.count_if(searched & F.col("bestmove").isNotNull() & (F.col("bestmove") != F.col("first_move"))).alias("bestmove_not_first")
-    )
-    probed = jobs.filter((F.col("engine_role") == "teacher") & (F.col("search_kind") == "searchmove")).select(*POSITION, F.col("restricted_move").alias("bestmove"))
-    main = jobs.filter((F.col("restricted_move") == "ALL") & F.col("bestmove").isNotNull()).select(*POSITION, "bestmove").distinct()
-    missing = main.join(probed, [*POSITION, "bestmove"], "left_anti").groupBy("run_id").agg(F.count(F.lit(1)).alias("missing_probes"))
-    return out.join(missing, "run_id", "left").withColumn("missing_probes", F.coalesce("missing_probes", F.lit(0)))
+def stored_positions(jobs: DataFrame) -> DataFrame:
+    """The distinct positions of each run."""
+    return jobs.select(*POSITION).distinct()
+
 
+def run_audit(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """Per run: jobs with broken rank sets, mixed depths, non-exact lines, a negative margin, a best move that isn't rank 1, and main moves never probed.
 
-def run_diff(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
-    """(``position_id``, ``what``, ``in_a``, ``in_b``): positions of one run only, and metrics that changed between two runs.
+    Three shuffles: by job, by position, by run.
+    """
+    cp = exact_cp(F.col("score_type"), F.col("bound"), F.col("score_value"))
+    result = F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("move").alias("move"), cp.alias("cp"), F.col("depth").alias("depth"), F.coalesce(F.col("bound") != "exact", F.lit(False)).alias("inexact"))
+    per = _by_job(jobs, results, [*POSITION, "engine_role", "search_kind", "restricted_move", "bestmove"], result)
+    ranks = F.transform("rs", lambda r: r["rank"])
+    n, k = F.size("rs"), F.size(F.array_distinct(ranks))
+    rank_of = lambda i, c: _of("rs", lambda r: r["rank"] == i, lambda r: r[c])
+    best = F.col("j.bestmove")
+    faults = {
+        "bad_rank_sets": (n > 0) & ((n != k) | (F.array_min(ranks) != 1) | (F.array_max(ranks) != k)),
+        "mixed_depths": F.size(F.array_distinct(F.array_compact(F.transform("rs", lambda r: r["depth"])))) > 1,
+        "not_exact": F.exists("rs", lambda r: r["inexact"]),
+        "negative_margins": rank_of(1, "cp") - rank_of(2, "cp") < 0,
+        "bestmove_not_first": (n > 0) & best.isNotNull() & (best != rank_of(1, "move")),
+    }
+    probe = (F.col("j.engine_role") == "teacher") & (F.col("j.search_kind") == "searchmove")
+    found = per.select(
+        *[F.col(f"j.{c}").alias(c) for c in POSITION], *[F.coalesce(v, F.lit(False)).cast("int").alias(c) for c, v in faults.items()],
+        F.when(F.col("j.restricted_move") == "ALL", best).alias("main"), F.when(probe, F.col("j.restricted_move")).alias("probed"),
+    )
+    by_position = found.groupBy(*POSITION).agg(*[F.sum(c).alias(c) for c in faults], F.size(F.array_except(F.collect_set("main"), F.collect_set("probed"))).alias("missing_probes"))
+    return by_position.groupBy("run_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in (*faults, "missing_probes")])
+
+
+def run_diff(a: DataFrame, b: DataFrame, metrics: tuple[str, ...] = METRICS, by: tuple[str, ...] = ("position_id",)) -> DataFrame:
+    """(``by``, ``what``, ``in_a``, ``in_b``): positions of one side only, and metrics that changed between the two.
 
     One full outer join, then unpivoting inside the row; nulls equal nulls.
     """
-    x = a.select("position_id", F.struct(*metrics).alias("a"))
-    y = b.select("position_id", F.struct(*metrics).alias("b"))
-    j = x.join(y, "position_id", "full")
-    changed = lambda m: F.when(F.col("a").isNotNull() & F.col("b").isNotNull() & ~F.col(f"a.{m}").eqNullSafe(F.col(f"b.{m}")), F.struct(F.lit(m).alias("what"), F.col(f"a.{m}").alias("in_a"), F.col(f"b.{m}").alias("in_b")))
+    x = a.select(*by, F.struct(*metrics).alias("a"))
+    y = b.select(*by, F.struct(*metrics).alias("b"))
+    j = x.join(y, [*by], "full")
+    entry = lambda what, p, q: F.struct(F.lit(what).alias("what"), p.alias("in_a"), q.alias("in_b"))
+    there = F.col("a").isNotNull() & F.col("b").isNotNull()
+    changed = [F.when(there & ~F.col(f"a.{m}").eqNullSafe(F.col(f"b.{m}")), entry(m, F.col(f"a.{m}"), F.col(f"b.{m}"))) for m in metrics]
     none = F.lit(None).cast("double")
-    only = F.when(F.col("b").isNull(), F.struct(F.lit("only_a").alias("what"), none.alias("in_a"), none.alias("in_b"))).when(F.col("a").isNull(), F.struct(F.lit("only_b").alias("what"), none.alias("in_a"), none.alias("in_b")))
-    return j.select("position_id", F.explode(F.array_compact(F.array(only, *[changed(m) for m in metrics]))).alias("d")).select("position_id", "d.*")
+    only = F.when(F.col("b").isNull(), entry("only_a", none, none)).when(F.col("a").isNull(), entry("only_b", none, none))
+    return j.select(*by, F.explode(F.array_compact(F.array(only, *changed))).alias("d")).select(*by, "d.*")
 
 
-def probe_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(``position_id``, ``added``, ``removed``) where the probed moves (array ``moves``) of two runs differ."""
+def probe_diff(a: DataFrame, b: DataFrame, by: tuple[str, ...] = ("position_id",)) -> DataFrame:
+    """(``by``, ``added``, ``removed``) where the probed moves (array ``moves``) of two sides differ."""
     none = F.array().cast("array<string>")
-    j = a.select("position_id", F.col("moves").alias("x")).join(b.select("position_id", F.col("moves").alias("y")), "position_id", "full")
+    j = a.select(*by, F.col("moves").alias("x")).join(b.select(*by, F.col("moves").alias("y")), [*by], "full")
     x, y = F.coalesce("x", none), F.coalesce("y", none)
-    out = j.select("position_id", F.array_sort(F.array_except(y, x)).alias("added"), F.array_sort(F.array_except(x, y)).alias("removed"))
+    out = j.select(*by, F.array_sort(F.array_except(y, x)).alias("added"), F.array_sort(F.array_except(x, y)).alias("removed"))
     return out.filter((F.size("added") > 0) | (F.size("removed") > 0))

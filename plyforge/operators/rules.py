@@ -40,3 +40,13 @@ def run_soundness(games: DataFrame, by: list[str]) -> DataFrame:
         (scored != 0, "pair_accounting_mismatch"),
     ]
     return j.select(*by, "games", "pairs", first_reason(rules).alias("reason"), all_reasons(rules).alias("findings"))
+
+
+#: Texts that say there is no move.
+NO_MOVE = ("", "(none)", "0000")
+
+
+def usable_rows(rows: DataFrame) -> DataFrame:
+    """Rescored rows fit for a corpus: an exact centipawn score, no error, a best move. A missing column or value is the empty text."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
+    return rows.filter((text("sf_score_type") == "cp") & (text("sf_bound") == "exact") & (text("sf_error") == "") & ~text("sf_bestmove").isin(*NO_MOVE))

@@ -1,3 +1,3 @@
 """Importing this module registers every core query."""
 
-from plyforge.plans import evidence, history, matches, mining, positions, rows, transcripts  # noqa: F401
+from plyforge.plans import evidence, history, matches, mining, positions, rows, storage, transcripts  # noqa: F401

@@ -50,13 +50,13 @@ def transport_check(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH e AS ({_ONCE}), a AS (SELECT DISTINCT {_sql_sha('sha256')} AS artifact_sha256 FROM networks),
 c AS (SELECT artifact_sha256, CASE sprt_outcome WHEN 'H1_ACCEPTED' THEN 'stronger' WHEN 'H0_ACCEPTED' THEN 'not_stronger' END AS claim FROM a LEFT JOIN e ON {_sql_sha('e.candidate_sha256')} = artifact_sha256 AND regression_flagged IS NOT DISTINCT FROM 0),
 g AS (SELECT artifact_sha256, list_sort(list(DISTINCT claim) FILTER (WHERE claim IS NOT NULL)) AS l FROM c GROUP BY 1)
-SELECT artifact_sha256, array_to_string(coalesce(l, []), ',') AS claims FROM g""")
+SELECT artifact_sha256, array_to_string(list_filter(coalesce(l, []), lambda c: c <> 'not_stronger' OR list_contains(l, 'stronger')), ',') AS claims FROM g""")
 def network_claims(spark: SparkSession, d: str) -> DataFrame:
-    """What unflagged results establish about each listed network."""
+    """What unflagged results establish about each listed network; one claim counts only beside the other."""
     e = _records(spark, d).select(F.col("sprt_outcome").alias("kind"), sha_label(F.col("candidate_sha256")).alias("subject_sha256"), F.col("regression_flagged").alias("result"), F.lit(0).alias("expected"))
     artifacts = table(spark, d, "networks").select(sha_label(F.col("sha256")).alias("sha256"))
     claims = spark.createDataFrame([("H1_ACCEPTED", "stronger"), ("H0_ACCEPTED", "not_stronger")], "kind string, claim string")
-    out = reconcile.bound_claims(e, artifacts, claims)
+    out = reconcile.bound_claims(e, artifacts, claims, withheld="not_stronger", needs="stronger")
     return out.withColumn("claims", F.array_join("claims", ","))
 
 
@@ -82,14 +82,14 @@ RECORD_SCHEMA = {
     "required": ["record_id", "run_id", "analysis_result"],
     "properties": {
         "record_id": {"type": "string", "format": "sha256-hex"},
-        "run_id": {"type": "string", "minLength": 1, "pattern": "^[A-Za-z0-9_-]+$"},
+        "run_id": {"type": "string", "minLength": 30, "pattern": "^[A-Za-z0-9_-]+$"},
         "analysis_result": {
             "type": "object",
             "required": ["verdict", "elo_estimate", "recomputed_wdl"],
             "properties": {
                 "verdict": {"type": "string", "enum": ["SUPPORTED_PROGRESS", "PROGRESS_NOT_SUPPORTED"]},
-                "elo_estimate": {"type": "object", "required": ["value"], "properties": {"value": {"type": "number", "minimum": -50}}},
-                "recomputed_wdl": {"type": "object", "required": ["wins"], "properties": {"wins": {"type": "integer", "minimum": 10}}},
+                "elo_estimate": {"type": "object", "required": ["value", "ci_low"], "properties": {"value": {"type": "number", "minimum": -50}}},
+                "recomputed_wdl": {"type": "object", "required": ["wins"], "additionalProperties": False, "properties": {"wins": {"type": "integer", "minimum": 10}, "losses": {"type": ["string", "null"]}}},
             },
         },
     },
@@ -100,6 +100,10 @@ RECORD_SCHEMA = {
 SELECT k, '$.analysis_result.verdict' AS path, 'enum' AS rule FROM r WHERE j ->> '$.analysis_result.verdict' NOT IN ('SUPPORTED_PROGRESS', 'PROGRESS_NOT_SUPPORTED')
 UNION ALL SELECT k, '$.analysis_result.elo_estimate.value', 'minimum' FROM r WHERE CAST(j ->> '$.analysis_result.elo_estimate.value' AS DOUBLE) < -50
 UNION ALL SELECT k, '$.analysis_result.recomputed_wdl.wins', 'minimum' FROM r WHERE CAST(j ->> '$.analysis_result.recomputed_wdl.wins' AS BIGINT) < 10
+UNION ALL SELECT k, '$.analysis_result.elo_estimate.ci_low', 'required' FROM r WHERE (j -> '$.analysis_result.elo_estimate.ci_low') IS NULL
+UNION ALL SELECT k, '$.analysis_result.recomputed_wdl', 'additionalProperties' FROM r WHERE (j -> '$.analysis_result.recomputed_wdl.draws') IS NOT NULL
+UNION ALL SELECT k, '$.analysis_result.recomputed_wdl.losses', 'type' FROM r WHERE json_type(j, '$.analysis_result.recomputed_wdl.losses') NOT IN ('VARCHAR', 'NULL')
+UNION ALL SELECT k, '$.run_id', 'minLength' FROM r WHERE length(j ->> '$.run_id') < 30
 UNION ALL SELECT k, '$.record_id', 'format' FROM r WHERE NOT regexp_full_match(j ->> '$.record_id', '[0-9a-f]{64}')
 UNION ALL SELECT k, '$.run_id', 'pattern' FROM r WHERE NOT regexp_full_match(j ->> '$.run_id', '[A-Za-z0-9_-]+')""")
 def document_violations(spark: SparkSession, d: str) -> DataFrame:

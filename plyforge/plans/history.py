@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyforge.functions import ids
+from plyforge.functions.hashing import document_identity
 from plyforge.operators import history, reconcile
 from plyforge.operators.sampling import first_seen
 from plyforge.plans.queries import query
@@ -57,15 +59,50 @@ def repeated_ids(spark: SparkSession, d: str) -> DataFrame:
     return history.repeated(table(spark, d, "records"), ["record_id", "run_id"])
 
 
-@query("SELECT count(*) AS records, count(*) = 406 AS count_agrees, true AS version_agrees FROM records")
-def index_self_check(spark: SparkSession, d: str) -> DataFrame:
-    return history.index_agrees(table(spark, d, "records"), 406, "v1", "v1")
+#: Columns of the flat index, where each lies in the document, and its kind.
+_INDEX = {
+    **{c: (f"$.{c}", "VARCHAR") for c in ("record_id", "run_id", "recorded_at")},
+    **{c: (f"$.analysis_result.{c}", "VARCHAR") for c in ("analyzed_at", "analyzer_version")},
+    **{c: (f"$.{c}", "VARCHAR") for c in ("config_identity_sha256", "candidate_sha256", "opponent_sha256", "opponent_id", "experiment_id", "arm_id")},
+    **{c: (f"$.analysis_result.recomputed_wdl.{c}", "BIGINT") for c in ("wins", "losses", "draws")},
+    "games_played": ("$.analysis_result.sprt_result.games_played", "BIGINT"),
+    "sprt_outcome": ("$.analysis_result.sprt_result.outcome", "VARCHAR"),
+    "verdict": ("$.analysis_result.verdict", "VARCHAR"),
+    "elo_value": ("$.analysis_result.elo_estimate.value", "DOUBLE"),
+    "elo_ci_low": ("$.analysis_result.elo_estimate.ci_low", "DOUBLE"),
+    "elo_ci_high": ("$.analysis_result.elo_estimate.ci_high", "DOUBLE"),
+    **{f"regression_{c}": (f"$.analysis_result.regression_subtest.{c}", "BOOLEAN::INTEGER") for c in ("tested", "flagged")},
+}
 
 
-@query("""SELECT record_json ->> '$.record_id' AS record_id, record_json ->> '$.run_id' AS run_id, CAST(record_json ->> '$.analysis_result.recomputed_wdl.wins' AS BIGINT) AS wins, CAST(record_json ->> '$.analysis_result.recomputed_wdl.losses' AS BIGINT) AS losses,
-  CAST(record_json ->> '$.analysis_result.recomputed_wdl.draws' AS BIGINT) AS draws, record_json ->> '$.analysis_result.verdict' AS verdict, CAST(record_json ->> '$.analysis_result.elo_estimate.value' AS DOUBLE) AS elo_value FROM records""")
+@query("SELECT " + ", ".join(f"(record_json ->> '{path}')::{kind} AS {c}" for c, (path, kind) in _INDEX.items()) + ", record_json FROM records")
 def ledger_flattened(spark: SparkSession, d: str) -> DataFrame:
-    return history.flatten(table(spark, d, "records"), "record_json").select("record_id", "run_id", "wins", "losses", "draws", "verdict", "elo_value")
+    return history.flatten(table(spark, d, "records"), "record_json")
+
+
+@query("SELECT record_id, run_id, sha256(record_json || chr(10)) AS identity FROM records")
+def canonical_identities(spark: SparkSession, d: str) -> DataFrame:
+    """Identities of the ledger's documents, which are canonical as they stand."""
+    return table(spark, d, "records").select("record_id", "run_id", document_identity(F.col("record_json")).alias("identity"))
+
+
+_RUN = "regexp_extract(run_id, '^([A-Za-z0-9_-]+)__run([0-9]{{3,}})$', {})"
+
+
+@query(f"""SELECT DISTINCT run_id, key, attempt, key || '__run' || lpad(CAST(attempt AS VARCHAR), greatest(3, length(CAST(attempt AS VARCHAR)))::INTEGER, '0') AS spelled, 'AUDIT_V' || lpad(CAST(attempt AS VARCHAR), greatest(4, length(CAST(attempt AS VARCHAR)))::INTEGER, '0') AS audit
+FROM (SELECT run_id, {_RUN.format(1)} AS key, TRY_CAST({_RUN.format(2)} AS BIGINT) AS attempt FROM records) WHERE attempt >= 1""")
+def run_names(spark: SparkSession, d: str) -> DataFrame:
+    """Runs taken apart and put together again, and audits of the same numbers."""
+    r = table(spark, d, "records").select("run_id", ids.run_parts(F.col("run_id")).alias("p")).filter("p is not null").distinct()
+    return r.select("run_id", "p.key", "p.attempt", ids.run_id(F.col("p.key"), F.col("p.attempt")).alias("spelled"), ids.audit_id(F.col("p.attempt")).alias("audit"))
+
+
+@query("SELECT line_id, TRY_CAST(nullif(trim(split_part(line, ',', 1)), '') AS BIGINT) AS number FROM game_lines WHERE regexp_full_match(trim(split_part(line, ',', 1)), '[+-]?[0-9]*')")
+def tolerant_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """What stands before the first comma of a line, as a number if it is one."""
+    first = F.split_part(F.col("line"), F.lit(","), F.lit(1))
+    g = table(spark, d, "game_lines").filter(F.trim(first).rlike(r"\A[+-]?[0-9]*\z"))
+    return g.select("line_id", ids.int_or_null(first).alias("number"))
 
 
 @query("""SELECT user_id, event_id, event_type, previous FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS previous, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))

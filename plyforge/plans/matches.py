@@ -145,3 +145,17 @@ FROM (SELECT g.run_id, g.games, c.pairs, seq, first_offence, points - (ld + dd *
   JOIN ({_CELLS}) c ON g.run_id = c.run_id)""")
 def run_soundness(spark: SparkSession, d: str) -> DataFrame:
     return rules.run_soundness(_kept(spark, d), ["run_id"]).drop("findings")
+
+
+@query("""WITH g AS (SELECT run_id, count(*) FILTER (WHERE exclusion_reason IS NULL) AS kept, count(*) FILTER (WHERE exclusion_reason IS NOT NULL) AS excluded FROM parsed_games GROUP BY 1),
+c AS (SELECT run_id, min(wins) AS w FROM records WHERE run_id IS NOT NULL GROUP BY 1)
+SELECT g.run_id, kept, excluded, w AS claimed_wins, CASE WHEN w IS NULL THEN 'no_claims' WHEN kept = 0 THEN 'no_games' END AS problem FROM g LEFT JOIN c ON g.run_id = c.run_id WHERE g.run_id IS NOT NULL""")
+def result_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The result document of every run, read back."""
+    games = table(spark, d, "parsed_games").filter("run_id is not null")
+    fewest = lambda c: F.min(c).alias(f"claimed_{c}")
+    claims = table(spark, d, "records").groupBy("run_id").agg(*map(fewest, ("wins", "losses", "draws")), F.lit("log").alias("engine_stdout_log_ref"), F.lit("pgn").alias("pgn_ref"))
+    doc = F.from_json("document", "struct<claimed_wins:bigint,games:array<struct<game_index:bigint>>,excluded_games:array<struct<reason:string>>>")
+    size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("bigint")
+    out = matches.result_documents(games, ["run_id"], claims).select("run_id", doc.alias("d"), "problem")
+    return out.select("run_id", size(F.coalesce("d.games", F.array())).alias("kept"), size(F.coalesce("d.excluded_games", F.array())).alias("excluded"), "d.claimed_wins", "problem")

@@ -7,7 +7,7 @@ probe of the teacher and has static scores of both networks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.operators import mining
@@ -25,23 +25,53 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     w = lambda *by: Window.partitionBy("l_orderkey").orderBy(*by)
     tie = ("l_partkey", "l_suppkey", "l_linenumber", "l_shipdate")
     again = Window.partitionBy("l_orderkey", "l_partkey").orderBy(F.desc("l_extendedprice"), "l_suppkey", "l_linenumber", "l_shipdate")
+    named = {"l_orderkey": "position_id", "l_quantity": "q", "l_extendedprice": "p", "l_discount": "d", "l_returnflag": "f", "l_linestatus": "s"}
     return table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("position_id"), (F.col("l_orderkey") % 7).alias("run_id"), F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("move"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_discount").alias("d"),
-        F.col("l_returnflag").alias("f"), F.col("l_linestatus").alias("s"), F.row_number().over(w(F.desc("l_extendedprice"), *tie)).alias("rank"), F.row_number().over(w(F.desc("l_quantity"), *tie)).alias("pick"), F.row_number().over(again).alias("again"),
+        *[F.col(c).alias(n) for c, n in named.items()],
+        (F.col("l_orderkey") % 7).alias("run_id"),
+        F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("move"),
+        F.row_number().over(w(F.desc("l_extendedprice"), *tie)).alias("rank"),
+        F.row_number().over(w(F.desc("l_quantity"), *tie)).alias("pick"),
+        F.row_number().over(again).alias("again"),
     )
 
 
-def star(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(jobs, results, statics) of the view."""
+def _job_id(tag: str) -> Column:
+    return F.concat_ws("/", F.lit(tag), F.col("position_id"), *([F.col("move")] if tag == "p" else []))
+
+
+def star(spark: SparkSession, d: str, faults: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs, results, statics) of the view.
+
+    With ``faults`` best moves of some candidates aren't their first, some
+    second ranks are lost and some moves weren't probed.
+    """
     x = cut(_lines(spark, d), "star")  # read by every part of the view
-    job = lambda role, kind, move, best, tag: [F.col("run_id"), F.col("position_id"), F.concat_ws("/", F.lit(tag), F.col("position_id"), *([F.col("move")] if tag == "p" else [])).alias("job_id"), F.lit(role).alias("engine_role"), F.lit(kind).alias("search_kind"), move.alias("restricted_move"), best.alias("bestmove")]
-    every, moves = F.lit("ALL"), F.col("move")
-    jobs = x.filter("rank = 1").select(*job("candidate", "multipv", every, moves, "c")).unionByName(x.filter("pick = 1").select(*job("teacher", "singlepv", every, F.when(F.col("d") < 0.1, moves), "t"))).unionByName(x.filter("again = 1").select(*job("teacher", "searchmove", moves, moves, "p")))
-    cp = (F.round("p").cast("bigint") % 400) - 200
-    result = lambda tag, rank: [F.concat_ws("/", F.lit(tag), F.col("position_id"), *([F.col("move")] if tag == "p" else [])).alias("job_id"), rank.cast("bigint").alias("rank"), moves, F.lit("cp").alias("score_type"), cp.alias("score_value"), F.when(F.col("s") == "O", "exact").otherwise("lowerbound").alias("bound"), (F.col("q") * 10).cast("bigint").alias("wdl_w"), F.lit(500).cast("bigint").alias("wdl_d"), (F.lit(500) - F.col("q") * 10).cast("bigint").alias("wdl_l"), F.floor(F.col("q") / 10).alias("depth")]
-    results = x.select(*result("c", F.col("rank"))).unionByName(x.filter("again = 1").select(*result("p", F.lit(1))))
-    static = lambda role, k: x.filter("again = 1").select("run_id", "position_id", F.lit(role).alias("network_role"), "move", F.when(F.col("f") == "R", "in_check").otherwise("ok").alias("status"), (F.round("p").cast("bigint") % k).alias("score_root_pov"))
-    return jobs, results, static("candidate", 300).unionByName(static("official", 170))
+    probed = x.filter("again = 1 and round(d * 100) <> 5") if faults else x.filter("again = 1")
+    move = F.col("move")
+
+    def jobs_of(rows: DataFrame, tag: str, role: str, kind: str, restricted: Column, best: Column) -> DataFrame:
+        return rows.select("run_id", "position_id", _job_id(tag).alias("job_id"), F.lit(role).alias("engine_role"), F.lit(kind).alias("search_kind"), restricted.alias("restricted_move"), best.alias("bestmove"))
+
+    own = F.when(F.col("f") == "A", "m0").otherwise(move) if faults else move
+    jobs = jobs_of(x.filter("rank = 1"), "c", "candidate", "multipv", F.lit("ALL"), own)
+    jobs = jobs.unionByName(jobs_of(x.filter("pick = 1"), "t", "teacher", "singlepv", F.lit("ALL"), F.when(F.col("d") < 0.1, move)))
+    jobs = jobs.unionByName(jobs_of(probed, "p", "teacher", "searchmove", move, move))
+
+    def results_of(rows: DataFrame, tag: str, rank: Column) -> DataFrame:
+        w = (F.col("q") * 10).cast("bigint")
+        return rows.select(
+            _job_id(tag).alias("job_id"), rank.cast("bigint").alias("rank"), "move", F.lit("cp").alias("score_type"), ((F.round("p").cast("bigint") % 400) - 200).alias("score_value"),
+            F.when(F.col("s") == "O", "exact").otherwise("lowerbound").alias("bound"), w.alias("wdl_w"), F.lit(500).cast("bigint").alias("wdl_d"), (F.lit(500) - w).alias("wdl_l"), F.floor(F.col("q") / 10).alias("depth"),
+        )
+
+    ranked = x.filter("not (rank = 2 and q > 40)") if faults else x
+    results = results_of(ranked, "c", F.col("rank")).unionByName(results_of(probed, "p", F.lit(1)))
+    score = lambda k: (F.round("p").cast("bigint") % k).alias("score")
+    status = F.when(F.col("f") == "R", "in_check").otherwise("ok").alias("status")
+    networks = F.array(F.struct(F.lit("candidate").alias("role"), score(300)), F.struct(F.lit("official").alias("role"), score(170)))
+    statics = x.filter("again = 1").select("run_id", "position_id", "move", status, F.explode(networks).alias("n"))
+    return jobs, results, statics.select("run_id", "position_id", F.col("n.role").alias("network_role"), "move", "status", F.col("n.score").alias("score_root_pov"))
 
 
 _STAR = f"""WITH x AS ({_LINES}), probe AS (SELECT position_id, move, {_CP} AS cp, CASE WHEN s = 'O' THEN (CAST(q * 10 AS BIGINT) + 250.0) / 1000 END AS e,
@@ -79,23 +109,43 @@ def mining_read_back(spark: SparkSession, d: str) -> DataFrame:
     return mining.read_back(*star(spark, d))
 
 
-@query(f"""WITH x AS ({_LINES}), c AS (SELECT run_id, position_id, count(DISTINCT floor(q / 10)) AS depths, count(*) FILTER (WHERE s <> 'O') AS inexact, max(CASE WHEN rank = 1 THEN {_CP} END) - max(CASE WHEN rank = 2 THEN {_CP} END) AS margin FROM x GROUP BY 1, 2),
-p AS (SELECT run_id, count(*) FILTER (WHERE s <> 'O') AS inexact FROM x WHERE again = 1 GROUP BY 1)
-SELECT c.run_id, 0::BIGINT AS bad_rank_sets, count(*) FILTER (WHERE depths > 1) AS mixed_depths, count(*) FILTER (WHERE c.inexact > 0) + max(p.inexact) AS not_exact, count(*) FILTER (WHERE margin < 0) AS negative_margins, 0::BIGINT AS bestmove_not_first, 0::BIGINT AS missing_probes FROM c JOIN p ON c.run_id = p.run_id GROUP BY 1""")
+_FAULTY = f"""x AS ({_LINES}), j AS (SELECT run_id, position_id, 'c/' || position_id AS job_id, true AS main, false AS probe, CASE WHEN f = 'A' THEN 'm0' ELSE move END AS best FROM x WHERE rank = 1
+  UNION ALL SELECT run_id, position_id, 't/' || position_id, true, false, CASE WHEN d < 0.1 THEN move END FROM x WHERE pick = 1
+  UNION ALL SELECT run_id, position_id, 'p/' || position_id || '/' || move, false, true, move FROM x WHERE again = 1 AND round(d * 100) <> 5),
+r AS (SELECT 'c/' || position_id AS job_id, rank, move, {_CP} AS cp, s <> 'O' AS inexact, floor(q / 10) AS depth FROM x WHERE NOT (rank = 2 AND q > 40)
+  UNION ALL SELECT 'p/' || position_id || '/' || move, 1, move, {_CP}, s <> 'O', floor(q / 10) FROM x WHERE again = 1 AND round(d * 100) <> 5),
+g AS (SELECT job_id, count(*) AS n, count(DISTINCT rank) AS k, min(rank) AS lo, max(rank) AS hi, count(DISTINCT depth) AS depths, bool_or(inexact) AS inexact, max(cp) FILTER (WHERE rank = 1) - max(cp) FILTER (WHERE rank = 2) AS margin, max(move) FILTER (WHERE rank = 1) AS first FROM r GROUP BY 1),
+q AS (SELECT run_id, count(*) AS missing FROM (SELECT run_id, position_id, best FROM j WHERE main AND best IS NOT NULL EXCEPT SELECT run_id, position_id, best FROM j WHERE probe) GROUP BY 1)"""
+
+
+@query(f"""WITH {_FAULTY} SELECT j.run_id, count(*) FILTER (WHERE n <> k OR lo <> 1 OR hi <> k) AS bad_rank_sets, count(*) FILTER (WHERE depths > 1) AS mixed_depths, count(*) FILTER (WHERE inexact) AS not_exact,
+  count(*) FILTER (WHERE margin < 0) AS negative_margins, count(*) FILTER (WHERE best <> first) AS bestmove_not_first, coalesce(max(missing), 0) AS missing_probes FROM j LEFT JOIN g ON j.job_id = g.job_id LEFT JOIN q ON j.run_id = q.run_id GROUP BY 1""")
 def mining_audit(spark: SparkSession, d: str) -> DataFrame:
-    jobs, results, _ = star(spark, d)
+    """Every kind of fault counted, in a view with all of them."""
+    jobs, results, _ = star(spark, d, faults=True)
     return mining.run_audit(jobs, results)
 
 
-@query(f"""{_STAR}, ra AS (SELECT position_id // 7 AS k, * FROM met WHERE run_id = 1), rb AS (SELECT position_id // 7 AS k, * FROM met WHERE run_id = 2),
-j AS (SELECT coalesce(a.k, b.k) AS position_id, a.k AS ka, b.k AS kb, a.rank_error AS ra, b.rank_error AS rb, a.candidate_margin_internal AS ma, b.candidate_margin_internal AS mb FROM ra a FULL JOIN rb b ON a.k = b.k)
-SELECT position_id, 'rank_error' AS what, ra AS in_a, rb AS in_b FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ra IS DISTINCT FROM rb
-UNION ALL SELECT position_id, 'candidate_margin_internal', ma, mb FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ma IS DISTINCT FROM mb
-UNION ALL SELECT position_id, 'only_a', NULL, NULL FROM j WHERE kb IS NULL UNION ALL SELECT position_id, 'only_b', NULL, NULL FROM j WHERE ka IS NULL""")
+@query(f"WITH x AS ({_LINES}) SELECT DISTINCT run_id, position_id FROM x")
+def mining_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The positions that a run has jobs for."""
+    return mining.stored_positions(star(spark, d)[0])
+
+
+_CHANGED = " UNION ALL ".join(f"SELECT pair, position_id, '{m}' AS what, a.{m} AS in_a, b.{m} AS in_b FROM ra a JOIN rb b USING (pair, position_id) WHERE a.{m} IS DISTINCT FROM b.{m}" for m in mining.METRICS)
+
+
+@query(f"""{_STAR}, every AS (SELECT *, abs(candidate_static_preference - official_static_preference) AS static_disagreement FROM met),
+ra AS (SELECT * REPLACE (position_id // 7 AS position_id), run_id AS pair FROM every WHERE run_id < 6), rb AS (SELECT * REPLACE (position_id // 7 AS position_id), run_id - 1 AS pair FROM every WHERE run_id > 0)
+{_CHANGED} UNION ALL SELECT pair, position_id, 'only_a', NULL, NULL FROM ra WHERE (pair, position_id) NOT IN (SELECT (pair, position_id) FROM rb)
+UNION ALL SELECT pair, position_id, 'only_b', NULL, NULL FROM rb WHERE (pair, position_id) NOT IN (SELECT (pair, position_id) FROM ra)""")
 def mining_run_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Two runs matched by the place of the position in its run."""
-    m = _metrics(spark, d).withColumn("position_id", F.floor(F.col("position_id") / 7))
-    return mining.run_diff(m.filter("run_id = 1"), m.filter("run_id = 2"), ("rank_error", "candidate_margin_internal"))
+    """Every run against the next, matched by the place of the position in its run, in every metric."""
+    m = _metrics(spark, d).withColumn("teacher_regret_wdl_expected", F.round("teacher_regret_wdl_expected", 6))
+    m = m.select("run_id", F.floor(F.col("position_id") / 7).alias("position_id"), *mining.METRICS)
+    a = m.filter("run_id < 6").withColumn("pair", F.col("run_id"))
+    b = m.filter("run_id > 0").withColumn("pair", F.col("run_id") - 1)
+    return mining.run_diff(a, b, by=("pair", "position_id"))
 
 
 @query(f"""WITH x AS ({_LINES}), r AS (SELECT position_id, max(move) FILTER (WHERE rank = 1) AS a, max(CASE WHEN pick = 1 AND d < 0.1 THEN move END) AS z, list(move ORDER BY rank) AS l FROM x GROUP BY 1),
@@ -115,8 +165,21 @@ def jobs_and_results(spark: SparkSession, d: str) -> DataFrame:
     return mining.jobs_with_results(jobs, results).withColumnRenamed("job_id", "o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 10 = 3)")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def results_of_run(spark: SparkSession, d: str) -> DataFrame:
-    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), "o_custkey")
+    """Results whose job belongs to one run; a run is a status of orders."""
+    jobs = table(spark, d, "orders").select(F.col("o_orderkey").alias("job_id"), "o_orderstatus")
     results = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("job_id"), "l_linenumber", "l_quantity")
-    return mining.results_of_run(results, jobs, F.col("o_custkey") % 10 == 3).withColumnRenamed("job_id", "l_orderkey")
+    return mining.results_of_run(results, jobs, F.col("o_orderstatus") == "F").withColumnRenamed("job_id", "l_orderkey")
+
+
+@query(f"""WITH x AS ({_LINES}), p AS (SELECT DISTINCT position_id // 7 AS k, run_id, move FROM x), a AS (SELECT run_id AS pair, k, list(move) AS m FROM p WHERE run_id < 6 GROUP BY 1, 2), b AS (SELECT run_id - 1 AS pair, k, list(move) AS m FROM p WHERE run_id > 0 GROUP BY 1, 2),
+j AS (SELECT coalesce(a.pair, b.pair) AS pair, coalesce(a.k, b.k) AS position_id, coalesce(a.m, []) AS m, coalesce(b.m, []) AS n FROM a FULL JOIN b ON a.pair = b.pair AND a.k = b.k)
+SELECT pair, position_id, array_to_string(list_sort(list_filter(n, lambda v: NOT list_contains(m, v))), ' ') AS added, array_to_string(list_sort(list_filter(m, lambda v: NOT list_contains(n, v))), ' ') AS removed
+FROM j WHERE len(list_filter(n, lambda v: NOT list_contains(m, v))) + len(list_filter(m, lambda v: NOT list_contains(n, v))) > 0""")
+def probe_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Moves probed in one run and not in the next, position by position."""
+    x = _lines(spark, d).groupBy("run_id", F.floor(F.col("position_id") / 7).alias("position_id")).agg(F.collect_set("move").alias("moves"))
+    a, b = x.filter("run_id < 6").withColumn("pair", F.col("run_id")), x.filter("run_id > 0").withColumn("pair", F.col("run_id") - 1)
+    diff = mining.probe_diff(a, b, ("pair", "position_id"))
+    return diff.select("pair", "position_id", F.array_join("added", " ").alias("added"), F.array_join("removed", " ").alias("removed"))

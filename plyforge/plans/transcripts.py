@@ -2,29 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyforge.functions import uci
 from plyforge.operators import snapshots
-from plyforge.plans.positions import sql_words
+from plyforge.plans.positions import WS, sql_words
 from plyforge.plans.queries import query
 from plyforge.session import table
 from plyforge.sources import files, pgn
 
 _LINES = r"""SELECT doc_id, ln, lines[ln] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS ln FROM
-  (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS lines FROM documents WHERE doc_kind = 'log' AND text <> ''))"""
+  (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS lines FROM documents WHERE text <> ''))"""
 _TOKENS = f"SELECT doc_id, ln, line, {sql_words('line')} AS t FROM ({_LINES})"
 
 
-def _everywhere(sql: str) -> str:
-    """The SQL over all texts instead of those of one kind."""
-    return re.sub(r"doc_kind = '\w+' AND ", "", sql)
-
-
-
 def _after(name: str, plus: int = 1) -> str:
     return f"CASE WHEN list_contains(t, '{name}') THEN t[list_position(t, '{name}') + {plus}] END"
 
@@ -42,10 +34,6 @@ FROM ({_TOKENS}) WHERE t[1] = 'info' AND list_contains(t, 'score') AND list_cont
   AND (NOT list_contains(t, 'wdl') OR ({_long('wdl')} IS NOT NULL AND {_long('wdl', 2)} IS NOT NULL AND {_long('wdl', 3)} IS NOT NULL))"""
 
 
-def _log_lines(spark: SparkSession, d: str) -> DataFrame:
-    return files.lines_of(table(spark, d, "documents").filter("doc_kind = 'log'"), "doc_id")
-
-
 def _all_lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of every text: transcripts and listings also stand in mixed notes, and the readers decide by line."""
     return files.lines_of(table(spark, d, "documents"), "doc_id")
@@ -57,11 +45,6 @@ def _infos(lines: DataFrame) -> DataFrame:
 
 @query(_INFO)
 def search_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _infos(_log_lines(spark, d))
-
-
-@query(_everywhere(_INFO))
-def search_infos_everywhere(spark: SparkSession, d: str) -> DataFrame:
     return _infos(_all_lines(spark, d))
 
 
@@ -80,11 +63,6 @@ def _rescored(lines: DataFrame) -> DataFrame:
 
 @query(_RESCORE)
 def rescore_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _rescored(_log_lines(spark, d))
-
-
-@query(_everywhere(_RESCORE))
-def rescore_infos_everywhere(spark: SparkSession, d: str) -> DataFrame:
     return _rescored(_all_lines(spark, d))
 
 
@@ -97,11 +75,6 @@ def _ends(lines: DataFrame) -> DataFrame:
 
 @query(_ENDS)
 def best_moves(spark: SparkSession, d: str) -> DataFrame:
-    return _ends(_log_lines(spark, d))
-
-
-@query(_everywhere(_ENDS))
-def best_moves_everywhere(spark: SparkSession, d: str) -> DataFrame:
     return _ends(_all_lines(spark, d))
 
 
@@ -115,11 +88,6 @@ def _last_exact(lines: DataFrame) -> DataFrame:
 
 @query(_LAST)
 def last_exact_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _last_exact(_log_lines(spark, d))
-
-
-@query(_everywhere(_LAST))
-def last_exact_infos_everywhere(spark: SparkSession, d: str) -> DataFrame:
     return _last_exact(_all_lines(spark, d))
 
 
@@ -134,12 +102,6 @@ def _picked(lines: DataFrame) -> DataFrame:
 
 @query(_PICKED)
 def picked_results(spark: SparkSession, d: str) -> DataFrame:
-    """What a rescoring of each transcript would report."""
-    return _picked(_log_lines(spark, d))
-
-
-@query(_everywhere(_PICKED))
-def picked_results_everywhere(spark: SparkSession, d: str) -> DataFrame:
     """What a rescoring of each text with a transcript would report."""
     return _picked(_all_lines(spark, d))
 
@@ -169,7 +131,7 @@ def coherent_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 _ROWS = r"""SELECT doc_id, ln, r[1] AS fen, r[2] AS sf_score_type, r[3] AS sf_score, r[4] AS sf_bound, r[5] AS sf_bestmove, r[6] AS sf_depth FROM (
   SELECT doc_id, ln, string_split(lines[ln], chr(9)) AS r FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS ln FROM
-  (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS lines FROM documents WHERE doc_kind = 'table' AND text <> ''))) WHERE len(r) = 6 AND r[2] IN ('cp', 'mate')"""
+  (SELECT doc_id, regexp_split_to_array(regexp_replace(text, '(\r\n|\n|\r)$', ''), '\r\n|\n|\r') AS lines FROM documents WHERE text <> ''))) WHERE len(r) = 6 AND r[2] IN ('cp', 'mate')"""
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -180,12 +142,27 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 @query(_ROWS)
 def rescored_rows(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(table(spark, d, "documents").filter("doc_kind = 'table'"))
+    return _rows(table(spark, d, "documents"))
 
 
-@query(_everywhere(_ROWS))
-def rescored_rows_everywhere(spark: SparkSession, d: str) -> DataFrame:
-    return _rows(table(spark, d, "documents"))
+_BARE = f"regexp_replace(regexp_replace(line, '^{WS}', ''), '{WS}$', '')"
+_TAG = r"(?s)\[\s*([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+\"(.*)\"\s*\]"
+_FIRST = "|".join([*(f"{c}?2?[x-]?{c}[34]" for c in "abcdefgh"), "Nb?1?[x-]?[ac]3", "Ng?1?[x-]?[fh]3"])
+_VALUE = "replace(replace(regexp_extract(bare, '{tag}', 2), chr(92) || '\"', '\"'), chr(92) || chr(92), chr(92))".replace("{tag}", _TAG)
+_HEADER = lambda name, column: f"arg_min(value, ln) FILTER (WHERE kind = 'tag' AND name = '{name}') AS {column}"
+#: Games of ``src`` (doc_id, every, text), by what each line is and what stood before it.
+GAMES_SQL = rf"""gl AS (SELECT doc_id, every, ln, lines[ln] AS line FROM (SELECT doc_id, every, lines, unnest(range(1, len(lines) + 1)) AS ln FROM (SELECT doc_id, every, regexp_split_to_array(text, '\r\n|\n|\r') AS lines FROM src WHERE text <> ''))),
+ga AS (SELECT *, regexp_extract(line, '(?s).*([{{}}])', 1) AS brace, regexp_full_match(bare, '{_TAG}') AS tagged FROM (SELECT *, {_BARE} AS bare FROM gl)),
+gb AS (SELECT *, coalesce(last_value(CASE WHEN brace = '}}' THEN 0 WHEN brace = '{{' AND NOT tagged AND NOT starts_with(line, '%') THEN 1 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM ga),
+gc AS (SELECT *, CASE WHEN inside = 1 THEN 'text' WHEN tagged THEN 'tag' WHEN bare = '' THEN 'blank' WHEN starts_with(line, '%') THEN 'skipped' ELSE 'text' END AS kind FROM gb),
+gd AS (SELECT *, count(*) FILTER (WHERE kind = 'blank') OVER (PARTITION BY doc_id ORDER BY ln) AS blanks FROM gc),
+ge AS (SELECT *, lag(kind) OVER w AS kb, lag(blanks) OVER w AS bb FROM gd WHERE kind IN ('tag', 'text') WINDOW w AS (PARTITION BY doc_id ORDER BY ln)),
+gf AS (SELECT *, sum(CASE WHEN kb IS NULL OR (kb = 'text' AND (kind = 'tag' OR blanks > bb)) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS g, CASE WHEN kind = 'tag' THEN regexp_extract(bare, '{_TAG}', 1) END AS name, CASE WHEN kind = 'tag' THEN {_VALUE} END AS value FROM ge),
+gg AS (SELECT doc_id, every, g, bool_or(kind = 'tag') AS tags, {', '.join(_HEADER(n, c) for n, c in (('White', 'white'), ('Black', 'black'), ('Result', 'result'), ('Termination', 'termination'), ('FEN', 'fen')))}, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE kind = 'text') AS movetext FROM gf GROUP BY 1, 2, 3),
+gh AS (SELECT *, regexp_extract_all(coalesce(movetext, ''), '\{{[^}}]*\}}?|;[^\n]*|[()]|\$[0-9]+|[0-9]+\.+|[^\s{{}}();]+') AS tok FROM gg),
+gi AS (SELECT *, list_filter(range(1, len(tok) + 1), lambda i: NOT regexp_matches(tok[i], '^[{{;$()]') AND NOT regexp_full_match(tok[i], '[0-9]+\.+|[!?]+') AND len(list_filter(tok[:i], lambda x: x = '(')) <= len(list_filter(tok[:i], lambda x: x = ')')))[1] AS head FROM gh WHERE every OR tags OR len(tok) < 40000),
+games AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS game_index FROM gi WHERE every OR tags OR regexp_full_match(regexp_replace(tok[head], '[+#!?]+$', ''), '{_FIRST}'))"""
+_PGN = f"WITH src AS (SELECT doc_id, coalesce(doc_kind = 'pgn', false) AS every, text FROM documents), {GAMES_SQL}"
 
 
 def _every() -> Column:
@@ -193,7 +170,7 @@ def _every() -> Column:
     return F.coalesce(F.col("doc_kind") == "pgn", F.lit(False))
 
 
-@query()
+@query(f"{_PGN} SELECT doc_id, game_index, white, black, result, termination, fen FROM games")
 def pgn_headers(spark: SparkSession, d: str) -> DataFrame:
     """Every game in the texts with its headers."""
     return pgn.games_of(table(spark, d, "documents"), "doc_id", every=_every()).drop("headers")
@@ -211,6 +188,24 @@ def pgn_replays(spark: SparkSession, d: str) -> DataFrame:
     return pgn.replays_of(table(spark, d, "documents"), "doc_id", every=_every())
 
 
+@query("SELECT 'told' AS rule, 0::BIGINT AS violations UNION ALL SELECT 'plies', 0 UNION ALL SELECT 'games', 0")
+def pgn_check(spark: SparkSession, d: str) -> DataFrame:
+    """How often games are told wrongly: replays that don't agree with the positions, plies that don't run from 1 on, headers without replay."""
+    docs = table(spark, d, "documents")
+    good, bad = pgn.positions_of(docs, "doc_id", every=_every())
+    replays = pgn.replays_of(docs, "doc_id", every=_every())
+    games = pgn.games_of(docs, "doc_id", every=_every()).select("doc_id", "game_index")
+    by = ["doc_id", "game_index"]
+    seen = good.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("ply").alias("lo"), F.max("ply").alias("hi"), F.countDistinct("ply").alias("k"))
+    told = replays.join(seen, by, "full").join(bad.groupBy(*by).agg(F.count(F.lit(1)).alias("failures")), by, "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    wrong = F.col("positions").isNull() | (F.col("positions") != zero("n")) | (zero("failures") != F.when(F.col("token").isNull(), 0).otherwise(1))
+    rule = lambda df, name, c: df.agg(F.lit(name).alias("rule"), F.count_if(c).alias("violations"))
+    plies = rule(seen, "plies", (F.col("lo") != 1) | (F.col("hi") != F.col("n")) | (F.col("k") != F.col("n")))
+    lost = games.select(*by, F.lit(1).alias("g")).join(replays.select(*by, F.lit(1).alias("r")), by, "full")
+    return rule(told, "told", wrong).unionByName(plies).unionByName(rule(lost, "games", F.col("g").isNull() | F.col("r").isNull()))
+
+
 @query()
 def leaf_openings(spark: SparkSession, d: str) -> DataFrame:
     """Openings drawn from all positions three moves from the start."""

@@ -1,8 +1,8 @@
 """Game collections in PGN: headers, moves, and positions played.
 
-``pgn`` is a Python data source for files; the same scanner runs over a text
-column. One file or one text is one unit of work: numbering games in it is
-inherently sequential, files are many.
+Texts in a column are scanned whole, in Arrow batches (:func:`scan_games`).
+Files may be of any size and are read in splits (:func:`read_games`): what the
+scanner keeps in mind from line to line is carried from split to split.
 """
 
 from __future__ import annotations
@@ -11,12 +11,13 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from plyforge.functions.boards import strip
 from plyforge.functions.chess import START, IllegalMove, Position
-from plyforge.session import map_arrow, ship
+from plyforge.session import cut, map_arrow
+from plyforge.sources.files import block_lines
 
 GAME = "game_index bigint, white string, black string, result string, termination string, fen string, headers map<string,string>"
 _TAG = re.compile(r'\[\s*([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+"(.*)"\s*\]\s*\Z')
@@ -110,45 +111,94 @@ def numbered_games(text: str | None, every: bool) -> Iterator[tuple[int, dict[st
         yield k, headers, moves
 
 
-class PgnFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _before(lines: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add of each column the last value that isn't null on the lines before, in the same file.
 
+    Within a split by a window; from one split to the next by what each split
+    ends with (one row for each split).
+    """
+    marked = cut(lines.withColumns({f"__{c}": v for c, v in columns.items()}), "marked")
+    inside = Window.partitionBy("file", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+    splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = marked.groupBy("file", "block").agg(*[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col("ln"))).alias(f"__end_{c}") for c in columns])
+    ends = ends.select("file", "block", *[F.last(f"__end_{c}", ignorenulls=True).over(splits).alias(f"__from_{c}") for c in columns])
+    near = marked.withColumns({c: F.last(f"__{c}", ignorenulls=True).over(inside) for c in columns}).join(ends, ["file", "block"])
+    return near.select(*lines.columns, *[F.coalesce(c, f"__from_{c}").alias(c) for c in columns])
 
-class PgnReader(DataSourceReader):
-    def __init__(self, paths: list[str], encoding: str):
-        self.paths, self.encoding = paths, encoding
-
-    def partitions(self) -> list[PgnFile]:
-        return [PgnFile(p) for p in self.paths]
-
-    def read(self, partition: PgnFile) -> Iterator[tuple]:
-        with open(partition.path, encoding=self.encoding, errors="replace", newline="") as f:
-            for k, (headers, _) in enumerate(scan_games(f.read()), 1):
-                yield (partition.path, *_game_row(k, headers))
-
-
-class PgnSource(DataSource):
-    """``spark.read.format("pgn").load(path)``: headers of every game of a file or of a folder's ``.pgn`` files, numbered from 1 in each file."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "pgn"
 
-    def schema(self) -> str:
-        return f"file string, {GAME}"
+#: A tag line, without outer blanks.
+_TAG_LINE = r"(?s)\A\[\s*([A-Za-z0-9][A-Za-z0-9_+#=:-]*)\s+\"(.*)\"\s*\]\z"
 
-    def reader(self, schema) -> PgnReader:
-        import os
 
-        path = self.options["path"].removeprefix("file://")
-        paths = sorted(os.path.join(path, x) for x in os.listdir(path) if x.endswith(".pgn")) if os.path.isdir(path) else [path]
-        return PgnReader(paths, self.options.get("encoding", "utf-8"))
+def read_games(spark: SparkSession, path: str) -> DataFrame:
+    """(``file``, ``game_index`` from 1 in each file, white, black, result, termination, fen, ``headers``, ``movetext``) of every game of PGN files.
 
+    The games are those of :func:`scan_games` over the whole file; a test holds
+    them against each other. A line's brace state is that of the last line
+    before that leaves no choice: a last ``}`` always closes, a last ``{`` opens
+    but on tag and ``%`` lines, which only are such outside a comment. A game
+    begins at a tag or text line that is the first, or whose predecessor is
+    text with an empty line between, or is text where this is a tag.
+    """
+    lines = block_lines(spark, path).select("file", "block", "ln", "line")
+    bare = strip(F.col("line"))
+    brace = F.regexp_extract("line", r"(?s).*([{}])", 1)
+    tag = bare.rlike(_TAG_LINE)
+    comment = F.when(brace == "}", 0).when((brace == "{") & ~tag & ~F.col("line").startswith("%"), 1)
+    lines = _before(lines, {"inside": comment})
+    kind = F.when(F.coalesce("inside", F.lit(0)) == 1, "text").when(tag, "tag").when(bare == "", "blank").when(F.col("line").startswith("%"), "skipped").otherwise("text")
+    lines = lines.select("file", "block", "ln", "line", kind.alias("kind"))
+    solid = F.col("kind").isin("tag", "text")
+    lines = _before(lines, {"kind_before": F.when(solid, F.col("kind")), "ln_before": F.when(solid, F.col("ln")), "blank_before": F.when(F.col("kind") == "blank", F.col("ln"))})
+    apart = (F.col("kind") == "tag") | F.coalesce(F.col("blank_before") > F.col("ln_before"), F.lit(False))
+    starts = solid & (F.col("kind_before").isNull() | ((F.col("kind_before") == "text") & apart))
+    # a game is named by the line it starts at
+    lines = lines.select("file", "block", "ln", "line", "kind", F.when(starts, F.col("ln")).alias("own"))
+    lines = _before(lines, {"start": F.col("own")}).withColumn("start", F.coalesce("own", "start")).filter(solid)
+
+    word = lambda i: F.regexp_extract(bare, _TAG_LINE, i)
+    plain = F.replace(F.replace(word(2), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    entry = F.when(F.col("kind") == "tag", F.struct(F.col("ln"), word(1).alias("key"), plain.alias("value")))
+    moves = F.when(F.col("kind") == "text", F.struct("ln", "line"))
+    # the lines of one game
+    games = lines.groupBy("file", "start").agg(F.array_sort(F.collect_list(entry)).alias("tags"), F.array_sort(F.collect_list(moves)).alias("moves"))
+    names = F.transform("tags", lambda e: e["key"])
+    first = F.filter("tags", lambda e, i: F.array_position(names, e["key"]) == i + 1)
+    games = games.select("file", "start", F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"]))).alias("headers"), F.array_join(F.transform("moves", lambda m: m["line"]), "\n").alias("movetext"))
+    games = with_place(games)
+    tagged = [F.col("headers")[n].alias(c) for c, n in (("white", "White"), ("black", "Black"), ("result", "Result"), ("termination", "Termination"), ("fen", "FEN"))]
+    return games.select("file", "game_index", *tagged, "headers", "movetext")
+
+
+def with_place(games: DataFrame) -> DataFrame:
+    """Adds ``game_index``: the place of a game in its file, by ranges of (file, start) and what each range holds of a file."""
+    spread = cut(games.repartitionByRange("file", "start").withColumn("__part", F.spark_partition_id()), "games")
+    held = spread.groupBy("file", "__part").agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("file").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select("file", "__part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__shift"))
+    inside = F.row_number().over(Window.partitionBy("__part", "file").orderBy("start"))
+    return spread.join(held, ["file", "__part"]).withColumn("game_index", inside.cast("bigint") + F.col("__shift")).drop("__part", "__shift")
+
+
+def positions_in(games: DataFrame, keys: list[str], skip_first_n_plies: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(positions, failures), as :func:`positions_of`, of games with ``fen`` and ``movetext``, named by ``keys``."""
+    named = games.select(*keys, "fen", "movetext")
+    schema = games.select(*keys).schema.add("ply", "long").add("fen", "string").add("token", "string")
 
-def register(spark: SparkSession) -> None:
-    ship(spark)
-    spark.dataSource.register(PgnSource)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, plies, fens, tokens = [], [], [], []
+            for i, (fen, moves) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)):
+                played, bad = replay({"FEN": fen} if fen else {}, moves)
+                rows = [(ply, f, None) for ply, f in enumerate(played, 1) if ply > skip_first_n_plies] if bad is None else [(len(played) + 1, None, bad)]
+                at += [i] * len(rows)
+                for ply, f, token in rows:
+                    plies.append(ply), fens.append(f), tokens.append(token)
+            cols = [c.take(pa.array(at, pa.int64())) for c in b.columns[: len(keys)]]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(plies, pa.int64()), pa.array(fens, pa.string()), pa.array(tokens, pa.string())], schema.names)
+
+    out = map_arrow(named, run, schema)
+    return out.filter("token is null").drop("token"), out.filter("token is not null").drop("fen")
 
 
 def _with_every(docs: DataFrame, key: str, text: str, every: Column | None) -> DataFrame:

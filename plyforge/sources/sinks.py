@@ -2,12 +2,13 @@
 
 Parquet has no upsert: a changed table is written as a new snapshot and moved
 into place; append-only tables get new files. Concurrent writers must be kept
-apart by the caller.
+apart by the caller. Between the two renames of a swap there is no table under
+its name; should a writer end there, :func:`recover`, which every writer calls
+first and :func:`stored` before reading, puts the last whole snapshot back.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,24 +21,61 @@ class Conflict(ValueError):
     """What should be added contradicts what is stored."""
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs(spark, path)
+    return fs.exists(p)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a swap that was broken off, and remove what it left behind.
+
+    Without a table, the new snapshot is taken if it was written whole (its
+    success marker is there), else the old one.
+    """
+    p, fs = _fs(spark, path)
+    P = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    beside = {kind: [s.getPath() for s in fs.globStatus(P(f"{path}.{kind}-*")) or []] for kind in ("new", "old")}
+    whole = [x for x in beside["new"] if fs.exists(P(x, "_SUCCESS"))]
+    if not fs.exists(p) and beside["old"]:
+        fs.rename((whole or beside["old"])[0], p)
+    for left in (*beside["new"], *beside["old"]):
+        if fs.exists(p) and fs.exists(left):
+            fs.delete(left, True)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The table as it stands, after a broken swap too."""
+    recover(spark, path)
+    return spark.read.parquet(path)
 
 
 def _swap(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """Write beside, then rename: readers see the old snapshot or the new one."""
+    """Write beside, then rename twice."""
     spark = df.sparkSession
     new, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(new)
-    jvm = spark.sparkContext._jvm
-    P = jvm.org.apache.hadoop.fs.Path
-    fs = P(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(P(path)):
-        fs.rename(P(path), P(old))
-    fs.rename(P(new), P(path))
-    fs.delete(P(old), True)
+    (p, fs), n, o = _fs(spark, path), _fs(spark, new)[0], _fs(spark, old)[0]
+    if fs.exists(p):
+        fs.rename(p, o)
+    fs.rename(n, p)
+    fs.delete(o, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file on the file system of its path, replacing what is there at once."""
+    (new, fs), (p, _) = _fs(spark, path + ".new"), _fs(spark, path)
+    out = fs.create(new, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    fs.rename(new, p)
 
 
 def insert_new(df: DataFrame, path: str, key: list[str], arrival: list[str]) -> None:
@@ -45,6 +83,7 @@ def insert_new(df: DataFrame, path: str, key: list[str], arrival: list[str]) ->
     row = F.struct(*df.columns)
     first = df.groupBy(*key).agg(F.min_by(row, F.struct(*arrival, row)).alias("__r")).select("__r.*")
     spark = df.sparkSession
+    recover(spark, path)
     if _exists(spark, path):
         first = first.join(spark.read.parquet(path).select(*key), key, "left_anti")
     first.write.mode("append").parquet(path)
@@ -53,6 +92,7 @@ def insert_new(df: DataFrame, path: str, key: list[str], arrival: list[str]) ->
 def upsert_latest(df: DataFrame, path: str, key: list[str], version: list[str], partition_by: list[str] | None = None) -> None:
     """A new snapshot that holds, of every key, the latest row by ``version`` among stored and new ones."""
     spark = df.sparkSession
+    recover(spark, path)
     every = spark.read.parquet(path).select(*df.columns).unionByName(df) if _exists(spark, path) else df
     row = F.struct(*df.columns)
     latest = every.groupBy(*key).agg(F.max_by(row, F.struct(*version, row)).alias("__r")).select("__r.*")
@@ -70,8 +110,12 @@ def replace_partitions(df: DataFrame, path: str, partition_by: list[str]) -> Non
 
 
 def create_immutable(df: DataFrame, path: str, key: list[str]) -> None:
-    """Append rows of new keys; a stored key must come back with the same values."""
+    """Append rows of new keys; a key that is stored or comes several times must have the same values."""
     spark = df.sparkSession
+    recover(spark, path)
+    twice = df.distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
+    if twice:
+        raise Conflict(f"{key} {[twice[0][k] for k in key]} comes with several values")
     if _exists(spark, path):
         others = [c for c in df.columns if c not in key]
         stored = spark.read.parquet(path)
@@ -113,10 +157,10 @@ def finished_jobs(jobs: DataFrame) -> DataFrame:
 def write_tsv(df: DataFrame, path: str, first: list[str] | None = None, order: list[str] | None = None) -> None:
     """Tab-separated with header and LF, the columns of ``first`` in front; with ``order`` one file in that order."""
     names = [*(first or []), *[c for c in df.columns if c not in (first or [])]]
-    df = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
     if order:
         df = df.repartitionByRange(1, *order).sortWithinPartitions(*order)
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", lineSep="\n")
+    df = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
+    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_lines(df: DataFrame, path: str, line: str, order: list[str]) -> None:
@@ -133,8 +177,5 @@ def write_rescored(df: DataFrame, path: str, order: list[str], **meta: object) -
 
     write_tsv(df, path, order=order)
     n = df.count()
-    target = path.removeprefix("file://").rstrip("/") + ".meta.json"
-    with open(target + ".new", "w", encoding="utf-8") as f:
-        json.dump({"rows": n, **meta}, f, sort_keys=True, indent=1)
-    os.replace(target + ".new", target)
+    write_text(df.sparkSession, path.rstrip("/") + ".meta.json", json.dumps({"rows": n, **meta}, sort_keys=True, indent=1))
     return n

@@ -30,14 +30,20 @@ def results_per_window(records: DataFrame, width: str = "1 day") -> DataFrame:
     return by.agg(F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("draws").alias("draws"), F.count(F.lit(1)).alias("records")).select(F.col("window.start").alias("start"), "opponent_id", "wins", "losses", "draws", "records")
 
 
-def transition_violations(events: DataFrame, key: str, state: str, order: str, first: list[str], allowed: dict[str, list[str]]) -> DataFrame:
+def transition_violations(events: DataFrame, key: str, state: str, order: str, first: list[str], allowed: dict[str, list[str]], forget_ms: int | None = None) -> DataFrame:
     """Events that can't follow the last state of their key, over any number of micro-batches.
 
     The state kept for a key is its last state. Within a batch events are taken
-    in the order of ``order``; across batches in arrival.
+    in the order of ``order``; across batches in arrival. What a batch holds of
+    a key is sorted in one task, so batches are bounded at the source
+    (``maxFilesPerTrigger``). A key without events for ``forget_ms`` is
+    forgotten and begins anew; without it state grows with the keys.
     """
 
     def check(k: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         before = held.get[0] if held.exists else None
         bad = []
         for row in pd.concat(list(parts)).sort_values(order, kind="stable").itertuples(index=False):
@@ -46,7 +52,9 @@ def transition_violations(events: DataFrame, key: str, state: str, order: str, f
                 bad.append((k[0], str(getattr(row, order)), before, now))
             before = now
         held.update((before,))
+        if forget_ms:
+            held.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(bad, columns=["key", "at", "previous", "state"])
 
     ship(events.sparkSession)
-    return events.select(key, state, order).groupBy(key).applyInPandasWithState(check, "key string, at string, previous string, state string", "state string", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, state, order).groupBy(key).applyInPandasWithState(check, "key string, at string, previous string, state string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)

@@ -49,6 +49,52 @@ def test_jsonl(spark, tmp_path):
     assert rows[0].record.run_id == "a"
 
 
+@pytest.fixture
+def small_splits(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")
+    yield
+    spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_many_splits_a_file(spark, tmp_path, small_splits):
+    texts = [f"row {i} " + "x" * (i % 90) for i in range(60)]
+    p = write(tmp_path / "a.txt", "\n".join(texts))
+    assert [(r.ln, r.line) for r in files.numbered_lines(spark, p).orderBy("ln").collect()] == list(enumerate(texts, 1))
+    j = write(tmp_path / "j.jsonl", "\n".join(json.dumps({"run_id": str(i)}) for i in range(40)))
+    got = files.read_jsonl(spark, j, LEDGER).orderBy("ln").collect()
+    assert [r.record.run_id for r in got] == [str(i) for i in range(40)] and [r.problem for r in got] == [None] * 39 + ["unfinished"]
+    e = "a b c d\u2028b b c d\n" + "x y z w\n" * 9 + "p\u2028q\n" + "c b c d\n" * 9
+    want = [(k, " ".join(x.split()[:4]) if len(x.split()) > 3 else None) for k, x in enumerate(e.splitlines(), 1)]
+    assert [(r.ln, r.key) for r in files.read_epd(spark, write(tmp_path / "e.epd", e)).orderBy("ln").collect()] == want
+    t = write(tmp_path / "t.tsv", "a\tb\n" + "".join(f"{i}\t{i * i}\n" for i in range(50)))
+    assert [(r.row_number, r.a, r.b) for r in files.read_tsv_numbered(spark, t).orderBy("row_number").collect()] == [(i + 2, str(i), str(i * i)) for i in range(50)]
+
+
+def test_manifests_and_first_rows(spark, tmp_path):
+    p = write(tmp_path / "m.tsv", "fen\tn\nx\t2\ny\t1\n")
+    m = files.read_manifest(spark, p, ("fen",))
+    assert files.first_row(m, ["n"]).first().fen == "y"
+    with pytest.raises(files.NoRows):
+        files.read_manifest(spark, write(tmp_path / "e.tsv", "fen\tn\n"), ("fen",))
+
+
+def test_ledgers_as_a_whole(spark, tmp_path):
+    good = [{"run_id": f"r{i}", "record_id": f"i{i}"} for i in range(3)]
+    p = write(tmp_path / "l.jsonl", "".join(json.dumps(g) + "\n" for g in [*good, {"run_id": "r1", "record_id": "i9"}, {"record_id": "i0"}]) + "{\n")
+    got = files.ledger_problems(files.read_jsonl(spark, p, LEDGER), ("run_id", "record_id")).collect()
+    assert sorted((r.ln, r.problem) for r in got) == [(4, "repeated run_id"), (5, "missing run_id"), (5, "repeated record_id"), (6, "json")]
+    sound = write(tmp_path / "s.jsonl", "".join(json.dumps(g) + "\n" for g in good))
+    assert files.ledger_problems(files.read_jsonl(spark, sound, LEDGER), ("run_id",)).collect() == []
+
+
+def test_state_histories(spark, tmp_path):
+    for name, text in (("run 1.jsonl", '{"run_id": "run 1", "state": "A"}\n{"run_id": "run 1", "state": "Z"}\n'), ("b.jsonl", '{"run_id": "c", "state": "A"}\n{"run_id": "b"}\n\n')):
+        write(tmp_path / "st" / name, text)
+    got = files.state_problems(files.read_jsonl(spark, str(tmp_path / "st"), "run_id string, state string"), ("A", "B")).collect()
+    assert sorted((os.path.basename(r.file)[0], r.ln, r.problem) for r in got) == [("b", 1, "other run"), ("b", 2, "unknown state"), ("b", 3, "blank"), ("r", 2, "unknown state")]
+
+
 def test_documents_and_inventory(spark, tmp_path):
     write(tmp_path / "d" / "a.json", '{"x": 1}')
     write(tmp_path / "d" / "s" / "b.json", '{"x": 1}\r\n')
@@ -87,8 +133,9 @@ def test_immutable_and_append(spark, tmp_path):
     sinks.create_immutable(df(("r", "i", 1)), p, ["run_id"])
     sinks.create_immutable(df(("r", "i", 1), ("s", "j", None)), p, ["run_id"])
     assert spark.read.parquet(p).count() == 2
-    with pytest.raises(sinks.Conflict):
-        sinks.create_immutable(df(("r", "i", 2)), p, ["run_id"])
+    for bad in (df(("r", "i", 2)), df(("z", "k", 1), ("z", "k", 2))):
+        with pytest.raises(sinks.Conflict):
+            sinks.create_immutable(bad, p, ["run_id"])
     q = str(tmp_path / "ledger")
     sinks.append_records(df(("r", "i", 1)), q)
     sinks.append_records(df(("r", "i", 1), ("s", "j", 1)), q)
@@ -109,6 +156,8 @@ def test_text_writers(spark, tmp_path):
     df = spark.createDataFrame([(2, "b\"x", None), (1, "a", "q")], "n int, s string, e string")
     sinks.write_tsv(df, str(tmp_path / "o"), ["s"], ["n"])
     assert text_of(tmp_path / "o") == 's\tn\te\na\t1\tq\nb"x\t2\t\n'
+    sinks.write_tsv(spark.createDataFrame([(" a ",)], "s string"), str(tmp_path / "b"))
+    assert text_of(tmp_path / "b") == "s\n a \n"
     sinks.write_lines(df, str(tmp_path / "l"), "s", ["n"])
     assert text_of(tmp_path / "l") == 'a\nb"x\n'
     with pytest.raises(ValueError):
@@ -126,3 +175,18 @@ def test_lines_of_texts(spark):
     df = spark.createDataFrame([(1, "a\r\nb\rc\n"), (2, ""), (3, None), (4, "x\n\ny")], "k int, text string")
     assert sorted((r.k, r.ln, r.line) for r in files.lines_of(df, "k").collect()) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (4, 1, "x"), (4, 2, ""), (4, 3, "y")]
     assert files.lines_of(df.filter(F.lit(False)), "k").count() == 0
+
+
+def test_a_broken_swap_is_recovered(spark, tmp_path):
+    p = str(tmp_path / "t")
+    df = lambda n: spark.createDataFrame([("a", n, n)], "k string, v int, t int")
+    sinks.upsert_latest(df(1), p, ["k"], ["t"])
+    os.rename(p, p + ".old-1")
+    df(2).write.parquet(p + ".new-1")
+    os.remove(p + ".new-1/_SUCCESS")
+    assert sinks.stored(spark, p).first().v == 1
+    os.rename(p, p + ".old-2")
+    df(2).write.parquet(p + ".new-2")
+    sinks.upsert_latest(df(0), p, ["k"], ["t"])
+    assert sinks.stored(spark, p).first().v == 2
+    assert sorted(os.listdir(tmp_path)) == ["t"]

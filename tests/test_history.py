@@ -65,6 +65,26 @@ def test_sequences_and_order(spark):
     assert [r.n for r in history.out_of_order(rows, ["g"], ["n"], "p").collect()] == [2]
 
 
+def test_sequences_in_list_order(spark):
+    df = spark.createDataFrame([("a", 1, 1), ("a", 2, 2), ("b", 1, 2), ("b", 2, 1), ("c", 1, 2), ("c", 2, 3), ("d", 1, None), ("e", 5, 1)], "k string, at int, n int").repartition(3)
+    got = {r.k: r.in_order for r in history.sequence_in_order(df, ["k"], ["at"], "n").collect()}
+    assert got == {"a": True, "b": False, "c": False, "d": False, "e": True}
+
+
+def test_points_of_series(spark):
+    rows = [record(3, 5), record(1, 7), record(2, 1, opponent=None), record(4, 2)]
+    got = [(r.opponent_id, r.place, r.run_id) for r in history.series_points(spark.createDataFrame(rows, S).repartition(3), ["opponent_id"]).collect()]
+    assert sorted(got, key=str) == sorted([("o", 1, "run001"), ("o", 2, "run003"), ("o", 3, "run004"), (None, 1, "run002")], key=str)
+
+
+def test_index_metadata(spark):
+    df = spark.range(3)
+    meta = lambda *r: spark.createDataFrame(list(r), "key string, value string")
+    assert tuple(history.index_agrees(df, meta(("record_count", "3"), ("ledger_schema_version", "v1")), "v1").first()) == (3, True, True)
+    assert tuple(history.index_agrees(df, meta(("record_count", "4"), ("ledger_schema_version", "v2")), "v1").first()) == (3, False, False)
+    assert tuple(history.index_agrees(df, meta(), "v1").first()) == (3, False, False)
+
+
 def test_repeats(spark):
     df = spark.createDataFrame([("a", "x"), ("a", "y"), (None, "z"), (None, "z")], "run_id string, record_id string")
     assert sorted(map(tuple, history.repeated(df, ["run_id", "record_id"]).collect())) == [("record_id", "z", 2), ("run_id", "a", 2)]

@@ -111,11 +111,39 @@ def test_seeded_buckets(spark):
 def test_splits(spark):
     df = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("k"))
     a = {r.k: r.s for r in df.select("k", sampling.split_of(F.col("k"), "x").alias("s")).collect()}
-    b = {r.k: r.s for r in df.select("k", sampling.split_of(F.col("k"), "x", sampling.Weights(1800, 100, 100)).alias("s")).collect()}
+    b = {r.k: r.s for r in df.select("k", sampling.split_of(F.col("k"), "x", {"validation": 100, "holdout": 100, "train": 1800}).alias("s")).collect()}
     assert 2500 < sum(v == "train" for v in a.values()) < 2900 and set(b.values()) == {"train", "validation", "holdout"}
     assert spark.createDataFrame([(None,), ("",)], "k string").select(sampling.split_of(F.col("k"), "x")).distinct().first()[0] is None
-    with pytest.raises(ValueError):
-        sampling.Weights(train=0)
+    for bad in ({}, {"a": 1, "train": 0}, {"a": -1, "train": 1}, {"a": 0.5, "train": 1}):
+        with pytest.raises(ValueError):
+            sampling.split_of(F.col("k"), "x", bad)
+    other = {r[0] for r in df.select(sampling.split_of(F.col("k"), "x", {"red": 1, "blue": 3})).distinct().collect()}
+    assert other == {"red", "blue"}
+
+
+def test_families(spark):
+    df = spark.createDataFrame([(3, "b"), (1, "c"), (2, "b"), (0, None)], "n int, f string")
+    got = sampling.families_in_order(df, F.col("f"), ["n"]).orderBy("family_no").collect()
+    assert [(r.family, r.family_no, r.n) for r in got] == [("c", 1, 1), ("b", 2, 2)]
+    split = sampling.split_by_family(df, F.col("f"), "x")
+    assert sampling.families_across(split, "f", "assigned_split").count() == 0
+    assert sampling.families_across(spark.createDataFrame([("a", "x"), ("a", "y"), ("b", None)], "f string, s string"), "f", "s").count() == 1
+    with pytest.raises(sampling.NoFamily):
+        sampling.split_by_family(df, F.col("f"), "x", unnamed="error")
+    assert sampling.split_by_family(df.filter("f is not null"), F.col("f"), "x", unnamed="error").count() == 3
+
+
+def test_too_few_rows(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2)], "k string, i int")
+    assert sampling.smallest_hashes(df, F.col("k"), "s", 3, ["i"]).count() == 1
+    with pytest.raises(sampling.TooFew):
+        sampling.smallest_hashes(df, F.col("k"), "s", 2, ["i"], strict=True)
+
+
+def test_suite_contracts(spark):
+    df = spark.createDataFrame([("s", f"o{i} w - -") for i in range(5)] + [("t", "x w - -")], "suite string, line string")
+    got = {r.suite: r.selection for r in sampling.suite_contracts(df, F.col("suite"), F.col("line"), F.col("line"), 3, "seed").collect()}
+    assert json.loads(got["s"]) == {"method": "seeded_sha256_without_replacement", "seed": "seed", "pairs": 3, "pool": 5} and got["t"] is None
 
 
 def test_rule_chain(spark):

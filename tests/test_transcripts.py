@@ -1,4 +1,4 @@
-"""The queries with ``_everywhere`` and those of games read texts of any kind, or of none."""
+"""Transcripts, listings and games are read from texts of any kind, or of none."""
 
 import pytest
 
@@ -21,9 +21,9 @@ def notes(spark, tmp_path):
 
 @pytest.mark.parametrize("name", LINES)
 def test_lines_of_every_kind_of_text(spark, notes, name):
-    df = core.queries()[f"{name}_everywhere"](spark, notes)
+    df = core.queries()[name](spark, notes)
     assert sorted(r.doc_id for r in df.select("doc_id").collect()) == list(range(len(KINDS)))
-    got, want = same(df, connect(notes), core.oracle_sql()[f"{name}_everywhere"])
+    got, want = same(df, connect(notes), core.oracle_sql()[name])
     assert got == want
 
 
