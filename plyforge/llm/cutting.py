@@ -210,9 +210,13 @@ def broken_rules(docs: DataFrame, pieces: DataFrame, limit: int = LIMIT, overlap
     ``limit``: pieces of too many tokens, counted anew. ``overlap``: pieces that
     don't share ``overlap`` tokens with the one before. ``natural``: pieces that
     end inside a word though white space lies between the end of the piece
-    before and their own. ``missing``: texts too long that weren't cut.
+    before, or the first ``overlap`` tokens, and their own. ``missing``: texts too long that weren't cut.
     """
     counted = with_token_counts(pieces.withColumn("text", F.col("piece_text")), out="again", path=path)
+    # of a first piece, which can't end within its first tokens, what stands before its last white space
+    inside = (F.col("piece") == 1) & (F.col("ends_at") == BOUNDARIES[0])
+    front = F.when(inside, F.regexp_extract("piece_text", rf"(?s)\A(.*){WS_CLASS}", 1))
+    counted = with_token_counts(counted.withColumn("front", front), "front", "front_tokens", path)
     counted = counted.join(docs.select("doc_id", "text"), "doc_id")
     before = F.lag("char_end").over(Window.partitionBy("doc_id").orderBy("piece"))  # the pieces of one text
     p = counted.withColumn("before", before)
@@ -225,7 +229,7 @@ def broken_rules(docs: DataFrame, pieces: DataFrame, limit: int = LIMIT, overlap
         "cover": ~F.coalesce(start, F.lit(False)) | (last != (F.col("char_end") == F.char_length("text"))),
         "limit": (F.col("again") > limit) | (F.col("again") != F.col("n_tokens")),
         "overlap": F.col("shared_tokens") != F.when(F.col("piece") == 1, 0).otherwise(overlap),
-        "natural": ~last & (F.col("ends_at") == BOUNDARIES[0]) & strip(new).rlike(WS_CLASS),
+        "natural": ~last & (F.col("ends_at") == BOUNDARIES[0]) & F.when(F.col("piece") == 1, F.col("front_tokens") > overlap + 1).otherwise(strip(new).rlike(WS_CLASS)),
     }
     counts = p.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
     tall = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in rules])).alias("x")).select("x.*")
