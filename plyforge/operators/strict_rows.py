@@ -63,24 +63,30 @@ def load_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line") -
     are loaded each under its number. A game index beyond 64 bits isn't loaded.
     Other columns of the input are dropped, so their names can't clash.
     """
+    return _loaded(lines, line_id, line).select("line_id", *COLUMNS)
+
+
+def _loaded(lines: DataFrame, line_id: str, line: str) -> DataFrame:
+    """The valid lines with a hash of their text, ``__text``."""
     src = lines.select(F.col(line_id).alias("line_id"), F.col(line).alias("__line")).filter(sound_quoting(F.col("__line")))
     # fenced, so that the filters below don't split and unquote every line once more
-    src = computed_once(src.select("line_id", "__line"), {"__raw": raw_columns(F.col("__line"))}).filter(F.size("__raw") == len(COLUMNS))
-    src = computed_once(src, {c: column_value(F.get("__raw", F.lit(i))) for i, c in enumerate(COLUMNS)}).select("line_id", *COLUMNS)
+    raw = {"__raw": raw_columns(F.col("__line")), "__text": F.xxhash64("__line")}
+    src = computed_once(src.select("line_id", "__line"), raw).filter(F.size("__raw") == len(COLUMNS)).drop("__line")
+    src = computed_once(src, {c: column_value(F.get("__raw", F.lit(i))) for i, c in enumerate(COLUMNS)}).select("line_id", "__text", *COLUMNS)
     good = src.filter(_value_checks({c: F.col(c) for c in COLUMNS}))
     return good.withColumn("game_index", F.col("game_index").cast("bigint"))
 
 
-def bad_lines(lines: DataFrame, loaded: DataFrame | None = None, line_id: str = "line_id", line: str = "line") -> DataFrame:
+def bad_lines(lines: DataFrame, line_id: str = "line_id", line: str = "line") -> DataFrame:
     """(``line_id``, ``reason``, ``line``) of every line that isn't loaded, with the first reason that fits.
 
-    ``quoting``, then ``columns``, then ``value``. The bad lines are the numbers
-    of all lines less those of the loaded ones. A line without number can't be
-    subtracted; it is tested by itself.
+    ``quoting``, then ``columns``, then ``value``. The bad lines are all lines
+    less the loaded ones, told apart by number and a hash of their text, so that
+    a bad line stays one when a good line has its number. A line without number
+    can't be subtracted; it is tested by itself.
     """
-    loaded = load_lines(lines, line_id, line) if loaded is None else loaded
-    every = lines.select(F.col(line_id).alias("line_id"), F.col(line).alias("line"))
-    rest = every.join(loaded.select("line_id"), "line_id", "left_anti")
+    every = lines.select(F.col(line_id).alias("line_id"), F.col(line).alias("line"), F.xxhash64(line).alias("__text"))
+    rest = every.join(_loaded(lines, line_id, line).select("line_id", "__text"), ["line_id", "__text"], "left_anti")
     text = F.coalesce(F.col("line"), F.lit(""))
     fits = _value_checks({c: column_value(F.get(raw_columns(text), F.lit(i))) for i, c in enumerate(COLUMNS)})
     rest = rest.filter(F.col("line_id").isNotNull() | ~(sound_quoting(text) & (F.size(raw_columns(text)) == len(COLUMNS)) & fits))

@@ -85,12 +85,12 @@ def ledger_faults(spark: SparkSession, d: str) -> DataFrame:
     return files.ledger_problems(_ledger(spark, d), ("record_id", "run_id", "recorded_at")).drop("file")
 
 
-@query("SELECT count(DISTINCT sha256(record_json)) AS documents, 0::BIGINT AS problems FROM records")
+@query("SELECT count(*) AS documents, 0::BIGINT AS problems FROM networks")
 def document_files(spark: SparkSession, d: str) -> DataFrame:
-    """Every JSON document as a file of its own, read whole and checked."""
+    """Every network as a JSON document in a file of its own, read whole and checked."""
     at = _place(spark, "documents")
-    docs = table(spark, d, "records").select(F.sha2("record_json", 256).alias("name"), "record_json").distinct()
-    docs.repartition("name").write.partitionBy("name").option("lineSep", "\n").text(at)
+    docs = table(spark, d, "networks").select(F.col("network_id").alias("name"), F.to_json(F.struct("*")).alias("document"))
+    docs.repartition("name").write.partitionBy("name").text(at)
     read = files.read_documents(spark, at, "*.txt")
     return read.agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("problem").isNotNull()).alias("problems"))
 

@@ -34,9 +34,9 @@ FROM ({_TOKENS}) WHERE t[1] = 'info' AND list_contains(t, 'score') AND list_cont
   AND (NOT list_contains(t, 'wdl') OR ({_long('wdl')} IS NOT NULL AND {_long('wdl', 2)} IS NOT NULL AND {_long('wdl', 3)} IS NOT NULL))"""
 
 
-def _all_lines(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of every text: transcripts and listings also stand in mixed notes, and the readers decide by line."""
-    return files.lines_of(table(spark, d, "documents"), "doc_id")
+def _lines(spark: SparkSession, d: str, word: str) -> DataFrame:
+    """Lines of every text that hold what a reader can't do without: transcripts also stand in mixed notes, and the readers decide by line."""
+    return files.lines_with(table(spark, d, "documents"), "doc_id", word)
 
 
 def _infos(lines: DataFrame) -> DataFrame:
@@ -45,7 +45,7 @@ def _infos(lines: DataFrame) -> DataFrame:
 
 @query(_INFO)
 def search_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _infos(_all_lines(spark, d))
+    return _infos(_lines(spark, d, "info"))
 
 
 _TEXT = lambda x: f"coalesce({x}, '')"
@@ -63,7 +63,7 @@ def _rescored(lines: DataFrame) -> DataFrame:
 
 @query(_RESCORE)
 def rescore_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _rescored(_all_lines(spark, d))
+    return _rescored(_lines(spark, d, "info"))
 
 
 _ENDS = f"""SELECT doc_id, ln, CASE WHEN t[2] NOT IN ('(none)', '0000') THEN t[2] END AS bestmove, CASE WHEN t[3] = 'ponder' AND t[4] NOT IN ('(none)', '0000') THEN t[4] END AS ponder FROM ({_TOKENS}) WHERE t[1] = 'bestmove'"""
@@ -75,20 +75,16 @@ def _ends(lines: DataFrame) -> DataFrame:
 
 @query(_ENDS)
 def best_moves(spark: SparkSession, d: str) -> DataFrame:
-    return _ends(_all_lines(spark, d))
+    return _ends(_lines(spark, d, "bestmove"))
 
 
 _LAST = f"""SELECT doc_id, rank, coalesce(arg_max(ln, ln) FILTER (WHERE bound = 'exact'), max(ln)) AS ln, coalesce(arg_max(score_value, ln) FILTER (WHERE bound = 'exact'), arg_max(score_value, ln)) AS score_value,
   coalesce(arg_max(move, ln) FILTER (WHERE bound = 'exact'), arg_max(move, ln)) AS move FROM ({_INFO}) GROUP BY doc_id, rank"""
 
 
-def _last_exact(lines: DataFrame) -> DataFrame:
-    return snapshots.last_exact(_infos(lines), ["doc_id", "rank"]).select("doc_id", "rank", "ln", "score_value", "move")
-
-
 @query(_LAST)
 def last_exact_infos(spark: SparkSession, d: str) -> DataFrame:
-    return _last_exact(_all_lines(spark, d))
+    return snapshots.last_exact(search_infos(spark, d), ["doc_id", "rank"]).select("doc_id", "rank", "ln", "score_value", "move")
 
 
 _PICKED = f"""WITH i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN sf_bound = 'exact' THEN 0 ELSE 1 END, ln DESC) AS k FROM ({_RESCORE})), e AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ln DESC) AS k FROM ({_ENDS}))
@@ -96,14 +92,10 @@ SELECT coalesce(i.doc_id, e.doc_id) AS doc_id, i.* EXCLUDE (doc_id, ln, k, pv),
 FROM (SELECT *, list_filter(string_split(sf_pv, ' '), lambda m: m <> '') AS pv FROM i WHERE k = 1) i FULL JOIN (SELECT * FROM e WHERE k = 1) e ON i.doc_id = e.doc_id"""
 
 
-def _picked(lines: DataFrame) -> DataFrame:
-    return snapshots.picked_result(_rescored(lines), _ends(lines), ["doc_id"])
-
-
 @query(_PICKED)
 def picked_results(spark: SparkSession, d: str) -> DataFrame:
     """What a rescoring of each text with a transcript would report."""
-    return _picked(_all_lines(spark, d))
+    return snapshots.picked_result(rescore_infos(spark, d), best_moves(spark, d), ["doc_id"])
 
 
 _JOBS = """SELECT l_orderkey AS job, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ln, 1 + l_linenumber % 2 AS rank, CAST(floor(l_quantity / 26) AS BIGINT) AS depth,
@@ -135,7 +127,7 @@ _ROWS = r"""SELECT doc_id, ln, r[1] AS fen, r[2] AS sf_score_type, r[3] AS sf_sc
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    lines = files.lines_of(docs, "doc_id").withColumn("r", F.split("line", "\t"))
+    lines = files.lines_with(docs, "doc_id", "\t").withColumn("r", F.split("line", "\t"))
     names = ("fen", "sf_score_type", "sf_score", "sf_bound", "sf_bestmove", "sf_depth")
     return lines.filter((F.size("r") == 6) & F.get("r", F.lit(1)).isin("cp", "mate")).select("doc_id", "ln", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
 

@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -109,6 +110,34 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+_scopes: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drop at the end every table that :func:`cut` made inside, but those passed through the function given.
+
+    What is kept must not read what is dropped: it has been cut itself.
+    """
+    made: list[DataFrame] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._plyforge_path)
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(made)
+        for df in made:
+            if df._plyforge_path not in kept:
+                release(df)
+            elif _scopes:
+                _scopes[-1].append(df)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -124,6 +153,8 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._plyforge_path = path
+    if _scopes:
+        _scopes[-1].append(back)
     return back
 
 

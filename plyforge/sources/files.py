@@ -65,6 +65,11 @@ def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return docs.filter(F.col(text) != "").select(key, F.posexplode(F.split(t, r"\r\n|\n|\r")).alias("i", "line")).select(key, (F.col("i") + 1).alias("ln"), "line")
 
 
+def lines_with(docs: DataFrame, key: str, word: str, text: str = "text") -> DataFrame:
+    """:func:`lines_of`, of which only those that hold ``word``; texts without it are never split."""
+    return lines_of(docs.filter(F.col(text).contains(word)), key, text).filter(F.col("line").contains(word))
+
+
 #: Where Python's str.splitlines() ends a line, besides those of the reader.
 UNICODE_LINES = r"[\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 

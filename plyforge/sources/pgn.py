@@ -142,9 +142,11 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = block_lines(spark, path).select("file", "block", "ln", "line")
     bare = strip(F.col("line"))
-    brace = F.regexp_extract("line", r"(?s).*([{}])", 1)
-    tag = bare.rlike(_TAG_LINE)
-    comment = F.when(brace == "}", 0).when((brace == "{") & ~tag & ~F.col("line").startswith("%"), 1)
+    # patterns only where a character tells that they may fit
+    tag = bare.startswith("[") & bare.rlike(_TAG_LINE)
+    behind = lambda x: F.when(F.col("line").contains(x), F.length(F.substring_index("line", x, -1)))
+    opens, closes = behind("{"), behind("}")
+    comment = F.when(closes.isNotNull() & (opens.isNull() | (closes < opens)), 0).when(opens.isNotNull() & ~tag & ~F.col("line").startswith("%"), 1)
     lines = _before(lines, {"inside": comment})
     kind = F.when(F.coalesce("inside", F.lit(0)) == 1, "text").when(tag, "tag").when(bare == "", "blank").when(F.col("line").startswith("%"), "skipped").otherwise("text")
     lines = lines.select("file", "block", "ln", "line", kind.alias("kind"))

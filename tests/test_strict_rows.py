@@ -82,3 +82,10 @@ def test_empty_extra_columns_and_missing_numbers(spark):
 def test_very_long_lines(spark):
     df = spark.createDataFrame([(1, line(termination='q"' * 100_000)), (2, '1,"' + 'x""' * 100_000)], "line_id bigint, line string")
     assert [(r.line_id, r.reason) for r in bad_lines(df).collect()] == [(2, "quoting")]
+
+
+def test_a_number_that_good_and_bad_lines_share(spark):
+    good = "1,a,b,1-0,t,,o,white,win,"
+    df = spark.createDataFrame([(1, good), (1, "x"), (1, 'a"b'), (2, good)], "line_id bigint, line string")
+    assert sorted((r.line_id, r.reason) for r in bad_lines(df).collect()) == [(1, "columns"), (1, "quoting")]
+    assert sorted(r.line_id for r in load_lines(df).collect()) == [1, 2]
