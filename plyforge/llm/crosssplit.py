@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from plyforge.functions.boards import label, with_record
 from plyforge.operators.skew import BROADCAST_KEYS, HOT_ROWS, with_group_min
-from plyforge.session import cut, map_arrow
+from plyforge.session import cut, map_arrow, scratch
 
 PIECES = ".PNBRQKpnbrqk"
 TERMS = 64 * len(PIECES)
@@ -303,9 +303,10 @@ def cross_split(positions: DataFrame, left_splits: tuple[str, ...] = ("val", "ch
     a null source is a source of its own. Repeated rows are members of one
     class, so copies are never compared with each other.
     """
-    members = cut(memberships(positions, left_splits, right_splits, hot_rows), "members")
-    classes = cut(classes_of(members), "classes")
-    return members, cut(near_boards(classes, differ, hot_pairs=hot_pairs), "near")
+    with scratch() as keep:
+        members = keep(cut(memberships(positions, left_splits, right_splits, hot_rows), "members"))
+        classes = cut(classes_of(members), "classes")
+        return members, keep(cut(near_boards(classes, differ, hot_pairs=hot_pairs), "near"))
 
 
 def overlap_pairs(members: DataFrame, near: DataFrame) -> DataFrame:

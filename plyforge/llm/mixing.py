@@ -266,7 +266,8 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     drawn = looked_up(rated, near(edge), ["key"], hot=hot)
     drawn = drawn.withColumn("times", F.col("sure") + F.when(F.col("z") < F.col("edge"), 1).otherwise(0))
     drawn = cut(drawn.filter("times > 0").select("doc_id", "key", "cell", "n_tokens", "times"), "drawn")
-    release(sized)
+    for done in (sized, plan, edge):
+        release(done)
 
     times = F.col("n_tokens") * F.col("times")
     by = drawn.groupBy("key").agg(F.count(F.lit(1)).alias("texts"), F.sum(times).alias("drawn_tokens"), F.max("times").alias("most_times"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plyforge.functions.boards import label, sha_label
 from plyforge.llm import copies, crosssplit, cutting, families, mixing, packing, ranking, sample
 from plyforge.llm.sql import oracle_sql  # noqa: F401 - read beside queries()
-from plyforge.session import cut, shared_dir, table
+from plyforge.session import cut, scratch, shared_dir, table
 
 #: Shares of the new splits, and of the reproducible sample.
 SPLITS = {"train": 0.9, "validation": 0.05, "test": 0.05}
@@ -84,7 +84,8 @@ def p5_check(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _families(spark: SparkSession, d: str) -> DataFrame:
-    return cut(families.position_families(table(spark, d, "positions"), table(spark, d, "extracted_positions")), "families")
+    with scratch() as keep:
+        return keep(cut(families.position_families(table(spark, d, "positions"), table(spark, d, "extracted_positions")), "families"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
