@@ -73,7 +73,9 @@ def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
 FIELDS = ("board", "side", "castling", "ep", "half", "full")
 
 
-def with_record(df: DataFrame, fen: str, half: str | None = None, full: str | None = None, prefix: str = "r_", fields: tuple[str, ...] = FIELDS) -> DataFrame:
+def with_record(
+    df: DataFrame, fen: str, half: str | None = None, full: str | None = None, prefix: str = "r_", fields: tuple[str, ...] = FIELDS
+) -> DataFrame:
     """Add the record that ``fen`` spells, however it is spelled.
 
     Added: ``{prefix}board`` (64 characters, rank 8 first, ``.`` is empty),
@@ -115,7 +117,9 @@ def with_record(df: DataFrame, fen: str, half: str | None = None, full: str | No
     raw = {k: F.col(f"__{prefix}{k}") for k in raw}
     sound = F.col(f"__{prefix}x").rlike(_FULL_RANKS) & raw["side"].isin("w", "b")
     rights = F.concat(*[F.when(raw["rights"].contains(x), F.lit(x)).otherwise(F.lit("")) for x in "KQkq"])
-    number = lambda k, other: F.coalesce(F.when(sound, raw[k].try_cast("int")), F.col(other).cast("int") if other else F.lit(None).cast("int"))
+    number = lambda k, other: F.coalesce(
+        F.when(sound, raw[k].try_cast("int")), F.col(other).cast("int") if other else F.lit(None).cast("int")
+    )
     found = {
         "board": F.when(sound, F.replace(F.col(f"__{prefix}x"), F.lit("/"), F.lit(""))),
         "side": F.when(sound, raw["side"]),

@@ -67,5 +67,7 @@ def content_identity(paths: Column) -> Column:
 
     Strings and whole numbers render alike in JSON everywhere, so no Python is needed.
     """
-    files = F.transform(F.array_sort(paths), lambda f: F.struct(f["path"].alias("path"), f["sha256"].alias("sha256"), f["size_bytes"].alias("size_bytes")))
+    files = F.transform(
+        F.array_sort(paths), lambda f: F.struct(f["path"].alias("path"), f["sha256"].alias("sha256"), f["size_bytes"].alias("size_bytes"))
+    )
     return F.sha2(F.concat(F.to_json(F.struct(files.alias("files"), F.lit("v1").alias("version"))), F.lit("\n")), 256)

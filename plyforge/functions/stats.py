@@ -13,6 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyforge.functions.guards import between, finite, whole
 from plyforge.functions.vocabulary import INTERVAL_SIDES, TEST_STATES, VERDICTS
 
 #: What an empty cell counts as, and the furthest a score may be from 0 and 1.
@@ -54,8 +55,7 @@ def with_pentanomial_elo(df: DataFrame, cells: list[str], confidence: float = 0.
     is centred on the estimate and as wide as the score interval is in Elo.
     Steps are columns of their own, so each is computed once.
     """
-    if not 0 < confidence < 1:
-        raise ValueError("confidence must be strictly between 0 and 1")
+    between("confidence", confidence, 0, 1)
     z = NormalDist().inv_cdf(0.5 + confidence / 2)
     r = [F.col(f"__r{i}") for i in range(5)]
     df = df.withColumns({f"__r{i}": f for i, f in enumerate(filled([F.col(c) for c in cells]))} | {"__played": _sum([F.col(c) for c in cells]) > 0})
@@ -63,15 +63,19 @@ def with_pentanomial_elo(df: DataFrame, cells: list[str], confidence: float = 0.
     df = df.withColumn("score", F.when(F.col("__played"), _sum([x * (i / 2) for i, x in enumerate(r)]) / F.col("__games")))
     off = [F.lit(i / 2) - F.col("score") * 2.0 for i in range(5)]
     df = df.withColumn("__error", F.lit(z) * F.sqrt(_sum([x * o * o for x, o in zip(r, off, strict=True)]) / F.col("__games")) / F.sqrt("__games"))
-    df = df.withColumns({"score_ci_low": F.col("score") - F.col("__error"), "score_ci_high": F.col("score") + F.col("__error"), "elo": F.when(F.col("__played"), logistic_elo(F.col("score")))})
+    df = df.withColumns(
+        {
+            "score_ci_low": F.col("score") - F.col("__error"), "score_ci_high": F.col("score") + F.col("__error"),
+            "elo": F.when(F.col("__played"), logistic_elo(F.col("score")))
+        }
+    )
     df = df.withColumn("__half", F.when(F.col("__played"), (logistic_elo(F.col("score_ci_high")) - logistic_elo(F.col("score_ci_low"))) / 2.0))
     df = df.withColumns({"elo_ci_low": F.col("elo") - F.col("__half"), "elo_ci_high": F.col("elo") + F.col("__half")})
     return df.drop(*[f"__r{i}" for i in range(5)], "__played", "__games", "__error", "__half")
 
 
 def wald_bounds(alpha: float, beta: float) -> tuple[float, float]:
-    if not (0 < alpha < 1 and 0 < beta < 1):
-        raise ValueError("alpha and beta must be strictly between 0 and 1")
+    between("alpha", alpha, 0, 1), between("beta", beta, 0, 1)
     return math.log(beta / (1 - alpha)), math.log((1 - beta) / alpha)
 
 
@@ -84,7 +88,9 @@ def _constrained(p: list[Column], target: float) -> Column:
     def halve(state: Column, _: Column) -> Column:
         mid = (state["l"] + state["r"]) / 2.0
         f = _sum([state["p"][i] * a[i] / (F.lit(1.0) + mid * a[i]) for i in range(5)])
-        return F.struct(F.when(f > 0, mid).otherwise(state["l"]).alias("l"), F.when(f > 0, state["r"]).otherwise(mid).alias("r"), state["p"].alias("p"))
+        return F.struct(
+            F.when(f > 0, mid).otherwise(state["l"]).alias("l"), F.when(f > 0, state["r"]).otherwise(mid).alias("r"), state["p"].alias("p")
+        )
 
     start = F.struct(F.lit(left).alias("l"), F.lit(right).alias("r"), probs.alias("p"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(HALVINGS)), start, halve, lambda s: (s["l"] + s["r"]) / 2.0)
@@ -92,7 +98,7 @@ def _constrained(p: list[Column], target: float) -> Column:
 
 def with_gsprt_llr(df: DataFrame, cells: list[str], elo0: float, elo1: float) -> DataFrame:
     """Adds ``llr``, the log-likelihood ratio of the pair counts under two strengths; null where there are no pairs."""
-    if not elo0 < elo1:
+    if not finite("elo0", elo0) < finite("elo1", elo1):
         raise ValueError("elo0 must be less than elo1")
     targets = [expected_score(e) for e in (elo0, elo1)]
     df = df.withColumns({f"__r{i}": f for i, f in enumerate(filled([F.col(c) for c in cells]))})
@@ -106,14 +112,16 @@ def with_gsprt_llr(df: DataFrame, cells: list[str], elo0: float, elo1: float) ->
 
 def gsprt_state(llr: Column, games: Column, alpha: float, beta: float, max_games: int) -> Column:
     low, high = wald_bounds(alpha, beta)
+    whole("max_games", max_games, 1)
     h0, h1, cap, going = TEST_STATES
     return F.when(llr < low, h0).when(llr > high, h1).when(games >= max_games, cap).when(llr.isNotNull(), going)
 
 
-def verdict(state: Column, flagged: Column) -> Column:
-    """Null while the test goes on, and where an accepted gain contradicts a flagged regression."""
+def verdict(state: Column, flagged: Column, strict: bool = False) -> Column:
+    """Null while the test goes on, and where an accepted gain contradicts a flagged regression, which with ``strict`` is an error."""
     (h0, h1, cap, _), (gain, none, open_) = TEST_STATES, VERDICTS
-    return F.when((state == h1) & ~flagged, gain).when((state == h0) | ((state == cap) & flagged), none).when(state == cap, open_)
+    found = F.when((state == h1) & ~flagged, gain).when((state == h0) | ((state == cap) & flagged), none).when(state == cap, open_)
+    return F.when((state == h1) & flagged, F.raise_error(F.lit("an accepted gain contradicts a flagged regression"))).otherwise(found) if strict else found
 
 
 def wdl_problem(w: Column, d: Column, l: Column, cells: list[Column]) -> Column:  # noqa: E741

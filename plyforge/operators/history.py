@@ -53,7 +53,9 @@ def matching(records: DataFrame, **wanted: str | None) -> DataFrame:
 
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """(``what``, ``value``, ``times``) of every value that occurs more than once in one of the key columns; nulls don't."""
-    each = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")).select("x.*")
+    each = df.select(
+        F.explode(F.array(*[F.struct(F.lit(k).alias("what"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")
+    ).select("x.*")
     return each.filter(F.col("value").isNotNull()).groupBy("what", "value").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
 
 
@@ -83,9 +85,14 @@ def _evidence_state() -> Column:
     )
 
 
-def with_steps(records: DataFrame, by: list[str], value: str = "elo_value", order: tuple[str, ...] = ("recorded_at", "run_id", "record_id"), hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_steps(
+    records: DataFrame, by: list[str], value: str = "elo_value", order: tuple[str, ...] = ("recorded_at", "run_id", "record_id"),
+    hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Adds ``step``: the value less that of the record before, in the order of the columns as text."""
-    return with_previous(records, by, [*order], {value: "__before"}, hot_rows=hot_rows).withColumn("step", F.col(value) - F.col("__before")).drop("__before")
+    return with_previous(
+        records, by, [*order], {value: "__before"}, hot_rows=hot_rows
+    ).withColumn("step", F.col(value) - F.col("__before")).drop("__before")
 
 
 def direction(up: Column, down: Column, n: Column) -> Column:
@@ -116,7 +123,9 @@ def summarize_series(records: DataFrame, by: list[str], hot_rows: int = HOT_ROWS
     return s.select(
         *by, "records", *[v.lower() for v in VERDICTS], "regressions", "evidence_state", "direction",
         F.col("__a.run_id").alias("first_run"), F.col("__a.elo_value").alias("first_elo"), F.col("__z.run_id").alias("latest_run"), F.col("__z.elo_value").alias("latest_elo"),
-        (F.col("__z.elo_value") - F.col("__a.elo_value")).alias("delta"), interval_side(F.col("__z.elo_ci_low"), F.col("__z.elo_ci_high")).alias("latest_interval"),
+        (F.col("__z.elo_value") - F.col("__a.elo_value")).alias("delta"), interval_side(
+            F.col("__z.elo_ci_low"), F.col("__z.elo_ci_high")
+        ).alias("latest_interval"),
     )
 
 
@@ -131,7 +140,10 @@ def series_points(records: DataFrame, by: list[str], order: tuple[str, ...] = ("
     first = n.groupBy(*by).agg(F.min("__no").alias("__first"))
     same = [F.col(f"n.{b}").eqNullSafe(F.col(f"f.{b}")) for b in by]
     j = n.alias("n").join(first.alias("f"), same)
-    return j.select(*[F.col(f"n.{b}").alias(b) for b in by], (F.col("__no") - F.col("__first") + 1).alias("place"), *[F.col(f"n.{c}").alias(c) for c in point])
+    return j.select(
+        *[F.col(f"n.{b}").alias(b) for b in by], (F.col("__no") - F.col("__first") + 1).alias("place"),
+        *[F.col(f"n.{c}").alias(c) for c in point]
+    )
 
 
 def compare_arms(records: DataFrame) -> DataFrame:
@@ -145,7 +157,10 @@ def compare_arms(records: DataFrame) -> DataFrame:
     return arms.join(per, "experiment_id").withColumn("comparison", F.when(F.col("arms") < 2, "INSUFFICIENT_ARMS").otherwise("DESCRIPTIVE_ONLY"))
 
 
-def bad_transitions(events: DataFrame, key: list[str], state: str, order: list[str], first: list[str], allowed: dict[str, list[str]], hot_rows: int = HOT_ROWS) -> DataFrame:
+def bad_transitions(
+    events: DataFrame, key: list[str], state: str, order: list[str], first: list[str], allowed: dict[str, list[str]],
+    hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Events whose state can't begin a history or can't follow the state before; adds ``previous``.
 
     A null state breaks the rule wherever it stands.
@@ -160,16 +175,24 @@ def bad_transitions(events: DataFrame, key: list[str], state: str, order: list[s
 
 def sequence_gaps(df: DataFrame, by: list[str], number: str) -> DataFrame:
     """Per group whether the numbers are exactly 1..n, each once, from aggregates alone."""
-    g = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.countDistinct(number).alias("__k"), F.min(number).alias("__lo"), F.max(number).alias("__hi"))
+    g = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("__n"), F.countDistinct(number).alias("__k"), F.min(number).alias("__lo"), F.max(number).alias("__hi")
+    )
     n, k, hi = F.col("__n"), F.col("__k"), F.col("__hi")
     sequential = (n == k) & (F.col("__lo") == 1) & (hi == n)
-    return g.select(*by, n.alias("rows_seen"), (n - k).alias("repeats"), (hi - k).alias("missing"), F.coalesce(sequential, F.lit(False)).alias("sequential"))
+    return g.select(
+        *by, n.alias("rows_seen"), (n - k).alias("repeats"), (hi - k).alias("missing"),
+        F.coalesce(sequential, F.lit(False)).alias("sequential")
+    )
 
 
 def sequence_in_order(df: DataFrame, by: list[str], order: list[str], number: str) -> DataFrame:
     """(``by``, ``rows_seen``, ``in_order``): whether the numbers are 1, 2, ... n as the rows stand in ``order``."""
     n = numbered(df.select(*by, *dict.fromkeys([*order, number])), [*by, *order], "__no")
-    g = n.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_seen"), F.min("__no").alias("__first"), F.min(F.col("__no") - F.col(number)).alias("__lo"), F.max(F.col("__no") - F.col(number)).alias("__hi"), F.count(number).alias("__k"))
+    g = n.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows_seen"), F.min("__no").alias("__first"), F.min(F.col("__no") - F.col(number)).alias("__lo"),
+        F.max(F.col("__no") - F.col(number)).alias("__hi"), F.count(number).alias("__k")
+    )
     kept = (F.col("__k") == F.col("rows_seen")) & (F.col("__lo") == F.col("__hi")) & (F.col("__lo") == F.col("__first") - 1)
     return g.select(*by, "rows_seen", F.coalesce(kept, F.lit(False)).alias("in_order"))
 

@@ -31,16 +31,22 @@ def exclusion_code(white: Column, black: Column, result: Column, role: Column, o
 
 def classify_games(games: DataFrame, candidate: Column, opponent: Column) -> DataFrame:
     """Games (``white``, ``black``, ``result``, ``fen``) with role, outcome, opening and exclusion code derived anew."""
-    out = games.withColumns({"opening_ref": fen_key(F.col("fen")), "candidate_role": candidate_role(F.col("white"), F.col("black"), candidate, opponent)})
+    out = games.withColumns(
+        {"opening_ref": fen_key(F.col("fen")), "candidate_role": candidate_role(F.col("white"), F.col("black"), candidate, opponent)}
+    )
     out = out.withColumn("candidate_outcome", candidate_outcome(F.col("candidate_role"), F.col("result")))
-    return out.withColumn("exclusion_code", exclusion_code(F.col("white"), F.col("black"), F.col("result"), F.col("candidate_role"), F.col("opening_ref")))
+    return out.withColumn(
+        "exclusion_code", exclusion_code(F.col("white"), F.col("black"), F.col("result"), F.col("candidate_role"), F.col("opening_ref"))
+    )
 
 
 def raw_games(games: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, excluded): kept games with colours as roles, and the others with their reason."""
     good = F.col("exclusion_reason").isNull()
     of = lambda colour: F.when(F.col("candidate_role") == colour, "candidate").otherwise("opponent")
-    kept = games.filter(good).select("run_id", "game_index", of("white").alias("white_role"), of("black").alias("black_role"), "result", "opening_ref", "termination")
+    kept = games.filter(good).select(
+        "run_id", "game_index", of("white").alias("white_role"), of("black").alias("black_role"), "result", "opening_ref", "termination"
+    )
     return kept, games.filter(~good).select("run_id", "game_index", F.col("exclusion_reason").alias("reason"))
 
 
@@ -48,7 +54,9 @@ def tally(games: DataFrame, by: list[str]) -> DataFrame:
     """Wins, losses, draws, unresolved and total from the outcomes alone; claimed counts can't enter."""
     o = F.col("candidate_outcome")
     return games.groupBy(*by).agg(
-        F.count_if(o == "win").alias("wins"), F.count_if(o == "loss").alias("losses"), F.count_if(o == "draw").alias("draws"), F.count_if(o.isNull() | ~o.isin("win", "loss", "draw")).alias("unresolved"), F.count(F.lit(1)).alias("total_games")
+        F.count_if(o == "win").alias("wins"), F.count_if(o == "loss").alias("losses"), F.count_if(o == "draw").alias("draws"), F.count_if(
+            o.isNull() | ~o.isin("win", "loss", "draw")
+        ).alias("unresolved"), F.count(F.lit(1)).alias("total_games")
     )
 
 
@@ -62,10 +70,14 @@ def opening_pairs(games: DataFrame, by: list[str], opening: str = "opening_ref",
     """
     role, o = F.col("candidate_role"), F.col("candidate_outcome")
     pairs = games.groupBy(*by, opening).agg(
-        F.count(F.lit(1)).alias("games"), F.count_if(role == "white").alias("as_white"), F.count_if(role == "black").alias("as_black"), F.count_if(o.isin("win", "draw", "loss")).alias("decided"), F.sum(F.when(o == "win", 2).when(o == "draw", 1).otherwise(0)).alias("points2"), F.min(order).alias("first_game")
+        F.count(F.lit(1)).alias("games"), F.count_if(role == "white").alias("as_white"), F.count_if(role == "black").alias("as_black"), F.count_if(o.isin("win", "draw", "loss")).alias("decided"), F.sum(
+            F.when(o == "win", 2).when(o == "draw", 1).otherwise(0)
+        ).alias("points2"), F.min(order).alias("first_game")
     )
     sound = F.col(opening).isNotNull() & (F.col(opening) != "")
-    status = F.when(sound & (F.col("games") == 2) & (F.col("as_white") == 1) & (F.col("as_black") == 1) & (F.col("decided") == 2), "complete").when(sound & (F.col("games") == 1), "incomplete").otherwise("malformed")
+    status = F.when(
+        sound & (F.col("games") == 2) & (F.col("as_white") == 1) & (F.col("as_black") == 1) & (F.col("decided") == 2), "complete"
+    ).when(sound & (F.col("games") == 1), "incomplete").otherwise("malformed")
     return pairs.withColumn("status", status)
 
 
@@ -75,7 +87,9 @@ def pentanomial(pairs: DataFrame, by: list[str]) -> DataFrame:
     cells = [F.count_if(complete & (F.col("points2") == i)).alias(c) for i, c in enumerate(CELLS)]
     # by position first, then by opening: one answer for any partitioning
     first = F.min(F.when(~complete, F.struct(F.col("first_game"), F.col("status"))))
-    return pairs.groupBy(*by).agg(*cells, F.count_if(complete).alias("pairs"), F.count_if(~complete).alias("broken_pairs"), first["status"].alias("first_offence"))
+    return pairs.groupBy(*by).agg(
+        *cells, F.count_if(complete).alias("pairs"), F.count_if(~complete).alias("broken_pairs"), first["status"].alias("first_offence")
+    )
 
 
 def with_elo(df: DataFrame, confidence: float = 0.95) -> DataFrame:
@@ -88,10 +102,10 @@ def with_gsprt(df: DataFrame, elo0: float, elo1: float, alpha: float = 0.05, bet
     return out.withColumn("state", stats.gsprt_state(F.col("llr"), F.col("games_played"), alpha, beta, max_games))
 
 
-def with_verdict(df: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Adds ``flagged`` (interval below the threshold; never without one) and ``verdict``."""
+def with_verdict(df: DataFrame, threshold: float | None = None, strict: bool = False) -> DataFrame:
+    """Adds ``flagged`` (interval below the threshold; never without one) and ``verdict``; ``strict`` as in :func:`stats.verdict`."""
     flagged = F.lit(False) if threshold is None else F.coalesce(F.col("elo_ci_high") < threshold, F.lit(False))
-    return df.withColumn("flagged", flagged).withColumn("verdict", stats.verdict(F.col("state"), F.col("flagged")))
+    return df.withColumn("flagged", flagged).withColumn("verdict", stats.verdict(F.col("state"), F.col("flagged"), strict))
 
 
 def result_documents(games: DataFrame, by: list[str], claims: DataFrame | None = None) -> DataFrame:

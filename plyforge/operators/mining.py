@@ -10,7 +10,10 @@ from plyforge.functions.vocabulary import POSITION_CLASSES
 
 POSITION = ["run_id", "position_id"]
 #: The metrics that a run may be compared by.
-METRICS = ("candidate_margin_internal", "rank_error", "deep_teacher_preference", "teacher_regret_internal", "teacher_regret_wdl_expected", "candidate_static_preference", "official_static_preference", "static_disagreement")
+METRICS = (
+    "candidate_margin_internal", "rank_error", "deep_teacher_preference", "teacher_regret_internal", "teacher_regret_wdl_expected",
+    "candidate_static_preference", "official_static_preference", "static_disagreement"
+)
 RESERVED = ("topk_overlap", "search_amplification", "structural_persistence", "break_score")
 
 
@@ -71,7 +74,10 @@ def position_metrics(jobs: DataFrame, results: DataFrame, statics: DataFrame) ->
     j = lambda c: F.col(f"j.{c}")
     main = lambda role, kind: (j("engine_role") == role) & (j("search_kind") == kind) & (j("restricted_move") == "ALL")
     first = F.get(F.filter("rs", lambda r: r["rank"] == 1), F.lit(0))
-    probe = F.when((j("engine_role") == "teacher") & (j("search_kind") == "searchmove") & first.isNotNull(), F.struct(j("restricted_move").alias("move"), F.col("job_id"), first["cp"].alias("cp"), first["e"].alias("e")))
+    probe = F.when(
+        (j("engine_role") == "teacher") & (j("search_kind") == "searchmove") & first.isNotNull(),
+        F.struct(j("restricted_move").alias("move"), F.col("job_id"), first["cp"].alias("cp"), first["e"].alias("e"))
+    )
     searched = per.select(
         *[j(c).alias(c) for c in POSITION],
         F.when(main("candidate", "multipv"), F.struct(F.col("job_id").alias("job"), j("bestmove").alias("best"), F.col("rs").alias("rs"))).alias("c"),
@@ -85,7 +91,10 @@ def position_metrics(jobs: DataFrame, results: DataFrame, statics: DataFrame) ->
     g = every.groupBy(*POSITION).agg(
         F.min_by("c", F.col("c.job")).alias("c"), F.min_by("t", F.col("t.job")).alias("t"), F.collect_list("p").alias("ps"), F.collect_list("s").alias("ss")
     ).filter("c is not null and t is not null")
-    g = g.select(*POSITION, F.col("c.best").alias("candidate_bestmove"), F.col("t.best").alias("teacher_bestmove"), F.col("c.rs").alias("rs"), "ps", "ss")
+    g = g.select(
+        *POSITION, F.col("c.best").alias("candidate_bestmove"), F.col("t.best").alias("teacher_bestmove"), F.col("c.rs").alias("rs"), "ps",
+        "ss"
+    )
 
     a, b = F.col("candidate_bestmove"), F.col("teacher_bestmove")
     of_rank = lambda k: _of("rs", lambda r: r["rank"] == k, lambda r: r["cp"])
@@ -127,7 +136,9 @@ def position_metrics(jobs: DataFrame, results: DataFrame, statics: DataFrame) ->
 def position_classes(metrics: DataFrame) -> DataFrame:
     """(run, position, ``class_name``, ``class_score``): the primary class, and whether the teacher's move lies outside the candidate's list."""
     outside = F.when((F.col("primary_class") == POSITION_CLASSES[2]) & F.col("rank_error").isNull(), POSITION_CLASSES[3])
-    return metrics.select(*POSITION, F.explode(F.array_compact(F.array("primary_class", outside))).alias("class_name"), F.lit(1.0).alias("class_score"))
+    return metrics.select(
+        *POSITION, F.explode(F.array_compact(F.array("primary_class", outside))).alias("class_name"), F.lit(1.0).alias("class_score")
+    )
 
 
 def worst_first(metrics: DataFrame, by: str, n: int, ascending: bool = False) -> DataFrame:
@@ -138,10 +149,15 @@ def worst_first(metrics: DataFrame, by: str, n: int, ascending: bool = False) ->
 
 def read_back(jobs: DataFrame, results: DataFrame, statics: DataFrame) -> DataFrame:
     """Per run: positions, jobs, results and static evaluations stored. Positions are counted one by one, never gathered."""
-    per = _by_job(jobs, results, POSITION, F.lit(1)).select("j.*", F.lit(1).alias("jobs"), F.size("rs").cast("bigint").alias("results"), F.lit(0).alias("static_evals"))
+    per = _by_job(jobs, results, POSITION, F.lit(1)).select(
+        "j.*", F.lit(1).alias("jobs"), F.size("rs").cast("bigint").alias("results"), F.lit(0).alias("static_evals")
+    )
     s = statics.select(*POSITION, F.lit(0).alias("jobs"), F.lit(0).cast("bigint").alias("results"), F.lit(1).alias("static_evals"))
     by_position = per.unionByName(s).groupBy(*POSITION).agg(*[F.sum(c).alias(c) for c in ("jobs", "results", "static_evals")])
-    return by_position.groupBy("run_id").agg(F.count_if((F.col("jobs") > 0) & F.col("position_id").isNotNull()).alias("positions"), *[F.sum(c).alias(c) for c in ("jobs", "results", "static_evals")]).filter("jobs > 0")
+    return by_position.groupBy("run_id").agg(
+        F.count_if((F.col("jobs") > 0) & F.col("position_id").isNotNull()).alias("positions"),
+        *[F.sum(c).alias(c) for c in ("jobs", "results", "static_evals")]
+    ).filter("jobs > 0")
 
 
 def stored_positions(jobs: DataFrame) -> DataFrame:
@@ -155,7 +171,10 @@ def run_audit(jobs: DataFrame, results: DataFrame) -> DataFrame:
     Three shuffles: by job, by position, by run.
     """
     cp = exact_cp(F.col("score_type"), F.col("bound"), F.col("score_value"))
-    result = F.struct(F.col("rank").cast("bigint").alias("rank"), F.col("move").alias("move"), cp.alias("cp"), F.col("depth").alias("depth"), F.coalesce(F.col("bound") != "exact", F.lit(False)).alias("inexact"))
+    result = F.struct(
+        F.col("rank").cast("bigint").alias("rank"), F.col("move").alias("move"), cp.alias("cp"), F.col("depth").alias("depth"),
+        F.coalesce(F.col("bound") != "exact", F.lit(False)).alias("inexact")
+    )
     per = _by_job(jobs, results, [*POSITION, "engine_role", "search_kind", "restricted_move", "bestmove"], result)
     ranks = F.transform("rs", lambda r: r["rank"])
     n, k = F.size("rs"), F.size(F.array_distinct(ranks))
@@ -173,7 +192,9 @@ def run_audit(jobs: DataFrame, results: DataFrame) -> DataFrame:
         *[F.col(f"j.{c}").alias(c) for c in POSITION], *[F.coalesce(v, F.lit(False)).cast("int").alias(c) for c, v in faults.items()],
         F.when(F.col("j.restricted_move") == "ALL", best).alias("main"), F.when(probe, F.col("j.restricted_move")).alias("probed"),
     )
-    by_position = found.groupBy(*POSITION).agg(*[F.sum(c).alias(c) for c in faults], F.size(F.array_except(F.collect_set("main"), F.collect_set("probed"))).alias("missing_probes"))
+    by_position = found.groupBy(*POSITION).agg(
+        *[F.sum(c).alias(c) for c in faults], F.size(F.array_except(F.collect_set("main"), F.collect_set("probed"))).alias("missing_probes")
+    )
     return by_position.groupBy("run_id").agg(*[F.sum(c).cast("bigint").alias(c) for c in (*faults, "missing_probes")])
 
 

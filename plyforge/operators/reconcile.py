@@ -49,8 +49,12 @@ def file_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     a = actual.select("path", F.struct("sha256", "size_bytes").alias("a"))
     j = e.join(a, "path", "full")
     size = F.col("e.size_bytes").isNotNull() & F.col("a.size_bytes").isNotNull() & (F.col("e.size_bytes") != F.col("a.size_bytes"))
-    status = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").when(~F.col("e.sha256").eqNullSafe(F.col("a.sha256")), "sha256").when(size, "size")
-    return j.select("path", status.alias("status"), F.col("e.sha256").alias("expected_sha256"), F.col("a.sha256").alias("actual_sha256")).filter("status is not null")
+    status = F.when(F.col("a").isNull(), "missing").when(F.col("e").isNull(), "extra").when(
+        ~F.col("e.sha256").eqNullSafe(F.col("a.sha256")), "sha256"
+    ).when(size, "size")
+    return j.select(
+        "path", status.alias("status"), F.col("e.sha256").alias("expected_sha256"), F.col("a.sha256").alias("actual_sha256")
+    ).filter("status is not null")
 
 
 def transport_problems(listed: DataFrame, present: DataFrame, required: DataFrame) -> DataFrame:
@@ -63,7 +67,9 @@ def transport_problems(listed: DataFrame, present: DataFrame, required: DataFram
     extra = tag(present.join(listed, "path", "left_anti"), "present_but_unlisted")
     needed = tag(required.join(listed, "path", "left_anti"), "required_but_unlisted")
     structure = missing.unionByName(extra).unionByName(needed)
-    differs = listed.alias("l").join(present.alias("p"), "path").filter(~F.col("l.sha256").eqNullSafe(F.col("p.sha256"))).select(F.lit("sha256_mismatch").alias("problem"), "path")
+    differs = listed.alias("l").join(present.alias("p"), "path").filter(~F.col("l.sha256").eqNullSafe(F.col("p.sha256"))).select(
+        F.lit("sha256_mismatch").alias("problem"), "path"
+    )
     return structure if structure.limit(1).count() else differs
 
 
@@ -75,7 +81,10 @@ def field_mismatches(expected: DataFrame, actual: DataFrame, key: str, bindings:
     kinds = {n: t for n, t in [*expected.dtypes]}
     plain = lambda side, c: F.array_sort(F.map_entries(F.col(f"{side}.{c}"))) if kinds.get(c, "").startswith("map") else F.col(f"{side}.{c}")
     j = expected.alias("e").join(actual.alias("a"), key)
-    same = {e: plain("e", e).eqNullSafe(F.array_sort(F.map_entries(F.col(f"a.{a}"))) if kinds.get(e, "").startswith("map") else F.col(f"a.{a}")) for e, a in bindings.items()}
+    same = {
+        e: plain("e", e).eqNullSafe(F.array_sort(F.map_entries(F.col(f"a.{a}"))) if kinds.get(e, "").startswith("map") else F.col(f"a.{a}")) for e,
+        a in bindings.items()
+    }
     pick = lambda flip: F.array_compact(F.array(*[F.when(~s if flip else s, F.lit(f)) for f, s in same.items()]))
     return j.select(F.col(f"e.{key}").alias(key), pick(False).alias("verified"), pick(True).alias("mismatched"))
 
@@ -100,7 +109,9 @@ def bound_claims(evidence: DataFrame, artifacts: DataFrame, claims: DataFrame, w
     the claim ``needs``.
     """
     good = evidence.filter(F.col("result").eqNullSafe(F.col("expected")))
-    found = artifacts.select(F.col("sha256").alias("artifact_sha256")).distinct().join(good.withColumnRenamed("subject_sha256", "artifact_sha256"), "artifact_sha256", "left").join(claims, "kind", "left")
+    found = artifacts.select(F.col("sha256").alias("artifact_sha256")).distinct().join(
+        good.withColumnRenamed("subject_sha256", "artifact_sha256"), "artifact_sha256", "left"
+    ).join(claims, "kind", "left")
     out = found.groupBy("artifact_sha256").agg(F.array_sort(F.collect_set("claim")).alias("claims"))
     if withheld and needs:
         bare = F.array_remove("claims", withheld)
@@ -112,7 +123,9 @@ def shared_values(df: DataFrame, by: list[str], member: str, column: str) -> Dat
     """Per group the number of distinct values of a column that all members should share, and who holds which (nulls count as a value)."""
     v = F.coalesce(F.col(column).cast("string"), F.lit("")).alias("value")
     per = df.groupBy(*by, v).agg(F.array_sort(F.collect_set(member)).alias("members"))
-    return per.groupBy(*by).agg(F.count(F.lit(1)).alias("distinct_values"), F.array_sort(F.collect_list(F.struct("value", "members"))).alias("holders"))
+    return per.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("distinct_values"), F.array_sort(F.collect_list(F.struct("value", "members"))).alias("holders")
+    )
 
 
 def role_counts(df: DataFrame, by: list[str], role: str, exactly_one: str, at_least_one: str) -> DataFrame:
@@ -132,7 +145,10 @@ def checksum_lines(files: DataFrame, content: str = "content", path: str = "path
     lines = files.select(F.col(path).alias("file"), own.alias("own"), F.posexplode(F.split(text, "\n")).alias("k", "line"))
     grammar = r"\A([0-9a-f]{64})  (.+)\z"
     fits = F.col("line").rlike(grammar)
-    lines = lines.select("file", "own", (F.col("k") + 1).alias("line_no"), F.when(fits, F.regexp_extract("line", grammar, 1)).alias("sha256"), F.when(fits, F.regexp_extract("line", grammar, 2)).alias("listed_path"))
+    lines = lines.select(
+        "file", "own", (F.col("k") + 1).alias("line_no"), F.when(fits, F.regexp_extract("line", grammar, 1)).alias("sha256"),
+        F.when(fits, F.regexp_extract("line", grammar, 2)).alias("listed_path")
+    )
     w = Window.partitionBy("file").orderBy("line_no")
     same = Window.partitionBy("file", "listed_path").orderBy("line_no")
     p = F.col("listed_path")
@@ -164,7 +180,9 @@ def schema_violations(docs: DataFrame, key: str, text: str, schema: Mapping) ->
     for name, sub in schema.get("properties", {}).items():
         if "items" in sub:
             items = parsed.select(key, F.posexplode(F.try_variant_get("v", f"$.{name}", "array<variant>")).alias("__i", "v"))
-            found.append(_broken_rules(items, [key, "__i"], sub["items"], F.concat(F.lit(f"$.{name}["), F.col("__i").cast("string"), F.lit("]"))).drop("__i"))
+            found.append(
+                _broken_rules(items, [key, "__i"], sub["items"], F.concat(F.lit(f"$.{name}["), F.col("__i").cast("string"), F.lit("]"))).drop("__i")
+            )
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
@@ -172,7 +190,10 @@ def schema_violations(docs: DataFrame, key: str, text: str, schema: Mapping) ->
 
 
 def _of_type(kind: Column, names: list[str]) -> Column:
-    tests = {"object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN", "integer": kind == "BIGINT", "number": kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "null": kind == "VOID"}
+    tests = {
+        "object": kind.startswith("OBJECT"), "array": kind.startswith("ARRAY"), "string": kind == "STRING", "boolean": kind == "BOOLEAN",
+        "integer": kind == "BIGINT", "number": kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL"), "null": kind == "VOID"
+    }
     out = F.lit(False)
     for n in names:
         out = out | tests[n]
@@ -192,11 +213,18 @@ def _broken_rules(df: DataFrame, keys: list[str], schema: Mapping, root: Column)
     while level:
         kinds = {f"__kind_{c}": F.schema_of_variant(F.col(c)) for c, *_ in level}
         df = df.withColumns(kinds)
-        df = df.withColumns({f"__keys_{c}": F.when(F.col(f"__kind_{c}").startswith("OBJECT"), F.json_object_keys(F.to_json(F.col(c)))) for c, s, _ in level if "properties" in s} | {f"__text_{c}": F.when(F.col(f"__kind_{c}") == "STRING", F.col(c).cast("string")) for c, *_ in level})
+        df = df.withColumns(
+            {
+                f"__keys_{c}": F.when(F.col(f"__kind_{c}").startswith("OBJECT"), F.json_object_keys(F.to_json(F.col(c)))) for c, s,
+                _ in level if "properties" in s
+            } | {f"__text_{c}": F.when(F.col(f"__kind_{c}") == "STRING", F.col(c).cast("string")) for c, *_ in level}
+        )
         values, present, below = {}, {}, []
         for c, s, path in level:
             v, kind, text, here = F.col(c), F.col(f"__kind_{c}"), F.col(f"__text_{c}"), F.col(f"__ok_{c}")
-            hit = lambda when, rule, at=path: rules.append(F.when(when, F.struct(F.concat(root, F.lit(at)).alias("path"), F.lit(rule).alias("rule"))))
+            hit = lambda when, rule, at=path: rules.append(
+                F.when(when, F.struct(F.concat(root, F.lit(at)).alias("path"), F.lit(rule).alias("rule")))
+            )
             right = here
             if "type" in s:
                 fits = _of_type(kind, s["type"] if isinstance(s["type"], list) else [s["type"]])
@@ -228,4 +256,6 @@ def _broken_rules(df: DataFrame, keys: list[str], schema: Mapping, root: Column)
         df = df.withColumns(values | present) if values else df
         level, depth = below, depth + 1
     broken = F.array(F.struct(F.concat(root, F.lit("")).alias("path"), F.lit("json").alias("rule")))
-    return df.select(*keys, F.explode(F.when(F.col("v").isNull(), broken).otherwise(F.array_compact(F.array(*rules)))).alias("e")).select(*keys, "e.path", "e.rule")
+    return df.select(
+        *keys, F.explode(F.when(F.col("v").isNull(), broken).otherwise(F.array_compact(F.array(*rules)))).alias("e")
+    ).select(*keys, "e.path", "e.rule")

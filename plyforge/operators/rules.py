@@ -28,7 +28,10 @@ def run_soundness(games: DataFrame, by: list[str]) -> DataFrame:
     Indices that aren't 1..n; an odd number of games; a broken pair, told by
     the pair met first; counts of results that contradict the pairs.
     """
-    g = games.groupBy(*by).agg(F.count(F.lit(1)).alias("games"), F.countDistinct("game_index").alias("__k"), F.min("game_index").alias("__lo"), F.max("game_index").alias("__hi"))
+    g = games.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("games"), F.countDistinct("game_index").alias("__k"), F.min("game_index").alias("__lo"),
+        F.max("game_index").alias("__hi")
+    )
     pairs = matches.pentanomial(matches.opening_pairs(games, by), by)
     j = g.join(pairs, by).join(matches.tally(games, by).drop("total_games"), by)
     scored = (F.col("wins") * 2 + F.col("draws")) - (F.col("ld") + F.col("dd") * 2 + F.col("wd") * 3 + F.col("ww") * 4)
@@ -49,4 +52,6 @@ NO_MOVE = ("", "(none)", "0000")
 def usable_rows(rows: DataFrame) -> DataFrame:
     """Rescored rows fit for a corpus: an exact centipawn score, no error, a best move. A missing column or value is the empty text."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")) if c in rows.columns else F.lit("")
-    return rows.filter((text("sf_score_type") == "cp") & (text("sf_bound") == "exact") & (text("sf_error") == "") & ~text("sf_bestmove").isin(*NO_MOVE))
+    return rows.filter(
+        (text("sf_score_type") == "cp") & (text("sf_bound") == "exact") & (text("sf_error") == "") & ~text("sf_bestmove").isin(*NO_MOVE)
+    )

@@ -40,8 +40,14 @@ def dedupe_report(df: DataFrame, key: Column) -> DataFrame:
     """One row: ``total_input``, ``unique_keys``, ``exact_duplicates_removed``, ``malformed_skipped`` (null keys)."""
     sizes = df.select(key.alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("k").isNotNull()
-    sums = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_input"), F.count_if(known).alias("unique_keys"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("malformed_skipped"))
-    return sums.select("total_input", "unique_keys", (F.col("total_input") - F.col("unique_keys") - F.col("malformed_skipped")).alias("exact_duplicates_removed"), "malformed_skipped")
+    sums = sizes.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_input"), F.count_if(known).alias("unique_keys"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("malformed_skipped")
+    )
+    return sums.select(
+        "total_input", "unique_keys",
+        (F.col("total_input") - F.col("unique_keys") - F.col("malformed_skipped")).alias("exact_duplicates_removed"), "malformed_skipped"
+    )
 
 
 def split_of(key: Column, seed: str, weights: dict[str, int] = SPLIT_WEIGHTS) -> Column:
@@ -62,7 +68,9 @@ class NoFamily(ValueError):
     """Rows that name no family can't be kept with theirs."""
 
 
-def split_by_family(df: DataFrame, family: Column, seed: str, weights: dict[str, int] = SPLIT_WEIGHTS, out: str = "assigned_split", unnamed: str = "null") -> DataFrame:
+def split_by_family(
+    df: DataFrame, family: Column, seed: str, weights: dict[str, int] = SPLIT_WEIGHTS, out: str = "assigned_split", unnamed: str = "null"
+) -> DataFrame:
     """Every row with the split of its family: no family ever stands in two splits.
 
     The split is a function of the family's name, so nothing is shuffled or
@@ -106,7 +114,9 @@ def smallest_hashes(df: DataFrame, key: Column, seed: str, n: int, tie: list[str
     """
     if strict and (have := df.filter(key.isNotNull()).limit(n).count()) < n:
         raise TooFew(f"{have} rows can be selected, {n} are asked for")
-    top = df.withColumn("selection_sha256", seeded_digest(seed, key)).filter(F.col("selection_sha256").isNotNull()).orderBy("selection_sha256", *tie).limit(n)
+    top = df.withColumn(
+        "selection_sha256", seeded_digest(seed, key)
+    ).filter(F.col("selection_sha256").isNotNull()).orderBy("selection_sha256", *tie).limit(n)
     return top.withColumn("batch_index", F.row_number().over(Window.orderBy("selection_sha256", *tie)).cast("bigint"))  # n rows
 
 
@@ -127,13 +137,24 @@ def suite_report(df: DataFrame, suite: Column, line: Column, key: Column, pairs:
     rows = df.select(suite.alias("suite"), line.alias("l"), key.alias("k")).filter(F.trim("l") != "")
     sizes = rows.groupBy("suite", "k").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("k").isNotNull()
-    out = sizes.groupBy("suite").agg(F.sum("n").alias("lines"), F.count_if(known).alias("distinct_openings"), F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("malformed"))
+    out = sizes.groupBy("suite").agg(
+        F.sum("n").alias("lines"), F.count_if(known).alias("distinct_openings"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("malformed")
+    )
     distinct = F.col("distinct_openings")
-    return out.withColumns({"duplicates": F.col("lines") - distinct - F.col("malformed"), "enough": distinct >= pairs, "collision_probability": collision_probability(F.lit(pairs), distinct)})
+    return out.withColumns(
+        {
+            "duplicates": F.col("lines") - distinct - F.col("malformed"), "enough": distinct >= pairs,
+            "collision_probability": collision_probability(F.lit(pairs), distinct)
+        }
+    )
 
 
 def suite_contracts(df: DataFrame, suite: Column, line: Column, key: Column, pairs: int, seed: str) -> DataFrame:
     """:func:`suite_report` with the record of how openings are selected, as one JSON text a suite; null where too few are there."""
     r = suite_report(df, suite, line, key, pairs)
-    selection = F.struct(F.lit("seeded_sha256_without_replacement").alias("method"), F.lit(seed).alias("seed"), F.lit(pairs).alias("pairs"), F.col("distinct_openings").alias("pool"))
+    selection = F.struct(
+        F.lit("seeded_sha256_without_replacement").alias("method"), F.lit(seed).alias("seed"), F.lit(pairs).alias("pairs"),
+        F.col("distinct_openings").alias("pool")
+    )
     return r.withColumn("selection", F.when(F.col("enough"), F.to_json(selection)))

@@ -57,7 +57,10 @@ def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
     return spread.join(F.broadcast(offsets), "__part").withColumn(out, inside + F.col("__before")).drop("__part", "__before")
 
 
-def with_group_min(rows: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, hot_rows: int = HOT_ROWS, salts: int = 64, total: int | None = None) -> DataFrame:
+def with_group_min(
+    rows: DataFrame, keys: list[str], value: str, out: str, count: str | None = None, hot_rows: int = HOT_ROWS, salts: int = 64,
+    total: int | None = None
+) -> DataFrame:
     """Add to every row the smallest ``value`` among the rows of equal ``keys`` (and their number).
 
     1. Hot keys are found exactly from partial counts of a 64-bit hash of the
@@ -77,7 +80,9 @@ def with_group_min(rows: DataFrame, keys: list[str], value: str, out: str, count
     lone = F.lit(False)
     for k in keys:
         lone = lone | F.col(k).isNull()
-    keyed = rows.withColumn(own, F.when(lone, F.col(value))).withColumn(h, F.when(lone, F.xxhash64(F.lit("alone"), value)).otherwise(F.xxhash64(*keys)))
+    keyed = rows.withColumn(own, F.when(lone, F.col(value))).withColumn(
+        h, F.when(lone, F.xxhash64(F.lit("alone"), value)).otherwise(F.xxhash64(*keys))
+    )
     whole = Window.partitionBy(h, *keys, own)
 
     def shuffled(df: DataFrame) -> DataFrame:
@@ -100,7 +105,9 @@ def with_group_min(rows: DataFrame, keys: list[str], value: str, out: str, count
     return shuffled(rest).unionByName(joined).drop(h, own)
 
 
-def with_previous(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str], first: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_previous(
+    rows: DataFrame, by: list[str], order: list[str], columns: dict[str, str], first: str | None = None, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Add values of the row before, within equal ``by`` and in the order of ``order``.
 
     ``columns`` maps a column to the name its previous value gets; ``first``
@@ -135,9 +142,18 @@ def with_previous(rows: DataFrame, by: list[str], order: list[str], columns: dic
     inside = lagged(spread, Window.partitionBy("__part", *by).orderBy(*order))
     ends = spread.groupBy("__part", *by).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("__last"))
     # groups and ranges follow the same order, so the range before is the nearest lower one that holds the group
-    before = ends.withColumns({"__last": F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")), "__any": F.lag(F.lit(1)).over(Window.partitionBy(*by).orderBy("__part"))})
+    before = ends.withColumns(
+        {
+            "__last": F.lag("__last").over(Window.partitionBy(*by).orderBy("__part")),
+            "__any": F.lag(F.lit(1)).over(Window.partitionBy(*by).orderBy("__part"))
+        }
+    )
     same = [F.col("i.__part") == F.col("e.__part"), *[F.col(f"i.{b}").eqNullSafe(F.col(f"e.{b}")) for b in by]]
     joined = inside.alias("i").join(F.broadcast(before).alias("e") if hot_n <= BROADCAST_KEYS else before.alias("e"), same)
     start = F.col(f"i.{seen}").isNull()
-    filled = joined.select(*[F.col(f"i.{c}") for c in keyed.columns], *[F.when(start, F.col(f"e.__last.{old}")).otherwise(F.col(f"i.{new}")).alias(new) for old, new in columns.items()], F.coalesce(F.col(f"i.{seen}"), F.col("e.__any")).alias(seen))
+    filled = joined.select(
+        *[F.col(f"i.{c}") for c in keyed.columns],
+        *[F.when(start, F.col(f"e.__last.{old}")).otherwise(F.col(f"i.{new}")).alias(new) for old, new in columns.items()],
+        F.coalesce(F.col(f"i.{seen}"), F.col("e.__any")).alias(seen)
+    )
     return rest.unionByName(filled).withColumns(flag).drop(h, seen)

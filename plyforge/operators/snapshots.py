@@ -30,12 +30,18 @@ def coherent_snapshot(infos: DataFrame, job: list[str], expected: str = "expecte
     by_round = Window.partitionBy(*job, "round").orderBy(line)
     exact = F.col("bound") == "exact"
     r = r.withColumns({"__depth": F.first("depth").over(by_round), "__head": F.first(exact).over(by_round), "__n": F.col(expected)})
-    fits = (F.col("round") > 0) & exact & F.col("__head") & ((F.col("__n") == 1) | (F.col("depth") == F.col("__depth"))) & ((F.col("__n") > 1) | (F.col("rank") == 1))
+    fits = (F.col("round") > 0) & exact & F.col("__head") & (
+        (F.col("__n") == 1) | (F.col("depth") == F.col("__depth"))
+    ) & ((F.col("__n") > 1) | (F.col("rank") == 1))
     r = r.withColumn("__fits", F.coalesce(fits, F.lit(False)))
     r = r.withColumn("__over", F.max(F.when(F.col("__fits") & (F.col("rank") > F.col("__n")), 1).otherwise(0)).over(by_round))
     payload = [c for c in infos.columns if c not in job]
-    kept = r.filter(F.col("__fits") & (F.col("__over") == 0)).groupBy(*job, "round", "rank").agg(F.max_by(F.struct(*payload), F.col(line)).alias("__p"))
-    rounds = kept.groupBy(*job, "round").agg(F.collect_list("__p").alias("__ps"), F.count(F.lit(1)).alias("__k"), F.max("__p." + expected).alias("__n")).filter(F.col("__k") == F.col("__n"))
+    kept = r.filter(F.col("__fits") & (F.col("__over") == 0)).groupBy(*job, "round", "rank").agg(
+        F.max_by(F.struct(*payload), F.col(line)).alias("__p")
+    )
+    rounds = kept.groupBy(*job, "round").agg(
+        F.collect_list("__p").alias("__ps"), F.count(F.lit(1)).alias("__k"), F.max("__p." + expected).alias("__n")
+    ).filter(F.col("__k") == F.col("__n"))
     last = rounds.groupBy(*job).agg(F.max_by("__ps", "round").alias("__ps"), F.max("round").alias("round"))
     whole = last.select(*job, "round", F.explode("__ps").alias("__p")).select(*job, "round", "__p.*")
     rest = last_exact(infos, [*job, "rank"], line).join(last.select(*job), job, "left_anti").withColumn("round", F.lit(None).cast("bigint"))
@@ -52,4 +58,9 @@ def picked_result(infos: DataFrame, ends: DataFrame, by: list[str], line: str =
     last = ends.groupBy(*by).agg(F.max_by(F.struct("bestmove", "ponder"), F.col(line)).alias("__e"))
     pv = F.filter(F.split("sf_pv", " "), lambda m: m != "")
     joined = last.join(best, by, "full")
-    return joined.withColumns({"sf_bestmove": F.coalesce(F.get(pv, F.lit(0)), F.when(F.coalesce(F.size(pv), F.lit(0)) <= 0, F.col("__e.bestmove")), F.lit("")), "sf_ponder": F.coalesce(F.get(pv, F.lit(1)), F.when(F.coalesce(F.size(pv), F.lit(0)) <= 0, F.col("__e.ponder")), F.lit(""))}).drop("__e")
+    return joined.withColumns(
+        {
+            "sf_bestmove": F.coalesce(F.get(pv, F.lit(0)), F.when(F.coalesce(F.size(pv), F.lit(0)) <= 0, F.col("__e.bestmove")), F.lit("")),
+            "sf_ponder": F.coalesce(F.get(pv, F.lit(1)), F.when(F.coalesce(F.size(pv), F.lit(0)) <= 0, F.col("__e.ponder")), F.lit(""))
+        }
+    ).drop("__e")

@@ -53,7 +53,10 @@ g AS (SELECT artifact_sha256, list_sort(list(DISTINCT claim) FILTER (WHERE claim
 SELECT artifact_sha256, array_to_string(list_filter(coalesce(l, []), lambda c: c <> 'not_stronger' OR list_contains(l, 'stronger')), ',') AS claims FROM g""")
 def network_claims(spark: SparkSession, d: str) -> DataFrame:
     """What unflagged results establish about each listed network; one claim counts only beside the other."""
-    e = _records(spark, d).select(F.col("sprt_outcome").alias("kind"), sha_label(F.col("candidate_sha256")).alias("subject_sha256"), F.col("regression_flagged").alias("result"), F.lit(0).alias("expected"))
+    e = _records(spark, d).select(
+        F.col("sprt_outcome").alias("kind"), sha_label(F.col("candidate_sha256")).alias("subject_sha256"),
+        F.col("regression_flagged").alias("result"), F.lit(0).alias("expected")
+    )
     artifacts = table(spark, d, "networks").select(sha_label(F.col("sha256")).alias("sha256"))
     claims = spark.createDataFrame([("H1_ACCEPTED", "stronger"), ("H0_ACCEPTED", "not_stronger")], "kind string, claim string")
     out = reconcile.bound_claims(e, artifacts, claims, withheld="not_stronger", needs="stronger")
@@ -65,14 +68,20 @@ def network_claims(spark: SparkSession, d: str) -> DataFrame:
 def shared_analyzers(spark: SparkSession, d: str) -> DataFrame:
     """Whether the arms of an experiment were analysed by one version, and who by which."""
     s = reconcile.shared_values(_records(spark, d).filter("experiment_id is not null"), ["experiment_id"], "arm_id", "analyzer_version")
-    return s.select("experiment_id", "distinct_values", F.array_join(F.transform("holders", lambda h: F.concat(h["value"], F.lit("="), F.array_join(h["members"], ","))), ";").alias("holders"))
+    return s.select(
+        "experiment_id", "distinct_values",
+        F.array_join(F.transform("holders", lambda h: F.concat(h["value"], F.lit("="), F.array_join(h["members"], ","))), ";").alias("holders")
+    )
 
 
 @query(f"""SELECT experiment_id, count(*) FILTER (WHERE role = 'control') AS ones, count(*) FILTER (WHERE role = 'treatment') AS others, count(*) FILTER (WHERE role = 'control') = 1 AND count(*) FILTER (WHERE role = 'treatment') >= 1 AS sound
 FROM (SELECT DISTINCT experiment_id, arm_id, CASE WHEN arm_id = 'm0' THEN 'control' ELSE 'treatment' END AS role FROM ({_ONCE}) WHERE experiment_id IS NOT NULL AND arm_id IS NOT NULL) GROUP BY 1""")
 def arm_roles(spark: SparkSession, d: str) -> DataFrame:
     arms = _records(spark, d).filter("experiment_id is not null and arm_id is not null").select("experiment_id", "arm_id").distinct()
-    return reconcile.role_counts(arms.withColumn("role", F.when(F.col("arm_id") == "m0", "control").otherwise("treatment")), ["experiment_id"], "role", "control", "treatment")
+    return reconcile.role_counts(
+        arms.withColumn("role", F.when(F.col("arm_id") == "m0", "control").otherwise("treatment")), ["experiment_id"], "role", "control",
+        "treatment"
+    )
 
 
 #: The closed shape of the JSON that an index row carries, on purpose too narrow in places.
@@ -89,7 +98,10 @@ RECORD_SCHEMA = {
             "properties": {
                 "verdict": {"type": "string", "enum": ["SUPPORTED_PROGRESS", "PROGRESS_NOT_SUPPORTED"]},
                 "elo_estimate": {"type": "object", "required": ["value", "ci_low"], "properties": {"value": {"type": "number", "minimum": -50}}},
-                "recomputed_wdl": {"type": "object", "required": ["wins"], "additionalProperties": False, "properties": {"wins": {"type": "integer", "minimum": 10}, "losses": {"type": ["string", "null"]}}},
+                "recomputed_wdl": {
+                    "type": "object", "required": ["wins"], "additionalProperties": False,
+                    "properties": {"wins": {"type": "integer", "minimum": 10}, "losses": {"type": ["string", "null"]}}
+                },
             },
         },
     },
@@ -113,5 +125,7 @@ def document_violations(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT coalesce(role_hint, '') AS role_hint, string_agg({_sql_sha('sha256')} || '  ' || path || chr(10), '' ORDER BY path) AS text FROM networks WHERE path IS NOT NULL AND sha256 IS NOT NULL GROUP BY 1""")
 def checksum_lists(spark: SparkSession, d: str) -> DataFrame:
-    n = table(spark, d, "networks").filter("path is not null and sha256 is not null").select(F.coalesce("role_hint", F.lit("")).alias("role_hint"), "path", sha_label(F.col("sha256")).alias("sha256"))
+    n = table(spark, d, "networks").filter("path is not null and sha256 is not null").select(
+        F.coalesce("role_hint", F.lit("")).alias("role_hint"), "path", sha_label(F.col("sha256")).alias("sha256")
+    )
     return reconcile.checksum_text(n, ["role_hint"])

@@ -17,7 +17,9 @@ _ONCE = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDE
 
 
 def _records(spark: SparkSession, d: str) -> DataFrame:
-    return first_seen(table(spark, d, "records"), F.col("record_id"), ["recorded_at", "run_id", "candidate_sha256", "opponent_sha256"], "record_key").drop("record_key")
+    return first_seen(
+        table(spark, d, "records"), F.col("record_id"), ["recorded_at", "run_id", "candidate_sha256", "opponent_sha256"], "record_key"
+    ).drop("record_key")
 
 
 def _summary(by: str, where: str) -> str:
@@ -50,7 +52,9 @@ def arms_compared(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT record_id, run_id, opponent_id, arm_id, elo_value FROM ({_ONCE}) WHERE experiment_id = 'exp_giuoco_a' AND arm_id = 'm0'")
 def records_of_arm(spark: SparkSession, d: str) -> DataFrame:
-    return history.matching(_records(spark, d), experiment_id="exp_giuoco_a", arm_id="m0", opponent_id=None).select("record_id", "run_id", "opponent_id", "arm_id", "elo_value")
+    return history.matching(
+        _records(spark, d), experiment_id="exp_giuoco_a", arm_id="m0", opponent_id=None
+    ).select("record_id", "run_id", "opponent_id", "arm_id", "elo_value")
 
 
 @query("""SELECT 'record_id' AS what, record_id AS value, count(*) AS times FROM records WHERE record_id IS NOT NULL GROUP BY 2 HAVING count(*) > 1
@@ -94,7 +98,10 @@ FROM (SELECT run_id, {_RUN.format(1)} AS key, TRY_CAST({_RUN.format(2)} AS BIGIN
 def run_names(spark: SparkSession, d: str) -> DataFrame:
     """Runs taken apart and put together again, and audits of the same numbers."""
     r = table(spark, d, "records").select("run_id", ids.run_parts(F.col("run_id")).alias("p")).filter("p is not null").distinct()
-    return r.select("run_id", "p.key", "p.attempt", ids.run_id(F.col("p.key"), F.col("p.attempt")).alias("spelled"), ids.audit_id(F.col("p.attempt")).alias("audit"))
+    return r.select(
+        "run_id", "p.key", "p.attempt", ids.run_id(F.col("p.key"), F.col("p.attempt")).alias("spelled"),
+        ids.audit_id(F.col("p.attempt")).alias("audit")
+    )
 
 
 @query("SELECT line_id, TRY_CAST(nullif(trim(split_part(line, ',', 1)), '') AS BIGINT) AS number FROM game_lines WHERE regexp_full_match(trim(split_part(line, ',', 1)), '[+-]?[0-9]*')")
@@ -109,7 +116,9 @@ def tolerant_numbers(spark: SparkSession, d: str) -> DataFrame:
 WHERE NOT CASE WHEN n = 1 THEN event_type IN ('view', 'click') ELSE coalesce((previous = 'view' AND event_type IN ('view', 'click')) OR (previous = 'click' AND event_type IN ('view', 'purchase')), false) END""")
 def event_transitions(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type")
-    bad = history.bad_transitions(e, ["user_id"], "event_type", ["ts", "event_id"], ["view", "click"], {"view": ["view", "click"], "click": ["view", "purchase"]})
+    bad = history.bad_transitions(
+        e, ["user_id"], "event_type", ["ts", "event_id"], ["view", "click"], {"view": ["view", "click"], "click": ["view", "purchase"]}
+    )
     return bad.select("user_id", "event_id", "event_type", "previous")
 
 

@@ -44,7 +44,9 @@ def classified_games(spark: SparkSession, d: str) -> DataFrame:
     role = F.col("candidate_role")
     of = lambda a, b: F.min(F.when(role == "white", F.col(a)).when(role == "black", F.col(b)))
     labels = g.groupBy("run_id").agg(of("white", "black").alias("candidate"), of("black", "white").alias("opponent"))
-    out = matches.classify_games(g.select("run_id", "game_index", "white", "black", "result", "fen").join(labels, "run_id"), F.col("candidate"), F.col("opponent"))
+    out = matches.classify_games(
+        g.select("run_id", "game_index", "white", "black", "result", "fen").join(labels, "run_id"), F.col("candidate"), F.col("opponent")
+    )
     return out.select("run_id", "game_index", "opening_ref", "candidate_role", "candidate_outcome", "exclusion_code")
 
 
@@ -120,7 +122,10 @@ JOIN (SELECT run_id, pairs, {_ELO.format('score')} AS elo, {_ELO.format('score')
 def verdict_by_run(spark: SparkSession, d: str) -> DataFrame:
     """Elo, test state and verdict of every run; where the test goes on there is no verdict."""
     g = matches.with_verdict(matches.with_gsprt(matches.with_elo(_cells(spark, d).filter("pairs > 0")), 0.0, 5.0, max_games=40), -20.0)
-    return g.select("run_id", "pairs", *[F.round(c, 5).alias(c) for c in ("elo", "elo_ci_low", "elo_ci_high")], F.round("llr", 6).alias("llr"), "state", "flagged", "verdict")
+    return g.select(
+        "run_id", "pairs", *[F.round(c, 5).alias(c) for c in ("elo", "elo_ci_low", "elo_ci_high")], F.round("llr", 6).alias("llr"), "state",
+        "flagged", "verdict"
+    )
 
 
 @query(f"""SELECT t.run_id, CASE WHEN wins + draws + losses <> 2 * (ll + ld + dd + wd + ww) THEN 'games' WHEN wins - losses <> 2 * ww + wd - ld - 2 * ll THEN 'net'
@@ -130,7 +135,9 @@ JOIN ({_CELLS}) c ON t.run_id = c.run_id""")
 def wdl_against_pairs(spark: SparkSession, d: str) -> DataFrame:
     kept = _kept(spark, d)
     both = matches.tally(kept, ["run_id"]).join(_cells(spark, d), "run_id")
-    return both.select("run_id", stats.wdl_problem(F.col("wins"), F.col("draws"), F.col("losses"), [F.col(c) for c in matches.CELLS]).alias("problem"))
+    return both.select(
+        "run_id", stats.wdl_problem(F.col("wins"), F.col("draws"), F.col("losses"), [F.col(c) for c in matches.CELLS]).alias("problem")
+    )
 
 
 @query("""SELECT run_id, count(*) AS rows_seen, count(*) - count(DISTINCT game_index) AS repeats, max(game_index) - count(DISTINCT game_index) AS missing,
@@ -154,8 +161,13 @@ def result_documents(spark: SparkSession, d: str) -> DataFrame:
     """The result document of every run, read back."""
     games = table(spark, d, "parsed_games").filter("run_id is not null")
     fewest = lambda c: F.min(c).alias(f"claimed_{c}")
-    claims = table(spark, d, "records").groupBy("run_id").agg(*map(fewest, ("wins", "losses", "draws")), F.lit("log").alias("engine_stdout_log_ref"), F.lit("pgn").alias("pgn_ref"))
+    claims = table(spark, d, "records").groupBy("run_id").agg(
+        *map(fewest, ("wins", "losses", "draws")), F.lit("log").alias("engine_stdout_log_ref"), F.lit("pgn").alias("pgn_ref")
+    )
     doc = F.from_json("document", "struct<claimed_wins:bigint,games:array<struct<game_index:bigint>>,excluded_games:array<struct<reason:string>>>")
     size = lambda c: F.greatest(F.size(c), F.lit(0)).cast("bigint")
     out = matches.result_documents(games, ["run_id"], claims).select("run_id", doc.alias("d"), "problem")
-    return out.select("run_id", size(F.coalesce("d.games", F.array())).alias("kept"), size(F.coalesce("d.excluded_games", F.array())).alias("excluded"), "d.claimed_wins", "problem")
+    return out.select(
+        "run_id", size(F.coalesce("d.games", F.array())).alias("kept"), size(F.coalesce("d.excluded_games", F.array())).alias("excluded"),
+        "d.claimed_wins", "problem"
+    )

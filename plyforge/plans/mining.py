@@ -51,7 +51,10 @@ def star(spark: SparkSession, d: str, faults: bool = False) -> tuple[DataFrame,
     move = F.col("move")
 
     def jobs_of(rows: DataFrame, tag: str, role: str, kind: str, restricted: Column, best: Column) -> DataFrame:
-        return rows.select("run_id", "position_id", _job_id(tag).alias("job_id"), F.lit(role).alias("engine_role"), F.lit(kind).alias("search_kind"), restricted.alias("restricted_move"), best.alias("bestmove"))
+        return rows.select(
+            "run_id", "position_id", _job_id(tag).alias("job_id"), F.lit(role).alias("engine_role"), F.lit(kind).alias("search_kind"),
+            restricted.alias("restricted_move"), best.alias("bestmove")
+        )
 
     own = F.when(F.col("f") == "A", "m0").otherwise(move) if faults else move
     jobs = jobs_of(x.filter("rank = 1"), "c", "candidate", "multipv", F.lit("ALL"), own)
@@ -61,7 +64,9 @@ def star(spark: SparkSession, d: str, faults: bool = False) -> tuple[DataFrame,
     def results_of(rows: DataFrame, tag: str, rank: Column) -> DataFrame:
         w = (F.col("q") * 10).cast("bigint")
         return rows.select(
-            _job_id(tag).alias("job_id"), rank.cast("bigint").alias("rank"), "move", F.lit("cp").alias("score_type"), ((F.round("p").cast("bigint") % 400) - 200).alias("score_value"),
+            _job_id(tag).alias("job_id"), rank.cast("bigint").alias("rank"), "move", F.lit("cp").alias("score_type"), (
+                (F.round("p").cast("bigint") % 400) - 200
+            ).alias("score_value"),
             F.when(F.col("s") == "O", "exact").otherwise("lowerbound").alias("bound"), w.alias("wdl_w"), F.lit(500).cast("bigint").alias("wdl_d"), (F.lit(500) - w).alias("wdl_l"), F.floor(F.col("q") / 10).alias("depth"),
         )
 
@@ -71,7 +76,9 @@ def star(spark: SparkSession, d: str, faults: bool = False) -> tuple[DataFrame,
     status = F.when(F.col("f") == "R", "in_check").otherwise("ok").alias("status")
     networks = F.array(F.struct(F.lit("candidate").alias("role"), score(300)), F.struct(F.lit("official").alias("role"), score(170)))
     statics = x.filter("again = 1").select("run_id", "position_id", "move", status, F.explode(networks).alias("n"))
-    return jobs, results, statics.select("run_id", "position_id", F.col("n.role").alias("network_role"), "move", "status", F.col("n.score").alias("score_root_pov"))
+    return jobs, results, statics.select(
+        "run_id", "position_id", F.col("n.role").alias("network_role"), "move", "status", F.col("n.score").alias("score_root_pov")
+    )
 
 
 _STAR = f"""WITH x AS ({_LINES}), probe AS (SELECT position_id, move, {_CP} AS cp, CASE WHEN s = 'O' THEN (CAST(q * 10 AS BIGINT) + 250.0) / 1000 END AS e,
@@ -85,13 +92,17 @@ met AS (SELECT run_id, position_id, candidate_bestmove, teacher_bestmove, CAST(m
   CASE WHEN teacher_bestmove IS NULL OR candidate_bestmove IS NULL THEN 'EVIDENCE_INCOMPLETE' WHEN same THEN 'AGREEMENT' ELSE 'MOVE_DISAGREEMENT' END AS primary_class FROM m)"""
 
 
+#: Columns that are kept for metrics to come.
+_RESERVED = ", ".join(f"NULL::DOUBLE AS {c}" for c in mining.RESERVED)
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     return mining.position_metrics(*star(spark, d))
 
 
-@query(f"{_STAR} SELECT *, abs(candidate_static_preference - official_static_preference) AS static_disagreement FROM met")
+@query(f"{_STAR} SELECT *, abs(candidate_static_preference - official_static_preference) AS static_disagreement, {_RESERVED} FROM met")
 def mining_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _metrics(spark, d).drop(*mining.RESERVED).withColumn("teacher_regret_wdl_expected", F.round("teacher_regret_wdl_expected", 6))
+    return _metrics(spark, d).withColumn("teacher_regret_wdl_expected", F.round("teacher_regret_wdl_expected", 6))
 
 
 @query(f"""{_STAR} SELECT run_id, position_id, primary_class AS class_name, 1.0::DOUBLE AS class_score FROM met UNION ALL SELECT run_id, position_id, 'TEACHER_OUTSIDE_CANDIDATE_TOPK', 1.0::DOUBLE FROM met WHERE primary_class = 'MOVE_DISAGREEMENT' AND rank_error IS NULL""")
@@ -132,7 +143,9 @@ def mining_positions(spark: SparkSession, d: str) -> DataFrame:
     return mining.stored_positions(star(spark, d)[0])
 
 
-_CHANGED = " UNION ALL ".join(f"SELECT pair, position_id, '{m}' AS what, a.{m} AS in_a, b.{m} AS in_b FROM ra a JOIN rb b USING (pair, position_id) WHERE a.{m} IS DISTINCT FROM b.{m}" for m in mining.METRICS)
+_CHANGED = " UNION ALL ".join(
+    f"SELECT pair, position_id, '{m}' AS what, a.{m} AS in_a, b.{m} AS in_b FROM ra a JOIN rb b USING (pair, position_id) WHERE a.{m} IS DISTINCT FROM b.{m}" for m in mining.METRICS
+)
 
 
 @query(f"""{_STAR}, every AS (SELECT *, abs(candidate_static_preference - official_static_preference) AS static_disagreement FROM met),
@@ -154,7 +167,10 @@ SELECT position_id, array_to_string(list(move ORDER BY k), ' ') AS moves FROM (S
 def probe_unions(spark: SparkSession, d: str) -> DataFrame:
     x = _lines(spark, d)
     ranked = F.transform(F.array_sort(F.collect_list(F.struct("rank", "move"))), lambda s: s["move"])
-    g = x.groupBy("position_id").agg(F.max(F.when(F.col("rank") == 1, F.col("move"))).alias("a"), F.max(F.when((F.col("pick") == 1) & (F.col("d") < 0.1), F.col("move"))).alias("z"), ranked.alias("l"))
+    g = x.groupBy("position_id").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("move"))).alias("a"),
+        F.max(F.when((F.col("pick") == 1) & (F.col("d") < 0.1), F.col("move"))).alias("z"), ranked.alias("l")
+    )
     return g.select("position_id", F.array_join(mining.probe_moves(F.col("a"), F.col("l"), F.col("z")), " ").alias("moves"))
 
 

@@ -64,7 +64,10 @@ FROM (SELECT position_id, fen, {sql_words('fen')} AS w FROM positions) WHERE len
 def decomposed_fens(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "positions").select("position_id", "fen", words(F.col("fen")).alias("w"))
     at = lambda i: F.get("w", F.lit(i))
-    out = p.select("position_id", fen_key(F.col("fen")).alias("fen_key"), at(1).alias("side"), at(4).try_cast("int").alias("halfmove"), at(5).try_cast("int").alias("fullmove"), sha256_text(F.col("fen")).alias("digest"), F.size("w").alias("n"))
+    out = p.select(
+        "position_id", fen_key(F.col("fen")).alias("fen_key"), at(1).alias("side"), at(4).try_cast("int").alias("halfmove"),
+        at(5).try_cast("int").alias("fullmove"), sha256_text(F.col("fen")).alias("digest"), F.size("w").alias("n")
+    )
     return out.filter((F.col("n") == 6) & F.col("side").isin("w", "b") & (F.col("halfmove") >= 0) & (F.col("fullmove") >= 1)).drop("n")
 
 
@@ -133,7 +136,11 @@ def content_identities(spark: SparkSession, d: str) -> DataFrame:
 FROM networks""")
 def predicate_checks(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "networks")
-    return n.select("network_id", reconcile.is_sha256(F.col("sha256")).alias("sha_ok"), reconcile.is_identifier(F.col("name")).alias("name_ok"), reconcile.is_label(F.col("description")).alias("label_ok"), reconcile.is_utc(F.col("created_utc")).alias("utc_ok"), reconcile.is_neutral_path(F.col("path")).alias("path_ok"))
+    return n.select(
+        "network_id", reconcile.is_sha256(F.col("sha256")).alias("sha_ok"), reconcile.is_identifier(F.col("name")).alias("name_ok"),
+        reconcile.is_label(F.col("description")).alias("label_ok"), reconcile.is_utc(F.col("created_utc")).alias("utc_ok"),
+        reconcile.is_neutral_path(F.col("path")).alias("path_ok")
+    )
 
 
 @query("""SELECT position_id, source, created_utc, before FROM (

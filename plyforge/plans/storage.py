@@ -34,7 +34,10 @@ def _flat(c: str):
 def tsv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Positions written as one tab-separated table and read back with the numbers of its rows."""
     at = _place(spark, "positions-tsv")
-    sinks.write_tsv(table(spark, d, "positions").select("position_id", _flat("fen").alias("fen"), _flat("source").alias("source")), at, ["position_id"], ["position_id"])
+    sinks.write_tsv(
+        table(spark, d, "positions").select("position_id", _flat("fen").alias("fen"), _flat("source").alias("source")), at, ["position_id"],
+        ["position_id"]
+    )
     return files.read_tsv_numbered(spark, at, ("position_id", "fen")).drop("file")
 
 
@@ -68,7 +71,10 @@ _LEDGER = "SELECT row_number() OVER (ORDER BY run_id, recorded_at, record_json)
 
 def _ledger(spark: SparkSession, d: str) -> DataFrame:
     at = _place(spark, "ledger")
-    sinks.write_lines(table(spark, d, "records").select("run_id", "recorded_at", "record_json"), at, "record_json", ["run_id", "recorded_at", "record_json"])
+    sinks.write_lines(
+        table(spark, d, "records").select("run_id", "recorded_at", "record_json"), at, "record_json",
+        ["run_id", "recorded_at", "record_json"]
+    )
     return files.read_jsonl(spark, at, history.LEDGER)
 
 
@@ -114,7 +120,9 @@ def state_history_faults(spark: SparkSession, d: str) -> DataFrame:
     at = _place(spark, "states")
     line = F.to_json(F.struct("run_id", F.col("candidate_outcome").alias("state")))
     g = table(spark, d, "parsed_games").select(F.col("run_id").alias("file_run"), "game_index", "candidate_outcome", line.alias("line"))
-    g.repartition("file_run").sortWithinPartitions("file_run", "game_index", "candidate_outcome").select("file_run", "line").write.partitionBy("file_run").text(at)
+    g.repartition("file_run").sortWithinPartitions(
+        "file_run", "game_index", "candidate_outcome"
+    ).select("file_run", "line").write.partitionBy("file_run").text(at)
     lines = files.read_jsonl(spark, at, "run_id string, state string")
     run = F.regexp_extract("file", "file_run=([^/]*)/", 1)
     # the folder names the run here
@@ -236,7 +244,9 @@ def displayed_positions(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT position_id, CASE WHEN side_to_move = 'w' THEN original_score_value WHEN side_to_move IS NOT NULL THEN -original_score_value END AS score FROM positions")
 def root_scores(spark: SparkSession, d: str) -> DataFrame:
     """Scores seen from White."""
-    return table(spark, d, "positions").select("position_id", uci.root_score(F.col("original_score_value"), F.col("side_to_move"), F.lit("w")).alias("score"))
+    return table(spark, d, "positions").select(
+        "position_id", uci.root_score(F.col("original_score_value"), F.col("side_to_move"), F.lit("w")).alias("score")
+    )
 
 
 @query("""SELECT doc_id, ln FROM (SELECT doc_id, ln, string_split(line, chr(9)) AS r FROM """ + _LINES + """) WHERE len(r) = 6 AND r[2] = 'cp' AND r[4] = 'exact' AND r[5] NOT IN ('', '(none)', '0000')""")
@@ -251,7 +261,10 @@ FROM documents WHERE NOT (coalesce(text, '') = '' AND lang IS NULL) AND (coalesc
 def manifest_against_disk(spark: SparkSession, d: str) -> DataFrame:
     """Texts as files: those with a language are listed, by digest and number of characters; those with bytes are there."""
     docs = table(spark, d, "documents")
-    named = docs.select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), "lang", "n_chars", F.octet_length("text").cast("bigint").alias("bytes"))
+    named = docs.select(
+        F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("sha256"), "lang", "n_chars",
+        F.octet_length("text").cast("bigint").alias("bytes")
+    )
     listed = named.filter("lang is not null").select("path", "sha256", F.col("n_chars").alias("size_bytes"))
     return reconcile.file_diff(listed, named.filter("bytes > 0").select("path", "sha256", F.col("bytes").alias("size_bytes")))
 
@@ -269,7 +282,9 @@ def transport_bytes(spark: SparkSession, d: str) -> DataFrame:
   array_to_string(list_sort(list_filter(json_keys(record_json), lambda k: k NOT IN ('record_id', 'run_id', 'arm_id'))), ',') AS unexpected FROM records""")
 def document_keys(spark: SparkSession, d: str) -> DataFrame:
     """Keys that the index documents lack or have besides those asked for."""
-    r = table(spark, d, "records").select("record_id", "run_id", reconcile.key_set_problems(F.json_object_keys("record_json"), ["record_id", "run_id", "arm_id"]).alias("p"))
+    r = table(spark, d, "records").select(
+        "record_id", "run_id", reconcile.key_set_problems(F.json_object_keys("record_json"), ["record_id", "run_id", "arm_id"]).alias("p")
+    )
     return r.select("record_id", "run_id", F.array_join("p.missing", ",").alias("missing"), F.array_join("p.unexpected", ",").alias("unexpected"))
 
 
@@ -291,7 +306,9 @@ def games_in_order(spark: SparkSession, d: str) -> DataFrame:
   SELECT DISTINCT opponent_id, recorded_at, run_id, record_id, elo_value, elo_ci_low, elo_ci_high, verdict FROM records)""")
 def series_points(spark: SparkSession, d: str) -> DataFrame:
     """Every record of every series, in order."""
-    r = table(spark, d, "records").select("opponent_id", "recorded_at", "run_id", "record_id", "elo_value", "elo_ci_low", "elo_ci_high", "verdict").distinct()
+    r = table(spark, d, "records").select(
+        "opponent_id", "recorded_at", "run_id", "record_id", "elo_value", "elo_ci_low", "elo_ci_high", "verdict"
+    ).distinct()
     return history.series_points(r, ["opponent_id"])
 
 
@@ -302,7 +319,10 @@ _MOVES = "SELECT DISTINCT run_id, CASE WHEN candidate_role = 'white' THEN white
 def both_best_moves(spark: SparkSession, d: str) -> DataFrame:
     """The distinct ones of two choices, the candidate's first; players stand for moves."""
     white = F.col("candidate_role") == "white"
-    g = table(spark, d, "parsed_games").select("run_id", F.when(white, F.col("white")).otherwise(F.col("black")).alias("a"), F.when(white, F.col("black")).otherwise(F.col("white")).alias("b")).distinct()
+    g = table(spark, d, "parsed_games").select(
+        "run_id", F.when(white, F.col("white")).otherwise(F.col("black")).alias("a"),
+        F.when(white, F.col("black")).otherwise(F.col("white")).alias("b")
+    ).distinct()
     return g.select("run_id", F.array_join(mining.probe_moves(F.col("a"), F.lit(None).cast("array<string>"), F.col("b")), " | ").alias("moves"))
 
 
@@ -321,7 +341,12 @@ o AS (SELECT *, row_number() OVER (PARTITION BY file, listed_path ORDER BY line_
 SELECT file, line_no, sha256, listed_path, CASE WHEN listed_path IS NULL THEN 'grammar' WHEN n > 1 THEN 'duplicate' WHEN listed_path < before THEN 'order' END AS problem FROM o""")
 def checksum_entries(spark: SparkSession, d: str) -> DataFrame:
     """Checksum lists of each role's networks, in the order of their numbers, read and checked line by line."""
-    n = table(spark, d, "networks").filter("path is not null and sha256 is not null").select(F.coalesce("role_hint", F.lit("")).alias("path"), "network_id", F.concat(sha_label(F.col("sha256")), F.lit("  "), "path").alias("line"))
+    n = table(spark, d, "networks").filter("path is not null and sha256 is not null").select(
+        F.coalesce("role_hint", F.lit("")).alias("path"), "network_id",
+        F.concat(sha_label(F.col("sha256")), F.lit("  "), "path").alias("line")
+    )
     # a role's networks are few
-    lists = n.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("network_id", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    lists = n.groupBy("path").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("network_id", "line"))), lambda x: x["line"]), "\n").alias("content")
+    )
     return reconcile.checksum_lines(lists)

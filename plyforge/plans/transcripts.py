@@ -107,7 +107,9 @@ def transcripts_of_orders(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
     return table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("job"), F.row_number().over(w).cast("bigint").alias("ln"), (1 + F.col("l_linenumber") % 2).cast("bigint").alias("rank"), F.floor(F.col("l_quantity") / 26).alias("depth"),
-        F.when(F.col("l_returnflag") == "R", "lowerbound").otherwise("exact").alias("bound"), F.col("l_partkey").alias("move"), F.lit(2).cast("bigint").alias("expected"),
+        F.when(
+            F.col("l_returnflag") == "R", "lowerbound"
+        ).otherwise("exact").alias("bound"), F.col("l_partkey").alias("move"), F.lit(2).cast("bigint").alias("expected"),
     )
 
 
@@ -129,7 +131,9 @@ _ROWS = r"""SELECT doc_id, ln, r[1] AS fen, r[2] AS sf_score_type, r[3] AS sf_sc
 def _rows(docs: DataFrame) -> DataFrame:
     lines = files.lines_with(docs, "doc_id", "\t").withColumn("r", F.split("line", "\t"))
     names = ("fen", "sf_score_type", "sf_score", "sf_bound", "sf_bestmove", "sf_depth")
-    return lines.filter((F.size("r") == 6) & F.get("r", F.lit(1)).isin("cp", "mate")).select("doc_id", "ln", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return lines.filter((F.size("r") == 6) & F.get("r", F.lit(1)).isin("cp", "mate")).select(
+        "doc_id", "ln", *[F.get("r", F.lit(i)).alias(n) for i, n in enumerate(names)]
+    )
 
 
 @query(_ROWS)

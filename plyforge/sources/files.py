@@ -62,7 +62,9 @@ def numbered_lines(spark: SparkSession, path: str, line_sep: str | None = ANY_EN
 def lines_of(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, ``ln`` from 1, ``line``) of a text column; LF, CR LF and CR end lines."""
     t = F.regexp_replace(text, r"(?:\r\n|\n|\r)\z", "")
-    return docs.filter(F.col(text) != "").select(key, F.posexplode(F.split(t, r"\r\n|\n|\r")).alias("i", "line")).select(key, (F.col("i") + 1).alias("ln"), "line")
+    return docs.filter(F.col(text) != "").select(
+        key, F.posexplode(F.split(t, r"\r\n|\n|\r")).alias("i", "line")
+    ).select(key, (F.col("i") + 1).alias("ln"), "line")
 
 
 def lines_with(docs: DataFrame, key: str, word: str, text: str = "text") -> DataFrame:
@@ -81,20 +83,33 @@ def read_epd(spark: SparkSession, path: str) -> DataFrame:
     its file is added to its own.
     """
     lines = block_lines(spark, path)
-    more = lines.filter(F.col("line").rlike(UNICODE_LINES)).select("file", "ln", (F.size(F.split("line", UNICODE_LINES, -1)) - 1).cast("bigint").alias("more"))
+    more = lines.filter(F.col("line").rlike(UNICODE_LINES)).select(
+        "file", "ln", (F.size(F.split("line", UNICODE_LINES, -1)) - 1).cast("bigint").alias("more")
+    )
     more = cut(more, "more")
     if more.limit(1).count():
         # few lines have such ends; each counts for all lines behind it
         order = Window.partitionBy("file").orderBy("ln")
         upto = more.withColumn("before", F.sum("more").over(order) - F.col("more"))
         every = lines.join(upto, ["file", "ln"], "left")
-        ahead = F.last(F.col("before") + F.col("more"), ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1))
+        ahead = F.last(F.col("before") + F.col("more"), ignorenulls=True).over(
+            Window.partitionBy("file", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
+        )
         within = every.withColumn("shift", F.coalesce(F.col("before"), ahead))
-        ends = upto.join(lines.select("file", "ln", "block"), ["file", "ln"]).groupBy("file", "block").agg(F.max(F.col("before") + F.col("more")).alias("end"))
+        ends = upto.join(
+            lines.select("file", "ln", "block"), ["file", "ln"]
+        ).groupBy("file", "block").agg(F.max(F.col("before") + F.col("more")).alias("end"))
         blocks = lines.select("file", "block").distinct().join(ends, ["file", "block"], "left")
-        carried = blocks.select("file", "block", F.last("end", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+        carried = blocks.select(
+            "file", "block",
+            F.last("end", ignorenulls=True).over(
+                Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+            ).alias("carried")
+        )
         within = within.join(carried, ["file", "block"]).withColumn("ln", F.col("ln") + F.coalesce("shift", "carried", F.lit(0)))
-        lines = within.select("file", "ln", F.posexplode(F.split("line", UNICODE_LINES, -1)).alias("i", "line")).select("file", (F.col("ln") + F.col("i")).alias("ln"), "line")
+        lines = within.select(
+            "file", "ln", F.posexplode(F.split("line", UNICODE_LINES, -1)).alias("i", "line")
+        ).select("file", (F.col("ln") + F.col("i")).alias("ln"), "line")
     lines = lines.select("file", "ln", F.trim("line").alias("line")).filter("line != ''")
     return lines.withColumn("key", fen_key(F.col("line")))
 
@@ -110,7 +125,10 @@ def read_tsv(spark: SparkSession, path: str, required: tuple[str, ...] = (), kee
     missing = sorted(set(required) - {c.lstrip("\ufeff") for c in df.columns})
     if missing:
         raise MissingColumns(f"missing columns: {missing}")
-    out = df.select(*[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if keep_empty else F.col(f"`{c}`")).alias(c.lstrip("\ufeff")) for c in df.columns], F.col("_metadata.file_path").alias("file"))
+    out = df.select(
+        *[(F.coalesce(F.col(f"`{c}`"), F.lit("")) if keep_empty else F.col(f"`{c}`")).alias(c.lstrip("\ufeff")) for c in df.columns],
+        F.col("_metadata.file_path").alias("file")
+    )
     if some and not out.limit(1).count():
         raise NoRows("the table has no rows")
     return out
@@ -141,7 +159,10 @@ def read_tsv_numbered(spark: SparkSession, path: str, required: tuple[str, ...]
         raise MissingColumns(f"missing columns: {missing}")
     values = F.split("line", "\t")
     rows = lines.filter("ln > 1 and line != ''")
-    return rows.select("file", F.col("ln").alias("row_number"), *[F.coalesce(F.get(values, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(first.names)])
+    return rows.select(
+        "file", F.col("ln").alias("row_number"),
+        *[F.coalesce(F.get(values, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(first.names)]
+    )
 
 
 def window_of_rows(df: DataFrame, order: list[str], skip: int = 0, limit: int | None = None) -> DataFrame:
@@ -163,7 +184,10 @@ def static_results(lines: DataFrame, by: list[str]) -> DataFrame:
     """Per transcript: ``status`` (ok, in_check, parse_error) and the last raw score of the side to move."""
     score = uci.static_score(F.col("line"))
     g = lines.groupBy(*by).agg(F.max_by(score, F.when(score.isNotNull(), F.col("ln"))).alias("s"), F.bool_or(uci.in_check(F.col("line"))).alias("c"))
-    return g.select(*by, F.when(F.col("c"), "in_check").when(F.col("s").isNull(), "parse_error").otherwise("ok").alias("status"), F.when(~F.col("c"), F.col("s")).alias("score_raw_stm"))
+    return g.select(
+        *by, F.when(F.col("c"), "in_check").when(F.col("s").isNull(), "parse_error").otherwise("ok").alias("status"),
+        F.when(~F.col("c"), F.col("s")).alias("score_raw_stm")
+    )
 
 
 def displayed_positions(lines: DataFrame, by: list[str]) -> DataFrame:

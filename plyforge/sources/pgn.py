@@ -120,7 +120,9 @@ def _before(lines: DataFrame, columns: dict[str, Column]) -> DataFrame:
     marked = cut(lines.withColumns({f"__{c}": v for c, v in columns.items()}), "marked")
     inside = Window.partitionBy("file", "block").orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
     splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = marked.groupBy("file", "block").agg(*[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col("ln"))).alias(f"__end_{c}") for c in columns])
+    ends = marked.groupBy("file", "block").agg(
+        *[F.max_by(f"__{c}", F.when(F.col(f"__{c}").isNotNull(), F.col("ln"))).alias(f"__end_{c}") for c in columns]
+    )
     ends = ends.select("file", "block", *[F.last(f"__end_{c}", ignorenulls=True).over(splits).alias(f"__from_{c}") for c in columns])
     near = marked.withColumns({c: F.last(f"__{c}", ignorenulls=True).over(inside) for c in columns}).join(ends, ["file", "block"])
     return near.select(*lines.columns, *[F.coalesce(c, f"__from_{c}").alias(c) for c in columns])
@@ -148,10 +150,18 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     opens, closes = behind("{"), behind("}")
     comment = F.when(closes.isNotNull() & (opens.isNull() | (closes < opens)), 0).when(opens.isNotNull() & ~tag & ~F.col("line").startswith("%"), 1)
     lines = _before(lines, {"inside": comment})
-    kind = F.when(F.coalesce("inside", F.lit(0)) == 1, "text").when(tag, "tag").when(bare == "", "blank").when(F.col("line").startswith("%"), "skipped").otherwise("text")
+    kind = F.when(
+        F.coalesce("inside", F.lit(0)) == 1, "text"
+    ).when(tag, "tag").when(bare == "", "blank").when(F.col("line").startswith("%"), "skipped").otherwise("text")
     lines = lines.select("file", "block", "ln", "line", kind.alias("kind"))
     solid = F.col("kind").isin("tag", "text")
-    lines = _before(lines, {"kind_before": F.when(solid, F.col("kind")), "ln_before": F.when(solid, F.col("ln")), "blank_before": F.when(F.col("kind") == "blank", F.col("ln"))})
+    lines = _before(
+        lines,
+        {
+            "kind_before": F.when(solid, F.col("kind")), "ln_before": F.when(solid, F.col("ln")),
+            "blank_before": F.when(F.col("kind") == "blank", F.col("ln"))
+        }
+    )
     apart = (F.col("kind") == "tag") | F.coalesce(F.col("blank_before") > F.col("ln_before"), F.lit(False))
     starts = solid & (F.col("kind_before").isNull() | ((F.col("kind_before") == "text") & apart))
     # a game is named by the line it starts at
@@ -166,9 +176,15 @@ def read_games(spark: SparkSession, path: str) -> DataFrame:
     games = lines.groupBy("file", "start").agg(F.array_sort(F.collect_list(entry)).alias("tags"), F.array_sort(F.collect_list(moves)).alias("moves"))
     names = F.transform("tags", lambda e: e["key"])
     first = F.filter("tags", lambda e, i: F.array_position(names, e["key"]) == i + 1)
-    games = games.select("file", "start", F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"]))).alias("headers"), F.array_join(F.transform("moves", lambda m: m["line"]), "\n").alias("movetext"))
+    games = games.select(
+        "file", "start", F.map_from_entries(F.transform(first, lambda e: F.struct(e["key"], e["value"]))).alias("headers"),
+        F.array_join(F.transform("moves", lambda m: m["line"]), "\n").alias("movetext")
+    )
     games = with_place(games)
-    tagged = [F.col("headers")[n].alias(c) for c, n in (("white", "White"), ("black", "Black"), ("result", "Result"), ("termination", "Termination"), ("fen", "FEN"))]
+    tagged = [
+        F.col("headers")[n].alias(c) for c,
+        n in (("white", "White"), ("black", "Black"), ("result", "Result"), ("termination", "Termination"), ("fen", "FEN"))
+    ]
     return games.select("file", "game_index", *tagged, "headers", "movetext")
 
 
@@ -192,12 +208,16 @@ def positions_in(games: DataFrame, keys: list[str], skip_first_n_plies: int = 0)
             at, plies, fens, tokens = [], [], [], []
             for i, (fen, moves) in enumerate(zip(b.column(len(keys)).to_pylist(), b.column(len(keys) + 1).to_pylist(), strict=True)):
                 played, bad = replay({"FEN": fen} if fen else {}, moves)
-                rows = [(ply, f, None) for ply, f in enumerate(played, 1) if ply > skip_first_n_plies] if bad is None else [(len(played) + 1, None, bad)]
+                rows = [
+                    (ply, f, None) for ply, f in enumerate(played, 1) if ply > skip_first_n_plies
+                ] if bad is None else [(len(played) + 1, None, bad)]
                 at += [i] * len(rows)
                 for ply, f, token in rows:
                     plies.append(ply), fens.append(f), tokens.append(token)
             cols = [c.take(pa.array(at, pa.int64())) for c in b.columns[: len(keys)]]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(plies, pa.int64()), pa.array(fens, pa.string()), pa.array(tokens, pa.string())], schema.names)
+            yield pa.RecordBatch.from_arrays(
+                [*cols, pa.array(plies, pa.int64()), pa.array(fens, pa.string()), pa.array(tokens, pa.string())], schema.names
+            )
 
     out = map_arrow(named, run, schema)
     return out.filter("token is null").drop("token"), out.filter("token is not null").drop("fen")
@@ -219,14 +239,19 @@ def games_of(docs: DataFrame, key: str, text: str = "text", every: Column | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [None, pa.int64(), *[pa.string()] * 5, pa.map_(pa.string(), pa.string())]
         for b in batches:
-            rows = [(i, *_game_row(k, h)[:-1], list(h.items())) for i, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, h, _ in numbered_games(t, e)]
+            rows = [
+                (i, *_game_row(k, h)[:-1], list(h.items())) for i, t, e in zip(*(c.to_pylist() for c in b.columns), strict=True) for k, h,
+                _ in numbered_games(t, e)
+            ]
             cols = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t or b.schema.field(0).type) for c, t in zip(cols, types, strict=True)], names)
 
     return map_arrow(_with_every(docs, key, text, every), run, f"{key} {kind}, {GAME}")
 
 
-def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_plies: int = 0, every: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def positions_of(
+    docs: DataFrame, key: str, text: str = "text", skip_first_n_plies: int = 0, every: Column | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(positions, failures) of every game in a text column.
 
     Positions: (key, ``game_index``, ``ply`` from 1, ``fen``) beyond the first
@@ -249,7 +274,10 @@ def positions_of(docs: DataFrame, key: str, text: str = "text", skip_first_n_pli
                     else:
                         rows += [(i, k, ply, fen, None) for ply, fen in enumerate(fens, 1) if ply > skip_first_n_plies]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)], [key, "game_index", "ply", "fen", "token"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)],
+                        [key, "game_index", "ply", "fen", "token"]
+                    )
 
     out = map_arrow(_with_every(docs, key, text, every), run, f"{key} {kind}, game_index bigint, ply bigint, fen string, token string")
     return out.filter("token is null").drop("token"), out.filter("token is not null").drop("fen")
@@ -273,7 +301,10 @@ def replays_of(docs: DataFrame, key: str, text: str = "text", every: Column | No
                     fens, bad = replay(h, moves)
                     rows.append((i, k, len(fens), None, None) if bad is None else (i, k, 0, len(fens) + 1, bad))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)], [key, "game_index", "positions", "failed_ply", "token"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t2 or b.schema.field(0).type) for c, t2 in zip(zip(*rows, strict=True), types, strict=True)],
+                    [key, "game_index", "positions", "failed_ply", "token"]
+                )
 
     return map_arrow(_with_every(docs, key, text, every), run, f"{key} {kind}, game_index bigint, positions bigint, failed_ply bigint, token string")
 

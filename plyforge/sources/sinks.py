@@ -146,12 +146,17 @@ def rebuild_index(flat: DataFrame, path: str, version: str = "v1") -> None:
     _swap(flat, path, [])
     spark = flat.sparkSession
     n = spark.read.parquet(path).count()
-    _swap(spark.createDataFrame([("ledger_schema_version", version), ("record_count", str(n))], "key string, value string"), path.rstrip("/") + "_metadata", [])
+    _swap(
+        spark.createDataFrame([("ledger_schema_version", version), ("record_count", str(n))], "key string, value string"),
+        path.rstrip("/") + "_metadata", []
+    )
 
 
 def finished_jobs(jobs: DataFrame) -> DataFrame:
     """Jobs with their final status: an error text, a best move, or no legal moves."""
-    return jobs.withColumn("status", F.when(F.col("error_text").isNotNull(), "error").when(F.col("bestmove").isNotNull(), "ok").otherwise("no_legal_moves"))
+    return jobs.withColumn(
+        "status", F.when(F.col("error_text").isNotNull(), "error").when(F.col("bestmove").isNotNull(), "ok").otherwise("no_legal_moves")
+    )
 
 
 def write_tsv(df: DataFrame, path: str, first: list[str] | None = None, order: list[str] | None = None) -> None:
@@ -160,7 +165,9 @@ def write_tsv(df: DataFrame, path: str, first: list[str] | None = None, order: l
     if order:
         df = df.repartitionByRange(1, *order).sortWithinPartitions(*order)
     df = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in names])
-    df.write.mode("overwrite").csv(path, sep="\t", header=True, quote="", emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    df.write.mode("overwrite").csv(
+        path, sep="\t", header=True, quote="", emptyValue="", lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_lines(df: DataFrame, path: str, line: str, order: list[str]) -> None:

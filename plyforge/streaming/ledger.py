@@ -21,16 +21,22 @@ def ledger_stream(spark: SparkSession, folder: str, late: str = "7 days", files:
     """
     lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder).withColumnRenamed("value", "line")
     flat = flatten(lines).withColumn("recorded_time", F.try_to_timestamp(F.col("recorded_at")))
-    return flat.filter("record_id is not null and recorded_time is not null").withWatermark("recorded_time", late).dropDuplicatesWithinWatermark(["record_id"])
+    return flat.filter(
+        "record_id is not null and recorded_time is not null"
+    ).withWatermark("recorded_time", late).dropDuplicatesWithinWatermark(["record_id"])
 
 
 def results_per_window(records: DataFrame, width: str = "1 day") -> DataFrame:
     """Wins, losses and draws by window and opponent."""
     by = records.groupBy(F.window("recorded_time", width), "opponent_id")
-    return by.agg(F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("draws").alias("draws"), F.count(F.lit(1)).alias("records")).select(F.col("window.start").alias("start"), "opponent_id", "wins", "losses", "draws", "records")
+    return by.agg(
+        F.sum("wins").alias("wins"), F.sum("losses").alias("losses"), F.sum("draws").alias("draws"), F.count(F.lit(1)).alias("records")
+    ).select(F.col("window.start").alias("start"), "opponent_id", "wins", "losses", "draws", "records")
 
 
-def transition_violations(events: DataFrame, key: str, state: str, order: str, first: list[str], allowed: dict[str, list[str]], forget_ms: int | None = None) -> DataFrame:
+def transition_violations(
+    events: DataFrame, key: str, state: str, order: str, first: list[str], allowed: dict[str, list[str]], forget_ms: int | None = None
+) -> DataFrame:
     """Events that can't follow the last state of their key, over any number of micro-batches.
 
     The state kept for a key is its last state. Within a batch events are taken
@@ -57,4 +63,7 @@ def transition_violations(events: DataFrame, key: str, state: str, order: str, f
         yield pd.DataFrame(bad, columns=["key", "at", "previous", "state"])
 
     ship(events.sparkSession)
-    return events.select(key, state, order).groupBy(key).applyInPandasWithState(check, "key string, at string, previous string, state string", "state string", "append", GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout)
+    return events.select(key, state, order).groupBy(key).applyInPandasWithState(
+        check, "key string, at string, previous string, state string", "state string", "append",
+        GroupStateTimeout.ProcessingTimeTimeout if forget_ms else GroupStateTimeout.NoTimeout
+    )
