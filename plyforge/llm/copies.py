@@ -27,7 +27,10 @@ def _with_copies(df: DataFrame, id_col: str, fen: str, half: str, full: str, hot
     return with_group_min(cut(_keyed(df, id_col, fen, half, full), "keyed"), ["__key"], id_col, "keep_id", "copies", hot_rows)
 
 
-def with_copies(df: DataFrame, id_col: str = "position_id", fen: str = "fen", half: str = "halfmove_clock", full: str = "fullmove_number", hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_copies(
+    df: DataFrame, id_col: str = "position_id", fen: str = "fen", half: str = "halfmove_clock", full: str = "fullmove_number",
+    hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """(id, ``keep_id``, ``copies``): of every row, the smallest id of its record and how many rows spell it.
 
     Texts from which no record can be read are equal when they agree up to
@@ -38,7 +41,10 @@ def with_copies(df: DataFrame, id_col: str = "position_id", fen: str = "fen", ha
     return _with_copies(df, id_col, fen, half, full, hot_rows).drop("__key")
 
 
-def records(df: DataFrame, id_col: str = "position_id", fen: str = "fen", half: str = "halfmove_clock", full: str = "fullmove_number", hot_rows: int = HOT_ROWS) -> DataFrame:
+def records(
+    df: DataFrame, id_col: str = "position_id", fen: str = "fen", half: str = "halfmove_clock", full: str = "fullmove_number",
+    hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """One row per record: (``keep_id``, ``copies``). A row repeated under its own id is a copy without a link.
 
     Records of null ids alone are told apart by what they spell, and without
@@ -48,7 +54,9 @@ def records(df: DataFrame, id_col: str = "position_id", fen: str = "fen", half:
     copies = F.max("copies").alias("copies")
     named = w.filter(F.col(id_col) == F.col("keep_id")).groupBy("keep_id").agg(copies)
     nameless = w.filter("keep_id is null")
-    spelled = nameless.filter("__key is not null").groupBy("__key").agg(copies).select(F.lit(None).cast(w.schema["keep_id"].dataType).alias("keep_id"), "copies")
+    spelled = nameless.filter("__key is not null").groupBy("__key").agg(copies).select(
+        F.lit(None).cast(w.schema["keep_id"].dataType).alias("keep_id"), "copies"
+    )
     return named.unionByName(spelled).unionByName(nameless.filter("__key is null").select("keep_id", "copies"))
 
 

@@ -155,19 +155,29 @@ class Lists:
                 # lists of single squares are many: few boards at a time
                 for at in range(0, whole.num_rows, 512 if step == ("blocks", 64) else 20_000):
                     b = whole.slice(at, 512 if step == ("blocks", 64) else 20_000)
-                    keys, chosen, need, norm, rest, sig = self.keyed(step, b.column(1), b.column(2), b.column(6) if deep else None, np.asarray(b.column(5)) if deep else None)
+                    keys, chosen, need, norm, rest, sig = self.keyed(
+                        step, b.column(1), b.column(2), b.column(6) if deep else None, np.asarray(b.column(5)) if deep else None
+                    )
                     each = keys.shape[1]
                     rep = lambda x, t: pa.array(np.repeat(np.asarray(x), each).astype(t))  # noqa: E731,B023
                     flat = keys.ravel()
                     if what == "sizes":
                         found, place = np.unique(flat, return_inverse=True)
-                        count = lambda c: np.bincount(place, np.repeat(np.asarray(b.column(c).to_pylist(), float), each), len(found)).astype(np.int64)  # noqa: E731,B023
+                        count = lambda c: np.bincount(
+                            place, np.repeat(np.asarray(b.column(c).to_pylist(), float), each), len(found)
+                        ).astype(np.int64)  # noqa: E731,B023
                         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(count(3)), pa.array(count(4))], ["key", "l", "r"])
                     elif what == "held":
                         terms = chosen.reshape(len(flat), -1).astype(np.int16)
-                        yield pa.RecordBatch.from_arrays([rep(b.column(0), np.int64), pa.array(flat), pa.array([x.tobytes() for x in terms], pa.binary())], ["cid", "key", "held"])
+                        yield pa.RecordBatch.from_arrays(
+                            [rep(b.column(0), np.int64), pa.array(flat), pa.array([x.tobytes() for x in terms], pa.binary())],
+                            ["cid", "key", "held"]
+                        )
                     else:
-                        cols = [rep(b.column(0), np.int64), pa.array(flat), rep(need, np.float32), rep(norm, np.float32), rep(rest, np.float32), rep(sig, np.int64)]
+                        cols = [
+                            rep(b.column(0), np.int64), pa.array(flat), rep(need, np.float32), rep(norm, np.float32), rep(rest, np.float32),
+                            rep(sig, np.int64)
+                        ]
                         yield pa.RecordBatch.from_arrays(cols, ["cid", "key", "need", "norm", "rest", "sig"])
 
         return run
@@ -276,7 +286,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, weights: np.ndarray, differ:
             cosine = dot / np.sqrt(weights[ta].sum(1) * weights[tb].sum(1))
             n = 64 - same.sum(1)
             keep = pa.array(n <= differ)
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(n.astype(np.int32)), pa.array(cosine)], ["cid_a", "cid_b", "differing", "cosine"]).filter(keep)
+            yield pa.RecordBatch.from_arrays(
+                [x.column(0), x.column(1), pa.array(n.astype(np.int32)), pa.array(cosine)], ["cid_a", "cid_b", "differing", "cosine"]
+            ).filter(keep)
 
     joined = pairs.join(a, "cid_a").join(b, "cid_b").select("cid_a", "cid_b", "board_a", "board_b")
     return map_arrow(joined, exact, "cid_a bigint, cid_b bigint, differing int, cosine double")
@@ -286,7 +298,10 @@ def memberships(positions: DataFrame, left_splits: tuple[str, ...], right_splits
     """Rows of the splits concerned with the class (smallest id of equal board and side) they belong to."""
     named = positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split"))
     rows = with_record(named.filter(F.col("split").isin(*left_splits, *right_splits)), "fen", fields=("board", "side"))
-    rows = rows.select("position_id", "source", "split", F.col("r_board").alias("board"), F.col("r_side").alias("side"), F.col("split").isin(*left_splits).alias("left"))
+    rows = rows.select(
+        "position_id", "source", "split", F.col("r_board").alias("board"), F.col("r_side").alias("side"),
+        F.col("split").isin(*left_splits).alias("left")
+    )
     # filtered only when written down: a filter on the board would parse every text twice
     return with_group_min(cut(rows, "boards").filter("board is not null"), ["board", "side"], "position_id", "cid", None, hot_rows)
 
@@ -296,7 +311,10 @@ def classes_of(members: DataFrame) -> DataFrame:
     return members.groupBy("cid", "board", "side").agg(F.bool_or("left").alias("left"), F.bool_or(~F.col("left")).alias("right"))
 
 
-def cross_split(positions: DataFrame, left_splits: tuple[str, ...] = ("val", "challenge", "fresh"), right_splits: tuple[str, ...] = ("train",), differ: int = 2, hot_rows: int = HOT_ROWS, hot_pairs: int = HOT_PAIRS) -> tuple[DataFrame, DataFrame]:
+def cross_split(
+    positions: DataFrame, left_splits: tuple[str, ...] = ("val", "challenge", "fresh"), right_splits: tuple[str, ...] = ("train",),
+    differ: int = 2, hot_rows: int = HOT_ROWS, hot_pairs: int = HOT_PAIRS
+) -> tuple[DataFrame, DataFrame]:
     """(members, pairs of classes): who holds which board, and which boards lie across the splits.
 
     Rows without a readable board or of other or null splits take no part;
@@ -319,7 +337,9 @@ def overlap_pairs(members: DataFrame, near: DataFrame) -> DataFrame:
 
 def overlap_report(members: DataFrame, near: DataFrame) -> DataFrame:
     """Per split and source of the held-out row: pairs with train rows, by differing squares, counted without expanding copies."""
-    held = members.filter("left").groupBy(F.col("cid").alias("cid_a"), "split", F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    held = members.filter("left").groupBy(
+        F.col("cid").alias("cid_a"), "split", F.coalesce("source", F.lit("")).alias("source")
+    ).agg(F.count(F.lit(1)).alias("n"))
     other = members.filter("not left").groupBy(F.col("cid").alias("cid_b")).agg(F.count(F.lit(1)).alias("m"))
     each = near.join(held, "cid_a").join(other, "cid_b")
     pairs = F.col("n") * F.col("m")
@@ -335,7 +355,9 @@ def class_pairs(near: DataFrame) -> DataFrame:
 
 def class_members(members: DataFrame, near: DataFrame) -> DataFrame:
     """(``position_id``, ``class_id``, ``links``): every row of the splits with the class of its board and the boards across the split that this is linked to."""
-    ends = near.select(F.col("cid_a").alias("cid"), F.lit(True).alias("left")).unionByName(near.select(F.col("cid_b").alias("cid"), F.lit(False).alias("left")))
+    ends = near.select(F.col("cid_a").alias("cid"), F.lit(True).alias("left")).unionByName(
+        near.select(F.col("cid_b").alias("cid"), F.lit(False).alias("left"))
+    )
     links = ends.groupBy("cid", "left").agg(F.count(F.lit(1)).alias("links"))
     rows = members.select("position_id", "cid", "left").join(links, ["cid", "left"], "left")
     return rows.select("position_id", F.col("cid").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))

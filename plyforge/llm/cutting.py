@@ -170,7 +170,9 @@ def cut_documents(docs: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, w
     """
     if limit < 16 or not 0 <= overlap < limit // 2:
         raise ValueError("the limit must be at least 16, and the overlap less than half of it")
-    schema = "doc_id bigint, piece int, pieces int, char_start int, char_end int, n_tokens int, shared_tokens int, ends_at string, unbreakable bigint" + (", piece_text string" if with_text else "")
+    schema = "doc_id bigint, piece int, pieces int, char_start int, char_end int, n_tokens int, shared_tokens int, ends_at string, unbreakable bigint" + (
+        ", piece_text string" if with_text else ""
+    )
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64()] + [pa.string()] * with_text
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -223,16 +225,22 @@ def broken_rules(docs: DataFrame, pieces: DataFrame, limit: int = LIMIT, overlap
     last = F.col("piece") == F.col("pieces")
     here = F.substr(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
     new = F.substr(F.col("text"), F.coalesce(F.col("before"), F.lit(0)) + 1, F.col("char_end") - F.coalesce(F.col("before"), F.lit(0)))
-    start = F.when(F.col("piece") == 1, F.col("char_start") == 0).otherwise((F.col("char_start") <= F.col("before")) & (F.col("before") < F.col("char_end")))
+    start = F.when(F.col("piece") == 1, F.col("char_start") == 0).otherwise(
+        (F.col("char_start") <= F.col("before")) & (F.col("before") < F.col("char_end"))
+    )
     rules = {
         "text": here != F.col("piece_text"),
         "cover": ~F.coalesce(start, F.lit(False)) | (last != (F.col("char_end") == F.char_length("text"))),
         "limit": (F.col("again") > limit) | (F.col("again") != F.col("n_tokens")),
         "overlap": F.col("shared_tokens") != F.when(F.col("piece") == 1, 0).otherwise(overlap),
-        "natural": ~last & (F.col("ends_at") == BOUNDARIES[0]) & F.when(F.col("piece") == 1, F.col("front_tokens") > overlap + 1).otherwise(strip(new).rlike(WS_CLASS)),
+        "natural": ~last & (F.col("ends_at") == BOUNDARIES[0]) & F.when(
+            F.col("piece") == 1, F.col("front_tokens") > overlap + 1
+        ).otherwise(strip(new).rlike(WS_CLASS)),
     }
     counts = p.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
-    tall = counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in rules])).alias("x")).select("x.*")
+    tall = counts.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in rules])).alias("x")
+    ).select("x.*")
     long = with_token_counts(docs.select("doc_id", "text"), path=path).filter(F.col("n_tokens") > limit)
     missing = long.join(pieces.select("doc_id"), "doc_id", "left_anti").agg(F.lit("missing").alias("rule"), F.count(F.lit(1)).alias("violations"))
     return tall.unionByName(missing)

@@ -40,7 +40,9 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS, most_rounds: int = 60
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     nodes = given.select(F.col("u").alias("node")).unionByName(given.select(F.col("v").alias("node"))).distinct()
     # settled edges form stars: (node, centre) with one row a node
-    return nodes.join(now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(
+        now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("component")), "node", "left"
+    ).withColumn("component", F.coalesce("component", "node"))
 
 
 def _proper(edges: DataFrame) -> DataFrame:
@@ -69,7 +71,10 @@ def position_families(positions: DataFrame, games: DataFrame, hot_rows: int = HO
     game; games without source, index or readable position join nothing. Plies
     (null or repeated) don't matter.
     """
-    rows = with_record(positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split")), "fen", fields=FIELDS[:4]).select("position_id", "source", "split", position_text().alias("position"))
+    rows = with_record(
+        positions.select("position_id", "fen", label(F.col("source")).alias("source"), label(F.col("split")).alias("split")), "fen",
+        fields=FIELDS[:4]
+    ).select("position_id", "source", "split", position_text().alias("position"))
     parsed = cut(rows, "parsed")
     # the same position: a star around its smallest id
     rows = cut(with_group_min(parsed, ["position"], "position_id", "same", "alike", hot_rows), "rows")
@@ -85,7 +90,9 @@ def position_families(positions: DataFrame, games: DataFrame, hot_rows: int = HO
     occurs = cut(occurs.select("same", "source", "game_index"), "occurs")
     release(reached)
     # the same game, by its whole name: a star around its smallest position
-    linked = with_group_min(occurs, ["source", "game_index"], "same", "first", None, hot_rows).select(F.col("same").alias("u"), F.col("first").alias("v"))
+    linked = with_group_min(
+        occurs, ["source", "game_index"], "same", "first", None, hot_rows
+    ).select(F.col("same").alias("u"), F.col("first").alias("v"))
     found = cut(components(linked, hot_rows), "components").select(F.col("node").alias("same"), "component")
     release(occurs)
     # as a position knows how often it stands there, hot ones needn't be counted again

@@ -65,7 +65,9 @@ def source_rates(tokens: np.ndarray, want: np.ndarray, cap: np.ndarray, factor:
     return np.where(there & (want > 0)[:, None], rate, 0.0)
 
 
-def fit_factors(reached: Callable[[np.ndarray], np.ndarray], language: np.ndarray, topic: np.ndarray, sweeps: int = 200, close: float = 1e-4) -> np.ndarray:
+def fit_factors(
+    reached: Callable[[np.ndarray], np.ndarray], language: np.ndarray, topic: np.ndarray, sweeps: int = 200, close: float = 1e-4
+) -> np.ndarray:
     """Factors [language, topic] under which the tokens reached have the marginals, as far as the sources allow.
 
     ``reached`` tells the tokens [language, topic] under given factors, after
@@ -108,7 +110,9 @@ class Rates:
     error: dict[str, float]
 
 
-def rake(tokens: np.ndarray, want: np.ndarray, cap: np.ndarray, language: np.ndarray, topic: np.ndarray, sweeps: int = 200, close: float = 1e-4) -> Rates:
+def rake(
+    tokens: np.ndarray, want: np.ndarray, cap: np.ndarray, language: np.ndarray, topic: np.ndarray, sweeps: int = 200, close: float = 1e-4
+) -> Rates:
     """Fit rates so that rate * tokens has the marginals, never above the cap of the source.
 
     ``want`` are tokens for each source, capped at what its texts can give;
@@ -187,7 +191,10 @@ class Mixture:
     noise: float
 
 
-def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language_shares: dict[str, float] | None = None, topic_shares: dict[str, float] | None = None, seed: str = "mix-v1", path: str = VOCABULARY, most_sources: int = MOST_SOURCES) -> Mixture:
+def mix(
+    docs: DataFrame, targets: DataFrame, budget: int | None = None, language_shares: dict[str, float] | None = None,
+    topic_shares: dict[str, float] | None = None, seed: str = "mix-v1", path: str = VOCABULARY, most_sources: int = MOST_SOURCES
+) -> Mixture:
     """Draw texts of ``docs`` to the shares of ``targets`` (source, target_share, max_repeats).
 
     ``budget`` is the number of tokens to draw, by default as many as the
@@ -214,7 +221,9 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     goal = cut(goal.filter("key is not null"), "goals")
     few = goal.count() <= most_sources
     near = F.broadcast if few else (lambda x: x)
-    place = lambda c, names: F.coalesce(F.nullif(F.array_position(F.lit(list(names)), label(F.col(c))), F.lit(0)), F.lit(len(names) + 1)) - 1
+    place = lambda c, names: F.coalesce(
+        F.nullif(F.array_position(F.lit(list(names)), label(F.col(c))), F.lit(0)), F.lit(len(names) + 1)
+    ) - 1
     cell = (place("lang", LANGUAGES) * SHAPE[1] + place("doc_kind", TOPICS)).cast("int")
     keyed = docs.select("doc_id", source_key(F.col("source")).alias("key"), cell.alias("cell"), "text")
     keyed = keyed.join(near(goal.select("key")), "key", "left_semi")
@@ -223,7 +232,9 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     square = F.sum(F.col("n_tokens").cast("double") * F.col("n_tokens"))
     cells = sized.groupBy("key", "cell").agg(F.sum("n_tokens").alias("n"), F.max("n_tokens").alias("top"), square.alias("square")).filter("n > 0")
     held = cells.groupBy("key").agg(
-        F.collect_list(F.struct("cell", F.col("n").cast("double").alias("n"))).alias("cells"), F.sum("n").alias("tokens"), F.max("top").alias("largest_text"), F.sum("square").alias("square")
+        F.collect_list(
+            F.struct("cell", F.col("n").cast("double").alias("n"))
+        ).alias("cells"), F.sum("n").alias("tokens"), F.max("top").alias("largest_text"), F.sum("square").alias("square")
     )
     joined = cut(goal.join(held, "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("bigint")), "joined")
     total, squares = joined.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("square"), F.lit(0.0))).first()
@@ -234,11 +245,15 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     for r in joined.select(F.explode("cells").alias("c")).groupBy("c.cell").agg(F.sum("c.n").alias("n")).collect():
         by_cell[r.cell] = r.n
     by_cell = by_cell.reshape(SHAPE)
-    own = lambda given, names, ax: np.array([given.get(x, 0.0) for x in (*names, "other")]) if given else by_cell.sum(ax) / max(1.0, by_cell.sum())
+    own = lambda given, names, ax: np.array(
+        [given.get(x, 0.0) for x in (*names, "other")]
+    ) if given else by_cell.sum(ax) / max(1.0, by_cell.sum())
     language, topic = own(language_shares, LANGUAGES, 1), own(topic_shares, TOPICS, 0)
     if few:
         batches = sources.select("cells", "want", "max_repeats").toArrow().combine_chunks().to_batches()
-        tokens, want, cap = map(np.concatenate, zip(*map(_columns, batches), strict=True)) if batches else (np.zeros((0, by_cell.size)), np.zeros(0), np.zeros(0))
+        tokens, want, cap = map(
+            np.concatenate, zip(*map(_columns, batches), strict=True)
+        ) if batches else (np.zeros((0, by_cell.size)), np.zeros(0), np.zeros(0))
         reached = lambda f: (source_rates(tokens, want, cap, f.reshape(1, -1)) * tokens).sum(0).reshape(SHAPE)
     else:
         reached = _reached_by(sources)
@@ -247,7 +262,9 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
     error = _miss(fitted, language, topic)
 
     plan = cut(_planned(sources, factors), "plan")
-    u = F.conv(F.substring(F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    u = F.conv(
+        F.substring(F.sha2(F.concat(F.lit(seed), F.lit("\0"), F.col("doc_id").cast("string")), 256), 1, 8), 16, 10
+    ).cast("double") / F.lit(float(2**32))
     # cells without tokens have no rate: their texts, all empty, are not drawn
     hot = None if few else hot_hashes(sized, ["key", "cell"])
     rated = looked_up(sized, near(plan), ["key", "cell"], hot=hot).withColumn("z", F.when(F.col("part") > 1e-6, u / F.col("part")))
@@ -286,9 +303,19 @@ def mix(docs: DataFrame, targets: DataFrame, budget: int | None = None, language
         names += [(kind, n, k, ax, float(x), float(y)) for k, (n, x, y) in enumerate(zip(all_names, share, fit, strict=True))]
     wanted = spark.createDataFrame(names, "dimension string, name string, place int, axis int, share_wanted double, share_fitted double")
     drawn_cells = drawn.groupBy("cell").agg(F.sum(times).alias("n"))
-    sides = drawn_cells.select(F.explode(F.array(F.struct(F.lit(0).alias("axis"), F.floor(F.col("cell") / SHAPE[1]).cast("int").alias("place")), F.struct(F.lit(1).alias("axis"), (F.col("cell") % SHAPE[1]).alias("place")))).alias("s"), "n")
+    sides = drawn_cells.select(
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("axis"), F.floor(F.col("cell") / SHAPE[1]).cast("int").alias("place")),
+                F.struct(F.lit(1).alias("axis"), (F.col("cell") % SHAPE[1]).alias("place"))
+            )
+        ).alias("s"),
+        "n"
+    )
     sides = sides.groupBy("s.axis", "s.place").agg((F.sum("n") / F.lit(float(max(1, everything)))).alias("share_reached"))
-    margins = wanted.join(sides, ["axis", "place"], "left").select("dimension", "name", "share_wanted", "share_fitted", F.coalesce("share_reached", F.lit(0.0)).alias("share_reached"))
+    margins = wanted.join(sides, ["axis", "place"], "left").select(
+        "dimension", "name", "share_wanted", "share_fitted", F.coalesce("share_reached", F.lit(0.0)).alias("share_reached")
+    )
     named = drawn.join(near(goal.select("key", "source")), "key").select("doc_id", "source", "times", "n_tokens")
     return Mixture(named, report, margins, error, 0.5 * squares**0.5 / max(1, everything))
 
@@ -308,11 +335,15 @@ def broken_rules(mixture: Mixture, share: float = 0.005) -> DataFrame:
     enough = F.col("tokens") * F.col("max_repeats") >= F.col("target_share") * F.lit(float(total))
     rules = {
         "cap": F.col("most_times") > F.col("max_repeats"),
-        "share": F.col("reachable") & (F.abs(F.col("share_of_budget") - F.col("target_share")) > F.greatest(F.lit(share), F.col("largest_text") / F.lit(float(max(1, total))))),
+        "share": F.col("reachable") & (
+            F.abs(F.col("share_of_budget") - F.col("target_share")) > F.greatest(F.lit(share), F.col("largest_text") / F.lit(float(max(1, total))))
+        ),
         "full": ~F.col("reachable") & (F.col("drawn_tokens") != F.col("tokens") * F.col("max_repeats")),
         "reachable": F.col("reachable") != enough,
     }
     counts = r.agg(*[F.count_if(v).alias(k) for k, v in rules.items()])
     off = mixture.margins.agg(F.count_if(F.abs(F.col("share_reached") - F.col("share_fitted")) > share + 4 * mixture.noise).alias("margin"))
-    tall = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in df.columns])).alias("x")).select("x.*")
+    tall = lambda df: df.select(
+        F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).alias("violations")) for c in df.columns])).alias("x")
+    ).select("x.*")
     return tall(counts).unionByName(tall(off))

@@ -68,7 +68,9 @@ def _pack(items: DataFrame, capacity: int, windows: int, level: int) -> DataFram
                 yield from zip(zip(ids, tokens, strict=True), sizes, strict=True)
 
         got: list[tuple] = []
-        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.bool_()), strict=True)], names)
+        batch = lambda rows: pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.bool_()), strict=True)], names
+        )
         for item, w, size in pack_stream(stream(), capacity, windows, rest):
             got.append((*item, base | w, size, False))
             if len(got) >= 20_000:
@@ -95,7 +97,10 @@ def pack(items: DataFrame, capacity: int, windows: int = WINDOWS, per_partition:
     but is placed as well; an empty input gives no containers.
     """
     named = [x for x in ("item", "n_tokens", "size") if x in items.columns]
-    items = items.select("item", (F.col("n_tokens") if "n_tokens" in named else F.lit(None)).cast("bigint").alias("n_tokens"), F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size"))
+    items = items.select(
+        "item", (F.col("n_tokens") if "n_tokens" in named else F.lit(None)).cast("bigint").alias("n_tokens"),
+        F.coalesce(F.col("size"), F.lit(0)).cast("bigint").alias("size")
+    )
     parts = max(1, -(-items.count() // per_partition))
     spread = F.xxhash64(F.lit("pack"), "item")
     placed = cut(_pack(items.repartition(parts, spread).sortWithinPartitions(spread, "item", "size", "n_tokens"), capacity, windows, 0), "placed")
@@ -104,7 +109,10 @@ def pack(items: DataFrame, capacity: int, windows: int = WINDOWS, per_partition:
         level += 1
         parts = -(-parts // FAN_IN)
         waiting = left.select(F.col("window").alias("item"), "n_tokens", "size")
-        merged = cut(_pack(waiting.repartition(parts, F.xxhash64("item")).sortWithinPartitions(F.desc("size"), "item"), capacity, windows, level), "merged")
+        merged = cut(
+            _pack(waiting.repartition(parts, F.xxhash64("item")).sortWithinPartitions(F.desc("size"), "item"), capacity, windows, level),
+            "merged"
+        )
         step = merged.filter("not open").select(F.col("item").alias("window"), F.col("window").alias("to"))
         if moves is None:
             moves = step
@@ -131,9 +139,19 @@ def pack_documents(docs: DataFrame, capacity: int = 8192, windows: int = WINDOWS
     rest = F.col("n_tokens") % F.lit(capacity)
     # rows of one id have containers of their own
     again = F.row_number().over(Window.partitionBy("doc_id").orderBy("n_tokens"))
-    full = sized.filter(F.col("n_tokens") > capacity).withColumn("again", again).select("doc_id", "again", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece"))
-    full = full.select(F.concat_ws(":", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece", F.when(F.col("again") > 1, F.col("again"))).alias("container"), "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), ((F.col("piece") + 1) * capacity).alias("token_end"))
-    small = sized.select("doc_id", "n_tokens", F.when(F.col("n_tokens") <= capacity, F.col("n_tokens")).when(rest > 0, rest).alias("size")).filter("size is not null")
+    full = sized.filter(F.col("n_tokens") > capacity).withColumn("again", again).select(
+        "doc_id", "again", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece")
+    )
+    full = full.select(
+        F.concat_ws(
+            ":", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece",
+            F.when(F.col("again") > 1, F.col("again"))
+        ).alias("container"),
+        "doc_id", "piece", (F.col("piece") * capacity).alias("token_start"), ((F.col("piece") + 1) * capacity).alias("token_end")
+    )
+    small = sized.select(
+        "doc_id", "n_tokens", F.when(F.col("n_tokens") <= capacity, F.col("n_tokens")).when(rest > 0, rest).alias("size")
+    ).filter("size is not null")
     packed = pack(small.select(F.col("doc_id").alias("item"), "n_tokens", "size"), capacity, windows, per_partition)
     start = F.col("n_tokens") - F.col("size")
     rests = packed.select(
@@ -166,12 +184,24 @@ def broken_rules(docs: DataFrame, contents: DataFrame, capacity: int = 8192, win
     end = F.least(F.col("n_tokens"), (F.col("piece") + 1) * capacity)
     right = (F.col("token_start") == F.col("piece") * capacity) & (F.col("token_end") == end)
     joined = contents.join(tokens, "doc_id", "right")
-    per = joined.groupBy("doc_id", "n_tokens").agg(F.count("container").alias("pieces"), F.countDistinct("piece").alias("places"), F.count_if(F.coalesce(~right, F.lit(True))).alias("wrong"))
+    per = joined.groupBy("doc_id", "n_tokens").agg(
+        F.count("container").alias("pieces"), F.countDistinct("piece").alias("places"),
+        F.count_if(F.coalesce(~right, F.lit(True))).alias("wrong")
+    )
     due = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / capacity))
     whole = (F.col("pieces") == due) & (F.col("places") == due) & (F.col("wrong") == 0)
-    texts = per.agg(F.count_if(~whole).alias("cover"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("pieces") > 1)).alias("divided"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    fill = container_fill(contents, capacity).agg(F.count_if(F.col("tokens") > capacity).alias("capacity"), F.count_if(F.col("fill") < 0.5).alias("half"), F.count(F.lit(1)).alias("n"))
+    texts = per.agg(
+        F.count_if(~whole).alias("cover"), F.count_if((F.col("n_tokens") <= capacity) & (F.col("pieces") > 1)).alias("divided"),
+        F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")
+    )
+    fill = container_fill(contents, capacity).agg(
+        F.count_if(F.col("tokens") > capacity).alias("capacity"), F.count_if(F.col("fill") < 0.5).alias("half"),
+        F.count(F.lit(1)).alias("n")
+    )
     t, f = texts.first(), fill.first()
     least = -(-t.total // capacity)
-    found = {"cover": t.cover, "divided": t.divided, "capacity": f.capacity, "half_empty": max(0, f.half - windows), "containers": max(0, f.n - least - least // 100 - windows)}
+    found = {
+        "cover": t.cover, "divided": t.divided, "capacity": f.capacity, "half_empty": max(0, f.half - windows),
+        "containers": max(0, f.n - least - least // 100 - windows)
+    }
     return docs.sparkSession.createDataFrame([(k, int(v)) for k, v in found.items()], "rule string, violations bigint")

@@ -31,7 +31,9 @@ def p1_sample(spark: SparkSession, d: str) -> DataFrame:
 def p1_shares(spark: SparkSession, d: str) -> DataFrame:
     """Of every split: how many rows and how many keys are in the sample."""
     positions = table(spark, d, "positions")
-    counts = lambda df, n: df.groupBy(F.coalesce(label(F.col("split")), F.lit("")).alias("split")).agg(F.count(F.lit(1)).alias(f"{n}rows"), F.countDistinct(_sample_key()).alias(f"{n}keys"))
+    counts = lambda df, n: df.groupBy(F.coalesce(label(F.col("split")), F.lit("")).alias("split")).agg(
+        F.count(F.lit(1)).alias(f"{n}rows"), F.countDistinct(_sample_key()).alias(f"{n}keys")
+    )
     chosen = sample.nested_sample(positions, _sample_key(), label(F.col("split")), F.col("intake_no"), SAMPLE)
     return counts(positions, "").join(counts(chosen, "sample_"), "split", "left").withColumn("share", F.col("sample_keys") / F.col("keys"))
 

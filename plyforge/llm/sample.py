@@ -57,7 +57,9 @@ def keep_length(spark: SparkSession, manifest: str, seed: str, buckets: int, sha
 
 def _falls_short(counts: DataFrame, length: int, share: float) -> bool:
     """Whether at some intake a split holds fewer keys in the first ``length`` buckets than its share of the keys known by then, beyond chance."""
-    per = counts.groupBy("split", "intake").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("place") < length, F.col("n")).otherwise(0)).alias("inside"))
+    per = counts.groupBy("split", "intake").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("place") < length, F.col("n")).otherwise(0)).alias("inside")
+    )
     upto = Window.partitionBy("split").orderBy("intake")  # a row for each intake
     total = F.sum("n").over(upto) * F.lit(share)
     want = F.floor(total - F.lit(SLACK) * F.sqrt(total))
@@ -75,7 +77,10 @@ def needed_length(counts: DataFrame, share: float, buckets: int, least: int) ->
     return high
 
 
-def nested_sample(df: DataFrame, key: Column, split: Column, intake: Column, share: float = 0.05, seed: str = "sample-v1", buckets: int = BUCKETS, manifest: str | None = None) -> DataFrame:
+def nested_sample(
+    df: DataFrame, key: Column, split: Column, intake: Column, share: float = 0.05, seed: str = "sample-v1", buckets: int = BUCKETS,
+    manifest: str | None = None
+) -> DataFrame:
     """``df`` restricted to the sample, with ``sample_bucket`` and ``sample_place`` added.
 
     The list starts with ``ceil(share * buckets)`` buckets and is appended to
@@ -101,7 +106,9 @@ def nested_sample(df: DataFrame, key: Column, split: Column, intake: Column, sha
     if buckets & (buckets - 1) or not 0 < share <= 1:
         raise ValueError("buckets must be a power of two and share in (0, 1]")
     spark = df.sparkSession
-    marked = df.withColumn("sample_bucket", bucket_of(key, seed, buckets)).withColumn("sample_place", place_of(F.col("sample_bucket"), buckets).cast("int"))
+    marked = df.withColumn("sample_bucket", bucket_of(key, seed, buckets)).withColumn(
+        "sample_place", place_of(F.col("sample_bucket"), buckets).cast("int")
+    )
     named = marked.filter(F.col("sample_place").isNotNull()).select(
         F.coalesce(split, F.lit("")).alias("split"), F.xxhash64(key).alias("k"), F.col("sample_place").alias("place"), F.coalesce(intake.cast("bigint"), F.lit(-(2**62))).alias("intake")
     )
@@ -126,7 +133,9 @@ def growth(states: list[DataFrame], key: Column, split: Column, intake: Column,
     for k, (state, chosen) in enumerate(zip(states, each, strict=True), 1):
         chosen = cut(chosen, "chosen")
         gone = chosen.limit(0) if ever is None else ever.join(chosen, "key", "left_anti").join(state.select(key.alias("key")), "key", "left_semi")
-        marks = chosen.select(F.lit(1).alias("chosen"), F.lit(0).alias("lost")).unionByName(gone.select(F.lit(0).alias("chosen"), F.lit(1).alias("lost")))
+        marks = chosen.select(F.lit(1).alias("chosen"), F.lit(0).alias("lost")).unionByName(
+            gone.select(F.lit(0).alias("chosen"), F.lit(1).alias("lost"))
+        )
         zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(c)
         out.append(marks.agg(zero("chosen"), zero("lost")).select(F.lit(k).alias("step"), "chosen", "lost"))
         ever = chosen if ever is None else cut(ever.unionByName(chosen).distinct(), "ever")
